@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import mixing, pii, sharding
+from tickloom.llm import mixing, pii, sharding, simhash, winnowing
 from tickloom.llm.common import read_table
 
 
@@ -17,6 +17,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10, k=5)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group_fingerprints(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +32,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op6_near_dedup": op6_near_dedup,
     "op7_pii": op7_pii,
 }
