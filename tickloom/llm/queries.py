@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, pii, sharding, simhash, winnowing
-from tickloom.llm.common import read_table
+from tickloom.llm import langid, mixing, pii, quality, sharding, simhash, winnowing
+from tickloom.llm.common import crc32_mod, read_table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, where=F.coalesce(crc32_mod(F.col("k"), 3) != 1, F.lit(True)))
+    rows = docs.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +37,28 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read_table(spark, sf_dir, "documents"))
 
 
+#: A document is rejected below this score.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.FactorisationMachine:
+    return quality.train(docs, labels, metadata=["n_chars"], where=crc32_mod(F.col("k"), 5) != 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model(docs, read_table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "text", "n_chars")
+    scored = quality.score(rows, model, metadata=["n_chars"])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_near_dedup": op6_near_dedup,
     "op7_pii": op7_pii,
+    "op8_quality": op8_quality,
 }
