@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, mixing, pii, quality, sharding, simhash, winnowing
+from tickloom.llm import langid, mixing, pii, quality, sharding, simhash, tagpaths, winnowing
 from tickloom.llm.common import crc32_mod, read_table
 
 
@@ -53,6 +53,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -61,4 +65,5 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_html_extraction": op9_html_extraction,
 }
