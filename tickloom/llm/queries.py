@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, mixing, pii, quality, sharding, simhash, tagpaths, winnowing
+from tickloom.llm import annsearch, langid, mixing, pii, quality, sharding, simhash, tagpaths, tokencount, winnowing
 from tickloom.llm.common import crc32_mod, read_table
 
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10, k=5)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annsearch.nearest(read_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, top=5)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_fingerprints(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -57,13 +61,22 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.extract(read_table(spark, sf_dir, "pages"))
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_nearest": op5_nearest,
     "op6_near_dedup": op6_near_dedup,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_html_extraction": op9_html_extraction,
+    "op10_token_counts": op10_token_counts,
 }
