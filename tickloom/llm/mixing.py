@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import md5_words, word_count
+from tickloom.llm.common import materialize, md5_words, word_count
 
 #: Ranges of the exponential key per source: what one task sorts is a source's rows over this.
 RANGES = 1024
@@ -46,12 +46,20 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (3, 1, 2), sh
     rows = rows.withColumn("rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     rows = rows.withColumn("level", (F.col("total") - F.col("capped")) / F.col("rest"))
     rows = rows.withColumn("open", F.col("cap") / F.col("weight") > F.col("level"))
-    # the first open source in that order sets the level of all open ones
-    rows = rows.withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(everything))
+    # the first open source in that order sets the level of all open ones; it is the highest, as later levels count open ones as full
+    rows = rows.withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(everything))
     target = F.when(F.col("open"), F.least("cap", F.col("level") * F.col("weight"))).otherwise(F.col("cap"))
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _drawn(df: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: int, ranges: int) -> DataFrame:
+    """(doc_id, size, source, e, part): each row's exponential key and the range it falls in."""
+    w = (quality_weight(F.col(text)) if weight is None else weight).cast("double")
+    e = exponential_key(F.col(key), F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.001)), seed)
+    slim = df.select(F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), e.alias("e"))
+    return slim.withColumn("part", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("e"))) * ranges)).cast("int"))
+
+
 def mix(
     df: DataFrame,
     *,
@@ -65,7 +73,7 @@ def mix(
     seed: int = 0,
     ranges: int = RANGES,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source, source_size, target, epochs, taken.
+    """One row per input row: doc_id, size, source, source_size, target, epochs, taken, e, whole.
 
     Every document is taken once for each whole time that the target holds its source, then
     documents in the order of their exponential keys until the prefix sum of their sizes
@@ -78,11 +86,7 @@ def mix(
     the ranges are prefix-summed (at most `ranges` rows per source), and only inside a range
     are rows sorted.
     """
-    w = quality_weight(F.col(text)) if weight is None else weight
-    slim = df.select(
-        F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), w.cast("double").alias("w")
-    ).withColumn("e", exponential_key(F.col("doc_id"), F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.001)), seed))
-    slim = slim.withColumn("part", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("e"))) * ranges)).cast("int")).drop("w")
+    slim = _drawn(df, key, text, source, weight, seed, ranges)
     parts = slim.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("part_start", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
@@ -91,11 +95,47 @@ def mix(
     inside = Window.partitionBy("source", "part").orderBy("e", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.part = p.part")).select(
-        "doc_id", "size", "r.source", "source_size", "target", (F.col("part_start") + F.col("start")).alias("start")
+        "doc_id", "size", "r.source", "source_size", "target", "e", (F.col("part_start") + F.col("start")).alias("start")
+    )
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("whole", whole)
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    rows = rows.withColumn("epochs", F.col("whole") + ((F.col("start") + F.col("size") / 2) <= rest).cast("long"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), "e", "whole")
+
+
+#: Rows of the table of sources up to which it is broadcast.
+MOST_SOURCES = 100_000
+
+
+def mixed_rows(
+    df: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weight: Column | None = None,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 0,
+    ranges: int = RANGES,
+) -> DataFrame:
+    """The mix itself: df's rows, each as often as mix() takes it; those taken no time are left out.
+
+    In the order of the exponential key, what a source gives besides whole epochs is a prefix,
+    so one cut per source tells it: the texts meet a table of sources and are not shuffled
+    unless there are more than MOST_SOURCES of these. Rows that repeat the one on the edge are taken with it.
+    """
+    placed = mix(df, key=key, text=text, source=source, weight=weight, weights=weights, share=share, most=most, seed=seed, ranges=ranges)
+    place = F.struct(F.col("e"), F.col("doc_id"), F.col("size"))
+    cuts = placed.groupBy(F.col("source").alias("_source")).agg(F.max("whole").alias("_whole"), F.max(F.when(F.col("epochs") > F.col("whole"), place)).alias("_cut"))
+    cuts = materialize(cuts)
+    few = cuts.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    w = (quality_weight(F.col(text)) if weight is None else weight).cast("double")
+    own = F.struct(
+        exponential_key(F.col(key), F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.001)), seed).alias("e"), F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size")
     )
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("epochs", epochs)
-    rest = F.col("target") - F.col("epochs") * F.col("source_size")
-    extra = ((F.col("start") + F.col("size") / 2) <= rest).cast("long")
-    rows = rows.withColumn("epochs", F.col("epochs") + extra)
-    return rows.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    met = df.withColumn("_place", own).join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + F.coalesce((F.col("_place") <= F.col("_cut")).cast("long"), F.lit(0))
+    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[df[c] for c in df.columns])
