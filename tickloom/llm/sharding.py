@@ -111,6 +111,12 @@ def assign_shards(df: DataFrame, *, key: str = "doc_id", text: str = "text", sha
     )
 
 
+def with_shards(df: DataFrame, *, key: str = "doc_id", shards: int = 24, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
+    """df with each row's shard, and its shard were there one more; nothing is shuffled. Columns of those names are replaced."""
+    jumped = jump_shards(F.col(key), shards)
+    return df.withColumns({shard: jumped["shard"], grown: jumped["grown"]})
+
+
 def write_shards(df: DataFrame, path: str, *, key: str = "doc_id", shards: int = 24) -> None:
     """Write the rows themselves as Parquet, one folder `shard=i` per shard."""
     df.withColumn("shard", jump_shards(F.col(key), shards)["shard"]).write.partitionBy("shard").mode("overwrite").parquet(path)

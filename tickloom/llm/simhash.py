@@ -129,7 +129,7 @@ SIG_BITS = 1024
 KEY_SEGMENTS = 40
 _SIG_SALT = mix64(np.arange(1, SIG_BITS // 64 + 1, dtype=np.uint64))
 _KEY_SALT = mix64(np.arange(1001, KEY_SEGMENTS // 2 + 1001, dtype=np.uint64))
-SIG = [f"s{i}" for i in range(SIG_BITS // 64)]
+SIG_WORDS = SIG_BITS // 64
 
 
 def _wide(features: np.ndarray, salt: np.ndarray, at_once: int = 1 << 11) -> np.ndarray:
@@ -141,8 +141,13 @@ def _wide(features: np.ndarray, salt: np.ndarray, at_once: int = 1 << 11) -> np.
     return np.packbits(counts * 2 > len(features)).view(np.uint64)
 
 
+def _lists(flat: np.ndarray, each: int) -> pa.Array:
+    values = pa.array(flat.astype(np.int32 if each == KEY_SEGMENTS else np.int64))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, each, dtype=np.int32)), values)
+
+
 def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows' key columns with `digest` (of the word sequence), `keys` and the signature columns."""
+    """The rows' key columns with `digest` (of the word sequence), `keys` and `sig`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +165,11 @@ def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                     sigs.append(_wide(features, _SIG_SALT))
                     keys.append(_wide(np.unique(own), _KEY_SALT).view(np.int32) if b > a else np.zeros(KEY_SEGMENTS, np.int32))
-            matrix = np.array(sigs, np.uint64).reshape(-1, len(SIG)).view(np.int64)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, KEY_SEGMENTS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, *(pa.array(np.ascontiguousarray(matrix[:, i])) for i in range(len(SIG)))],
-                ["doc_id", "row", "digest", "keys", *SIG],
-            )
+            lists = [_lists(np.concatenate(x) if x else np.zeros(0), n) for x, n in ((keys, KEY_SEGMENTS), ([g.view(np.int64) for g in sigs], SIG_WORDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *lists], ["doc_id", "row", "digest", "keys", "sig"])
 
     slim = df.select(F.col(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id long, row long, digest binary, keys array<int>, {', '.join(f'{c} long' for c in SIG)}")
+    return slim.mapInArrow(run, "doc_id long, row long, digest binary, keys array<int>, sig array<long>")
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -203,18 +203,12 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """The candidates whose signatures differ in few enough bits: first some chain of two segments, then all."""
     most = most_differing(similarity)
-    side = lambda c: nodes.select(F.col("digest").alias(c), *[F.col(s).alias(f"{c}_{s}") for s in SIG])
+    side = lambda c: nodes.select(F.col("digest").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = candidates(nodes).join(side("a"), "a").join(side("b"), "b")
-    apart = [F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SIG]
-    pairs = pairs.select("a", "b", *[d.alias(f"d{i}") for i, d in enumerate(apart)])
-    m = len(SIG)
-    chain = F.lit(False)
-    for i in range(m):
-        chain = chain | ((F.col(f"d{i}") <= most / m) & (F.col(f"d{i}") + F.col(f"d{(i + 1) % m}") <= 2 * most / m))
-    total = F.col("d0")
-    for i in range(1, m):
-        total = total + F.col(f"d{i}")
-    return pairs.filter(chain).filter(total <= most).select("a", "b")
+    pairs = pairs.withColumn("apart", F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    after = F.concat(F.slice("apart", 2, SIG_WORDS - 1), F.slice("apart", 1, 1))
+    chain = F.exists(F.zip_with("apart", after, lambda d, e: F.greatest(2 * d, d + e)), lambda x: x <= 2 * most / SIG_WORDS)
+    return pairs.filter(chain & (F.aggregate("apart", F.lit(0), lambda t, d: t + d) <= most)).select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -224,7 +218,7 @@ def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "te
     texts without words (null, empty) form one group.
     """
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle))
-    nodes = materialize(rows.groupBy("digest").agg(F.first("keys").alias("keys"), *[F.first(s).alias(s) for s in SIG]))
+    nodes = materialize(rows.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     found = connected_components(similar_links(nodes, similarity))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
