@@ -86,7 +86,7 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndar
             yield ids.astype(np.int32), (values / norm if norm else values).astype(np.float32), _statistics(data[offsets[r] : offsets[r + 1]], own, lengths[a:b])
 
 
-def _rows(df: DataFrame, key: str, text: str, metadata: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+def _rows(df: DataFrame, text: str, metadata: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     meta = F.array(*[F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in metadata]).cast("array<double>")
     return df.select(F.col(text).cast("string").alias("t"), meta.alias("meta"), *extra)
 
@@ -174,7 +174,8 @@ def train(
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
     marked = marked.filter(F.lit(True) if where is None else where).groupBy("k").agg(F.avg("y").alias("y"))
     drawn = marked.orderBy(F.xxhash64(F.lit("quality"), "k"), "k").limit(most_rows)
-    rows = _rows(docs.join(F.broadcast(drawn), docs[key] == drawn.k), key, text, metadata, [F.col("k"), F.col("y")])
+    slim = _rows(docs, text, metadata, [F.col(key).alias("own")])
+    rows = slim.join(F.broadcast(drawn), F.col("own") == F.col("k")).select("t", "meta", "k", "y")  # at most most_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,6 +207,6 @@ def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", met
                 z, _ = _margin(own, _assemble([(i, v) for i, v, _ in told], stats, own))
                 yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(_sigmoid(z).astype(np.float64))], ["row", into])
 
-    slim = _rows(df, "", text, metadata, [F.struct(*[df[c] for c in keep]).alias("row")])
+    slim = _rows(df, text, metadata, [F.struct(*[df[c] for c in keep]).alias("row")])
     out = slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, {into} double")
     return out.select(*[F.col("row")[c].alias(c) for c in keep], into)
