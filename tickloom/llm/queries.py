@@ -26,7 +26,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10, k=5)
+    found = winnowing.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10, k=5)
+    return found.drop("spans", "items")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
