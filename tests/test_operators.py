@@ -188,3 +188,26 @@ def test_supertrend_short(spark):
     rows = ind.add_supertrend(walk(spark, 10)).collect()
     assert all(r.supertrend is None and r.direction == "up" for r in rows)
     assert math.isfinite(ind.add_supertrend(walk(spark, 12)).agg(F.max("supertrend")).first()[0])
+
+
+def test_double_top(spark):
+    from tickloom.operators import screening as scr
+
+    price = [100.0, 102, 104, 106, 108, 110, 108, 106, 104, 102, 100, 102, 104, 106, 108, 110.5, 108, 106, 104, 102, 100]
+    found = scr.double_extremes(series(spark, price), 4).collect()
+    assert [(r.pattern, r.breakout_level, r.measured_target) for r in found] == [("double_top", 100.0, 200.0 - 110.25)]
+
+
+def test_sessions(spark):
+    from tickloom.operators import screening as scr
+
+    times = ["2026-01-05 09:00:00", "2026-01-05 11:30:00", "2026-01-05 13:29:00", "2026-01-05 14:59:00", "2026-01-10 10:00:00"]
+    rows = spark.createDataFrame([(t,) for t in times], "t string").select(scr.in_session(F.col("t").cast("timestamp_ntz")).alias("x")).collect()
+    assert [r.x for r in rows] == [True, False, False, True, False]
+
+
+def test_score_presets(spark):
+    from tickloom.operators import screening as scr
+
+    rows = spark.createDataFrame([(70.0, 70.0, 75.0, 40.0, None, -1.0, 10.0), (10.0, 40.0, 10.0, 60.0, 61.0, 1.0, 65.0)], "trend double, momentum double, volume double, structure double, fundamental double, change_pct double, support_strength double")
+    assert [r.presets for r in scr.score_presets(rows).collect()] == [["pullback", "volume"], ["reversal", "value", "dividend"]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.tick import round_to_tick, tick_size
 from tickloom.operators import indicators as ind
 from tickloom.operators import relational as rel
+from tickloom.operators import screening as scr
 from tickloom.operators import structure as st
 from tickloom.operators.series import in_order
 from tickloom.plans import oracle as sql
@@ -365,3 +366,101 @@ def snapshot(bars: DataFrame) -> DataFrame:
 
 
 on_bars("snapshot_latest", None, snapshot, "symbol", "ts", "close", *SNAPSHOT)
+
+
+# --- quotes, calendar, fundamentals, presets, zones, chart patterns ---
+on_bars(
+    "quotes",
+    q(f"SELECT symbol, ts, {r('close', 'last_price')}, {r('close - pc', 'change')}, {r('CASE WHEN pc = 0 THEN 0 ELSE 100 * (close - pc) / nullif(pc, 0) END', 'change_pct')}, volume FROM (SELECT *, {lag('close')} AS pc, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b) WHERE k = 1"),
+    scr.quotes, "symbol", "ts", "last_price", "change", "change_pct", "volume",
+)
+
+
+@register(
+    "session_ticks",
+    "SELECT event_type, count(*) AS ticks, count(CASE WHEN isodow(ts) <= 5 AND (hour(ts) * 60 + minute(ts) >= 540 AND hour(ts) * 60 + minute(ts) < 690 OR hour(ts) * 60 + minute(ts) >= 810 AND hour(ts) * 60 + minute(ts) < 900) THEN 1 END) AS in_session FROM events GROUP BY 1",
+)
+def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("ticks"), F.count(F.when(scr.in_session(F.col("ts")), 1)).alias("in_session"))
+
+
+@register(
+    "statement_rows",
+    f"SELECT 'y' || y AS period, {', '.join(r(f'sum(o_totalprice) FILTER (WHERE o_orderstatus = {chr(39)}{s}{chr(39)})', s) for s in 'FOP')} FROM (SELECT unnest(range(1993, 1998)) AS y) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY 1",
+)
+def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = [f"y{y}" for y in range(1993, 1998)]
+    orders = src.table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.concat(F.lit("y"), F.year("o_orderdate")).alias("y"))
+    wide = orders.groupBy("o_orderstatus").pivot("y", years).agg(F.sum("o_totalprice"))
+    return told(scr.statement_rows(wide, label="o_orderstatus", periods=years, labels=list("FOP")), "period", "F", "O", "P")
+
+
+@register(
+    "fundamental_growth",
+    f"""WITH qs AS (SELECT n_name AS symbol, r_name AS sector, date_trunc('quarter', o_orderdate)::timestamp AS period, sum(o_totalprice) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3),
+    g AS (SELECT *, 100 * (revenue / nullif(lag(revenue, 4) OVER (PARTITION BY symbol ORDER BY period), 0) - 1) AS growth FROM qs)
+    SELECT symbol, sector, period, {r('revenue')}, {r('growth')}, {r('percent_rank() OVER (PARTITION BY sector, period ORDER BY growth NULLS FIRST)', 'sector_rank')} FROM g""",
+)
+def fundamental_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = src.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = src.table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz").alias("period"))
+    met = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(src.nations(spark, sf_dir), F.col("c_nationkey") == F.col("instrument_id"))
+    quarters = met.groupBy("symbol", "sector", "period").agg(F.sum("o_totalprice").alias("revenue"))
+    return told(scr.year_growth(quarters), "symbol", "sector", "period", "revenue", "growth", "sector_rank")
+
+
+_PRESETS = {
+    "momentum_breakout": "close > prior_high AND relvol > 1.2 AND rsi BETWEEN 55 AND 70 AND adx > 25",
+    "pullback": "e2 > e3 AND low <= e1 AND high >= e1 AND rsi BETWEEN 40 AND 55 AND volume < pv",
+    "oversold": "rsi < 30",
+    "high_volume": "relvol > 1.5 AND close > open",
+}
+on_bars(
+    "screener_presets",
+    q(
+        " UNION ALL ".join(f"SELECT symbol, ts, '{k}' AS preset FROM pz WHERE {v}" for k, v in _PRESETS.items()),
+        *sql.ADX, *sql.RSI, sql.ema("x1", "b", "close", 20), sql.ema("x2", "b", "close", 50), sql.ema("x3", "b", "close", 200),
+        f"""pz AS MATERIALIZED (SELECT rsi.*, wx.y AS adx, x1.y AS e1, x2.y AS e2, x3.y AS e3, max(high) OVER (PARTITION BY rsi.symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_high,
+          volume / nullif({roll('avg', 'volume', 20, 'rsi.symbol')}, 0) AS relvol, lag(volume) OVER (PARTITION BY rsi.symbol ORDER BY ts) AS pv
+          FROM rsi JOIN x1 USING (symbol, n) JOIN x2 USING (symbol, n) JOIN x3 USING (symbol, n) LEFT JOIN wx USING (symbol, n))""",
+    ),
+    scr.screen, "symbol", "ts", "preset",
+)
+_UP = lambda p: f"(ceil(({p}) / {sql._TICK(p)}) * {sql._TICK(p)})"
+on_bars(
+    "entry_zone",
+    q(
+        f"SELECT symbol, {r('zl', 'zone_low')}, {r('zh', 'zone_high')}, {r('(zl + zh) / 2', 'reference')}, {r(_UP('round(greatest(zh, high) + 1, 4)'), 'trigger')} FROM z3",
+        sql.TR,
+        f"z1 AS MATERIALIZED (SELECT *, {roll('avg', 't', 14)} AS a, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM tr)",
+        f"z2 AS MATERIALIZED (SELECT *, CASE WHEN close - a > 0 THEN {sql._DOWN('round(close - a, 4)')} END::double AS zl FROM z1 WHERE k = 1)",
+        f"z3 AS MATERIALIZED (SELECT *, {_UP('round(zl + 0.4::double * a, 4)')}::double AS zh FROM z2)",
+    ),
+    scr.entry_zone, "symbol", "zone_low", "zone_high", "reference", "trigger",
+)
+on_bars(
+    "double_extremes",
+    q(
+        f"""SELECT symbol, ts, CASE WHEN kind = 'high' THEN 'double_top' ELSE 'double_bottom' END AS pattern, {r('p1', 'breakout_level')}, {r('2 * p1 - (price + p2) / 2', 'measured_target')} FROM (
+          SELECT *, lag(price) OVER w AS p1, lag(price, 2) OVER w AS p2, lag(kind) OVER w AS k1, lag(kind, 2) OVER w AS k2 FROM (SELECT symbol, ts, high AS price, 'high' AS kind FROM sw WHERE sh UNION ALL SELECT symbol, ts, low, 'low' FROM sw WHERE sl) WINDOW w AS (PARTITION BY symbol ORDER BY ts, kind))
+        WHERE kind = k2 AND kind <> k1 AND abs(price / nullif(p2, 0) - 1) <= 0.01""",
+        _SW,
+    ),
+    scr.double_extremes, "symbol", "ts", "pattern", "breakout_level", "measured_target",
+)
+on_bars("holdout", q("SELECT symbol, held_out, count(*) AS bars FROM (SELECT *, percent_rank() OVER (PARTITION BY symbol ORDER BY ts) >= 0.8 AS held_out FROM b) GROUP BY 1, 2"), lambda b: scr.holdout(b).groupBy("symbol", "held_out").agg(F.count("*").alias("bars")), "symbol", "held_out", "bars")
+on_bars(
+    "gated_action",
+    q(
+        """SELECT symbol, CASE WHEN round((tp2 - entry) / nullif(risk, 0), 2) >= 2.0 AND mv >= 500000 AND nb >= 200 THEN 'buy' ELSE 'hold' END AS action FROM p5
+        JOIN (SELECT symbol, avg(value) FILTER (WHERE k <= 20) AS mv, count(*) AS nb FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b) GROUP BY 1) USING (symbol)""",
+        *sql.PLAN,
+    ),
+    lambda b: _gated(b), "symbol", "action",
+)
+
+
+def _gated(b: DataFrame) -> DataFrame:
+    last = ind.tail(b.withColumns({"traded": scr.mean_value(), "bars": F.count("*").over(ind.Window.partitionBy("symbol")), "suspended": F.coalesce(F.col("volume") == 0, F.lit(False))}), 1)
+    met = rel.trade_plan(b, "swing").join(last.select("symbol", "traded", "bars", "suspended"), "symbol")
+    return met.withColumn("action", scr.gated(F.lit("buy"), rr=F.col("rr"), least_rr=2.0, traded=F.col("traded"), least_traded=500_000.0, bars=F.col("bars"), least_bars=200, suspended=F.col("suspended")))
