@@ -240,16 +240,27 @@ def backtest(bars: DataFrame, *, fast: int = 20, k_atr: float = 2.0, target: flo
 
 
 def backtest_metrics(trades: DataFrame) -> DataFrame:
-    """Per series: trades, win rate, profit factor, expectancy in R, total return, largest drawdown of the compounded returns."""
-    order = so_far(Window.partitionBy("symbol").orderBy("entry_ts"))
+    """Per series: trades, win rate, profit factor, expectancy in R, total return, yearly return, largest drawdown and
+    the yearly return over it, Sharpe and Sortino ratios per trade, and the longest losing streak."""
+    by_time = Window.partitionBy("symbol").orderBy("entry_ts")
+    order, won = so_far(by_time), F.col("return") > 0
     rows = trades.withColumn("_equity", F.exp(F.sum(F.ln(1 + F.col("return"))).over(order)))
-    rows = rows.withColumn("_down", F.col("_equity") / F.greatest(F.lit(1.0), F.max("_equity").over(order)) - 1)
-    gain, loss = F.sum(F.when(F.col("return") > 0, F.col("return"))), -F.sum(F.when(F.col("return") < 0, F.col("return")))
-    return rows.groupBy("symbol").agg(
+    rows = rows.withColumns({"_down": F.col("_equity") / F.greatest(F.lit(1.0), F.max("_equity").over(order)) - 1, "_island": F.sum(won.cast("int")).over(order)})
+    rows = rows.withColumn("_streak", F.sum((~won).cast("int")).over(so_far(Window.partitionBy("symbol", "_island").orderBy("entry_ts"))))
+    gain, loss = F.sum(F.when(won, F.col("return"))), -F.sum(F.when(F.col("return") < 0, F.col("return")))
+    years = (F.unix_micros(F.max("exit_ts").cast("timestamp")) - F.unix_micros(F.min("entry_ts").cast("timestamp"))) / (365.25 * 86_400e6)
+    growth = F.exp(F.sum(F.ln(1 + F.col("return"))))
+    below = F.sqrt(F.avg(F.pow(F.least(F.col("return"), F.lit(0.0)), 2)))
+    told = rows.groupBy("symbol").agg(
         F.count("*").alias("trades"),
-        (100 * F.avg((F.col("return") > 0).cast("double"))).alias("win_rate"),
+        (100 * F.avg(won.cast("double"))).alias("win_rate"),
         F.try_divide(gain, loss).alias("profit_factor"),
         F.avg("r").alias("expectancy_r"),
-        (F.exp(F.sum(F.ln(1 + F.col("return")))) - 1).alias("total_return"),
+        (growth - 1).alias("total_return"),
+        F.when(years > 0, F.pow(growth, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"),
         F.min("_down").alias("max_drawdown"),
+        F.try_divide(F.avg("return"), F.stddev_pop("return")).alias("sharpe"),
+        F.try_divide(F.avg("return"), below).alias("sortino"),
+        F.max("_streak").alias("longest_losing_streak"),
     )
+    return told.withColumn("calmar", F.try_divide(F.col("cagr"), F.abs("max_drawdown")))

@@ -342,7 +342,7 @@ def as_of_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_bars("backtest_trades", None, rel.backtest, "symbol", "entry_ts", "exit_ts", "entry", "exit", "return", "r")
-on_bars("backtest_metrics", None, lambda b: rel.backtest_metrics(rel.backtest(b)), "symbol", "trades", "win_rate", "profit_factor", "expectancy_r", "total_return", "max_drawdown")
+on_bars("backtest_metrics", None, lambda b: rel.backtest_metrics(rel.backtest(b)), "symbol", "trades", "win_rate", "profit_factor", "expectancy_r", "total_return", "cagr", "max_drawdown", "calmar", "sharpe", "sortino", "longest_losing_streak")
 on_bars(
     "sector_percentiles",
     q(f"SELECT sector, {r('median(close)', 'median_close')}, {r('quantile_cont(close, 0.25)', 'p25')}, {r('quantile_cont(close, 0.75)', 'p75')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k = 1 GROUP BY 1", bars=NATION),
@@ -365,7 +365,38 @@ def snapshot(bars: DataFrame) -> DataFrame:
     return last
 
 
-on_bars("snapshot_latest", None, snapshot, "symbol", "ts", "close", *SNAPSHOT)
+_WINDOWED = {
+    **{f"sma{n}": roll("avg", "close", n) for n in (20, 50, 200)},
+    "sd": roll("stddev_pop", "close", 20), "dc_upper": roll("max", "high", 20), "dc_lower": roll("min", "low", 20), "vm": roll("avg", "volume", 20),
+    "williams_r": f"-100 * (({_HH}) - close) / nullif(({_HH}) - ({_LL}), 0)", "roc": f"100 * (close - {lag('close', 12)}) / nullif({lag('close', 12)}, 0)",
+    "lr": f"ln(close / {lag('close')})", "os": f"coalesce(sign(close - {lag('close')}), 0) * volume", "vwap": _VW("symbol, ts::date"),
+    "ad": "CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) END * volume", "back": "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC)",
+}
+_TOTAL = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+_SNAPSHOT_SQL = {
+    **{c: f"w2.{c}" for c in ("close", "sma20", "sma50", "sma200", "dc_upper", "dc_lower", "williams_r", "roc", "vwap", "hist_vol", "obv", "accum_dist")},
+    "ema8": "a8.y", "ema20": "a20.y", "ema21": "a21.y", "ema50": "a50.y", "ema200": "a200.y", "macd": "md.macd", "signal": "e3.y", "histogram": "md.macd - e3.y",
+    "rsi": "rsi.rsi", "stoch_k": "s3.k", "stoch_d": "s3.dd", "cci": "cc.cci", "mfi": "CASE WHEN m2.loss = 0 THEN 100 ELSE 100 - 100 / (1 + m2.gain / m2.loss) END", "atr": "wr.y",
+    "bb_upper": "w2.sma20 + 2 * w2.sd", "bb_lower": "w2.sma20 - 2 * w2.sd", "bb_percent_b": "(w2.close - (w2.sma20 - 2 * w2.sd)) / nullif((w2.sma20 + 2 * w2.sd) - (w2.sma20 - 2 * w2.sd), 0)",
+    "relative_volume": "w2.volume / nullif(w2.vm, 0)", "psar": "pr.sar", "supertrend": "CASE WHEN sr.way = 'up' THEN sr.l ELSE sr.u END", "adx": "wx.y", "plus_di": "di.plus_di", "minus_di": "di.minus_di",
+}
+_CC = [
+    f"tm AS MATERIALIZED (SELECT symbol, ts, n, {TP} AS tp, avg({TP}) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING) AS m FROM b)",
+    "cc AS MATERIALIZED (SELECT t.symbol, t.n, CASE WHEN count(u.tp) = 20 THEN (t.tp - t.m) / nullif(0.015 * avg(abs(u.tp - t.m)), 0) END AS cci FROM tm t JOIN tm u ON u.symbol = t.symbol AND u.n BETWEEN t.n - 19 AND t.n GROUP BY t.symbol, t.n, t.tp, t.m)",
+]
+on_bars(
+    "snapshot_latest",
+    q(
+        f"""SELECT w2.symbol, w2.ts, {', '.join(r(e, k) for k, e in _SNAPSHOT_SQL.items())}, coalesce(sr.way, 'up') AS direction FROM w2
+        {' '.join(f'LEFT JOIN {t} ON {t}.symbol = w2.symbol AND {t}.n = w2.n' for t in ('a8', 'a20', 'a21', 'a50', 'a200', 'md', 'e3', 'rsi', 's3', 'cc', 'm2', 'wr', 'pr', 'sr', 'wx', 'di'))} WHERE w2.back = 1""",
+        f"w1 AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _WINDOWED.items())} FROM b)",
+        f"w2 AS MATERIALIZED (SELECT *, ({roll('stddev_pop', 'lr', 20)}) * sqrt(252) * 100 AS hist_vol, sum(os) {_TOTAL} AS obv, sum(ad) {_TOTAL} AS accum_dist FROM w1)",
+        *[sql.ema(f"a{n}", "b", "close", n) for n in (8, 20, 21, 50, 200)],
+        sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26), "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", sql.ema("e3", "md", "macd", 9),
+        *sql.RSI, *sql._stochastic("close", "high", "low", "b"), *_CC, *_MF, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], sql._PSAR,
+    ),
+    snapshot, "symbol", "ts", "close", *SNAPSHOT,
+)
 
 
 # --- quotes, calendar, fundamentals, presets, zones, chart patterns ---
