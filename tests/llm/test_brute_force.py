@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -216,3 +217,24 @@ def test_pipeline(spark, sf_dir):
     assert out.join(hit, "doc_id", "left_semi").count() == 0
     bad = QUERIES["op8_quality"](spark, sf_dir).filter("predicted = 0")
     assert out.join(bad, "doc_id", "left_semi").count() == 0
+
+
+def jump(state, shards):
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        state = (state * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * ((1 << 31) / ((state >> 33) + 1)))
+    return b
+
+
+def test_shards(spark, sf_dir, docs):
+    got = result(spark, sf_dir, "op2_sharding")
+    for d, text in zip(docs.doc_id, docs.text):
+        state = int(hashlib.md5(str(d).encode()).hexdigest()[:16], 16)
+        assert (got[d].shard, got[d].grown_shard) == (jump(state, 24), jump(state, 25))
+        body = (text or "").encode()
+        assert (got[d]["size"], got[d].text_crc32) == (len(body) + 8, zlib.crc32(body))
+    for shard in {r.shard for r in got.values()}:
+        slots = sorted(r.slot for r in got.values() if r.shard == shard)
+        assert slots == list(range(len(slots)))
