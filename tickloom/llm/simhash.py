@@ -185,16 +185,15 @@ def most_differing(similarity: float, bits: int = SIG_BITS) -> int:
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of digests that share a segment, linear in the number of rows.
 
-    In the bucket of a segment each row meets the bucket's smallest row, the smallest in an
-    order drawn anew for each segment, and its predecessor there. A bucket of three rows thus
-    yields all its pairs; in larger ones two rows meet in one of the other segments they
-    share, or over a third one.
+    In the bucket of a segment each row meets the first row, in an order drawn anew for each
+    segment, and its predecessor there. A bucket of three rows thus yields all its pairs; in
+    larger ones two rows meet in one of the other segments they share, or over a third one.
     """
     rows = nodes.select("digest", F.posexplode("keys").alias("segment", "value"))
     bucket = Window.partitionBy("segment", "value")
     drawn = bucket.orderBy(F.xxhash64("digest", "segment"), "digest")
     met = rows.select(
-        "digest", F.array(F.min("digest").over(bucket), F.first("digest").over(drawn), F.lag("digest").over(drawn)).alias("others")
+        "digest", F.array(F.first("digest").over(drawn), F.lag("digest").over(drawn)).alias("others")
     )
     met = met.select("digest", F.explode("others").alias("other")).filter("other <> digest")
     return met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
