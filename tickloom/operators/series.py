@@ -47,26 +47,26 @@ def _decayed(df: DataFrame, name: str, term: Column, decay: float, keys: Sequenc
     at = (F.col("n") - 1) % block
     inside = Window.partitionBy(*keys, "_block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
-    rows = df.withColumn("_term", term).withColumn("_block", F.floor((F.col("n") - 1) / block))
+    rows = df.withColumns({"_term": term, "_block": F.floor((F.col("n") - 1) / block)})
     rows = rows.withColumn("_own", F.pow(F.lit(decay), at) * F.sum(F.col("_term") * F.pow(F.lit(decay), -at)).over(inside))
     rows = rows.withColumn("_end", F.max_by("_own", "n").over(before))
     value = F.coalesce(F.col("_own"), F.lit(0.0)) + F.coalesce(F.col("_end") * F.pow(F.lit(decay), at + 1), F.lit(0.0))
     started = F.col("_own").isNotNull() | F.col("_end").isNotNull()
-    return rows.withColumn(name, F.when(started, value)).drop("_term", "_block", "_own", "_end")
+    return rows.select(*[c for c in df.columns if c not in (name, "_x", "_c", "_m")], F.when(started, value).alias(name))
 
 
 def ema(df: DataFrame, name: str, x: Column, span: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Exponential mean, alpha 2 / (span + 1), started by the first value (leading nulls stay null)."""
     alpha = 2 / (span + 1)
     w = so_far(Window.partitionBy(*keys).orderBy("n"))
-    rows = df.withColumn("_x", x).withColumn("_c", F.count("_x").over(w))
+    rows = df.withColumns({"_x": x, "_c": F.count(x).over(w)})
     term = F.when(F.col("_c") == 1, F.col("_x")).when(F.col("_c") > 1, F.col("_x") * alpha)
-    return _decayed(rows, name, term, 1 - alpha, keys).drop("_x", "_c")
+    return _decayed(rows, name, term, 1 - alpha, keys)
 
 
 def wilder(df: DataFrame, name: str, x: Column, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Wilder's smoothing: the mean of the first n values starts it, then (before * (n - 1) + x) / n; null if the series is shorter."""
     w = so_far(Window.partitionBy(*keys).orderBy("n"))
-    rows = df.withColumn("_x", x).withColumn("_c", F.count("_x").over(w)).withColumn("_m", F.avg("_x").over(w))
+    rows = df.withColumns({"_x": x, "_c": F.count(x).over(w), "_m": F.avg(x).over(w)})
     term = F.when(F.col("_c") == n, F.col("_m")).when(F.col("_c") > n, F.col("_x") / n)
-    return _decayed(rows, name, term, (n - 1) / n, keys).drop("_x", "_c", "_m")
+    return _decayed(rows, name, term, (n - 1) / n, keys)

@@ -38,9 +38,10 @@ def register(name: str, twin: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def on_bars(name: str, twin: str | None, make: Callable[[DataFrame], DataFrame], *columns: str, source: Query = src.brand_week) -> None:
-    """A query over the bars of one source."""
-    register(name, twin)(lambda spark, sf_dir: told(make(source(spark, sf_dir)), *columns))
+def on_bars(name: str, twin: str | None, make: Callable[[DataFrame], DataFrame], *columns: str, source: Query = src.brand_week, branches: bool = False) -> None:
+    """A query over the bars of one source. Where the plan branches over them, the bars (far smaller than the ticks) are cached, so the ticks are read once."""
+    given = (lambda spark, sf_dir: source(spark, sf_dir).cache()) if branches else source
+    register(name, twin)(lambda spark, sf_dir: told(make(given(spark, sf_dir)), *columns))
 
 
 def column(name: str, twin: str, make: Callable[[], Column], *, source: Query = src.brand_week) -> None:
@@ -174,8 +175,8 @@ def _anchored(b: DataFrame) -> DataFrame:
     return rows.withColumn("anchored_vwap", ind.anchored_vwap(F.col("_at")))
 
 
-on_bars("volume_profile_buckets", q(f"SELECT symbol, bucket, {r('price_low')}, {r('price_high')}, volume FROM vp", *sql.PROFILE), ind.volume_buckets, "symbol", "bucket", "price_low", "price_high", "volume")
-on_bars("volume_profile_poc_va", q(f"SELECT symbol, {r('poc')}, {r('vah')}, {r('val')} FROM poc", *sql.PROFILE), ind.value_area, "symbol", "poc", "vah", "val")
+on_bars("volume_profile_buckets", q(f"SELECT symbol, bucket, {r('price_low')}, {r('price_high')}, volume FROM vp", *sql.PROFILE), ind.volume_buckets, "symbol", "bucket", "price_low", "price_high", "volume", branches=True)
+on_bars("volume_profile_poc_va", q(f"SELECT symbol, {r('poc')}, {r('vah')}, {r('val')} FROM poc", *sql.PROFILE), ind.value_area, "symbol", "poc", "vah", "val", branches=True)
 
 # --- structure ---
 _FIB = {"pp": "p"} | {k: e for i, x in ((1, 0.382), (2, 0.618), (3, 1.0)) for k, e in ((f"r{i}", f"p + {x}::double * s"), (f"s{i}", f"p - {x}::double * s"))}
@@ -195,10 +196,10 @@ on_bars(
 )
 on_bars("level_clusters", q(f"SELECT symbol, {r('price')}, touches, volume, {r('wick')}, first_seen, last_tested FROM lv", *sql.CLUSTERS), st.swing_clusters, "symbol", "price", "touches", "volume", "wick", "first_seen", "last_tested")
 on_bars("level_strength", q(f"SELECT symbol, {r('price')}, {r('strength')} FROM lv", *sql.CLUSTERS), st.swing_clusters, "symbol", "price", "strength")
-on_bars("level_supplementary", q(f"SELECT symbol, source, {r('price')}, {r('strength')} FROM sup", *sql.SUPPLEMENT), st.supplementary_levels, "symbol", "source", "price", "strength")
-on_bars("levels_final", q(f"SELECT symbol, level_type, {r('price')}, {r('strength')}, source, touches, role_flipped FROM lev", *sql.LEVELS), st.price_levels, "symbol", "level_type", "price", "strength", "source", "touches", "role_flipped")
+on_bars("level_supplementary", q(f"SELECT symbol, source, {r('price')}, {r('strength')} FROM sup", *sql.SUPPLEMENT), st.supplementary_levels, "symbol", "source", "price", "strength", branches=True)
+on_bars("levels_final", q(f"SELECT symbol, level_type, {r('price')}, {r('strength')}, source, touches, role_flipped FROM lev", *sql.LEVELS), st.price_levels, "symbol", "level_type", "price", "strength", "source", "touches", "role_flipped", branches=True)
 on_bars("candles_shape", q(sql._SHAPES, *sql.CANDLES), st.candle_shapes, "symbol", "ts", "pattern")
-on_bars("candles_context", q(sql._patterns(), *sql.LEVELS, *sql.CANDLES, *sql._CZ), lambda b: st.candle_patterns(b, st.price_levels(b)), "symbol", "ts", "pattern", "direction", "reliability")
+on_bars("candles_context", q(sql._patterns(), *sql.LEVELS, *sql.CANDLES, *sql._CZ), lambda b: st.candle_patterns(b, st.price_levels(b)), "symbol", "ts", "pattern", "direction", "reliability", branches=True)
 
 # --- validation: gaps, jumps and zero volumes are made from the bars ---
 _DIRTY_SQL = """dirty AS MATERIALIZED (SELECT symbol, ts, n, open, high, low, CASE WHEN n % 50 IN (7, 8) OR symbol LIKE '%1' AND n % 90 BETWEEN 20 AND 23 THEN NULL ELSE close END AS close, CASE WHEN n % 37 = 5 THEN 0 ELSE volume END AS volume FROM b)"""
@@ -275,7 +276,7 @@ on_bars(
         FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n) JOIN e3 USING (symbol, n) LEFT JOIN wx USING (symbol, n) LEFT JOIN sr USING (symbol, n)""",
         *sql.ADX, *[c for c in sql.SUPERTREND if c != sql.TR], sql.ema("e1", "b", "close", 20), sql.ema("e2", "b", "close", 50), sql.ema("e3", "b", "close", 200),
     ),
-    rel.trend_score, "symbol", "ts", "trend_score",
+    rel.trend_score, "symbol", "ts", "trend_score", branches=True,
 )
 _W = rel.MODES["swing"]
 _SCORE = f"({_W['trend']}::double * rsi + {_W['momentum']}::double * (100 - rsi) + {_W['volume']}::double * 50 + {_W['structure']}::double * rsi)"
@@ -395,7 +396,7 @@ on_bars(
         sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26), "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", sql.ema("e3", "md", "macd", 9),
         *sql.RSI, *sql._stochastic("close", "high", "low", "b"), *_CC, *_MF, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], sql._PSAR,
     ),
-    snapshot, "symbol", "ts", "close", *SNAPSHOT,
+    snapshot, "symbol", "ts", "close", *SNAPSHOT, branches=True,
 )
 
 
