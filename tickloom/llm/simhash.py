@@ -121,12 +121,13 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 #
 # For a similarity of 0.8 two sketches are needed. `sig` is a SimHash of SIG_BITS bits over
 # the set of word shingles; its Hamming distance estimates the similarity (standard error
-# about 0.02 at 1024 bits). `keys` are the segments, KEY_BITS each, of a second SimHash over
+# about 0.02 at 1024 bits) and spares exact comparisons; the sets themselves decide. `keys` are the segments, KEY_BITS each, of a second SimHash over
 # the set of words, which an edit disturbs about `shingle` times less: its equal segments are
 # the chains of length one that start the candidate search.
 
 SIG_BITS = 1024
 KEY_SEGMENTS = 40
+SMALL = 64
 _SIG_SALT = mix64(np.arange(1, SIG_BITS // 64 + 1, dtype=np.uint64))
 _KEY_SALT = mix64(np.arange(1001, KEY_SEGMENTS // 2 + 1001, dtype=np.uint64))
 SIG_WORDS = SIG_BITS // 64
@@ -146,40 +147,58 @@ def _lists(flat: np.ndarray, each: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, each, dtype=np.int32)), values)
 
 
+def _shingled(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and of the distinct shingles of each text; a text of fewer words is one shingle."""
+    for lo, hi, data, offsets in slices(column):
+        words = Words(data, offsets, SPACED)
+        grams = words.grams(shingle)
+        for r in range(hi - lo):
+            a, b = words.first[r], words.first[r + 1]
+            own = words.hash[a:b]
+            yield own, np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else mix64(np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64))
+
+
 def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows' key columns with `digest` (of the word sequence), `keys` and `sig`."""
+    """The rows' key columns with `digest` (of the word sequence), `n` (distinct shingles), `keys` and `sig`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys, sigs = [], [], []
-            for lo, hi, data, offsets in slices(batch.column(2)):
-                words = Words(data, offsets, SPACED)
-                grams = words.grams(shingle)
-                for r in range(hi - lo):
-                    a, b = words.first[r], words.first[r + 1]
-                    own = words.hash[a:b]
-                    if b - a >= shingle:
-                        features = np.unique(grams[a : b - shingle + 1])
-                    else:
-                        features = mix64(np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64))
-                    digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    sigs.append(_wide(features, _SIG_SALT))
-                    keys.append(_wide(np.unique(own), _KEY_SALT).view(np.int32) if b > a else np.zeros(KEY_SEGMENTS, np.int32))
+            digests, sizes, keys, sigs = [], [], [], []
+            for own, features in _shingled(batch.column(2), shingle):
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(features))
+                sigs.append(_wide(features, _SIG_SALT))
+                keys.append(_wide(np.unique(own), _KEY_SALT).view(np.int32) if len(own) else np.zeros(KEY_SEGMENTS, np.int32))
             lists = [_lists(np.concatenate(x) if x else np.zeros(0), n) for x, n in ((keys, KEY_SEGMENTS), ([g.view(np.int64) for g in sigs], SIG_WORDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *lists], ["doc_id", "row", "digest", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "row", "digest", "n", "keys", "sig"])
 
     slim = df.select(F.col(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, row long, digest binary, keys array<int>, sig array<long>")
+    return slim.mapInArrow(run, "doc_id long, row long, digest binary, n int, keys array<int>, sig array<long>")
+
+
+def shingle_sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, *, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(digest, shingles) of the wanted digests: the hashed shingle set of one text of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, features in _shingled(batch.column(0), shingle):
+                ends = pa.array([0, len(features)], pa.int32())
+                digest = pa.array([xxhash.xxh3_128_digest(own.tobytes())], pa.binary())
+                yield pa.RecordBatch.from_arrays([digest, pa.ListArray.from_arrays(ends, pa.array(features.view(np.int64)))], ["digest", "shingles"])
+
+    one = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
+    texts = df.select(row_hash(df).alias("row"), F.col(text).cast("string").alias("text")).join(one, "row", "left_semi")
+    return texts.dropDuplicates(["row"]).select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
 def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[df[c].cast("string") if t == "string" else F.to_json(F.struct(df[c])) for c, t in df.dtypes])
 
 
-def most_differing(similarity: float, bits: int = SIG_BITS) -> int:
-    """Bits by which two signatures of that Jaccard similarity differ, one standard error included."""
+def most_differing(similarity: float, bits: int = SIG_BITS, errors: float = 6.0) -> int:
+    """Bits by which two signatures of that Jaccard similarity differ at most, within six standard errors."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -199,15 +218,23 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """The candidates whose signatures differ in few enough bits: first some chain of two segments, then all."""
-    most = most_differing(similarity)
-    side = lambda c: nodes.select(F.col("digest").alias(c), F.col("sig").alias(f"sig_{c}"))
-    pairs = candidates(nodes).join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.withColumn("apart", F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
-    after = F.concat(F.slice("apart", 2, SIG_WORDS - 1), F.slice("apart", 1, 1))
-    chain = F.exists(F.zip_with("apart", after, lambda d, e: F.greatest(2 * d, d + e)), lambda x: x <= 2 * most / SIG_WORDS)
-    return pairs.filter(chain & (F.aggregate("apart", F.lit(0), lambda t, d: t + d) <= most)).select("a", "b")
+def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
+
+    Sizes and signatures only spare the exact comparison where it must fail. Sets of under
+    SMALL shingles skip the signature: the bits of so few are not near enough to normal.
+    """
+    side = lambda c: nodes.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized & ((F.least("n_a", "n_b") < SMALL) | (apart <= most_differing(similarity))))
+    near = materialize(near.select("a", "b", "n_a", "n_b"))
+    wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
+    sets = materialize(shingle_sets(df, rows, wanted, text=text, shingle=shingle))
+    full = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"set_{c}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    met = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("sum"))
+    return met.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -217,8 +244,8 @@ def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "te
     texts without words (null, empty) form one group.
     """
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle))
-    nodes = materialize(rows.groupBy("digest").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    found = connected_components(similar_links(nodes, similarity))
+    nodes = materialize(rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
+    found = connected_components(similar_links(df, rows, nodes, candidates(nodes), text=text, shingle=shingle, similarity=similarity))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
