@@ -42,3 +42,17 @@ def test_exact_threshold(spark):
     got = roots(spark, texts)
     assert linked == [k % 2 == 0 for k in range(60)]
     assert [got[2 * k] == got[2 * k + 1] for k in range(60)] == linked
+
+
+def test_block_edits(spark):
+    """Copies with a replaced tail, an appended or a prepended passage, down to 0.8, all meet."""
+    rng = np.random.default_rng(6)
+    texts, linked = [], []
+    for k in range(60):
+        base, more = words(rng, 400), words(rng, 200)
+        changed = (base[: 400 - 20 - k // 3] + more[: 20 + k // 3], base + more[: 60 + k // 2], more[: 60 + k // 2] + base)[k % 3]
+        texts += [base, changed]
+        linked.append(similarity(base, changed) >= 0.8)
+    got = roots(spark, texts)
+    assert sum(linked) >= 50
+    assert [got[2 * k] == got[2 * k + 1] for k in range(60)] == linked

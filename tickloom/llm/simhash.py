@@ -119,17 +119,18 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 
 # --- near duplicates by shingle similarity -------------------------------------------------
 #
-# For a similarity of 0.8 two sketches are needed. `sig` is a SimHash of SIG_BITS bits over
-# the set of word shingles; its Hamming distance estimates the similarity (standard error
-# about 0.02 at 1024 bits) and spares exact comparisons; the sets themselves decide. `keys` are the segments, KEY_BITS each, of a second SimHash over
-# the set of words, which an edit disturbs about `shingle` times less: its equal segments are
-# the chains of length one that start the candidate search.
+# Candidates come from a prefix filter: shingles have one global order, and of a set of n the
+# first n - ceil(similarity * n) + 1 are its `keys`. Two sets of at least that similarity share
+# a key whatever the order is; putting shingles that are frequent in a sample last keeps shared
+# passages and templates out of the keys. `sig` is a SimHash of SIG_BITS bits over the set; its
+# Hamming distance estimates the similarity (standard error about 0.02 at 1024 bits) and spares
+# exact comparisons. The sets themselves decide.
 
 SIG_BITS = 1024
-KEY_SEGMENTS = 40
 SMALL = 64
+#: Cells of the table of frequencies, and bytes of text (about) that it is counted on.
+CELLS, CELL_CHUNKS, SAMPLE_BYTES = 1 << 22, 64, 1 << 27
 _SIG_SALT = mix64(np.arange(1, SIG_BITS // 64 + 1, dtype=np.uint64))
-_KEY_SALT = mix64(np.arange(1001, KEY_SEGMENTS // 2 + 1001, dtype=np.uint64))
 SIG_WORDS = SIG_BITS // 64
 
 
@@ -142,11 +143,6 @@ def _wide(features: np.ndarray, salt: np.ndarray, at_once: int = 1 << 11) -> np.
     return np.packbits(counts * 2 > len(features)).view(np.uint64)
 
 
-def _lists(flat: np.ndarray, each: int) -> pa.Array:
-    values = pa.array(flat.astype(np.int32 if each == KEY_SEGMENTS else np.int64))
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, each, dtype=np.int32)), values)
-
-
 def _shingled(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the words and of the distinct shingles of each text; a text of fewer words is one shingle."""
     for lo, hi, data, offsets in slices(column):
@@ -158,22 +154,59 @@ def _shingled(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.n
             yield own, np.unique(grams[a : b - shingle + 1]) if b - a >= shingle else mix64(np.array([xxhash.xxh64_intdigest(own.tobytes())], np.uint64))
 
 
-def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def _cells(features: np.ndarray) -> np.ndarray:
+    return (features & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def frequencies(df: DataFrame, *, text: str = "text", shingle: int = 5) -> np.ndarray:
+    """How often the shingles of each cell occur in a sample of the texts, up to 255. It only orders shingles."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CELLS, np.uint8)
+        for batch in batches:
+            for _, features in _shingled(batch.column(0), shingle):
+                cells, times = np.unique(_cells(features), return_counts=True)
+                table[cells] = np.minimum(table[cells] + times, 255)
+        parts = table.reshape(CELL_CHUNKS, -1)
+        used = [k for k in range(CELL_CHUNKS) if parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["part", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS // CELL_CHUNKS, np.int64)
+        for batch in batches:
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
+
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    share = math.ceil(1024 * min(1.0, SAMPLE_BYTES / max(size, 1)))
+    sample = df.select(F.col(text).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1024)) < share)
+    out = np.zeros((CELL_CHUNKS, CELLS // CELL_CHUNKS), np.uint8)
+    for r in sample.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[r.part] = np.frombuffer(r.counts, np.uint8)
+    return out.reshape(-1)
+
+
+def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows' key columns with `digest` (of the word sequence), `n` (distinct shingles), `keys` and `sig`."""
+    shared = df.sparkSession.sparkContext.broadcast(frequencies(df, text=text, shingle=shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in batches:
-            digests, sizes, keys, sigs = [], [], [], []
+            digests, sizes, keys, sigs = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for own, features in _shingled(batch.column(2), shingle):
+                n = len(features)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(features))
+                sizes.append(n)
                 sigs.append(_wide(features, _SIG_SALT))
-                keys.append(_wide(np.unique(own), _KEY_SALT).view(np.int32) if len(own) else np.zeros(KEY_SEGMENTS, np.int32))
-            lists = [_lists(np.concatenate(x) if x else np.zeros(0), n) for x, n in ((keys, KEY_SEGMENTS), ([g.view(np.int64) for g in sigs], SIG_WORDS))]
+                keys.append(features[np.lexsort((features, often[_cells(features)]))[: n - math.ceil(similarity * n - 1e-9) + 1]])
+            ends = np.cumsum([0, *map(len, keys[1:])]).astype(np.int32), np.arange(0, len(sizes) * SIG_WORDS + 1, SIG_WORDS, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(x).view(np.int64))) for e, x in zip(ends, (keys, sigs))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "row", "digest", "n", "keys", "sig"])
 
     slim = df.select(F.col(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, row long, digest binary, n int, keys array<int>, sig array<long>")
+    return slim.mapInArrow(run, "doc_id long, row long, digest binary, n int, keys array<long>, sig array<long>")
 
 
 def shingle_sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, *, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -201,21 +234,17 @@ def most_differing(similarity: float, bits: int = SIG_BITS, errors: float = 6.0)
     return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of digests that share a segment, linear in the number of rows.
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, digest, n, lead) of the keys that several digests hold; lead is the smallest of them."""
+    bucket = Window.partitionBy("key")
+    held = nodes.select("digest", "n", F.explode("keys").alias("key"))
+    held = held.withColumn("lead", F.min("digest").over(bucket)).withColumn("last", F.max("digest").over(bucket))
+    return held.filter("lead <> last").select("key", "digest", "n", "lead")
 
-    In the bucket of a segment each row meets the first row, in an order drawn anew for each
-    segment, and its predecessor there. A bucket of three rows thus yields all its pairs; in
-    larger ones two rows meet in one of the other segments they share, or over a third one.
-    """
-    rows = nodes.select("digest", F.posexplode("keys").alias("segment", "value"))
-    bucket = Window.partitionBy("segment", "value")
-    drawn = bucket.orderBy(F.xxhash64("digest", "segment"), "digest")
-    met = rows.select(
-        "digest", F.array(F.first("digest").over(drawn), F.lag("digest").over(drawn)).alias("others")
-    )
-    met = met.select("digest", F.explode("others").alias("other")).filter("other <> digest")
-    return met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: each digest with the lead of each of its keys."""
+    return shared.filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
 
 
 def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -243,9 +272,10 @@ def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "te
     Word sequences that agree but for case and white space are one node before any search;
     texts without words (null, empty) form one group.
     """
-    rows = materialize(sketches(df, key=key, text=text, shingle=shingle))
+    rows = materialize(sketches(df, key=key, text=text, shingle=shingle, similarity=similarity))
     nodes = materialize(rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    found = connected_components(similar_links(df, rows, nodes, candidates(nodes), text=text, shingle=shingle, similarity=similarity))
+    shared = materialize(shared_keys(nodes))
+    found = connected_components(similar_links(df, rows, nodes, candidates(shared), text=text, shingle=shingle, similarity=similarity))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
