@@ -56,3 +56,19 @@ def test_block_edits(spark):
     got = roots(spark, texts)
     assert sum(linked) >= 50
     assert [got[2 * k] == got[2 * k + 1] for k in range(60)] == linked
+
+
+def test_pairs_behind_a_leader(spark):
+    """Two similar texts share keys only with many others below 0.8; they meet all the same."""
+    rng = np.random.default_rng(7)
+    texts, pairs = [], []
+    for _ in range(8):
+        shared = words(rng, 364)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [shared + words(rng, 40), shared + words(rng, 40)]
+        texts += [cut + words(rng, 20) for cut in [shared[:304], shared[60:]] * 8]
+        assert similarity(*texts[pairs[-1][0] : pairs[-1][1] + 1]) >= 0.8
+        assert max(similarity(texts[pairs[-1][0]], t) for t in texts[pairs[-1][1] + 1 :]) < 0.8
+    got = roots(spark, texts)
+    assert [got[x] == got[y] for x, y in pairs] == [True] * 8
+    assert all(got[x] != got[x + 2] for x, _ in pairs)

@@ -243,10 +243,26 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each digest with the lead of each of its keys."""
+    """(a, b), a < b: each digest with the lead of each of its keys, to join groups of copies before `remaining` meets the rest."""
     return shared.filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
 
 
+def remaining(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of one key that the components found so far keep apart, sizes permitting.
+
+    Pairs of one component need no comparison, so a group of copies costs nothing here; the
+    rest of a key's pairs are all met, however many texts hold the key.
+    """
+    bucket = Window.partitionBy("key")
+    at = shared.join(found, shared.digest == found.node, "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("group"))
+    at = at.withColumn("least", F.min("group").over(bucket)).withColumn("most", F.max("group").over(bucket)).filter("least <> most")
+    at = at.select("key", "digest", "n", "group")
+    a, b = at.alias("a"), at.alias("b")
+    sized = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.group") != F.col("b.group")) & sized)
+    return met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
+
+
 def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
 
@@ -275,7 +291,10 @@ def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "te
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle, similarity=similarity))
     nodes = materialize(rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     shared = materialize(shared_keys(nodes))
-    found = connected_components(similar_links(df, rows, nodes, candidates(shared), text=text, shingle=shingle, similarity=similarity))
+    similar = lambda pairs: materialize(similar_links(df, rows, nodes, pairs, text=text, shingle=shingle, similarity=similarity))
+    led = similar(candidates(shared))
+    rest = similar(remaining(shared, materialize(connected_components(led)), similarity))
+    found = connected_components(led.union(rest))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
