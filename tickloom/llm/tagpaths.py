@@ -3,8 +3,9 @@
 Every text node hangs at the end of a path of block elements. For each path of a page the
 text length and the punctuation are summed over its nodes; their ratios (per node of the
 path) are smoothed over the neighbouring nodes in page order, fused by their product, and paths
-whose fused ratio passes a threshold are content. Page furniture that markup names (menus,
-sidebars, forms, comments and so on) is no candidate. Headings and short blocks that stand in
+whose fused ratio passes a threshold are content. Elements that are furniture by their tag (nav,
+footer and so on) are no candidates; names that tell of furniture (classes like `comments`),
+forms, and places outside an article only weigh less. Headings and short blocks that stand in
 the same containers as content belong to it.
 """
 
@@ -37,20 +38,22 @@ CLOSES_P = frozenset(
 CLOSED_BY_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section main div td th nav aside form".split())
 #: Elements that are never main text, and words of a class, id or role that tell the same.
-FURNITURE = frozenset("nav footer aside form button select menu dialog svg object canvas head script style".split())
+FURNITURE = frozenset("nav footer aside button select menu dialog svg object canvas head script style".split())
 FURNITURE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|rail|widget\w*|footer\w*|header|masthead|topbar|toolbar|"
     r"notices?|cookie\w*|consent|gdpr|alert|popup|modal|overlay|disclaimer|comments?|commentlist|comment\w*|disqus\w*|replies|reply|respond|discussion|"
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|search\w*|pagination|pager|skip|copyright|legal|navigation|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Weight of a path for each element around it that a name calls furniture, and of one outside the article.
+LIGHT = 0.02
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？।-]")
 
 
-def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, str]]:
-    """(path, numbers of its elements, whether it is furniture, text) of each block with text, in page order."""
+def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, int, str]]:
+    """(path, numbers of its elements, whether it is furniture by tag, how many names call it furniture, text) of each block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number of the element, furniture, label
+    stack: list[tuple[str, int, bool, str, int]] = []  # tag, number of the element, furniture, label, furniture names
     held: list[str] = []
     number = 0
 
@@ -59,7 +62,7 @@ def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, str
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(x[3] for x in stack), tuple(x[1] for x in stack), bool(stack) and stack[-1][2], text))
+                out.append((tuple(x[3] for x in stack), tuple(x[1] for x in stack), bool(stack) and stack[-1][2], stack[-1][4] if stack else 0, text))
 
     at, end = 0, len(html)
     while at < end:
@@ -116,9 +119,8 @@ def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, str
         within = bool(stack) and stack[-1][2]
         inside = any(x[0] in ("article", "main") for x in stack)
         furniture = within or tag in FURNITURE or tag == "header" and not inside
-        if names and not furniture and tag not in ("html", "body", "main"):
-            furniture = bool(FURNITURE_WORDS.search(names))
-        stack.append((tag, number, furniture, f"{tag}.{'.'.join(names.lower().split())}" if names else tag))
+        named = (stack[-1][4] if stack else 0) + (tag == "form" or bool(names and tag not in ("html", "body", "main") and FURNITURE_WORDS.search(names)))
+        stack.append((tag, number, furniture, f"{tag}.{'.'.join(names.lower().split())}" if names else tag, named))
     flush()
     return out
 
@@ -136,7 +138,7 @@ def main_text(html: str, share: float = 0.1) -> str:
     if not nodes:
         return ""
     paths: dict[tuple[str, ...], list[int]] = {}
-    for i, (path, _, _, _) in enumerate(nodes):
+    for i, (path, *_) in enumerate(nodes):
         paths.setdefault(path, []).append(i)
     lengths = np.array([len(text) for *_, text in nodes], np.float64)
     marks = np.array([1.0 + len(PUNCTUATION.findall(text)) for *_, text in nodes])
@@ -146,19 +148,23 @@ def main_text(html: str, share: float = 0.1) -> str:
         mark_ratio[own] = marks[own].sum() / len(own)
     fused = _smoothed(length_ratio) * _smoothed(mark_ratio)
     score = {path: float(fused[own].mean()) * lengths[own].sum() ** 0.5 for path, own in paths.items()}
-    within = [any(x.partition(".")[0] in ("article", "main") for x in path) for path, *_ in nodes]
-    framed = any(within)
-    ranked = {path: s for path, s in score.items() if not framed or within[paths[path][0]]}
+    within = np.array([any(x.partition(".")[0] in ("article", "main") for x in path) for path, *_ in nodes])
+    named = np.array([n for *_, n, _ in nodes])
+    weight = LIGHT ** named.astype(np.float64)
+    # an article tells where the text is only if it holds most of what no name calls furniture
+    if (lengths * weight)[within].sum() * 2 >= (lengths * weight).sum():
+        weight[~within] *= LIGHT
+    ranked = {path: s * float(weight[paths[path]].max()) for path, s in score.items()}
     most = max(ranked.values())
     content = {path for path, s in ranked.items() if s >= share * most}
-    # the elements that hold content blocks directly, and articles and mains around them
-    holders, roots = set(), set()
-    for path, numbers, _, _ in nodes:
+    plain = min(named[own].min() for path, own in paths.items() if path in content)
+    # the elements that hold content blocks directly
+    holders = set()
+    for path, numbers, *_ in nodes:
         if path in content:
             holders.add(numbers[-2] if len(numbers) > 1 and path[-1].partition(".")[0] in BLOCK_LEAVES else numbers[-1] if numbers else 0)
-            roots.update(n for n, x in zip(numbers, path) if x.partition(".")[0] in ("article", "main"))
     out = []
-    for path, numbers, _, text in nodes:
+    for path, numbers, _, level, text in nodes:
         leaf = path[-1].partition(".")[0] if path else ""
         near, k = False, len(numbers) - 2
         while leaf in BLOCK_LEAVES and k >= 0 and not near:
@@ -166,7 +172,7 @@ def main_text(html: str, share: float = 0.1) -> str:
             if path[k].partition(".")[0] not in NESTED:
                 break
             k -= 1
-        if path in content or near or roots.intersection(numbers):
+        if path in content or near and level == plain:
             out.append(text)
     return "\n".join(out)
 
