@@ -10,14 +10,16 @@ multiplying its presence matrix with that.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import packed, quoted, schema_with, unpacked
 from tickloom.llm.textbytes import mix64
 
 ORDERS = (1, 2, 3, 4)
@@ -58,44 +60,71 @@ def presence_matrix(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], languages: list[str], *, landmarks: int = 256, ridge: float = 1e-2, buckets: int = BUCKETS, at_once: int = 128) -> LanguageModel:
-    """One-versus-rest kernel ridge regression in the span of the landmarks (the first of each language in turn)."""
+def presence_bits(text: str, buckets: int = BUCKETS) -> bytes:
+    """The text's presence vectors of all orders, a bit a bucket: the same few KB however long the text is."""
+    hit = np.zeros(len(ORDERS) * buckets, bool)
+    for k, hits in enumerate(presence(text, buckets)):
+        hit[k * buckets + hits] = True
+    return np.packbits(hit).tobytes()
+
+
+def _from_bits(bits: np.ndarray, buckets: int) -> np.ndarray:
+    """The rows of presence_matrix() for rows of presence_bits()."""
+    hit = np.unpackbits(bits, axis=1).reshape(len(bits), len(ORDERS), buckets).astype(np.float32)
+    number = hit.sum(axis=2, keepdims=True)
+    return (hit / np.sqrt(np.maximum(number, 1) * len(ORDERS))).reshape(len(bits), -1)
+
+
+def fit(bits: np.ndarray, languages: list[str], *, landmarks: int = 256, ridge: float = 1e-2, buckets: int = BUCKETS, at_once: int = 128) -> LanguageModel:
+    """One-versus-rest kernel ridge regression in the span of the landmarks (the first of each language in turn).
+
+    `bits` has the presence_bits() of a training text in each row.
+    """
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.zeros((len(ORDERS) * buckets, 0), np.float32), buckets)
-    turn: dict[str, int] = {}
-    order = sorted(range(len(texts)), key=lambda i: (turn.setdefault(languages[i], 0), turn.update({languages[i]: turn[languages[i]] + 1}), i)[0:1] + (i,))
-    chosen = order[:landmarks]
-    basis = presence_matrix([texts[i] for i in chosen], buckets)
+    seen: Counter[str] = Counter()
+    turns = []  # how many of the row's language come before it
+    for lang in languages:
+        turns.append(seen[lang])
+        seen[lang] += 1
+    chosen = np.argsort(turns, kind="stable")[:landmarks]
+    basis = _from_bits(bits[chosen], buckets)
     kernel = (basis @ basis.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     good = values > 1e-8 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])  # landmark kernel values -> Nystroem features
-    features = np.concatenate([(presence_matrix(texts[i : i + at_once], buckets) @ basis.T) @ whiten for i in range(0, len(texts), at_once)])
+    features = np.concatenate([(_from_bits(bits[i : i + at_once], buckets) @ basis.T) @ whiten for i in range(0, len(bits), at_once)])
     target = np.array([[lang == name for name in names] for lang in languages], np.float64)
     share = target.mean(axis=0)
     balance = (1 / (len(names) * share))[target.argmax(axis=1)][:, None]  # every language counts alike
-    gram = features.T @ (balance * features) + ridge * len(texts) * np.eye(features.shape[1]) / len(names)
+    gram = features.T @ (balance * features) + ridge * len(bits) * np.eye(features.shape[1]) / len(names)
     solved = np.linalg.solve(gram, features.T @ (balance * target))
     return LanguageModel(names, (basis.T @ (whiten @ solved)).astype(np.float32), buckets)
 
 
-def _hash_sample(df: DataFrame, key: str, salt: str, share: Column) -> Column:
-    """Whether the row is in a sample of that share, drawn by its key."""
-    return F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < share * float(1 << 30)
+def training_sample(df: DataFrame, *, key: str, text: str, lang: str, where: Column, per_language: int, most_rows: int, buckets: int) -> tuple[np.ndarray, list[str]]:
+    """(presence bits, languages) of about `per_language` rows of each language, drawn by a hash of the key.
+
+    Only rows that satisfy `where` are counted or drawn. With so many languages that this
+    would pass `most_rows`, each gives an equal part of `most_rows`, one row at least.
+    """
+    usable = df.select(quoted(key).alias("k"), quoted(text).cast("string").alias("t"), quoted(lang).cast("string").alias("l"))
+    usable = usable.filter(where & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    counts = usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_rows)
+    wanted = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(most_rows) / F.count("*").over(Window.partitionBy(F.lit(0))))))
+    shares = counts.select("l", (wanted / F.col("n")).alias("share"))  # a row a language, most_rows at most
+    drawn = usable.join(F.broadcast(shares), "l").filter(F.pmod(F.xxhash64(F.lit("langid"), "k"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [presence_bits(t.as_py(), buckets) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), *batch.columns[1:]], ["bits", "l", "h"])
 
-def training_sample(df: DataFrame, *, key: str, text: str, lang: str, where: Column, per_language: int, most_languages: int) -> list:
-    """(text, lang) of about `per_language` rows of each of the `most_languages` most frequent languages, drawn by a hash of the key; at most twice as many."""
-    usable = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(where & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = df.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
-    if not counts:
-        return []
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("l") == row["l"], min(1.0, 1.5 * per_language / row["count"])).otherwise(share)
-    drawn = usable.filter(_hash_sample(usable, "k", "langid", share))
-    return drawn.orderBy(F.xxhash64("k"), "k", "t").limit(2 * per_language * len(counts)).select("t", "l").collect()
+    rows = drawn.select("t", "l", F.xxhash64("k", "t").alias("h")).mapInArrow(run, "bits binary, l string, h long")
+    table = rows.orderBy("h", "l").limit(2 * most_rows).toArrow()
+    bits = np.array([np.frombuffer(b.as_buffer(), np.uint8) for b in table["bits"]], np.uint8).reshape(len(table), len(ORDERS) * buckets // 8)
+    return bits, table["l"].to_pylist()
 
 
 def train(
@@ -106,24 +135,29 @@ def train(
     lang: str = "lang",
     where: Column | None = None,
     per_language: int = 400,
-    most_languages: int = 100,
+    most_rows: int = 20_000,
     landmarks: int = 256,
     ridge: float = 1e-2,
+    buckets: int = BUCKETS,
 ) -> LanguageModel:
-    """Fit on a bounded sample of the labelled rows (about per_language rows of each language).
+    """Fit on a bounded sample of the labelled rows: about per_language rows of each language, about most_rows in all.
 
-    `where` may use the columns k (key), t (text) and l (language). Without labelled rows the
-    model knows no language and predicts none.
+    `where` may use the columns k (key), t (text) and l (language); rows that it refuses have
+    no influence, not even on how many rows are drawn. Every language with a usable row can be
+    drawn. Rows of 8 KB each reach the driver, at most twice `most_rows`. Nulls of text or
+    language, and texts without a letter, are not learned from; repeated rows are drawn
+    together. Without labelled rows the model knows no language and predicts none.
     """
-    rows = training_sample(df, key=key, text=text, lang=lang, where=F.lit(True) if where is None else where, per_language=per_language, most_languages=most_languages)
-    return fit([r["t"] for r in rows], [r["l"] for r in rows], landmarks=landmarks, ridge=ridge)
+    bits, languages = training_sample(df, key=key, text=text, lang=lang, where=F.lit(True) if where is None else where, per_language=per_language, most_rows=most_rows, buckets=buckets)
+    return fit(bits, languages, landmarks=landmarks, ridge=ridge, buckets=buckets)
 
 
 def predict(df: DataFrame, model: LanguageModel, *, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", at_once: int = 64) -> DataFrame:
     """df with the predicted language of the whole text and a score from 0 to 1.
 
     A null text, one without a letter, and any text under an empty model are `und` with score 0. Columns of those
-    names are replaced. Ties go to the language that sorts first.
+    names are replaced, all others kept whatever their names. Ties go to the language that sorts first; equal texts
+    are predicted equally; an empty table gives an empty one.
     """
     keep = [c for c in df.columns if c not in (lang_pred, score)]
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.buckets))
@@ -145,9 +179,9 @@ def predict(df: DataFrame, model: LanguageModel, *, text: str = "text", lang_pre
                     known = bool(t)
                     best.append(languages[k] if known else UNKNOWN)
                     sure.append(float(min(1.0, max(0.0, row[k]))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(sure, pa.float64())], ["row", lang_pred, score])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(sure, pa.float64())], ["row", "told", "sure"])
 
-    slim = df.select(F.struct(*[df[c] for c in keep]).alias("row"), F.col(text).cast("string").alias("t"))
+    slim = df.select(packed(keep).alias("row"), quoted(text).cast("string").alias("t"))
     slim = slim.withColumn("letters", F.coalesce(F.col("t").rlike(r"\p{L}"), F.lit(False)))
-    out = slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, {lang_pred} string, {score} double")
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], lang_pred, score)
+    out = slim.mapInArrow(run, schema_with(slim, "row", "told string, sure double"))
+    return out.select(*unpacked(keep), F.col("told").alias(lang_pred), F.col("sure").alias(score))

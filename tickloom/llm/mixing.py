@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, md5_words, word_count
+from tickloom.llm.common import materialize, md5_words, packed, quoted, repeated, unpacked, word_count
 
-#: Ranges of the exponential key per source: what one task sorts is a source's rows over this.
-RANGES = 1024
+#: Ranges of the exponential key in each doubling of it. The key is exponentially distributed
+#: whatever the weights are, so its logarithm is spread over several doublings and one range
+#: holds at most about a thousandth of a source.
+RANGES = 256
 
 
 def quality_weight(text: Column) -> Column:
@@ -52,12 +54,11 @@ def source_targets(sizes: DataFrame, *, weights: Sequence[float] = (3, 1, 2), sh
     return rows.select("source", "source_size", target.alias("target"))
 
 
-def _drawn(df: DataFrame, key: str, text: str, source: str, weight: Column | None, seed: int, ranges: int) -> DataFrame:
-    """(doc_id, size, source, e, part): each row's exponential key and the range it falls in."""
-    w = (quality_weight(F.col(text)) if weight is None else weight).cast("double")
-    e = exponential_key(F.col(key), F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.001)), seed)
-    slim = df.select(F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), e.alias("e"))
-    return slim.withColumn("part", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("e"))) * ranges)).cast("int"))
+def _place(df: DataFrame, key: str, text: str, weight: Column | None, seed: int) -> Column:
+    """struct(e, doc_id, size) of a row: rows of a source stand in this order."""
+    w = (quality_weight(quoted(text)) if weight is None else weight).cast("double")
+    e = exponential_key(quoted(key), F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.001)), seed)
+    return F.struct(e.alias("e"), quoted(key).alias("doc_id"), word_count(quoted(text)).alias("size"))
 
 
 def mix(
@@ -82,25 +83,34 @@ def mix(
     source is a source; null or equal keys draw equal numbers, ties go by size; weights that
     are null or not above 0 count as 0.001. No rows in, no rows out.
 
-    A source may hold any share of the rows: its key is cut into `ranges` ranges, the sums of
-    the ranges are prefix-summed (at most `ranges` rows per source), and only inside a range
-    are rows sorted.
+    A source may hold any share of the rows: its rows are cut into ranges of the exponential
+    key, the sums of the ranges are prefix-summed (some thousand rows per source), and only
+    inside a range are rows sorted. Rows that agree in all that counts (repeated rows, or null
+    keys with texts of one size and weight) are counted before they are shuffled and are one
+    row until the end, so a key may hold any share of the rows too.
     """
-    slim = _drawn(df, key, text, source, weight, seed, ranges)
-    parts = slim.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    drawn = df.select(_place(df, key, text, weight, seed).alias("p"), quoted(source).alias("source"))
+    drawn = drawn.select("source", "p.*", F.floor(F.log2("p.e") * F.lit(ranges)).cast("int").alias("part"))
+    slim = materialize(drawn.groupBy("source", "part", "e", "doc_id", "size").agg(F.count("*").alias("n")))
+    parts = slim.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("n")).alias("part_size"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("part_start", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights=weights, share=share, most=most)
     parts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.source", "part", "part_start", "source_size", "target")
     inside = Window.partitionBy("source", "part").orderBy("e", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = slim.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = slim.withColumn("start", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
     rows = rows.alias("r").join(parts.alias("p"), F.expr("r.source <=> p.source AND r.part = p.part")).select(
-        "doc_id", "size", "r.source", "source_size", "target", "e", (F.col("part_start") + F.col("start")).alias("start")
+        "doc_id", "size", "r.source", "source_size", "target", "e", "n", (F.col("part_start") + F.col("start")).alias("start")
     )
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("whole", whole)
+    # of n equal rows the i-th (from 0) is taken once more if start + i * size + size / 2 is inside the rest
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    rows = rows.withColumn("epochs", F.col("whole") + ((F.col("start") + F.col("size") / 2) <= rest).cast("long"))
+    room = rest - F.col("start") - F.col("size") / 2
+    more = F.when(room < 0, 0).when(F.col("size") > 0, F.least(F.col("n"), F.floor(room / F.greatest(F.col("size"), F.lit(1))) + 1)).otherwise(F.col("n")).cast("long")
+    rows = rows.withColumn("more", more)
+    runs = F.array(F.struct((F.col("whole") + 1).alias("epochs"), F.col("more").alias("times")), F.struct(F.col("whole").alias("epochs"), (F.col("n") - F.col("more")).alias("times")))
+    rows = repeated(rows.select("*", F.explode(runs).alias("run")), F.col("run.times")).withColumn("epochs", F.col("run.epochs"))
     return rows.select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), "e", "whole")
 
 
@@ -125,17 +135,16 @@ def mixed_rows(
 
     In the order of the exponential key, what a source gives besides whole epochs is a prefix,
     so one cut per source tells it: the texts meet a table of sources and are not shuffled
-    unless there are more than MOST_SOURCES of these. Rows that repeat the one on the edge are taken with it.
+    unless there are more than MOST_SOURCES of these. Rows that repeat the one on the edge are
+    taken with it. The columns are df's own, whatever their names; nulls, ties and empty
+    tables are as mix() has them.
     """
     placed = mix(df, key=key, text=text, source=source, weight=weight, weights=weights, share=share, most=most, seed=seed, ranges=ranges)
     place = F.struct(F.col("e"), F.col("doc_id"), F.col("size"))
-    cuts = placed.groupBy(F.col("source").alias("_source")).agg(F.max("whole").alias("_whole"), F.max(F.when(F.col("epochs") > F.col("whole"), place)).alias("_cut"))
+    cuts = placed.groupBy(F.col("source").alias("of")).agg(F.max("whole").alias("whole"), F.max(F.when(F.col("epochs") > F.col("whole"), place)).alias("cut"))
     cuts = materialize(cuts)
     few = cuts.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
-    w = (quality_weight(F.col(text)) if weight is None else weight).cast("double")
-    own = F.struct(
-        exponential_key(F.col(key), F.greatest(F.coalesce(w, F.lit(0.0)), F.lit(0.001)), seed).alias("e"), F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size")
-    )
-    met = df.withColumn("_place", own).join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + F.coalesce((F.col("_place") <= F.col("_cut")).cast("long"), F.lit(0))
-    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[df[c] for c in df.columns])
+    rows = df.select(packed(df.columns).alias("row"), quoted(source).alias("source"), _place(df, key, text, weight, seed).alias("place"))
+    met = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("of")))
+    copies = F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("long"), F.lit(0))
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*unpacked(df.columns))

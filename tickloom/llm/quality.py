@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import packed, quoted, schema_with, unpacked
 from tickloom.llm.textbytes import SPACED, Words, byte_table, slices
 
 BUCKETS = 1 << 14
@@ -87,8 +88,8 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndar
 
 
 def _rows(df: DataFrame, text: str, metadata: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    meta = F.array(*[F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in metadata]).cast("array<double>")
-    return df.select(F.col(text).cast("string").alias("t"), meta.alias("meta"), *extra)
+    meta = F.array(*[F.log1p(F.greatest(F.coalesce(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in metadata]).cast("array<double>")
+    return df.select(quoted(text).cast("string").alias("t"), meta.alias("meta"), *extra)
 
 
 class _Sparse:
@@ -169,32 +170,38 @@ def train(
     """Fit on at most `most_rows` labelled rows, drawn by a hash of the key; only their features reach the driver.
 
     `where` may use the column k (the key). Null labels and keys don't count; of several labels
-    of a key the mean counts. Without labelled rows every score is 0.5.
+    of a key the mean counts. If documents repeat a key, all of them are learned from as far as
+    `most_rows` goes, in the order of key and text. Without labelled rows every score is 0.5.
     """
-    marked = labels.select(F.col(key).alias("k"), F.col(label).cast("double").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
+    marked = labels.select(quoted(key).alias("k"), quoted(label).cast("double").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
     marked = marked.filter(F.lit(True) if where is None else where).groupBy("k").agg(F.avg("y").alias("y"))
     drawn = marked.orderBy(F.xxhash64(F.lit("quality"), "k"), "k").limit(most_rows)
-    slim = _rows(docs, text, metadata, [F.col(key).alias("own")])
-    rows = slim.join(F.broadcast(drawn), F.col("own") == F.col("k")).select("t", "meta", "k", "y")  # at most most_rows keys
+    slim = _rows(docs, text, metadata, [quoted(key).alias("own")])
+    rows = slim.join(F.broadcast(drawn), F.col("own") == F.col("k")).select("t", "meta", F.col("k").cast("string").alias("k"), "y", F.xxhash64("t").alias("h"))  # at most most_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = list(features(batch.column(0)))
             stats = [[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _, _ in told], pa.list_(pa.int32())), pa.array([v for _, v, _ in told], pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float64())), batch.column(2).cast(pa.string()), batch.column(3)],
-                ["ids", "vals", "stats", "k", "y"],
+                [pa.array([i for i, _, _ in told], pa.list_(pa.int32())), pa.array([v for _, v, _ in told], pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float64())), *batch.columns[2:]],
+                ["ids", "vals", "stats", "k", "y", "h"],
             )
 
-    table = rows.withColumn("k", F.col("k").cast("string")).mapInArrow(run, "ids array<int>, vals array<float>, stats array<double>, k string, y double").limit(most_rows).toArrow()
-    table = table.sort_by([("k", "ascending")])
+    told = rows.mapInArrow(run, "ids array<int>, vals array<float>, stats array<double>, k string, y double, h long")
+    table = told.orderBy("k", "h").limit(most_rows).toArrow()
     words = [(np.array(i.values, np.int32), np.array(v.values, np.float32)) for i, v in zip(table["ids"], table["vals"])]
     stats = np.array(table["stats"].to_pylist(), np.float64).reshape(-1, STATS + len(metadata))
     return fit(words, stats, np.array(table["y"].to_pylist(), np.float64), **options)
 
 
 def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", metadata: Sequence[str] = (), into: str = "score") -> DataFrame:
-    """df with the machine's score of the whole text, 0 to 1; a null text scores as an empty one. A column of that name is replaced."""
+    """df with the machine's score of the whole text, 0 to 1.
+
+    A null text scores as an empty one, a null or negative of the metadata as 0; equal rows
+    score equally. A column of the name `into` is replaced, all others are kept whatever their
+    names. No rows in, no rows out.
+    """
     keep = [c for c in df.columns if c != into]
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
 
@@ -205,8 +212,8 @@ def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", met
             if told:
                 stats = np.array([[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))])
                 z, _ = _margin(own, _assemble([(i, v) for i, v, _ in told], stats, own))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(_sigmoid(z).astype(np.float64))], ["row", into])
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(_sigmoid(z).astype(np.float64))], ["row", "told"])
 
-    slim = _rows(df, text, metadata, [F.struct(*[df[c] for c in keep]).alias("row")])
-    out = slim.mapInArrow(run, f"row {slim.schema['row'].dataType.simpleString()}, {into} double")
-    return out.select(*[F.col("row")[c].alias(c) for c in keep], into)
+    slim = _rows(df, text, metadata, [packed(keep).alias("row")])
+    out = slim.mapInArrow(run, schema_with(slim, "row", "told double"))
+    return out.select(*unpacked(keep), F.col("told").alias(into))

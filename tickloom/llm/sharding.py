@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import md5_words
+from tickloom.llm.common import md5_words, quoted, repeated
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -82,41 +82,43 @@ def assign_shards(df: DataFrame, *, key: str = "doc_id", text: str = "text", sha
     Repeated rows each get a slot of their own.
 
     Slots are gapless in each shard without sorting a shard in one task: rows are dealt to
-    `ranges` hash ranges per shard, the counts of the ranges are prefix-summed (at most
-    `ranges` rows per shard), and each range numbers its own rows.
+    `ranges` hash ranges per shard by key and text, the counts of the ranges are prefix-summed
+    (at most `ranges` rows per shard), and each range numbers its own rows. Repeated rows are
+    counted before they are shuffled, so one key, or one row, may hold any share of all rows.
     """
-    jumped = jump_shards(F.col(key), shards)
-    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(ranges)).cast("int")
-    body = F.coalesce(F.col(text), F.lit(""))
-    placed = df.select(
-        F.col(key).alias("doc_id"),
+    body = F.coalesce(quoted(text), F.lit(""))
+    told = df.select(
+        quoted(key).alias("doc_id"),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        jumped.alias("jumped"),
-        spread.alias("part"),
-    ).select("doc_id", "size", "text_crc32", F.col("jumped.shard").alias("shard"), F.col("jumped.grown").alias("grown_shard"), "part")
-    counts = df.select(jumped["shard"].alias("shard"), spread.alias("part")).groupBy("shard", "part").agg(F.count("*").alias("n"))
+    ).withColumns({"jumped": jump_shards(F.col("doc_id"), shards), "part": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(ranges)).cast("int")})
+    rows = told.groupBy("doc_id", "size", "text_crc32", F.col("jumped.shard").alias("shard"), F.col("jumped.grown").alias("grown_shard"), "part").agg(F.count("*").alias("n"))
+    counts = told.groupBy(F.col("jumped.shard").alias("shard"), "part").agg(F.count("*").alias("there"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = placed.withColumn("row", F.row_number().over(within))
-    return numbered.join(offsets, ["shard", "part"]).select(
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("there").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["shard", "part"])
+    return repeated(placed, F.col("n"), nth="nth").select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        (F.col("offset") + F.col("row") - 1).cast("long").alias("slot"),
+        (F.col("offset") + F.col("before") + F.col("nth")).cast("long").alias("slot"),
         "grown_shard",
     )
 
 
 def with_shards(df: DataFrame, *, key: str = "doc_id", shards: int = 24, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
-    """df with each row's shard, and its shard were there one more; nothing is shuffled. Columns of those names are replaced."""
-    jumped = jump_shards(F.col(key), shards)
+    """df with each row's shard, and its shard were there one more; nothing is shuffled.
+
+    A null key is a key of its own, rows that share a key share a shard; texts are not looked
+    at. Columns of those names are replaced, others kept. No rows in, no rows out.
+    """
+    jumped = jump_shards(quoted(key), shards)
     return df.withColumns({shard: jumped["shard"], grown: jumped["grown"]})
 
 
 def write_shards(df: DataFrame, path: str, *, key: str = "doc_id", shards: int = 24) -> None:
     """Write the rows themselves as Parquet, one folder `shard=i` per shard."""
-    df.withColumn("shard", jump_shards(F.col(key), shards)["shard"]).write.partitionBy("shard").mode("overwrite").parquet(path)
+    df.withColumn("shard", jump_shards(quoted(key), shards)["shard"]).write.partitionBy("shard").mode("overwrite").parquet(path)

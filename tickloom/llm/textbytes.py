@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = []
 
 
 def byte_table(breaks: bytes) -> np.ndarray:
@@ -40,15 +40,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0..n of the base and of its inverse, modulo 2^64. Those for a slice are kept, longer ones go with the call."""
+    if _powers and len(_powers[0]) > n:
+        return _powers
+    made = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, SLICE_BYTES) + 1, base, np.uint64)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= SLICE_BYTES:
+        _powers[:] = made
+    return made
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -90,6 +93,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
+    def spelled(self, at: int, n: int) -> bytes:
+        """The n lower-case words from word `at` on, with a space between them."""
+        return b" ".join(self.code[a:b].tobytes() for a, b in zip(self.begin[at : at + n], self.end[at : at + n]))
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the n words from each word on, as far as the slice goes (they may cross into the next text)."""
         count = max(0, len(self) - n + 1)

@@ -3,7 +3,7 @@
 Of every `window - k + 1` consecutive k-grams of words the smallest hash is a fingerprint, so
 any run of `window` words that a document shares with a benchmark item has a fingerprint that
 both sides keep. Fingerprints are looked up first; around each hit the windows that hold it
-are compared in full, which makes the result exact (on 64-bit hashes of words and windows).
+are compared word by word, which makes the result exact.
 """
 
 from __future__ import annotations
@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, packed, quoted, schema_with, unpacked
 from tickloom.llm.textbytes import ALNUM, Words, slices
 
 WINDOW, K = 10, 5
 
-#: Rows of the benchmark index that one pass over the documents takes (24 bytes each); a larger
+#: Rows and bytes of the benchmark index that one pass over the documents takes; a larger
 #: benchmark is gone through in so many passes as it takes.
-INDEX_ROWS = 1_000_000
+INDEX_ROWS, INDEX_BYTES = 1_000_000, 1 << 27
 
-INDEX_SCHEMA = "n int, window_hash long, print_hash long, item string"
+INDEX_SCHEMA = "n int, window_hash long, print_hash long, words binary, item string"
 
 
 def _usable(words: Words, n: int) -> np.ndarray:
@@ -54,15 +54,14 @@ def winnowed(grams: np.ndarray, span: int) -> np.ndarray:
     return _extreme(np.concatenate([pad, least, pad]), span, np.maximum) == grams
 
 
-def benchmark_index(items: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row for each window of each item: n (its words), its hash, the hash of a fingerprint in it, the item.
+def benchmark_index(items: DataFrame, *, item: str, text: str, window: int, k: int) -> DataFrame:
+    """(n, window_hash, print_hash, words, item): every window of every item, the fingerprint in it, and its words, spaced.
 
     An item with fewer words than a window, but not none, is one window. Null ids count as "".
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, hashes, prints, names = [], [], [], []
             for lo, hi, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets, ALNUM)
                 for r in range(hi - lo):
@@ -71,19 +70,12 @@ def benchmark_index(items: DataFrame, *, item: str = "item_id", text: str = "tex
                         continue
                     n = min(window, b - a)
                     own = words.grams(n)[a : b - n + 1]
-                    if n == window:
-                        least = _extreme(words.grams(k)[a : b - k + 1], window - k + 1, np.minimum)
-                    else:
-                        least = own
-                    ns.append(np.full(len(own), n, np.int32))
-                    hashes.append(own.view(np.int64))
-                    prints.append(least.view(np.int64))
-                    names += [batch.column(0)[lo + r].as_py()] * len(own)
-            if ns:
-                columns = [np.concatenate(ns), np.concatenate(hashes), np.concatenate(prints)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(names, pa.string())], ["n", "window_hash", "print_hash", "item"])
-
-    slim = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
+                    least = _extreme(words.grams(k)[a : b - k + 1], window - k + 1, np.minimum) if n == window else own
+                    told = [words.spelled(x, n) for x in range(a, b - n + 1)]
+                    columns = [pa.array(np.full(len(own), n, np.int32)), pa.array(own.view(np.int64)), pa.array(least.view(np.int64)), pa.array(told, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.repeat(batch.column(0)[lo + r], len(own))], ["n", "window_hash", "print_hash", "words", "item"])
+
+    slim = items.select(F.coalesce(quoted(item).cast("string"), F.lit("")).alias("item"), quoted(text).cast("string").alias("text"))
     return slim.mapInArrow(run, INDEX_SCHEMA).distinct()
 
 
@@ -93,14 +85,19 @@ def _sieve(values: np.ndarray) -> np.ndarray:
     return table
 
 
-def _tables(rows: list) -> dict[int, tuple]:
-    """Lookup tables of one block of the index, by the number of words of a window."""
+def _tables(rows: pa.Table) -> dict[int, tuple]:
+    """By the number of words of a window: its hashes, for each of them {words: items}, the fingerprints, and sieves of both."""
+    found: dict[int, dict[int, dict[bytes, list[str]]]] = {}
+    names: dict[str, str] = {}  # a name is held once, however many windows it has
+    prints: dict[int, set[int]] = {}
+    for n, h, p, words, item in zip(*(rows[c].to_pylist() for c in ("n", "window_hash", "print_hash", "words", "item"))):
+        found.setdefault(n, {}).setdefault(h & (2**64 - 1), {}).setdefault(words, []).append(names.setdefault(item, item))
+        prints.setdefault(n, set()).add(p & (2**64 - 1))
     by_n = {}
-    for n in sorted({r["n"] for r in rows}):
-        own = sorted((r["window_hash"] & (2**64 - 1), r["item"]) for r in rows if r["n"] == n)
-        hashes, starts = np.unique(np.array([h for h, _ in own], np.uint64), return_index=True)
-        prints = np.unique(np.array([r["print_hash"] for r in rows if r["n"] == n], np.int64).view(np.uint64))
-        by_n[n] = (hashes, np.append(starts, len(own)), [i for _, i in own], prints, _sieve(prints), _sieve(hashes))
+    for n, own in sorted(found.items()):
+        hashes = np.array(sorted(own), np.uint64)
+        kept = np.array(sorted(prints[n]), np.uint64)
+        by_n[n] = (hashes, [own[int(h)] for h in hashes], kept, _sieve(kept), _sieve(hashes))
     return by_n
 
 
@@ -114,9 +111,9 @@ def _among(values: np.ndarray, positions: np.ndarray, table: np.ndarray, sieve:
 
 
 def _occurrences(words: Words, index: dict[int, tuple], window: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple]]:
-    """(n, starts of occurring windows, their places in the table, the table)."""
+    """(n, starts of windows whose hash is in the table, their places there, the table)."""
     for n, table in index.items():
-        hashes, _, _, prints, print_sieve, hash_sieve = table
+        hashes, _, prints, print_sieve, hash_sieve = table
         if len(words) < n:
             continue
         usable = _usable(words, n)
@@ -135,7 +132,8 @@ def _occurrences(words: Words, index: dict[int, tuple], window: int, k: int) ->
                 yield n, starts, places, table
 
 
-HIT_COLUMNS = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+SPANS_TYPE = "array<struct<start:int,stop:int>>"
+HIT_COLUMNS = f"spans {SPANS_TYPE}, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -160,27 +158,31 @@ def contamination(
     window: int = WINDOW,
     k: int = K,
     index_rows: int = INDEX_ROWS,
+    index_bytes: int = INDEX_BYTES,
     keep_row: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, spans (of hit words, from 0, stop exclusive), items (ids with a window in the text).
 
     Words are runs of ASCII letters, digits and other than ASCII, in lower case; a null text
-    has none. An empty benchmark hits nothing. With keep_row the input's columns come first,
-    in a struct `row`.
+    has none. An empty benchmark hits nothing; repeated documents and items do no harm. With
+    keep_row the input's columns come first, packed into a struct `row`, else the key as doc_id.
 
-    The index of the benchmark is counted; so many rows as `index_rows` are broadcast at once,
-    and each further part is a further pass over the documents, which carry their hits along.
+    The rows and bytes of the benchmark's index are counted; a part of about `index_rows` rows
+    and `index_bytes` is broadcast at once, and each further part is a further pass over the
+    documents, which carry their hits along. A window that many items share is spread over the
+    parts like any other, as parts are told by window and item.
     """
     if not k <= window:
         raise ValueError("k must not be above window")
     spark = docs.sparkSession
     index = materialize(benchmark_index(benchmark, item=item, text=item_text, window=window, k=k))
-    passes = max(1, -(-index.count() // index_rows))
-    given = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep_row else [F.col(key).alias("doc_id")]
-    rows = docs.select(*given, F.col(text).cast("string").alias("text"), F.lit(None).cast(HIT_COLUMNS.split("spans ")[1].split(", items")[0]).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    rows_there, bytes_there = index.agg(F.count("*"), F.coalesce(F.sum(64 + F.octet_length("words") + F.octet_length("item")), F.lit(0))).first()
+    passes = max(1, -(-rows_there // index_rows), -(-bytes_there // index_bytes))
+    given, first = (packed(docs.columns), "row") if keep_row else (quoted(key), "doc_id")
+    rows = docs.select(given.alias(first), quoted(text).cast("string").alias("text"), F.lit(None).cast(SPANS_TYPE).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     for p in range(passes):
-        block = index if passes == 1 else index.filter(F.pmod(F.xxhash64("window_hash"), F.lit(passes)) == p)
-        shared = spark.sparkContext.broadcast(_tables(block.collect()))
+        block = index if passes == 1 else index.filter(F.pmod(F.xxhash64("window_hash", "words", "item"), F.lit(passes)) == p)
+        shared = spark.sparkContext.broadcast(_tables(block.toArrow()))
         last = p == passes - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
@@ -189,12 +191,14 @@ def contamination(
                 for lo, hi, data, offsets in slices(batch.column(1)):
                     words = Words(data, offsets, ALNUM)
                     found: dict[int, tuple[list, set]] = {}
-                    for n, starts, places, (_, begins, names, *_) in _occurrences(words, shared.value, window, k):
+                    for n, starts, places, (_, told, *_) in _occurrences(words, shared.value, window, k):
                         owner = np.searchsorted(words.first, starts, "right") - 1
                         for s, place, r in zip(starts.tolist(), places.tolist(), owner.tolist()):
-                            own, which = found.setdefault(r, ([], set()))
-                            own.append((s - int(words.first[r]), s - int(words.first[r]) + n))
-                            which.update(names[begins[place] : begins[place + 1]])
+                            names = told[place].get(words.spelled(s, n))
+                            if names is not None:
+                                own, which = found.setdefault(r, ([], set()))
+                                own.append((s - int(words.first[r]), s - int(words.first[r]) + n))
+                                which.update(names)
                     counts += np.diff(words.first).tolist()
                     for r in range(hi - lo):
                         own, which = found.get(r, ((), ()))
@@ -203,12 +207,11 @@ def contamination(
                         items.append(sorted({*which, *named}))
                 told = [pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
                 if last:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *told], [batch.schema.names[0], "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *told], [first, "n_words", "spans", "items"])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], batch.schema.names)
 
-        first = f"{rows.columns[0]} {rows.schema[0].dataType.simpleString()}"
-        rows = rows.mapInArrow(run, f"{first}, {HIT_COLUMNS}" if last else f"{first}, text string, {HIT_COLUMNS.removeprefix('n_words long, ')}")
+        rows = rows.mapInArrow(run, schema_with(rows, first, f"n_words long, {HIT_COLUMNS}" if last else f"text string, {HIT_COLUMNS}"))
         if not last:
             rows = materialize(rows)
     return rows
@@ -231,6 +234,10 @@ def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark."""
+    """docs without the rows that hold a window of the benchmark.
+
+    Null and empty texts hold none and stay, repeated rows stay or go together, a text of any
+    length is searched whole. The columns are docs' own, whatever their names.
+    """
     found = contamination(docs, benchmark, keep_row=True, **options)
-    return found.filter(F.size("spans") == 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return found.filter(F.size("spans") == 0).select(*unpacked(docs.columns))
