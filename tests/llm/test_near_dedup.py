@@ -18,9 +18,9 @@ def similarity(x, y):
     return both / (len(shingles(x)) + len(shingles(y)) - both)
 
 
-def roots(spark, texts):
+def roots(spark, texts, **options):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    return {r.doc_id: bytes(r.root) for r in simhash.near_duplicate_groups(df).collect()}
+    return {r.doc_id: bytes(r.root) for r in simhash.near_duplicate_groups(df, **options).collect()}
 
 
 def scattered(rng, w, edits):
@@ -72,3 +72,49 @@ def test_pairs_behind_a_leader(spark):
     got = roots(spark, texts)
     assert [got[x] == got[y] for x, y in pairs] == [True] * 8
     assert all(got[x] != got[x + 2] for x, _ in pairs)
+
+
+def groups(root):
+    out = {}
+    for d, r in root.items():
+        out.setdefault(r, set()).add(d)
+    return sorted(map(sorted, out.values()))
+
+
+def test_blocks_find_what_joins_find(spark):
+    """A crowd of copies near the threshold, compared pair by pair, in blocks, and by brute force."""
+    rng = np.random.default_rng(8)
+    base = words(rng, 120)
+    texts = [scattered(rng, base, int(k)) for k in rng.integers(1, 5, 60)] + [words(rng, 90) + base for _ in range(5)]
+    texts += [base * 12, [*base * 12, *words(rng, 3)], [*words(rng, 1100)], []]
+    texts += [[*texts[-2], "end"], [*texts[-2], "other", "end"]]
+    link = [[j for j in range(len(texts)) if shingles(texts[i]) and shingles(texts[j]) and similarity(texts[i], texts[j]) >= 0.8] for i in range(len(texts))]
+    want, left = [], set(range(len(texts)))
+    while left:
+        seen, new = set(), {min(left)}
+        while new:
+            seen |= new
+            new = {j for i in new for j in link[i]} - seen
+        want.append(sorted(seen))
+        left -= seen
+    for options in ({}, dict(many=1, block_rows=7), dict(many=4, block_rows=1000)):
+        assert groups(roots(spark, texts, **options)) == sorted(want)
+
+
+def test_crowded_fingerprints(spark):
+    """Fingerprints that share a segment are all linked, whether their key is split or not."""
+    rng = np.random.default_rng(9)
+    fps = {int(x) for x in rng.integers(-(1 << 62), 1 << 62, 50)}
+    for x in list(fps):
+        for _ in range(20):
+            bits = rng.choice(64, int(rng.integers(1, 5)), replace=False)
+            y = (x & (2**64 - 1)) ^ sum(1 << int(b) for b in bits)
+            fps.add(y - (1 << 64) if y >> 63 else y)
+    fps |= {0x7777000000000000 | int(x) << 20 for x in rng.integers(0, 1 << 28, 400)}
+    a = np.array(sorted(fps), np.int64)
+    u = a.view(np.uint64)
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 3
+    want = {(int(a[i]), int(a[j])) for i, j in zip(*np.nonzero(near)) if i < j}
+    df = spark.createDataFrame([(int(x),) for x in a], "fp long")
+    for crowd in (1, 10, 1000):
+        assert {tuple(r) for r in simhash.links(df, crowd=crowd).collect()} == want

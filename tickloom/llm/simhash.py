@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, packed, quoted, unpacked
 from tickloom.llm.components import connected_components
 from tickloom.llm.textbytes import SPACED, Words, mix64, slices
 
@@ -60,7 +61,7 @@ def fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shin
             values = [fingerprint_of(t.as_py() or b"", shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
 
-    slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = df.select(quoted(key).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -68,13 +69,40 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
 
 
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+#: Fingerprints that share a chain start and are still joined on it alone.
+CROWD = 256
+REST_BITS = BITS - SEGMENT_BITS - SEGMENT_BITS // 2
+PIECE_BITS = REST_BITS // SEGMENTS
+
+
+def _turned(x: Column, start: Column) -> Column:
+    """x turned so that segment `start` of the ring is the lowest."""
+    out = F.when(start == 0, x)
+    for i in range(1, SEGMENTS):
+        s = SEGMENT_BITS * i
+        out = out.when(start == i, F.shiftrightunsigned(x, s).bitwiseOR(F.shiftleft(x, BITS - s)))
+    return out
+
+
+def _within(differing: Column, start: Column, max_bits: int) -> Column:
+    """Whether the chains of 2 and 3 segments from `start` keep to their share of the bits, and then all segments do."""
+    turned = _turned(differing, start)
+    ok = F.bit_count(turned.bitwiseAND(F.lit((1 << (SEGMENT_BITS * 2)) - 1))) <= 2 * max_bits // SEGMENTS
+    ok = ok & (F.bit_count(turned.bitwiseAND(F.lit((1 << (SEGMENT_BITS * 3)) - 1))) <= 3 * max_bits // SEGMENTS)
+    return ok & (F.bit_count(differing) <= max_bits)
+
+
+def links(fps: DataFrame, max_bits: int = 3, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints at most `max_bits` (up to 3) apart, possibly repeated.
 
     With 3 bits on 4 segments some segment is equal and its successor differs in at most one
     bit, so one half of the successor is equal too: the join key is a segment and a half of
-    the next, 24 bits, eight rows a fingerprint. The chains of three and four segments (at
-    most 2 and 3 bits) are checked inside the join, so it returns links only.
+    the next, 24 bits, eight rows a fingerprint. The longer chains are checked first, inside
+    the join, then the full distance, so it returns links only.
+
+    A key that more than `crowd` fingerprints share is split, not cut: of the 40 bits outside
+    the key at most 3 differ, so of four pieces of 10 bits one is equal, and the key with a
+    piece is the new key, four rows for one.
     """
     if not 0 <= max_bits < SEGMENTS:
         raise ValueError("max_bits must be below the number of segments")
@@ -84,19 +112,19 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         for half, part in enumerate((nxt.bitwiseAND(F.lit(0xFF)), F.shiftright(nxt, 8))):
             keys.append(F.lit((2 * i + half) << 24) + _segment(F.col("fp"), i) * F.lit(256) + part)
     rows = fps.select("fp").distinct().select("fp", F.explode(F.array(*keys)).alias("chain"))
+    crowded = rows.groupBy("chain").agg(F.count("*").alias("there")).filter(F.col("there") > crowd).select("chain", F.lit(True).alias("full"))
+    rows = rows.join(crowded, "chain", "left")
+    start, half = F.shiftright("chain", 25).cast("int"), F.shiftright("chain", 24).bitwiseAND(F.lit(1))
+    # the bits outside the key, lowest first: the other half of the next segment, then the two further ones
+    turned = _turned(F.col("fp"), start)
+    other = F.when(half == 0, F.shiftrightunsigned(turned, SEGMENT_BITS + 8)).otherwise(F.shiftrightunsigned(turned, SEGMENT_BITS)).bitwiseAND(F.lit(0xFF))
+    rest = other.bitwiseOR(F.shiftleft(F.shiftrightunsigned(turned, 2 * SEGMENT_BITS), 8))
+    pieces = [F.lit((k + 1) << PIECE_BITS) + F.shiftrightunsigned(rest, PIECE_BITS * k).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)) for k in range(SEGMENTS)]
+    rows = rows.select("fp", "chain", F.explode(F.when(F.col("full"), F.array(*pieces)).otherwise(F.array(F.lit(0).cast("long")))).alias("piece"))
     a, b = rows.alias("a"), rows.alias("b")
-    differing = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    start = F.shiftright(F.col("a.chain"), 25).cast("int") * SEGMENT_BITS
-    turned = F.expr("1L")  # the difference, turned so that the chain starts at bit 0
-    turned = F.when(start == 0, differing)
-    for i in range(1, SEGMENTS):
-        s = SEGMENT_BITS * i
-        turned = turned.when(start == s, F.shiftrightunsigned(differing, s).bitwiseOR(F.shiftleft(differing, BITS - s)))
-    chain = lambda n: F.bit_count(turned.bitwiseAND(F.lit((1 << (SEGMENT_BITS * n)) - 1)))
-    near = (F.bit_count(differing) <= max_bits) & (chain(2) <= 2 * max_bits // SEGMENTS) & (chain(3) <= 3 * max_bits // SEGMENTS)
-    return a.join(b, (F.col("a.chain") == F.col("b.chain")) & (F.col("a.fp") < F.col("b.fp")) & near).select(
-        F.col("a.fp").alias("a"), F.col("b.fp").alias("b")
-    )
+    near = _within(F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.shiftright(F.col("a.chain"), 25).cast("int"), max_bits)
+    met = a.join(b, (F.col("a.chain") == F.col("b.chain")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.fp") < F.col("b.fp")) & near)
+    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -124,7 +152,8 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 # a key whatever the order is; putting shingles that are frequent in a sample last keeps shared
 # passages and templates out of the keys. `sig` is a SimHash of SIG_BITS bits over the set; its
 # Hamming distance estimates the similarity (standard error about 0.02 at 1024 bits) and spares
-# exact comparisons. The sets themselves decide.
+# exact comparisons. The sets themselves decide. A key that few texts hold is joined; the texts
+# of a key that many hold are compared block by block inside tasks, and only links come out.
 
 SIG_BITS = 1024
 SMALL = 64
@@ -178,9 +207,9 @@ def frequencies(df: DataFrame, *, text: str = "text", shingle: int = 5) -> np.nd
                 total += np.frombuffer(counts.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
 
-    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    size = df.agg(F.sum(F.octet_length(quoted(text).cast("string")).cast("long"))).first()[0] or 0
     share = math.ceil(1024 * min(1.0, SAMPLE_BYTES / max(size, 1)))
-    sample = df.select(F.col(text).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1024)) < share)
+    sample = df.select(quoted(text).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1024)) < share)
     out = np.zeros((CELL_CHUNKS, CELLS // CELL_CHUNKS), np.uint8)
     for r in sample.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r.part] = np.frombuffer(r.counts, np.uint8)
@@ -205,8 +234,8 @@ def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
             lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(x).view(np.int64))) for e, x in zip(ends, (keys, sigs))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "row", "digest", "n", "keys", "sig"])
 
-    slim = df.select(F.col(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, row long, digest binary, n int, keys array<long>, sig array<long>")
+    slim = df.select(quoted(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), quoted(text).cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id long, {ROW}, digest binary, n int, keys array<long>, sig array<long>")
 
 
 def shingle_sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, *, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -220,12 +249,17 @@ def shingle_sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, *, text: str
                 yield pa.RecordBatch.from_arrays([digest, pa.ListArray.from_arrays(ends, pa.array(features.view(np.int64)))], ["digest", "shingles"])
 
     one = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
-    texts = df.select(row_hash(df).alias("row"), F.col(text).cast("string").alias("text")).join(one, "row", "left_semi")
+    texts = df.select(row_hash(df).alias("row"), quoted(text).cast("string").alias("text")).join(one, "row", "left_semi")
     return texts.dropDuplicates(["row"]).select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
+ROW = "row struct<x:long,y:long>"
+
+
 def row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[df[c].cast("string") if t == "string" else F.to_json(F.struct(df[c])) for c, t in df.dtypes])
+    """128 bits over all columns of a row."""
+    own = [quoted(c).cast("string") if t == "string" else F.to_json(F.struct(quoted(c).alias("c"))) for c, t in df.dtypes]
+    return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit("row"), *own).alias("y"))
 
 
 def most_differing(similarity: float, bits: int = SIG_BITS, errors: float = 6.0) -> int:
@@ -235,34 +269,120 @@ def most_differing(similarity: float, bits: int = SIG_BITS, errors: float = 6.0)
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """(key, digest, n, lead) of the keys that several digests hold; lead is the smallest of them."""
-    bucket = Window.partitionBy("key")
+    """(key, digest, n, there, lead) of the keys that several digests hold: how many do, and the smallest of them."""
     held = nodes.select("digest", "n", F.explode("keys").alias("key"))
-    held = held.withColumn("lead", F.min("digest").over(bucket)).withColumn("last", F.max("digest").over(bucket))
-    return held.filter("lead <> last").select("key", "digest", "n", "lead")
+    counted = held.groupBy("key").agg(F.count("*").alias("there")).filter("there > 1")
+    shared = materialize(held.join(counted, "key"))
+    return shared.join(shared.groupBy("key").agg(F.min("digest").alias("lead")), "key")
 
 
 def candidates(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each digest with the lead of each of its keys, to join groups of copies before `remaining` meets the rest."""
+    """(a, b), a < b: each digest with the lead of each of its keys, to join groups of copies before the rest is met."""
     return shared.filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
 
 
-def remaining(shared: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all pairs of one key that the components found so far keep apart, sizes permitting.
+def apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of shared keys whose digests the components found so far keep apart, each with its `group`.
 
-    Pairs of one component need no comparison, so a group of copies costs nothing here; the
-    rest of a key's pairs are all met, however many texts hold the key.
+    Pairs of one component need no comparison, so a group of copies costs nothing from here on.
     """
-    bucket = Window.partitionBy("key")
-    at = shared.join(found, shared.digest == found.node, "left").select("key", "digest", "n", F.coalesce("component", "digest").alias("group"))
-    at = at.withColumn("least", F.min("group").over(bucket)).withColumn("most", F.max("group").over(bucket)).filter("least <> most")
-    at = at.select("key", "digest", "n", "group")
-    a, b = at.alias("a"), at.alias("b")
-    sized = F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.group") != F.col("b.group")) & sized)
+    at = materialize(shared.join(found, shared.digest == found.node, "left").select("key", "digest", "n", "there", F.coalesce("component", "digest").alias("group")))
+    mixed = at.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).filter("least <> most").select("key")
+    return at.join(mixed, "key", "left_semi")
+
+
+def _sized(similarity: float, a: str, b: str) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+
+def few_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of one key and different groups, sizes permitting."""
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.digest") < F.col("b.digest")) & (F.col("a.group") != F.col("b.group")) & _sized(similarity, "a.n", "b.n"))
     return met.select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")).distinct()
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 8192) -> np.ndarray:
+    """How many elements each set of `left` has in common with each of `right`: products of membership matrices, so many elements at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    every = np.concatenate([*left, *right])
+    names, of, times = np.unique(every, return_inverse=True, return_counts=True)
+    kept = np.cumsum(times > 1) - 1  # elements of one set alone are in no overlap
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    row, column = row[times[of] > 1], kept[of[times[of] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, at_once):
+        a, b = np.searchsorted(column, [lo, lo + at_once])
+        table = np.zeros((len(left) + len(right), at_once), np.float32)
+        table[row[a:b], column[a:b] - lo] = 1
+        out += table[: len(left)] @ table[len(left) :].T
+    return out
+
+
+#: Digests of one key above which they are compared in blocks, and digests in a block, about.
+MANY, BLOCK_ROWS = 64, 1024
+#: Largest set, and most earlier keys, that a row carries into a block.
+CARRIED_SET, EARLIER = 1024, 64
+
+
+def crowded_links(crowded: DataFrame, df: DataFrame, nodes: DataFrame, rows: DataFrame, *, text: str, shingle: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, sure), a < b: links among the texts that hold one key of many, whatever their number.
+
+    The digests of a key are dealt to blocks by their hash and every two blocks meet in a task
+    of their own, so no task has a whole key and no pair leaves it unless it is a link. Pairs
+    that share one of their first EARLIER crowded keys below this one were met there. Sets of
+    up to CARRIED_SET shingles are in the block and decide (`sure`); of larger ones the
+    signatures are, and pairs that these allow are for similar_links() to decide.
+    """
+    first = crowded.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("key")), 1, EARLIER).alias("first"))
+    crowded = crowded.join(first, "digest").withColumn("earlier", F.filter("first", lambda k: k < F.col("key"))).drop("first")
+    small = crowded.filter(F.col("n") <= CARRIED_SET).select("digest").distinct()
+    sets = shingle_sets(df, rows, small, text=text, shingle=shingle)
+    large = nodes.filter(F.col("n") > CARRIED_SET).join(crowded.select("digest").distinct(), "digest", "left_semi").select("digest", "sig")
+    told = crowded.select("key", "digest", "n", "group", "there", "earlier").join(sets, "digest", "left").join(large, "digest", "left")
+    blocks = F.ceil(F.col("there") / block_rows).cast("int")
+    told = told.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("digest"), blocks).cast("int")})
+    told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    told = told.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    most = most_differing(similarity)
+
+    def compare(table: pa.Table) -> pa.Table:
+        lo = table["block"].to_numpy() == pc.min(table["block"]).as_py()
+        two = not lo.all()
+        sides = [np.flatnonzero(lo), np.flatnonzero(~lo) if two else np.flatnonzero(lo)]
+        n = table["n"].to_numpy()
+        group = np.array(table["group"].to_pylist(), object)
+        digest = np.array(table["digest"].to_pylist(), object)
+        lists = lambda c: [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in table[c]]
+        earlier, shingles, sigs = lists("earlier"), lists("shingles"), lists("sig")
+        pick = lambda x, side: [x[i] for i in side]
+        a, b = sides
+        na, nb = n[a][:, None], n[b][None, :]
+        open_ = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
+        open_ &= (group[a][:, None] != group[b][None, :]) & (_overlaps(pick(earlier, a), pick(earlier, b)) == 0)
+        if not two:
+            open_ &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+        held = np.array([len(x) > 0 for x in shingles])
+        rows_, columns_ = open_.any(axis=1), open_.any(axis=0)
+        sub = np.ix_(rows_, columns_)
+        both = np.zeros(open_.shape, np.float32)
+        both[sub] = _overlaps(pick(shingles, a[rows_]), pick(shingles, b[columns_]))
+        exact = held[a][:, None] & held[b][None, :]
+        found = [(i, j, True) for i, j in zip(*np.nonzero(open_ & exact & (both >= similarity * (na + nb - both) - 1e-6)))]
+        for i, j in zip(*np.nonzero(open_ & ~exact)):
+            x, y = sigs[a[i]], sigs[b[j]]
+            if not len(x) or not len(y) or int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= most:
+                found.append((i, j, False))
+        pairs = [(*sorted((digest[a[i]], digest[b[j]])), sure) for i, j, sure in found]
+        columns = list(zip(*pairs)) or [(), (), ()]
+        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary()), "sure": pa.array(columns[2], pa.bool_())})
+
+    return told.groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary, sure boolean").distinct()
+
+
 def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
 
@@ -282,36 +402,45 @@ def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataF
     return met.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
 
 
-def near_duplicate_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_groups(
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, many: int = MANY, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """(doc_id, row, root): rows of one root are near duplicates; `row` is a hash of the whole row.
 
+    `many` and `block_rows` tell how pairs are compared, not which.
+
     Word sequences that agree but for case and white space are one node before any search;
     texts without words (null, empty) form one group.
     """
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle, similarity=similarity))
     nodes = materialize(rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
     shared = materialize(shared_keys(nodes))
-    similar = lambda pairs: materialize(similar_links(df, rows, nodes, pairs, text=text, shingle=shingle, similarity=similarity))
+    how = dict(text=text, shingle=shingle, similarity=similarity)
+    similar = lambda pairs: materialize(similar_links(df, rows, nodes, pairs, **how))
     led = similar(candidates(shared))
-    rest = similar(remaining(shared, materialize(connected_components(led)), similarity))
-    found = connected_components(led.union(rest))
+    left = materialize(apart(shared, materialize(connected_components(led))))
+    few = similar(few_pairs(left.filter(F.col("there") <= many), similarity))
+    met = materialize(crowded_links(left.filter(F.col("there") > many), df, nodes, rows, block_rows=block_rows, **how))
+    blocks = met.filter("sure").select("a", "b").union(similar(met.filter(~F.col("sure")).select("a", "b")))
+    found = connected_components(led.union(few).union(blocks))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
 def drop_near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df without all but one row of each group: the row of the smallest key (null last), then of the smallest row hash.
 
-    Of repeated rows one stays.
+    Of repeated rows one stays; texts without words (null, empty) are a group like any other.
+    The columns are df's own, whatever their names. No rows in, no rows out.
     """
     groups = near_duplicate_groups(df, key=key, text=text, shingle=shingle, similarity=similarity)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = materialize(groups.groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias("_row")))
-    marked = df.withColumn("_row", row_hash(df))
-    alone = marked.join(kept, "_row", "left_semi")
+    kept = materialize(groups.groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias("id")))
+    marked = df.select(packed(df.columns).alias("row"), row_hash(df).alias("id"))
+    alone = marked.join(kept, "id", "left_semi")
     # repeated rows share a hash; only if there are any are they sought out
-    times = groups.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("_row"))
-    repeated = materialize(times.join(kept, "_row", "left_semi"))
-    if repeated.isEmpty():
-        return alone.drop("_row")
-    once = marked.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return alone.join(repeated, "_row", "left_anti").unionByName(once).drop("_row")
+    times = groups.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("id"))
+    again = materialize(times.join(kept, "id", "left_semi"))
+    if not again.isEmpty():
+        once = marked.join(again, "id", "left_semi").dropDuplicates(["id"])
+        alone = alone.join(again, "id", "left_anti").unionByName(once)
+    return alone.select(*unpacked(df.columns))
