@@ -2,6 +2,7 @@
 
 import pytest
 
+from tickloom.llm import tagpaths
 from tickloom.llm.tagpaths import main_text
 
 LINE = "The river had risen overnight, and the people of the town, who were used to it, moved their things upstairs; nobody complained."
@@ -23,3 +24,43 @@ SIDE = "<nav><ul><li>Home</li></ul></nav><div class='sidebar'><p>About me.</p></
 )
 def test_story_is_kept(body):
     assert [x for x in main_text(f"<html><body>{body}</body></html>").split("\n") if x != "Read more"] == [LINE] * 6
+
+
+def lines(body):
+    return main_text(f"<html><body>{body}</body></html>").split("\n")
+
+
+def test_ratios_decide_without_names():
+    """Paths of links and of short texts go, with no name or tag to tell them by."""
+    links = "<div><div>" + "".join(f"<a href='/{i}'>Read how town {i} met the river, again.</a>, " for i in range(9)) + "</div></div>"
+    short = "<div>" + "".join(f"<section>Item {i}</section>" for i in range(9)) + "</div>"
+    assert lines(f"{links}<div><h2>Flood</h2>{STORY}</div>{short}") == ["Flood", *[LINE] * 6]
+
+
+@pytest.mark.parametrize(
+    "body,more",
+    [
+        (f"<div id='side-story'>{STORY}</div>{SIDE}", []),
+        (f"<article>{STORY}<div class='box17'><p>Buy now</p></div></article>", []),
+        (f"<article>{STORY}<p class='alert'>{LINE}</p><p class='legal'>{LINE}</p></article>", [LINE, LINE]),
+        (f"<article>{STORY}<ul><li>One thing</li><li>Another</li></ul></article>", ["One thing", "Another"]),
+        (f"<article>{STORY}<ul><li><a href='/a'>More</a></li></ul></article>", []),
+        (f"<article><h1>Flood</h1>{STORY}</article><div><h2>Pick</h2><p>Cheap</p></div>", None),
+        (f"<article>{STORY}<section id='comments'><p>{LINE}</p></section></article>", []),
+    ],
+)
+def test_names_do_not_decide(body, more):
+    assert lines(body) == (["Flood", *[LINE] * 6] if more is None else [LINE] * 6 + more)
+
+
+def test_other_ratios_give_other_texts(monkeypatch):
+    """The text hangs on the ratios: turned upside down they keep what was dropped."""
+    page = f"<html><body><div>{STORY}</div><section><div>Short.</div></section></body></html>"
+    assert main_text(page).split("\n") == [LINE] * 6
+    monkeypatch.setattr(tagpaths, "_smoothed", lambda ratio, paths: 1 / (1 + ratio))
+    assert main_text(page) == "Short."
+
+
+def test_long_page():
+    page = f"<html><body><nav><a href='/'>Home</a></nav><div>{STORY * 3000}</div></body></html>"
+    assert main_text(page) == "\n".join([LINE] * 18_000)

@@ -1,18 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node hangs at the end of a path of block elements. For each path of a page the
-text length and the punctuation are summed over its nodes; their ratios (per node of the
-path) are smoothed over the neighbouring nodes in page order, fused by their product, and paths
-whose fused ratio passes a threshold are content. Elements that are furniture by their tag (nav,
-footer and so on) are no candidates; names that tell of furniture (classes like `comments`),
-forms, and places outside an article only weigh less. Headings and short blocks that stand in
-the same containers as content belong to it.
+text outside links and the punctuation are summed over its nodes; their ratios (per node of
+the path) are smoothed over the neighbouring nodes in page order, the more the fewer steps
+lie between two paths, and fused by their product. Paths whose fused ratio passes a threshold
+are content. A heading has the ratio of the block that it introduces.
+
+Tags without text of their own (scripts, forms' fields, nav, footer and the like) are no
+candidates. What else a page says about itself are weights on the ratios: names that tell of
+furniture and a place outside the article weigh the less the higher the page's best ratio
+is, that is the more the ratios can tell;
+names of reader comments always count, as comments have the ratios of an article.
+Short blocks in lists, tables and quotations that stand among content belong to it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -20,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import quoted, schema_with
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -37,32 +46,56 @@ CLOSES_P = frozenset(
 )
 CLOSED_BY_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table body html article section main div td th nav aside form".split())
-#: Elements that are never main text, and words of a class, id or role that tell the same.
+#: Elements that are never main text, and words of a class, id or role that tell of furniture or of readers' comments.
 FURNITURE = frozenset("nav footer aside button select menu dialog svg object canvas head script style".split())
 FURNITURE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|rail|widget\w*|footer\w*|header|masthead|topbar|toolbar|"
-    r"notices?|cookie\w*|consent|gdpr|alert|popup|modal|overlay|disclaimer|comments?|commentlist|comment\w*|disqus\w*|replies|reply|respond|discussion|"
+    r"notices?|cookie\w*|consent|gdpr|alert|popup|modal|overlay|disclaimer|"
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|search\w*|pagination|pager|skip|copyright|legal|navigation|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
-#: Weight of a path for each element around it that a name calls furniture, and of one outside the article.
+COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment\w*|disqus\w*|replies|reply|respond|discussion)(?:$|[\s_-])", re.I)
+#: Weight of a path for each element around it that a name calls furniture or comments, and of one outside the article.
 LIGHT = 0.02
+#: Fused ratio of the page's best path at which names of furniture have half of their say (as a power).
+EVIDENCE = 600.0
+#: What a step between two paths leaves of the smoothing between their nodes.
+STEP = 1 / 16
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？।-]")
 
 
-def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, int, str]]:
-    """(path, numbers of its elements, whether it is furniture by tag, how many names call it furniture, text) of each block with text, in page order."""
-    out: list = []
-    stack: list[tuple[str, int, bool, str, int]] = []  # tag, number of the element, furniture, label, furniture names
+@dataclass(frozen=True)
+class Block:
+    """A text node: the path of its elements and their numbers, the text, its characters inside links, and what is said of it."""
+
+    path: tuple[str, ...]
+    numbers: tuple[int, ...]
+    dropped: bool  # by a tag
+    furniture: int  # names that call it so
+    comment: int
+    text: str
+    linked: int
+
+
+def _blocks(html: str) -> list[Block]:
+    """Each block with text, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, int, str, bool, int, int]] = []  # tag, number of the element, label, dropped, furniture and comment names
     held: list[str] = []
-    number = 0
+    number = linked = 0
+    link_from: int | None = None  # how many pieces were held when a link began
 
     def flush() -> None:
+        nonlocal linked, link_from
         if held:
+            if link_from is not None:
+                linked += sum(map(len, held[link_from:]))
             text = " ".join(unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((tuple(x[3] for x in stack), tuple(x[1] for x in stack), bool(stack) and stack[-1][2], stack[-1][4] if stack else 0, text))
+                dropped, furniture, comment = stack[-1][3:] if stack else (False, 0, 0)
+                out.append(Block(tuple(x[2] for x in stack), tuple(x[1] for x in stack), dropped, furniture, comment, text, min(linked, len(text))))
+        linked, link_from = 0, None if link_from is None else 0
 
     at, end = 0, len(html)
     while at < end:
@@ -77,6 +110,11 @@ def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, int
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "a":
+            if link_from is not None:
+                linked += sum(map(len, held[link_from:]))
+            link_from = None if m[1] else len(held)
+            continue
         if m[1]:
             if tag in INLINE or tag in VOID:
                 continue
@@ -116,75 +154,112 @@ def _blocks(html: str) -> list[tuple[tuple[str, ...], tuple[int, ...], bool, int
             continue
         number += 1
         names = " ".join(filter(None, (g for x in _NAMES.findall(m[3]) for g in x))) if m[3] else ""
-        within = bool(stack) and stack[-1][2]
         inside = any(x[0] in ("article", "main") for x in stack)
-        furniture = within or tag in FURNITURE or tag == "header" and not inside
-        named = (stack[-1][4] if stack else 0) + (tag == "form" or bool(names and tag not in ("html", "body", "main") and FURNITURE_WORDS.search(names)))
-        stack.append((tag, number, furniture, f"{tag}.{'.'.join(names.lower().split())}" if names else tag, named))
+        dropped, furniture, comment = stack[-1][3:] if stack else (False, 0, 0)
+        if names and tag not in ("html", "body", "main"):
+            comment += bool(COMMENT_WORDS.search(names))
+            furniture += bool(FURNITURE_WORDS.search(names))
+        furniture += tag == "form"
+        dropped = dropped or tag in FURNITURE or tag == "header" and not inside
+        stack.append((tag, number, f"{tag}.{'.'.join(names.lower().split())}" if names else tag, dropped, furniture, comment))
     flush()
     return out
 
 
-def _smoothed(x: np.ndarray, radius: int = 1) -> np.ndarray:
-    """Gaussian smoothing over neighbouring nodes; the ends use what there is."""
-    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(radius, 1)) ** 2)
-    top = np.convolve(x, weights, "full")[radius : radius + len(x)]
-    return top / np.convolve(np.ones(len(x)), weights, "full")[radius : radius + len(x)]
+def _steps(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """Elements of both paths beyond where they part, pairs of elements counting once."""
+    shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return max(len(a), len(b)) - shared
+
 
+def _smoothed(ratio: np.ndarray, paths: list[tuple[str, ...]], radius: int = 1) -> np.ndarray:
+    """Gaussian smoothing over neighbouring nodes, each step between their paths leaving STEP of it; the ends use what there is."""
+    top, base = ratio.astype(np.float64), np.ones(len(ratio))
+    for d in range(1, radius + 1):
+        near = np.array([math.exp(-0.5 * (d / radius) ** 2) * STEP ** _steps(x, y) for x, y in zip(paths, paths[d:])])
+        top[d:] += near * ratio[:-d][: len(near)]
+        base[d:] += near
+        top[: len(near)] += near * ratio[d:]
+        base[: len(near)] += near
+    return top / base
 
-def main_text(html: str, share: float = 0.1) -> str:
+
+def main_text(html: str, share: float = 0.15) -> str:
     """The page's main text, a line per block; "" if it has none."""
-    nodes = [b for b in _blocks(html) if not b[2]]
+    nodes = [b for b in _blocks(html) if not b.dropped]
     if not nodes:
         return ""
+    tags = [[x.partition(".")[0] for x in b.path] for b in nodes]
+    # a heading goes by the next block that is none and stands in the same element
+    of = list(range(len(nodes)))
+    follows: dict[int, int] = {}
+    for i in range(len(nodes) - 1, -1, -1):
+        parent = nodes[i].numbers[-2] if len(nodes[i].numbers) > 1 else 0
+        if tags[i] and tags[i][-1] in HEADINGS:
+            of[i] = follows.get(parent, i)
+        else:
+            for number in nodes[i].numbers[:-1] or (0,):
+                follows[number] = i
     paths: dict[tuple[str, ...], list[int]] = {}
-    for i, (path, *_) in enumerate(nodes):
-        paths.setdefault(path, []).append(i)
-    lengths = np.array([len(text) for *_, text in nodes], np.float64)
-    marks = np.array([1.0 + len(PUNCTUATION.findall(text)) for *_, text in nodes])
+    for i, b in enumerate(nodes):
+        if of[i] == i:
+            paths.setdefault(b.path, []).append(i)
+    own = np.concatenate([np.array(x) for x in paths.values()])
+    own.sort()
+    lengths = np.array([len(b.text) - b.linked for b in nodes], np.float64)
+    marks = np.array([1 + len(PUNCTUATION.findall(b.text)) * (1 - b.linked / len(b.text)) for b in nodes])
     length_ratio, mark_ratio = np.zeros(len(nodes)), np.zeros(len(nodes))
-    for own in paths.values():
-        length_ratio[own] = lengths[own].sum() / len(own)
-        mark_ratio[own] = marks[own].sum() / len(own)
-    fused = _smoothed(length_ratio) * _smoothed(mark_ratio)
-    score = {path: float(fused[own].mean()) * lengths[own].sum() ** 0.5 for path, own in paths.items()}
-    within = np.array([any(x.partition(".")[0] in ("article", "main") for x in path) for path, *_ in nodes])
-    named = np.array([n for *_, n, _ in nodes])
-    weight = LIGHT ** named.astype(np.float64)
+    for at in paths.values():
+        length_ratio[at] = lengths[at].sum() / len(at)
+        mark_ratio[at] = marks[at].sum() / len(at)
+    in_order = [nodes[i].path for i in own]
+    fused = np.zeros(len(nodes))
+    fused[own] = _smoothed(length_ratio[own], in_order) * _smoothed(mark_ratio[own], in_order)
+    score = {path: float(fused[at].mean()) for path, at in paths.items()}
+    within = np.array([any(x in ("article", "main") for x in t) for t in tags])
+    named = np.array([b.furniture for b in nodes], np.float64)
+    voices = np.array([b.comment for b in nodes], np.float64)
     # an article tells where the text is only if it holds most of what no name calls furniture
-    if (lengths * weight)[within].sum() * 2 >= (lengths * weight).sum():
-        weight[~within] *= LIGHT
+    mine = lengths * LIGHT ** (named + voices)
+    if mine[within].sum() * 2 >= mine.sum():
+        named[~within] += 1
+    light = LIGHT ** (1 / (1 + (max(score.values()) / EVIDENCE) ** 2))
+    weight = light**named * LIGHT**voices
     ranked = {path: s * float(weight[paths[path]].max()) for path, s in score.items()}
     most = max(ranked.values())
     content = {path for path, s in ranked.items() if s >= share * most}
-    plain = min(named[own].min() for path, own in paths.items() if path in content)
+    plain = min(named[at].min() + voices[at].min() for path, at in paths.items() if path in content)
     # the elements that hold content blocks directly
     holders = set()
-    for path, numbers, *_ in nodes:
-        if path in content:
-            holders.add(numbers[-2] if len(numbers) > 1 and path[-1].partition(".")[0] in BLOCK_LEAVES else numbers[-1] if numbers else 0)
+    for b, t in zip(nodes, tags):
+        if b.path in content:
+            holders.add(b.numbers[-2] if len(b.numbers) > 1 and t[-1] in BLOCK_LEAVES else b.numbers[-1] if b.numbers else 0)
     out = []
-    for path, numbers, _, level, text in nodes:
-        leaf = path[-1].partition(".")[0] if path else ""
-        near, k = False, len(numbers) - 2
-        while leaf in BLOCK_LEAVES and k >= 0 and not near:
-            near = numbers[k] in holders
-            if path[k].partition(".")[0] not in NESTED:
+    for i, (b, t) in enumerate(zip(nodes, tags)):
+        near, k = False, len(b.numbers) - 2
+        # items of lists, tables and quotations that stand among content, if they are more than links
+        while t and t[-1] in BLOCK_LEAVES - HEADINGS and 2 * b.linked <= len(b.text) and k >= 0 and not near:
+            near = b.numbers[k] in holders
+            if t[k] not in NESTED:
                 break
             k -= 1
-        if path in content or near and level == plain:
-            out.append(text)
+        if nodes[of[i]].path in content or near and named[i] + voices[i] == plain:
+            out.append(b.text)
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", share: float = 0.1) -> DataFrame:
-    """One row per input row: page_id, url, text, n_chars. A null, empty or textless page gives ""."""
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", share: float = 0.15) -> DataFrame:
+    """One row per input row: page_id, url, text, n_chars.
+
+    A null, empty or textless page gives "". Repeated pages give equal rows, ties of ratios are
+    all content, pages of any length are read whole. The input's other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py() or "", share) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    slim = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    out = slim.mapInArrow(run, f"page_id {slim.schema['page_id'].dataType.simpleString()}, url string, text string")
+    slim = pages.select(quoted(key).alias("page_id"), quoted(url).cast("string").alias("url"), F.coalesce(quoted(html).cast("string"), F.lit("")).alias("html"))
+    out = slim.mapInArrow(run, schema_with(slim, "page_id", "url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
