@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import langid, quality, simhash, tokencount
+from tickloom.llm import annsearch, langid, quality, simhash, tokencount
 from tickloom.llm.common import crc32_mod
 from tickloom.llm.queries import QUERIES, VOCABULARY
 
@@ -220,6 +220,29 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * 5 * len(got)
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_neighbours_recall_over_blocks(spark, clustered):
+    """Many blocks, cells that are not all probed, and a third of all rows equal."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 24)) * (3 if clustered else 0)
+    x = (middles[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 24))).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got: dict = {}
+    for r in annsearch.nearest(df, queries=F.col("vec_id") % 50 == 0, sample=2000, depth=128, block_rows=500, block_queries=50).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    x = x.astype(np.float64)
+    hits = 0
+    for i in range(0, 6000, 50):
+        score = (x * x[i]).sum(axis=1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[i]))
+        want = [int(k) for k in np.lexsort((np.arange(6000), -score)) if k != i][:5]
+        mine = [got[i][k][0] for k in range(1, 6)]
+        hits += len(set(want) & set(mine))
+        if i % 3 == 0:
+            assert mine == want
+    assert hits >= 0.95 * 5 * 120
+
+
 def test_tokens(spark, sf_dir, docs):
     import tiktoken
 

@@ -162,8 +162,8 @@ def test_tokens(docs, none):
 
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0])]
+    rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (100, [1.0]), (8, [2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine"))
     out = annsearch.nearest(df, queries=F.col("vec_id") % 50 == 0, top=3).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 50), (0, 3, None), (50, 1, 0), (50, 2, 1), (50, 3, None)]
+    assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 50), (0, 3, None), (50, 1, 0), (50, 2, 1), (50, 3, None), (100, 1, 8)]
     assert annsearch.nearest(df.limit(0)).count() == 0

@@ -4,7 +4,11 @@ Vectors are scaled to length 1, so the inner product is the cosine. What a coars
 over is scaled to length 1 (its norm is kept) and cut into subspaces of two dimensions with 16
 codewords each, four bits. The loss weighs the part of the error that is parallel to the vector
 more than the rest, as that part changes the products of the queries that the vector answers.
-A search sums table entries over the codes of all rows, then scores the best of each batch
+
+Every row is encoded once and kept with its cell, that is its nearest centre. A query goes to
+the cells with the largest products; how many is measured on the sample, so that they hold its
+neighbours. Cells are dealt to blocks by a hash, a block and a part of its queries meet in a
+task: table entries are summed over the codes, and the best rows of the block are scored
 exactly on the original vectors.
 """
 
@@ -15,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, quoted, schema_with
 
 WORDS = 16
 SUB = 2
@@ -112,46 +117,55 @@ def valid_vector(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of that length as doubles, and which rows they are."""
-    lengths = np.diff(column.offsets.to_numpy())
-    rows = np.flatnonzero(lengths == dim)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    starts = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
-    return values[starts[rows][:, None] + np.arange(dim)], rows
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors, all of one length, as doubles."""
+    flat = pc.list_flatten(column).to_numpy().astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _packed_codes(rest: np.ndarray, unit: np.ndarray, book: Codebook) -> np.ndarray:
+    """Two codes of four bits to a byte."""
+    codes, _ = _encode(rest, unit, book.words, book.eta)
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, 0::2] * WORDS + codes[:, 1::2]
 
 
-def _best_of_batch(ids: list, x: np.ndarray, book: Codebook, queries: np.ndarray, query_ids: np.ndarray, top: int, depth: int, at_once: int = 64) -> Iterator[tuple[int, int | None, float]]:
-    """Of one batch, each query's `top` of the rows that the table scan ranks among the first `depth` distinct vectors."""
+def cells_needed(unit: np.ndarray, coarse: np.ndarray, *, top: int, recall: float, asked: int = 256) -> int:
+    """How many cells, best product first, hold that share of the `top` neighbours of the sample's vectors in the sample."""
+    some = unit[:asked]
+    product = some @ unit.T
+    product[np.arange(len(some)), np.arange(len(some))] = -np.inf
+    best = np.argsort(-product, axis=1)[:, : min(top, len(unit) - 1)]
+    place = np.argsort(np.argsort(-(some @ coarse.T), axis=1), axis=1)
+    needed = np.take_along_axis(place, _nearest(unit, coarse)[best], axis=1).ravel()
+    return int(np.quantile(needed, recall, method="higher")) + 1 if len(needed) else 1
+
+
+def _best_of_block(ids: list, x: np.ndarray, scale: np.ndarray, codes: np.ndarray, centre: np.ndarray, book: Codebook, queries: np.ndarray, query_ids: np.ndarray, top: int, depth: int, at_once: int = 64) -> Iterator[tuple[int, int | None, float]]:
+    """Of one block, each query's `top` of the rows that the table scan ranks among the first `depth` distinct vectors."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
     x, ids = x[order], [ids[i] for i in order]
     _, first, of = np.unique(x.view(np.dtype((np.void, x.strides[0]))).ravel(), return_index=True, return_inverse=True)
     by_vector = np.argsort(of, kind="stable")
     begins = np.searchsorted(of[by_vector], np.arange(len(first)))
     ends = np.append(begins[1:], len(of))
-    rows = x[first]
+    rows, scale, pairs = x[first], scale[order][first], codes[order][first]
     norms = np.linalg.norm(rows, axis=1)
-    unit = rows / norms[:, None]
-    cell, scale, rest = _residuals(unit, book.coarse)
-    codes, _ = _encode(rest, unit, book.words, book.eta)
-    m = codes.shape[1]
-    if m % 2:
-        codes = np.pad(codes, ((0, 0), (0, 1)))
-    pairs = codes[:, 0::2] * WORDS + codes[:, 1::2]  # two codes, one look-up
     q_norms = np.linalg.norm(queries, axis=1)
     for lo in range(0, len(queries), at_once):
         q = queries[lo : lo + at_once] / q_norms[lo : lo + at_once, None]
         table = np.einsum("qms,mws->qmw", _split(q), book.words)
-        if m % 2:
+        if table.shape[1] % 2:
             table = np.pad(table, ((0, 0), (0, 1), (0, 0)))
         double = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), -1, WORDS * WORDS).astype(np.float32)
         sums = np.zeros((len(q), len(rows)), np.float32)
         for j in range(pairs.shape[1]):
             sums += double[:, j, pairs[:, j]]
-        sums = (q @ book.coarse.T)[:, cell] + scale * sums
+        sums = (q @ centre)[:, None] + scale * sums
         for k in range(len(q)):
             chosen = np.arange(len(rows)) if len(rows) <= depth else np.argpartition(-sums[k], depth)[:depth]
-            score = (rows[chosen] * queries[lo + k]).sum(axis=1) / (norms[chosen] * q_norms[lo + k])  # row by row: equal vectors score equally in every batch
+            score = (rows[chosen] * queries[lo + k]).sum(axis=1) / (norms[chosen] * q_norms[lo + k])  # row by row: equal vectors score equally in every block
             own, found = int(query_ids[lo + k]), []
             level = np.sort(score)[-min(top + 1, len(score))]
             for c in np.flatnonzero(score >= level):
@@ -162,6 +176,61 @@ def _best_of_batch(ids: list, x: np.ndarray, book: Codebook, queries: np.ndarray
                 yield own, i, -s
 
 
+def _search(rows: DataFrame, dim: int, number: int, *, top: int, depth: int, sample: int, recall: float, block_rows: int, block_queries: int, seed: int) -> DataFrame:
+    """(query_id, vec_id, score) of the rows (id, v, asks), all of one length: the best of each block."""
+    spark = rows.sparkSession
+    drawn = _matrix(rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "v").limit(sample).select("v").toArrow()["v"])
+    centres = int(max(1, min(number**0.5 / 4, len(drawn) / 40)))
+    book = fit(drawn, centres=centres, seed=seed)
+    probes = cells_needed(drawn / np.linalg.norm(drawn, axis=1)[:, None], book.coarse, top=top, recall=recall)
+    shared = spark.sparkContext.broadcast(vars(book))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Codebook(**shared.value)
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if len(x):
+                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                cell, scale, rest = _residuals(unit, own.coarse)
+                codes = [c.tobytes() for c in _packed_codes(rest, unit, own)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(scale), pa.array(codes, pa.binary())], [*batch.schema.names, "cell", "scale", "codes"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Codebook(**shared.value)
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if len(x):
+                cells = np.argsort(-(x @ own.coarse.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    kept = materialize(rows.mapInArrow(encode, schema_with(rows, "id", "v array<double>, asks boolean, cell int, scale double, codes binary")))
+    asked = kept.filter(F.col("asks") & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
+    sent = asked.mapInArrow(probe, "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
+    sent = materialize(sent)
+    there, wanted = np.zeros(centres, np.int64), np.zeros(centres, np.int64)
+    for table, out in ((kept, there), (sent, wanted)):
+        for r in table.groupBy("cell").count().collect():  # a row a cell
+            out[r["cell"]] = r["count"]
+    parts = lambda n, size: F.array(*[F.lit(int(x)) for x in np.maximum(1, -(-n // size))])[F.col("cell")]
+    blocks, turns = parts(there, block_rows), parts(wanted, block_queries)
+    left = kept.withColumns({"block": F.pmod(F.xxhash64("id", "v"), blocks).cast("int"), "turn": F.explode(F.sequence(F.lit(0), turns - 1))})
+    right = sent.withColumns({"turn": F.pmod(F.xxhash64("id"), turns).cast("int"), "block": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    key = ["cell", "block", "turn"]
+
+    def search(held: pa.Table, asking: pa.Table) -> pa.Table:
+        own = Codebook(**shared.value)
+        told: list = []
+        if len(held) and len(asking):
+            codes = np.array([np.frombuffer(c.as_buffer(), np.uint8) for c in held["codes"]])
+            centre = own.coarse[held["cell"][0].as_py()]
+            told = list(_best_of_block(held["id"].to_pylist(), _matrix(held["v"]), held["scale"].to_numpy(), codes, centre, own, _matrix(asking["v"]), asking["id"].to_numpy(), top, depth))
+        q, i, s = zip(*told) if told else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    slim = left.select(*key, "id", "v", "scale", "codes")
+    return slim.groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+
+
 def nearest(
     df: DataFrame,
     *,
@@ -169,60 +238,31 @@ def nearest(
     vector: str = "embedding",
     queries: Column | None = None,
     top: int = 5,
-    depth: int = 128,
+    depth: int = 256,
     sample: int = 10_000,
-    block: int = 16_384,
+    recall: float = 0.99,
+    block_rows: int = 8192,
+    block_queries: int = 8192,
     seed: int = 0,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's `top` nearest other rows by cosine, ties to the smaller id.
 
     `queries` is a predicate on df. Rows that share the query's id are its own and no
     candidates; of queries with one id the smallest vector counts; a null id is a candidate
-    only. Invalid vectors (see valid_vector) and those of another length than most of the
-    sample take no part. The codebook is fitted on `sample` rows at most, drawn by a hash;
-    every row is encoded and scanned. Each batch of rows gives `depth` distinct vectors to
-    exact scoring, so depth grows with the rows. Queries go in blocks of `block` vectors,
-    broadcast one block at a time. No valid rows, no result.
+    only. Invalid vectors (see valid_vector) take no part; vectors of different lengths are
+    spaces of their own. No valid rows, no result. Other columns are not looked at.
+
+    Codebook and cells are fitted on `sample` rows at most, drawn by a hash; the number of cells
+    grows with the root of the rows as far as the sample carries. Every row is encoded, kept,
+    and scanned by the queries that come to its cell; these go to so many cells as hold the
+    share `recall` of the sample's neighbours. Blocks have about `block_rows` rows and
+    `block_queries` queries and each gives `depth` distinct vectors to exact scoring. Blocks go
+    by a hash of id and vector, so results do not hang on partitions or batches.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.lit(True) if queries is None else queries).alias("asks"))
+    rows = df.select(quoted(key).cast("long").alias("id"), quoted(vector).cast("array<double>").alias("v"), (F.lit(True) if queries is None else queries).alias("asks"))
     rows = rows.filter(valid_vector(F.col("v")))
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("v").toArrow()["v"].to_pylist()
-    schema = "query_id long, vec_id long, score double"
-    if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(v) for v in drawn]
-    dim = max(sorted(set(lengths)), key=lengths.count)
-    book = fit(np.array([v for v in drawn if len(v) == dim], np.float64), seed=seed)
-    asked = rows.filter(F.col("asks") & F.col("id").isNotNull() & (F.size("v") == dim)).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        table = own.orderBy("id").toArrow()
-        shared = spark.sparkContext.broadcast((vars(book), np.array(table["id"], np.int64), np.array(table["v"].to_pylist(), np.float64).reshape(-1, dim)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            kept, query_ids, vectors = shared.value
-            own = Codebook(**kept)
-            best: dict[int, list] = {}
-            for batch in batches:
-                x, at = _matrix(batch.column(1), own.dim)
-                if not len(at) or not len(query_ids):
-                    continue
-                ids = batch.column(0).take(pa.array(at)).to_pylist()
-                for q, i, s in _best_of_batch(ids, x, own, vectors, query_ids, top, depth):
-                    best.setdefault(q, []).append((s, i))
-                for q, found in best.items():
-                    if len(found) > top:
-                        best[q] = sorted(found, key=lambda f: (-f[0], f[1] is None, f[1] or 0))[:top]
-            told = [(q, i, s) for q, found in best.items() for s, i in found]
-            if told:
-                q, i, s = zip(*told)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-        part = rows.select("id", "v").mapInArrow(run, schema)
-        part = part if blocks == 1 else materialize(part)
-        found = part if found is None else found.unionByName(part)
+    found = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim, number in sorted(rows.groupBy(F.size("v")).count().collect()):  # a row for each length of vectors
+        found = found.unionByName(_search(rows.filter(F.size("v") == dim), dim, number, top=top, depth=depth, sample=sample, recall=recall, block_rows=block_rows, block_queries=block_queries, seed=seed))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
