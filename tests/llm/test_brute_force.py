@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import annsearch, langid, quality, simhash, tokencount
+from tickloom.llm import annsearch, langid, pii, quality, simhash, tokencount
 from tickloom.llm.common import crc32_mod
 from tickloom.llm.queries import QUERIES, VOCABULARY
 
@@ -220,6 +220,26 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_pii_added_kinds_and_redaction(spark):
+    texts = [
+        "Konto: DE89 3704 0044 0532 0130 00, bitte.",
+        "Konto: DE89 3704 0044 0532 0130 01, bitte.",
+        "Tel. 0221 4710-815 or 0221 4710-816",
+        "The hotel has room 0221 4710-815",
+        "Order 0221 4710-815, phone",
+        "mail a@b.de and +49 221 4710815!",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert got[0].spans == "iban:7:34" and got[1].spans == ""
+    assert got[2].spans == "local_phone:5:18,local_phone:22:35"
+    assert got[3].spans == got[4].spans == ""
+    assert got[5].max_score == 1.0
+    told = [r.text for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert told[0] == "Konto: [iban], bitte." and told[1] == texts[1] and told[3] == texts[3]
+    assert told[2] == "Tel. [local_phone] or [local_phone]" and told[5] == "mail [email] and [phone]!"
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_neighbours_recall_over_blocks(spark, clustered):
     """Many blocks, cells that are not all probed, and a third of all rows equal."""

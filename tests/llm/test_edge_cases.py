@@ -24,8 +24,17 @@ ROWS = [
 def docs(spark):
     rows = spark.createDataFrame(ROWS, DOCS)
     # columns whose names the operators use themselves
-    clash = "row score size shard spans items keys sig digest pii t k hi lo rank e w part shared".split()
-    return rows.withColumns({c: F.lit("mine") for c in clash})
+    clash = "row score size shard spans items keys sig digest pii t k hi lo rank e w part shared id c0 place whole cut of n nth lo_ hi_ told".split()
+    odd = ["_row", "_score", "_place", "_source", "_pii", "_copy", "my col", "a.b", "x`y"]
+    return rows.withColumns({c: F.lit("mine") for c in clash + odd})
+
+
+def unharmed(given, out, but=()):
+    """The columns of the input are all there, and those that no operator sets hold what they held."""
+    assert set(given.columns) <= set(out.columns)
+    mine = [c for c, v in zip(given.columns, given.first()) if v == "mine" and c not in but]
+    names = ["`" + c.replace("`", "``") + "`" for c in mine]
+    assert {tuple(r) for r in out.select(*[F.col(c) for c in names]).distinct().collect()} <= {("mine",) * len(mine)}
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +62,8 @@ GIVEN = sorted((r[0] is not None, r[0] or 0) for r in ROWS)
 def test_language(docs, none):
     model = langid.train(docs, landmarks=4)
     out = langid.predict(docs, model)
-    assert ids(out) == GIVEN and set(docs.columns) <= set(out.columns)
+    assert ids(out) == GIVEN
+    unharmed(docs, out, ["score"])
     told = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
     assert told[2] == told[3] == told[4] == told[6] == ("und", 0.0)
     assert told[5][0] == "de" and told[1][0] == "en"
@@ -71,6 +81,7 @@ def test_sharding(docs, none):
     assert {r.size for r in out.collect() if r.doc_id in (2, 3)} == {8}
     assert sharding.assign_shards(none).count() == 0
     assert sharding.with_shards(docs).count() == len(ROWS)
+    unharmed(docs, sharding.with_shards(docs), ["shard"])
     with pytest.raises(ValueError):
         sharding.jump_shards(F.lit(1), 0)
 
@@ -95,6 +106,7 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_rows(none).count() == 0
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
+    unharmed(docs, mixed)
 
 
 def test_decontamination(docs, none, benchmark):
@@ -109,6 +121,7 @@ def test_decontamination(docs, none, benchmark):
     assert winnowing.digest(none, benchmark).count() == 0
     kept = winnowing.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 3
+    unharmed(docs, kept)
 
 
 def test_decontamination_in_passes(docs, benchmark):
@@ -124,6 +137,7 @@ def test_near_duplicates(docs, none):
     assert simhash.group_fingerprints(none).count() == 0
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    unharmed(docs, kept)
     assert ids(kept) == [(False, 0), (True, 1), (True, 2), (True, 5), (True, 6)]
     assert simhash.drop_near_duplicates(none).count() == 0
 
@@ -133,12 +147,14 @@ def test_pii(docs, none):
     assert ids(out) == GIVEN
     assert pii.digest(none).count() == 0
     assert pii.redact(docs).columns == docs.columns
+    unharmed(docs, pii.redact(docs))
 
 
 def test_quality(docs, none, labels):
     model = quality.train(docs, labels, metadata=["n_chars"])
     out = quality.score(docs, model, metadata=["n_chars"])
     assert ids(out) == GIVEN and all(0 <= r.score <= 1 for r in out.collect())
+    unharmed(docs, out, ["score"])
     empty = quality.train(docs, labels.limit(0), metadata=["n_chars"])
     assert {round(r.score, 1) for r in quality.score(docs, empty, metadata=["n_chars"]).collect()} <= {0.4, 0.5, 0.6}
     assert quality.score(none, model, metadata=["n_chars"]).count() == 0
@@ -167,3 +183,44 @@ def test_neighbours(spark):
     out = annsearch.nearest(df, queries=F.col("vec_id") % 50 == 0, top=3).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in out] == [(0, 1, 1), (0, 2, 50), (0, 3, None), (50, 1, 0), (50, 2, 1), (50, 3, None), (100, 1, 8)]
     assert annsearch.nearest(df.limit(0)).count() == 0
+
+
+def test_hot_keys(spark):
+    """A third of all rows with one key, and some of them equal: slots stay gapless, targets are met."""
+    rows = [(None, "one two three", "a")] * 300 + [(None, "w " * (i % 7 + 1), "a") for i in range(300)] + [(i, "x y z", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = sharding.assign_shards(df, shards=3, ranges=4).collect()
+    for shard in range(3):
+        slots = sorted(r.slot for r in placed if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert len(placed) == 900
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == 900
+    for source in "ab":
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4
+        assert {r.epochs - r.whole for r in own} <= {0, 1}
+
+
+def test_ranges_hold_no_large_part(spark):
+    """With weights far from 1 no range of the exponential key holds more than a hundredth of a source."""
+    for w in (0.001, 1.0, 1000.0):
+        rows = spark.range(20_000).select(mixing.exponential_key(F.col("id"), F.lit(w)).alias("e"))
+        parts = rows.groupBy(F.floor(F.log2("e") * F.lit(mixing.RANGES))).count()
+        assert parts.agg(F.max("count")).first()[0] < 200
+
+
+def test_folder_of_checkpoints(spark):
+    """On a cluster the shared folder must be named."""
+    from tickloom.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError):
+        common.materialize(type("Frame", (), {"sparkSession": Session}))

@@ -1,8 +1,9 @@
 """Personal data by pattern, checksum and context, in DataFrame expressions only.
 
 A regular expression proposes the spans of a kind, a validator (octet range, Luhn, mod-97,
-digit count) confirms them, and a context word shortly before a span raises its score. The
-base kinds (email, ip, card, phone) are kept whatever their score; the kinds that the method
+digit count) confirms them, and words near a span adjust its score: those of its kind raise
+it, those of other numbers lower it. Near is within CONTEXT_CHARS before or after; what stands
+before the first of several spans in a row counts for all of them. The base kinds (email, ip, card, phone) are kept whatever their score; the kinds that the method
 adds (iban, and phone numbers without a plus sign) need the score of their threshold.
 
 Positions: split() by a pattern gives the pieces between its matches, regexp_extract_all the
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import quoted, unused
+
 # Kinds in listed order, the patterns that define them.
 BASE_KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -25,16 +28,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+.-])0[0-9]{1,4}[\x20/-][0-9](?:[\x20-]?[0-9]){4,9}(?![0-9])"
 
-#: kind: (base score, score that a span needs, words that raise it by CONTEXT_BONUS)
+#: kind: (base score, score that a span needs, whole words that raise it, whole words that lower it)
 KINDS = {
-    "email": (0.9, 0.0, "mail|contact|write"),
-    "ip": (0.6, 0.0, "ip|host|server|address"),
-    "card": (0.8, 0.0, "card|visa|credit|payment"),
-    "phone": (0.7, 0.0, "phone|tel|call|mobile|fax"),
-    "iban": (0.9, 0.5, "iban|account|bank|konto"),
-    "local_phone": (0.3, 0.6, "phone|tel|call|mobile|fax|telefon"),
+    "email": (0.9, 0.0, "(?:e-?)?mails?|contact|write", "example"),
+    "ip": (0.6, 0.0, "ips?|hosts?|servers?|address(?:es)?", "versions?|release|chapter|section"),
+    "card": (0.8, 0.0, "cards?|visa|mastercard|credit|payment", "orders?|invoice|serial|isbn|tracking"),
+    "phone": (0.7, 0.0, "phones?|tel|call|mobile|fax|telefon", "orders?|invoice|serial"),
+    "iban": (0.9, 0.5, "ibans?|accounts?|bank|konto", "serial|part|model"),
+    "local_phone": (0.3, 0.6, "phones?|tel|call|mobile|fax|telefon", "orders?|invoice|serial|isbn|versions?"),
 }
-CONTEXT_BONUS = 0.4
+CONTEXT_BONUS, CONTEXT_MALUS = 0.4, 0.3
 CONTEXT_CHARS = 40
 
 
@@ -82,29 +85,27 @@ def _spans(text: Column, kind: str, pattern: str, worth: Column) -> Column:
     none = F.array().cast("array<struct<start:int,stop:int,rank:int,kind:string,score:double>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    score, needed, words = KINDS[kind]
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.when(
-                    _valid(kind, x["match"]),
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(x["gap"])).alias("start"),
-                            (a["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("stop"),
-                            F.lit(rank).alias("rank"),
-                            F.lit(kind).alias("kind"),
-                            F.least(F.lit(1.0), F.lit(score) + F.when(F.right(x["gap"], F.lit(CONTEXT_CHARS)).rlike(f"(?i)(?:{words})"), CONTEXT_BONUS).otherwise(0.0)).alias("score"),
-                        )
-                    ),
-                ).otherwise(none),
-            ).alias("out"),
-        ),
-    )["out"]
+    score, needed, raising, lowering = KINDS[kind]
+    said = lambda gap, words: gap.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+    none_said = F.lit(False)
+
+    def step(a: Column, x: Column) -> Column:
+        before, after = F.right(x["gap"], F.lit(CONTEXT_CHARS)), F.left(x["after"], F.lit(CONTEXT_CHARS))
+        row = F.length(x["gap"]) < CONTEXT_CHARS  # close to the span before: what told of that tells of this one
+        more = said(before, raising) | (row & a["more"])
+        less = said(before, lowering) | (row & a["less"])
+        start = a["at"] + F.length(x["gap"])
+        worth_it = score + F.when(more | said(after, raising), CONTEXT_BONUS).otherwise(0.0) - F.when(less | said(after, lowering), CONTEXT_MALUS).otherwise(0.0)
+        span = F.struct(
+            start.alias("start"), (start + F.length(x["match"])).alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+            F.greatest(F.lit(0.0), F.least(F.lit(1.0), worth_it)).alias("score"),
+        )
+        return F.struct(
+            (start + F.length(x["match"])).alias("at"), more.alias("more"), less.alias("less"), F.when(_valid(kind, x["match"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out")
+        )
+
+    gaps = F.arrays_zip(found.alias("match"), F.slice(between, 1, F.size(found)).alias("gap"), F.slice(between, 2, F.size(found)).alias("after"))
+    walked = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), none_said.alias("more"), none_said.alias("less"), none.alias("out")), step)["out"]
     kept = F.filter(walked, lambda x: x["score"] >= needed) if needed else walked
     return F.when(worth, kept).otherwise(none)
 
@@ -113,8 +114,10 @@ def find_spans(df: DataFrame, *, text: str = "text", into: str = "pii") -> DataF
     """df with `into`: array of struct(start, stop, rank, kind, score), by start then kind.
 
     A null or empty text has none. Spans of one kind never overlap; spans of two kinds may.
+    Repeated rows stay; a column of the name `into` is replaced. Time is linear in the text but
+    for the spans of one kind in one text, which are copied as they are gathered.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(quoted(text), F.lit(""))
     arrays = [
         _spans(body, "email", EMAIL, F.contains(body, F.lit("@"))),
         _spans(body, "ip", IP, body.rlike(r"\.[0-9]")),
@@ -127,8 +130,12 @@ def find_spans(df: DataFrame, *, text: str = "text", into: str = "pii") -> DataF
 
 
 def digest(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, max_score."""
-    found = find_spans(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, max_score.
+
+    Null and empty texts have no spans (max_score null); repeated and null keys keep their
+    rows; texts of any length are searched whole. Other columns are not looked at.
+    """
+    found = find_spans(df.select(quoted(key).alias("doc_id"), quoted(text).alias("text")))
     base = F.filter("pii", lambda x: x["rank"] < len(BASE_KINDS))
     told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -142,11 +149,15 @@ def digest(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def redact(df: DataFrame, *, text: str = "text") -> DataFrame:
-    """df with the text's spans replaced by [kind]; of overlapping spans the first by start, then kind, counts."""
-    found = find_spans(df, text=text, into="_pii")
-    body = F.coalesce(F.col(text), F.lit(""))
+    """df with the text's spans replaced by [kind]; of overlapping spans the first by start, then kind, counts.
+
+    A null text stays null. The columns are df's own, whatever their names.
+    """
+    held = unused(df, "spans")
+    found = find_spans(df, text=text, into=held)
+    body = F.coalesce(quoted(text), F.lit(""))
     walked = F.aggregate(
-        "_pii",
+        held,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(
             x["start"] >= a["at"],
@@ -154,4 +165,4 @@ def redact(df: DataFrame, *, text: str = "text") -> DataFrame:
         ).otherwise(a),
     )
     whole = F.transform(F.array(walked), lambda w: F.concat(w["out"], F.substr(body, w["at"] + 1)))[0]
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), whole)).drop("_pii")
+    return found.withColumn(text, F.when(quoted(text).isNotNull(), whole)).drop(held)

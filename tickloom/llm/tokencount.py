@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, quoted
 
 #: Ids in a block.
 BLOCK = 1 << 16
@@ -51,11 +51,10 @@ def token_blocks(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
         encode = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
         file, number, held, ids, names = str(TaskContext.get().partitionId()), 0, 0, [], []
 
-        def cut(length: int) -> pa.RecordBatch:
-            nonlocal number, held, ids, names
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            row = [pa.array([file]), pa.array([number], pa.int64()), pa.array([flat[:length].tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string()))]
-            number, held, ids, names = number + 1, len(flat) - length, [flat[length:]], []
+        def cut(flat: np.ndarray) -> pa.RecordBatch:
+            nonlocal number, names
+            row = [pa.array([file]), pa.array([number], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string()))]
+            number, names = number + 1, []
             return pa.RecordBatch.from_arrays(row, ["file", "block", "ids", "doc_ids"])
 
         for batch in batches:
@@ -64,12 +63,16 @@ def token_blocks(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
                 ids.append(np.array([*own, eod], np.uint32))
                 names.append(name.as_py())
                 held += len(own) + 1
-                while held >= block:
-                    yield cut(block)
+                if held >= block:
+                    flat = np.concatenate(ids)
+                    for lo in range(0, held - block + 1, block):
+                        yield cut(flat[lo : lo + block])
+                    held %= block
+                    ids = [flat[len(flat) - held :].copy()]
         if held or names:
-            yield cut(held)
+            yield cut(np.concatenate(ids))
 
-    return docs.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, BLOCK_SCHEMA)
+    return docs.select(quoted(key).cast("string").alias("k"), quoted(text).cast("string").alias("t")).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def read_token_files(spark: SparkSession, path: str, *, dtype: str = "<u4", block: int = BLOCK) -> DataFrame:
