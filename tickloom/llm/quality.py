@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,9 +191,12 @@ def train(
 
     told = rows.mapInArrow(run, "ids array<int>, vals array<float>, stats array<double>, k string, y double, h long")
     table = told.orderBy("k", "h").limit(most_rows).toArrow()
-    words = [(np.array(i.values, np.int32), np.array(v.values, np.float32)) for i, v in zip(table["ids"], table["vals"])]
-    stats = np.array(table["stats"].to_pylist(), np.float64).reshape(-1, STATS + len(metadata))
-    return fit(words, stats, np.array(table["y"].to_pylist(), np.float64), **options)
+    table = table.combine_chunks()
+    # views of the flat columns, no copies
+    ids, values, stats = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "vals", "stats"))
+    ends = np.cumsum(pc.list_value_length(table["ids"]).to_numpy())
+    words = [(ids[a:b], values[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    return fit(words, stats.reshape(-1, STATS + len(metadata)), table["y"].to_numpy(), **options)
 
 
 def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", metadata: Sequence[str] = (), into: str = "score") -> DataFrame:

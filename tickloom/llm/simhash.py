@@ -328,7 +328,7 @@ MANY, BLOCK_ROWS = 64, 1024
 CARRIED_SET, EARLIER = 1024, 64
 
 
-def crowded_links(crowded: DataFrame, df: DataFrame, nodes: DataFrame, rows: DataFrame, *, text: str, shingle: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def crowded_links(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, *, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, sure), a < b: links among the texts that hold one key of many, whatever their number.
 
     The digests of a key are dealt to blocks by their hash and every two blocks meet in a task
@@ -339,10 +339,9 @@ def crowded_links(crowded: DataFrame, df: DataFrame, nodes: DataFrame, rows: Dat
     """
     first = crowded.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("key")), 1, EARLIER).alias("first"))
     crowded = crowded.join(first, "digest").withColumn("earlier", F.filter("first", lambda k: k < F.col("key"))).drop("first")
-    small = crowded.filter(F.col("n") <= CARRIED_SET).select("digest").distinct()
-    sets = shingle_sets(df, rows, small, text=text, shingle=shingle)
+    small = sets.filter(F.size("shingles") <= CARRIED_SET)
     large = nodes.filter(F.col("n") > CARRIED_SET).join(crowded.select("digest").distinct(), "digest", "left_semi").select("digest", "sig")
-    told = crowded.select("key", "digest", "n", "group", "there", "earlier").join(sets, "digest", "left").join(large, "digest", "left")
+    told = crowded.select("key", "digest", "n", "group", "there", "earlier").join(small, "digest", "left").join(large, "digest", "left")
     blocks = F.ceil(F.col("there") / block_rows).cast("int")
     told = told.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("digest"), blocks).cast("int")})
     told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -383,7 +382,7 @@ def crowded_links(crowded: DataFrame, df: DataFrame, nodes: DataFrame, rows: Dat
     return told.groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary, sure boolean").distinct()
 
 
-def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
+def similar_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, *, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
 
     Sizes and signatures only spare the exact comparison where it must fail. Sets of under
@@ -393,9 +392,7 @@ def similar_links(df: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataF
     apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
     sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized & ((F.least("n_a", "n_b") < SMALL) | (apart <= most_differing(similarity))))
-    near = materialize(near.select("a", "b", "n_a", "n_b"))
-    wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
-    sets = materialize(shingle_sets(df, rows, wanted, text=text, shingle=shingle))
+    near = near.select("a", "b", "n_a", "n_b")
     full = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     met = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("sum"))
@@ -413,14 +410,16 @@ def near_duplicate_groups(
     texts without words (null, empty) form one group.
     """
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle, similarity=similarity))
-    nodes = materialize(rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    shared = materialize(shared_keys(nodes))
-    how = dict(text=text, shingle=shingle, similarity=similarity)
-    similar = lambda pairs: materialize(similar_links(df, rows, nodes, pairs, **how))
+    nodes = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    shared = materialize(shared_keys(nodes.select("digest", "n", "keys")))
+    # only texts that share a key have partners
+    nodes = materialize(nodes.drop("keys").join(shared.select("digest").distinct(), "digest", "left_semi"))
+    sets = materialize(shingle_sets(df, rows, shared.select("digest").distinct(), text=text, shingle=shingle))
+    similar = lambda pairs: materialize(similar_links(pairs, nodes, sets, similarity=similarity))
     led = similar(candidates(shared))
     left = materialize(apart(shared, materialize(connected_components(led))))
     few = similar(few_pairs(left.filter(F.col("there") <= many), similarity))
-    met = materialize(crowded_links(left.filter(F.col("there") > many), df, nodes, rows, block_rows=block_rows, **how))
+    met = materialize(crowded_links(left.filter(F.col("there") > many), nodes, sets, similarity=similarity, block_rows=block_rows))
     blocks = met.filter("sure").select("a", "b").union(similar(met.filter(~F.col("sure")).select("a", "b")))
     found = connected_components(led.union(few).union(blocks))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
