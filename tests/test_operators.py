@@ -88,23 +88,31 @@ def test_pivots(spark):
 
 
 def test_swings(spark):
-    high = [10, 11, 12, 15, 12, 11, 10, 9, 10, 12, 14, 13, 12]
-    low = [8, 9, 10, 11, 9, 8, 7, 6, 7, 9, 11, 10, 9]
-    rows = st.add_swings(series(spark, [9.0] * 13, [float(x) for x in high], [float(x) for x in low]), 2)
-    assert [i for i, x in enumerate(values(rows, "swing_high")) if x] == [3, 10]
-    assert [i for i, x in enumerate(values(rows, "swing_low")) if x] == [7]
+    """Against a loop over a walk of small steps, which has many ties."""
+    rng = np.random.default_rng(11)
+    middle = 50 + np.cumsum(rng.integers(-1, 2, 200))
+    high, low = (middle + rng.integers(0, 2, 200)).astype(float), (middle - rng.integers(0, 2, 200)).astype(float)
+    rows = st.add_swings(series(spark, list(middle.astype(float)), list(high), list(low)), 3)
+
+    def only(x, i, best):
+        around = x[i - 3 : i + 4]
+        return 3 <= i < len(x) - 3 and x[i] == best(around) and (around == x[i]).sum() == 1
+
+    tops, bottoms = values(rows, "swing_high"), values(rows, "swing_low")
+    assert tops == [only(high, i, max) for i in range(200)] and sum(tops) > 5
+    assert bottoms == [only(low, i, min) for i in range(200)] and sum(bottoms) > 5
     assert not any(values(st.add_swings(series(spark, [5.0] * 20), 3), "swing_high"))
 
 
-@pytest.mark.parametrize("price,size", [(50, 1), (199, 1), (200, 2), (499, 2), (500, 5), (1999, 5), (2000, 10), (4999, 10), (5000, 25), (50000, 25)])
-def test_tick(spark, price, size):
-    assert spark.range(1).select(tick_size(F.lit(price))).first()[0] == size
-
-
-def test_round_to_tick(spark):
-    to = lambda p, how: spark.range(1).select(round_to_tick(F.lit(p), how)).first()[0]
-    assert [to(9253, h) for h in ("down", "up", "nearest")] == [9250, 9275, 9250]
-    assert [to(9265, "nearest"), to(1502, "down"), to(150, "up"), to(0, "down"), to(-5, "up")] == [9275, 1500, 150, None, None]
+def test_ticks(spark):
+    """Against whole-number arithmetic over every price from 1 to 7,000."""
+    prices = spark.range(1, 7001).select(F.col("id").cast("int").alias("p"))
+    rows = prices.select("p", tick_size(F.col("p")).alias("tick"), *[round_to_tick(F.col("p"), h).cast("int").alias(h) for h in ("down", "up", "nearest")]).collect()
+    bands = [(0, 1), (200, 2), (500, 5), (2000, 10), (5000, 25)]
+    for r in rows:
+        tick = max(b for b in bands if b[0] <= r.p)[1]
+        assert (r.tick, r.down, r.up, r.nearest) == (tick, r.p // tick * tick, -(-r.p // tick) * tick, (2 * r.p + tick) // (2 * tick) * tick)
+    assert spark.range(1).select(round_to_tick(F.lit(0), "down"), round_to_tick(F.lit(-3), "up")).first() == (None, None)
 
 
 @pytest.mark.parametrize("trend,expected", [("down", "hammer"), ("up", "hanging_man"), ("flat", None)])
@@ -190,6 +198,92 @@ def test_supertrend_short(spark):
     assert math.isfinite(ind.add_supertrend(walk(spark, 12)).agg(F.max("supertrend")).first()[0])
 
 
+def loop_supertrend(high, low, close, period, times):
+    """The definition, bar by bar; NaN compares false."""
+    n, nan = len(close), float("nan")
+    tr = [np.nanmax([high[i] - low[i], *(([abs(high[i] - close[i - 1]), abs(low[i] - close[i - 1])]) if i else [])]) if not np.isnan(high[i]) else nan for i in range(n)]
+    first = next(i for i in range(n) if not np.isnan(tr[i]))
+    atr = [nan] * n
+    for i in range(first + period - 1, n):
+        atr[i] = np.nanmean(tr[first : i + 1]) if i == first + period - 1 else (atr[i - 1] * (period - 1) + tr[i]) / period
+    out = []
+    for i in range(n):
+        if i < period:
+            out.append((None, "up"))
+            continue
+        u, l = (high[i] + low[i]) / 2 + times * atr[i], (high[i] + low[i]) / 2 - times * atr[i]
+        if i > period:
+            u = u if u < up or close[i - 1] > up else up
+            l = l if l > down or close[i - 1] < down else down
+            way = ("down" if close[i] < l else "up") if way == "up" else ("up" if close[i] > u else "down")
+        else:
+            way = "up" if close[i] > l else "down"
+        up, down = u, l
+        out.append((l if way == "up" else u, way))
+    return out
+
+
+def test_supertrend_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    close = 100 + np.cumsum(rng.standard_t(2, 300))
+    high, low = close + rng.uniform(0, 2, 300), close - rng.uniform(0, 2, 300)
+    flat = [7.0] * 40
+    for c, h, l in ((list(close), list(high), list(low)), (flat, flat, flat)):
+        got = [(r.supertrend, r.direction) for r in ind.add_supertrend(series(spark, c, h, l), 10, 3.0).orderBy("ts").collect()]
+        want = loop_supertrend(h, l, c, 10, 3.0)
+        assert [g[1] for g in got] == [w[1] for w in want]
+        assert all(a[0] is None if b[0] is None else a[0] == pytest.approx(b[0]) for a, b in zip(got, want))
+    assert {r.direction for r in ind.add_supertrend(series(spark, flat)).filter(F.dayofyear("ts") > 20).collect()} == {"down"}
+
+
+def test_nulls_in_recurrences(spark):
+    """A mean over a null keeps its value; Wilder's smoothing is null after one, but not when the null is in its first rows."""
+    close = [100.0] * 30
+    close[12] = None
+    bars = lambda c: series(spark, c).withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in ("open", "high", "low", "close")})
+    assert values(ind.add_ema(bars(close), 8), "ema8") == pytest.approx([100.0] * 30)
+    uneven = [float(i * i % 17) for i in range(40)]
+    uneven[0] = uneven[5] = uneven[21] = None
+    want = pd.Series(uneven, dtype=float).ewm(span=5, adjust=False).mean()
+    assert values(ind.add_ema(bars(uneven), 5), "ema5")[1:] == pytest.approx(list(want[1:]))
+    atr = values(ind.add_atr(bars([None, 5.0, 5.0, 5.0, 5.0, None, 5.0]), 3), "atr")
+    assert atr == [None, None, None, 0.0, 0.0, None, None]
+
+
+def test_errors(spark):
+    names = spark.createDataFrame([("ABC", "X"), ("DEF", "X"), ("DEF", "Y")], "symbol string, exchange string")
+    assert rel.one_instrument(names, "abc").symbol == "ABC" and rel.one_instrument(names, "def", exchange="Y").exchange == "Y"
+    for symbol in ("none", "def"):
+        with pytest.raises(rel.NotFound):
+            rel.one_instrument(names, symbol)
+    assert rel.search(names, exchange="Y").count() == 1
+    with pytest.raises(rel.InsufficientData):
+        rel.require_bars(walk(spark, 59))
+    assert rel.require_bars(walk(spark, 60)).count() == 60
+
+
+def test_snapshot(spark):
+    from tickloom.operators import snapshot as snap
+
+    bars = walk(spark, 260).unionByName(walk(spark, 30, seed=2, symbol="Y"))
+    rows = {r.symbol: r for r in snap.snapshot(bars).collect()}
+    assert rows["X"].trend.sma200 is not None and rows["Y"].trend.sma50 is None and rows["Y"].trend.ema200 is not None
+    assert rows["X"].volume.val <= rows["X"].volume.poc <= rows["X"].volume.vah
+    assert rows["X"].trend.chikou is None and rows["X"].momentum.divergence is None
+    text = snap.as_json(snap.snapshot(bars)).filter("symbol = 'X'").first().payload
+    assert '"volatility":{"atr":' in text
+
+
+def test_ingest(spark):
+    ts = dt.datetime(2026, 1, 5)
+    rows = [(1, ts, 1.0, None), (1, ts + dt.timedelta(days=1), 2.0, None), (2, ts, 9.0, None), (2, None, None, "timeout"), (3, None, None, None)]
+    loads = spark.createDataFrame(rows, "instrument_id long, ts timestamp, close double, error string").withColumn("timeframe", F.lit("1d"))
+    old = loads.filter("instrument_id = 1").withColumn("close", F.lit(7.0)).limit(1)
+    bars, report = src.ingest(loads, old)
+    assert sorted((r.instrument_id, float(r.close)) for r in bars.collect()) == [(1, 1.0), (1, 2.0)]
+    assert {(r.instrument_id, r.bars, r.status) for r in report.collect()} == {(1, 2, "loaded"), (2, 0, "failed"), (3, 0, "empty")}
+
+
 def test_double_top(spark):
     from tickloom.operators import screening as scr
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.series import ema, in_order, numbered, ratio, rolling, so_far, wilder
-
-
+from tickloom.operators import recurrence as rec
+from tickloom.operators.series import in_order, keys, numbered, of_series, ratio, rolling, so_far
 
 # --- trend ---
 
@@ -20,17 +16,11 @@ def sma(n: int, x: str = "close") -> Column:
 
 
 def add_ema(bars: DataFrame, *spans: int) -> DataFrame:
-    rows = numbered(bars)
-    for span in spans:
-        rows = ema(rows, f"ema{span}", F.col("close"), span)
-    return rows
+    return rec.fold(bars, *[rec.ema(f"ema{span}", "close", span) for span in spans])
 
 
 def add_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    rows = ema(ema(numbered(bars), "_fast", F.col("close"), fast), "_slow", F.col("close"), slow)
-    rows = rows.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    rows = ema(rows, "signal", F.col("macd"), signal)
-    return rows.withColumn("histogram", F.col("macd") - F.col("signal"))
+    return rec.fold(bars, rec.macd(fast, slow, signal))
 
 
 def true_range() -> Column:
@@ -39,80 +29,19 @@ def true_range() -> Column:
 
 
 def add_atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
-    rows = bars if "n" in bars.columns else numbered(bars)
-    return wilder(rows.withColumn("_tr", true_range()), name, F.col("_tr"), n).drop("_tr")
+    return rec.fold(bars, rec.atr(name, n))
 
 
 def add_adx(bars: DataFrame, n: int = 14) -> DataFrame:
-    up, down = F.col("high") - F.lag("high").over(in_order()), F.lag("low").over(in_order()) - F.col("low")
-    plus = F.coalesce(F.when((up > down) & (up > 0), up), F.lit(0.0))
-    minus = F.coalesce(F.when((down > up) & (down > 0), down), F.lit(0.0))
-    rows = numbered(bars).withColumns({"_tr": true_range(), "_plus": plus, "_minus": minus})
-    for raw, out in (("_tr", "_atr"), ("_plus", "_sp"), ("_minus", "_sm")):
-        rows = wilder(rows, out, F.col(raw), n)
-    rows = rows.withColumns({"plus_di": 100 * ratio(F.col("_sp"), F.col("_atr")), "minus_di": 100 * ratio(F.col("_sm"), F.col("_atr"))})
-    dx = 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    return wilder(rows, "adx", dx, n).drop("_tr", "_plus", "_minus", "_atr", "_sp", "_sm")
-
-
-def _psar(high: np.ndarray, low: np.ndarray, start: float, step: float, most: float) -> np.ndarray:
-    out = np.full(len(high), np.nan)
-    if len(high) < 2:
-        return out
-    rising = high[1] >= high[0]
-    point, stop, speed = (high[0], low[0], start) if rising else (low[0], high[0], start)
-    out[0] = stop
-    for i in range(1, len(high)):
-        stop = stop + speed * (point - stop)
-        recent = slice(max(0, i - 2), i)
-        stop = min(stop, low[recent].min()) if rising else max(stop, high[recent].max())
-        if (low[i] < stop) if rising else (high[i] > stop):
-            rising, stop, speed = not rising, point, start
-            point = high[i] if rising else low[i]
-        elif (high[i] > point) if rising else (low[i] < point):
-            point, speed = (high[i] if rising else low[i]), min(speed + step, most)
-        out[i] = stop
-    return out
+    return rec.fold(bars, rec.adx(n))
 
 
 def add_psar(bars: DataFrame, start: float = 0.02, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """Parabolic SAR: a state machine over each series, so a grouped map; one series is in memory at a time."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts")
-        return own.assign(psar=_psar(own["high"].to_numpy(), own["low"].to_numpy(), start, step, most))
-
-    slim = bars.select("symbol", "ts", "high", "low")
-    out = slim.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, high double, low double, psar double")
-    return out.withColumn("psar", F.when(~F.isnan("psar"), F.col("psar")))
-
-
-def _supertrend(high: np.ndarray, low: np.ndarray, close: np.ndarray, atr: np.ndarray, period: int, times: float) -> tuple[np.ndarray, list[str]]:
-    line, way = np.full(len(close), np.nan), ["up"] * len(close)
-    if len(close) <= period:
-        return line, way
-    middle = (high + low) / 2
-    upper, lower = middle + times * atr, middle - times * atr
-    for i in range(period, len(close)):
-        if i > period:
-            upper[i] = upper[i] if upper[i] < upper[i - 1] or close[i - 1] > upper[i - 1] else upper[i - 1]
-            lower[i] = lower[i] if lower[i] > lower[i - 1] or close[i - 1] < lower[i - 1] else lower[i - 1]
-            way[i] = "up" if close[i] > upper[i - 1] else "down" if close[i] < lower[i - 1] else way[i - 1]
-        line[i] = lower[i] if way[i] == "up" else upper[i]
-    return line, way
+    return rec.fold(bars, rec.psar(start, step, most))
 
 
 def add_supertrend(bars: DataFrame, period: int = 10, times: float = 3.0) -> DataFrame:
-    """SuperTrend: bands that ratchet, a state machine over each series like PSAR."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts")
-        line, way = _supertrend(*(own[c].to_numpy(dtype=float, na_value=np.nan) for c in ("high", "low", "close", "atr")), period, times)
-        return pd.DataFrame({"symbol": own["symbol"], "ts": own["ts"], "supertrend": line, "direction": way})
-
-    slim = add_atr(bars, period).select("symbol", "ts", "high", "low", "close", "atr")
-    out = slim.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, supertrend double, direction string")
-    return out.withColumn("supertrend", F.when(~F.isnan("supertrend"), F.col("supertrend")))
+    return rec.fold(bars, rec.supertrend(period, times))
 
 
 def add_ichimoku(bars: DataFrame, fast: int = 9, slow: int = 26, wide: int = 52) -> DataFrame:
@@ -132,12 +61,7 @@ def add_ichimoku(bars: DataFrame, fast: int = 9, slow: int = 26, wide: int = 52)
 
 def add_rsi(bars: DataFrame, n: int = 14, name: str = "rsi") -> DataFrame:
     """100 where there are no losses, flat series included."""
-    change = F.col("close") - F.lag("close").over(in_order())
-    rows = (bars if "n" in bars.columns else numbered(bars)).withColumn("_d", change)
-    rows = wilder(rows, "_gain", F.greatest(F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)), n)
-    rows = wilder(rows, "_loss", F.greatest(-F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)), n)
-    rsi = F.when(F.col("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))))
-    return rows.withColumn(name, rsi).drop("_d", "_gain", "_loss")
+    return rec.fold(bars, rec.rsi(name, n))
 
 
 def fractal(x: Column, n: int, highest: bool) -> Column:
@@ -150,9 +74,9 @@ def fractal(x: Column, n: int, highest: bool) -> Column:
 
 def add_divergence(bars: DataFrame, n: int = 3, lookback: int = 20) -> DataFrame:
     """Label on the pivot bar: two fractals of one kind at most `lookback` bars apart where price and RSI disagree."""
-    rows = add_rsi(bars).withColumns({"_low": fractal(F.col("close"), n, False), "_high": fractal(F.col("close"), n, True)})
+    rows = numbered(add_rsi(bars)).withColumns({"_low": fractal(F.col("close"), n, False), "_high": fractal(F.col("close"), n, True)})
     for kind in ("_low", "_high"):
-        kept = Window.partitionBy("symbol", kind).orderBy("ts")
+        kept = of_series(kind).orderBy("ts")
         rows = rows.withColumns({f"{kind}_{c}": F.when(F.col(kind), F.lag(c).over(kept)) for c in ("n", "close", "rsi")})
     near = lambda kind: F.col(kind) & (F.col("n") - F.col(f"{kind}_n") <= lookback)
     bullish = near("_low") & (F.col("close") < F.col("_low_close")) & (F.col("rsi") > F.col("_low_rsi"))
@@ -174,7 +98,7 @@ def add_stochastic(bars: DataFrame, k: int = 14, smooth: int = 3, d: int = 3) ->
 
 def add_stoch_rsi(bars: DataFrame, n: int = 14, k: int = 14, smooth: int = 3, d: int = 3) -> DataFrame:
     r = F.col("rsi")
-    return _stochastic(add_rsi(bars, n), r, r, r, k, smooth, d, ("stoch_rsi_k", "stoch_rsi_d"))
+    return _stochastic(bars if "rsi" in bars.columns else add_rsi(bars, n), r, r, r, k, smooth, d, ("stoch_rsi_k", "stoch_rsi_d"))
 
 
 def typical_price() -> Column:
@@ -218,7 +142,7 @@ def add_bollinger(bars: DataFrame, n: int = 20, times: float = 2.0) -> DataFrame
 
 
 def add_keltner(bars: DataFrame, n: int = 20, atr: int = 10, times: float = 2.0) -> DataFrame:
-    rows = ema(add_atr(bars, atr, "_atr"), "kc_middle", F.col("close"), n)
+    rows = rec.fold(bars, rec.atr("_atr", atr), rec.ema("kc_middle", "close", n))
     return rows.withColumns({"kc_upper": F.col("kc_middle") + times * F.col("_atr"), "kc_lower": F.col("kc_middle") - times * F.col("_atr")}).drop("_atr")
 
 
@@ -257,7 +181,7 @@ def add_accumulation_distribution(bars: DataFrame) -> DataFrame:
 def vwap(session: Column | None = None) -> Column:
     """Volume-weighted mean price since the session began, by default the day of ts."""
     day = F.to_date("ts") if session is None else session
-    w = so_far(Window.partitionBy("symbol", day).orderBy("ts"))
+    w = so_far(of_series(day).orderBy("ts"))
     return ratio(F.sum(typical_price() * F.col("volume")).over(w), F.sum(F.col("volume")).over(w))
 
 
@@ -270,28 +194,28 @@ def anchored_vwap(anchor: Column) -> Column:
 
 def tail(bars: DataFrame, n: int) -> DataFrame:
     """The last n bars of each series."""
-    latest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    latest = of_series().orderBy(F.desc("ts"))
     return bars.withColumn("_r", F.row_number().over(latest)).filter(F.col("_r") <= n).drop("_r")
 
 
 def volume_buckets(bars: DataFrame, buckets: int = 50, last: int | None = 250) -> DataFrame:
     """(symbol, bucket, price_low, price_high, volume): volume by typical price in equal buckets between the lowest low and the highest high."""
-    rows = (bars if last is None else tail(bars, last)).select("symbol", typical_price().alias("tp"), "high", "low", "volume")
-    span = rows.groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+    rows = (bars if last is None else tail(bars, last)).select(*keys(), typical_price().alias("tp"), "high", "low", "volume")
+    span = rows.groupBy(*keys()).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
     # a series' span is one row per symbol
-    met = rows.select("symbol", "tp", "volume").join(span, "symbol")
+    met = rows.select(*keys(), "tp", "volume").join(span, [*keys()])
     bucket = F.when(F.col("lo") == F.col("hi"), 1).otherwise(F.least(F.width_bucket("tp", "lo", "hi", F.lit(buckets)), F.lit(buckets))).cast("int")
-    sums = met.groupBy("symbol", "lo", "hi", bucket.alias("bucket")).agg(F.sum("volume").alias("volume"))
+    sums = met.groupBy(*keys(), "lo", "hi", bucket.alias("bucket")).agg(F.sum("volume").alias("volume"))
     width = (F.col("hi") - F.col("lo")) / buckets
-    return sums.select("symbol", "bucket", (F.col("lo") + (F.col("bucket") - 1) * width).alias("price_low"), (F.col("lo") + F.col("bucket") * width).alias("price_high"), "volume")
+    return sums.select(*keys(), "bucket", (F.col("lo") + (F.col("bucket") - 1) * width).alias("price_low"), (F.col("lo") + F.col("bucket") * width).alias("price_high"), "volume")
 
 
 def value_area(bars: DataFrame, buckets: int = 50, last: int | None = 250, share: float = 0.7) -> DataFrame:
     """(symbol, poc, vah, val): the fullest bucket's middle (the lowest of equals) and the bounds of the buckets that hold `share` of the volume."""
     rows = volume_buckets(bars, buckets, last)
-    order = Window.partitionBy("symbol").orderBy(F.desc("volume"), "bucket")
-    all_of = Window.partitionBy("symbol")
+    order = of_series().orderBy(F.desc("volume"), "bucket")
+    all_of = of_series()
     rows = rows.withColumns({"_rank": F.row_number().over(order), "_cum": F.sum("volume").over(so_far(order)), "_all": F.sum("volume").over(all_of)})
     rows = rows.filter((F.col("_rank") == 1) | (F.col("_cum") - F.col("volume") < share * F.col("_all")))
     middle = (F.col("price_low") + F.col("price_high")) / 2
-    return rows.groupBy("symbol").agg(F.max(F.when(F.col("_rank") == 1, middle)).alias("poc"), F.max("price_high").alias("vah"), F.min("price_low").alias("val"))
+    return rows.groupBy(*keys()).agg(F.max(F.when(F.col("_rank") == 1, middle)).alias("poc"), F.max("price_high").alias("vah"), F.min("price_low").alias("val"))

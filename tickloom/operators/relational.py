@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.tick import round_to_tick
 from tickloom.operators import indicators as ind
-from tickloom.operators.series import in_order, ratio, so_far
+from tickloom.operators import recurrence as rec
+from tickloom.operators.series import in_order, keys, of_series, ratio, so_far
 
 OHLC = ("open", "high", "low", "close")
 
@@ -37,15 +39,15 @@ def drop_suspended(bars: DataFrame) -> DataFrame:
 def corporate_actions(bars: DataFrame, jump: float = 0.35) -> DataFrame:
     """(symbol, ts, change) of closes that move by more than `jump` from the one before."""
     change = ratio(F.col("close"), F.lag("close").over(in_order())) - 1
-    return drop_suspended(bars).withColumn("change", change).filter(F.abs("change") > jump).select("symbol", "ts", "change")
+    return drop_suspended(bars).withColumn("change", change).filter(F.abs("change") > jump).select(*keys(), "ts", "change")
 
 
 def add_gap_runs(bars: DataFrame) -> DataFrame:
-    """bars with `gap` (any price missing) and `run`, the number of gaps in a row up to the bar."""
+    """bars with `gap` (any price missing), `run`, the number of gaps in a row up to the bar, and `island`, which tells runs apart."""
     gap = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-    rows = bars.withColumn("gap", gap).withColumn("_island", F.sum((~gap).cast("int")).over(so_far(in_order())))
-    run = F.sum(F.col("gap").cast("int")).over(so_far(Window.partitionBy("symbol", "_island").orderBy("ts")))
-    return rows.withColumn("run", run).drop("_island")
+    rows = bars.withColumn("gap", gap).withColumn("island", F.sum((~gap).cast("int")).over(so_far(in_order())))
+    run = F.sum(F.col("gap").cast("int")).over(so_far(of_series("island").orderBy("ts")))
+    return rows.withColumn("run", run)
 
 
 def fill_gaps(bars: DataFrame, most: int = 2) -> DataFrame:
@@ -60,25 +62,63 @@ def validation_report(bars: DataFrame, mode: str, most_gap: int = 2) -> DataFram
     if mode not in LEAST_BARS:
         raise ValueError(f"unknown mode {mode!r}")
     suspended = F.coalesce(F.col("volume") == 0, F.lit(False))
-    total = bars.groupBy("symbol").agg(F.count(F.when(suspended, 1)).alias("suspended"))
+    total = bars.groupBy(*keys()).agg(F.count(F.when(suspended, 1)).alias("suspended"))
     rows = add_gap_runs(drop_suspended(bars)).withColumn("_jump", F.abs(ratio(F.col("close"), F.lag("close").over(in_order())) - 1) > 0.35)
-    rows = rows.withColumn("_start", F.when(F.col("gap"), F.lag("ts", 0).over(in_order())))
-    kept = rows.groupBy("symbol").agg(
-        F.count("*").alias("bars"), F.count(F.when(F.col("_jump"), 1)).alias("flags"), F.count(F.when(F.col("gap"), 1)).alias("filled"), F.coalesce(F.max("run"), F.lit(0)).alias("longest_gap")
+    rows = rows.withColumn("_start", F.when(F.col("gap"), F.min(F.when(F.col("gap"), F.col("ts"))).over(of_series("island"))))
+    kept = rows.groupBy(*keys()).agg(
+        F.count("*").alias("bars"), F.count(F.when(F.col("_jump"), 1)).alias("flags"), F.count(F.when(F.col("gap"), 1)).alias("filled"), F.coalesce(F.max("run"), F.lit(0)).alias("longest_gap"),
+        F.min_by("_start", F.struct(-F.col("run"), "ts")).alias("gap_start"),
     )
     status = F.when(F.col("longest_gap") > most_gap, "gap").when(F.col("bars") < LEAST_BARS[mode], "short").otherwise("ok")
-    return total.join(kept, "symbol", "left").na.fill(0, ["bars", "flags", "filled", "longest_gap"]).withColumn("status", status)
+    return total.join(kept, [*keys()], "left").na.fill(0, ["bars", "flags", "filled", "longest_gap"]).withColumn("status", status)
+
+
+def validated(bars: DataFrame, mode: str, most_gap: int = 2) -> DataFrame:
+    """The clean bars of the series that pass: no suspended bars, gaps of up to `most_gap` filled; series with a longer gap or too few bars are left out (see validation_report)."""
+    fine = validation_report(bars, mode, most_gap).filter("status = 'ok'").select(*keys())
+    return fill_gaps(drop_suspended(bars), most_gap).join(fine, [*keys()], "left_semi")
+
+
+class NotFound(LookupError):
+    """No instrument, or several, where one is asked for."""
+
+
+class InsufficientData(ValueError):
+    """A series with fewer bars than are needed."""
+
+
+def one_instrument(instruments: DataFrame, symbol: str, *, exchange: str | None = None) -> Row:
+    """The instrument of that symbol (any case); raises NotFound if there is none, or several on different exchanges."""
+    found = instruments.filter(F.col("symbol") == symbol.upper())
+    rows = (found if exchange is None else found.filter(F.col("exchange") == exchange)).limit(2).collect()
+    if len(rows) != 1:
+        raise NotFound(f"{len(rows) or 'no'} instruments {symbol.upper()!r}")
+    return rows[0]
+
+
+def require_bars(bars: DataFrame, least: int = 60) -> DataFrame:
+    """bars, if there are so many; else raises InsufficientData."""
+    there = bars.limit(least).count()
+    if there < least:
+        raise InsufficientData(f"{there} bars, {least} needed")
+    return bars
+
+
+def sufficiency(bars: DataFrame, least: int = 60) -> DataFrame:
+    """(symbol, available_bars, enough) of every series."""
+    return bars.groupBy(*keys()).agg(F.count("*").alias("available_bars")).withColumn("enough", F.col("available_bars") >= least)
 
 
 # --- search, summary, ranking ---
 
 
-def search(instruments: DataFrame, text: str | None = None, *, sector: str | None = None) -> DataFrame:
-    """Instruments whose symbol or name matches %text% (any case; % and _ are wildcards), of a sector."""
+def search(instruments: DataFrame, text: str | None = None, *, sector: str | None = None, exchange: str | None = None) -> DataFrame:
+    """Instruments whose symbol or name matches %text% (any case; % and _ are wildcards), of a sector and an exchange."""
     out = instruments
     if text:
         out = out.filter(F.col("symbol").ilike(f"%{text}%") | F.col("name").ilike(f"%{text}%")) if "name" in out.columns else out.filter(F.col("symbol").ilike(f"%{text}%"))
-    return out if sector is None else out.filter(F.col("sector") == sector)
+    out = out if sector is None else out.filter(F.col("sector") == sector)
+    return out if exchange is None else out.filter(F.col("exchange") == exchange)
 
 
 def between(bars: DataFrame, start: str | None = None, stop: str | None = None) -> DataFrame:
@@ -90,24 +130,24 @@ def between(bars: DataFrame, start: str | None = None, stop: str | None = None)
 
 def summary(instruments: DataFrame, bars: DataFrame) -> DataFrame:
     """Every instrument with its last and previous close and the change in percent (null without a previous one, or if that is 0)."""
-    latest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    last = bars.select("symbol", "ts", "close").withColumn("_r", F.row_number().over(latest)).filter("_r <= 2")
-    ends = last.groupBy("symbol").agg(F.max(F.when(F.col("_r") == 1, F.col("close"))).alias("last_price"), F.max(F.when(F.col("_r") == 2, F.col("close"))).alias("prev_price"))
-    met = instruments.join(ends, "symbol", "left")
+    latest = of_series().orderBy(F.desc("ts"))
+    last = bars.select(*keys(), "ts", "close").withColumn("_r", F.row_number().over(latest)).filter("_r <= 2")
+    ends = last.groupBy(*keys()).agg(F.max(F.when(F.col("_r") == 1, F.col("close"))).alias("last_price"), F.max(F.when(F.col("_r") == 2, F.col("close"))).alias("prev_price"))
+    met = instruments.join(ends, [*keys()], "left")
     return met.withColumn("change_pct", 100 * ratio(F.col("last_price") - F.col("prev_price"), F.col("prev_price")))
 
 
 def movers(summed: DataFrame, n: int = 5, gainers: bool = True) -> DataFrame:
     """The n largest gains or losses; ties by symbol."""
     known = summed.filter("change_pct IS NOT NULL AND last_price IS NOT NULL")
-    return known.orderBy(F.desc("change_pct") if gainers else F.asc("change_pct"), "symbol").limit(n)
+    return known.orderBy(F.desc("change_pct") if gainers else F.asc("change_pct"), [*keys()]).limit(n)
 
 
 def sparkline(bars: DataFrame, n: int = 20) -> DataFrame:
     """(symbol, line): the last n closes, scaled to 0..1 (all equal: 0.5), as one array."""
-    rows = ind.tail(bars, n).groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "close"))), lambda x: x["close"]).alias("line"))
+    rows = ind.tail(bars, n).groupBy(*keys()).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "close"))), lambda x: x["close"]).alias("line"))
     lo, hi = F.array_min("line"), F.array_max("line")
-    return rows.select("symbol", F.transform("line", lambda x: F.when(lo == hi, 0.5).otherwise(F.try_divide(x - lo, hi - lo))).alias("line"))
+    return rows.select(*keys(), F.transform("line", lambda x: F.when(lo == hi, 0.5).otherwise(F.try_divide(x - lo, hi - lo))).alias("line"))
 
 
 # --- scores and plans ---
@@ -115,12 +155,11 @@ def sparkline(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def trend_score(bars: DataFrame) -> DataFrame:
     """(symbol, ts, trend_score): 20 points each for close over EMA20, EMA20 over EMA50, EMA50 over EMA200, ADX over 25 (10 over 20) and a rising SuperTrend."""
-    rows = ind.add_ema(bars, 20, 50, 200).select("symbol", "ts", "close", "ema20", "ema50", "ema200")
-    rows = rows.join(ind.add_adx(bars).select("symbol", "ts", "adx"), ["symbol", "ts"]).join(ind.add_supertrend(bars).select("symbol", "ts", "direction"), ["symbol", "ts"])
+    rows = rec.fold(bars, *[rec.ema(f"ema{n}", "close", n) for n in (20, 50, 200)], rec.adx(14), rec.supertrend(10, 3.0))
     points = lambda ok, n: F.when(ok, n).otherwise(0)
     score = points(F.col("close") > F.col("ema20"), 20) + points(F.col("ema20") > F.col("ema50"), 20) + points(F.col("ema50") > F.col("ema200"), 20)
     score = score + F.when(F.col("adx") > 25, 20).when(F.col("adx") > 20, 10).otherwise(0) + points(F.col("direction") == "up", 20)
-    return rows.select("symbol", "ts", score.cast("int").alias("trend_score"))
+    return rows.select(*keys(), "ts", score.cast("int").alias("trend_score"))
 
 
 def composite(scores: dict[str, Column], mode: str) -> Column:
@@ -150,7 +189,7 @@ def trade_plan(bars: DataFrame, mode: str, capital: float = 100e6, lot: int = 10
     """
     m = MODES[mode]
     rows = ind.add_atr(bars).withColumn("swing_low", F.min("low").over(in_order().rowsBetween(-19, 0)))
-    last = ind.tail(rows, 1).select("symbol", "ts", "close", "atr", "swing_low")
+    last = ind.tail(rows, 1).select(*keys(), "ts", "close", "atr", "swing_low")
     last = last.withColumn("entry", round_to_tick(F.round("close", 4), "nearest").cast("double"))
     stop = F.greatest(F.col("swing_low") - 0.5 * F.col("atr"), F.col("entry") - m["k_atr"] * F.col("atr"), F.col("entry") * (1 - m["max_risk"]))
     last = last.withColumn("stop", round_to_tick(F.round(stop, 4), "down").cast("double")).withColumn("risk", F.col("entry") - F.col("stop"))
@@ -165,7 +204,7 @@ def trade_plan(bars: DataFrame, mode: str, capital: float = 100e6, lot: int = 10
 def breakout(bars: DataFrame, n: int = 20, relative: float = 1.2, rsi: tuple[float, float] = (50.0, 75.0)) -> DataFrame:
     """Bars that close above the highest high of the n before on more than `relative` of the usual volume, RSI in range."""
     rows = ind.add_rsi(bars).withColumns({"prior_high": F.max("high").over(in_order().rowsBetween(-n, -1)), "relvol": ind.relative_volume()})
-    return rows.filter((F.col("close") > F.col("prior_high")) & (F.col("relvol") > relative) & F.col("rsi").between(*rsi)).select("symbol", "ts", "close", "prior_high", "relvol", "rsi")
+    return rows.filter((F.col("close") > F.col("prior_high")) & (F.col("relvol") > relative) & F.col("rsi").between(*rsi)).select(*keys(), "ts", "close", "prior_high", "relvol", "rsi")
 
 
 def crosses(bars: DataFrame, fast: int = 20, slow: int = 50, within: int = 5) -> DataFrame:
@@ -180,7 +219,7 @@ def crosses(bars: DataFrame, fast: int = 20, slow: int = 50, within: int = 5) ->
 
 def portfolio(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Each position (symbol, side, qty, avg_entry) with market value, cost, unrealised profit, its percentage and the share of the whole."""
-    rows = positions.join(prices, "symbol")
+    rows = positions.join(prices, [*keys()])
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     rows = rows.withColumns({"market_value": F.col("qty") * F.col("price"), "cost": F.col("qty") * F.col("avg_entry")})
     rows = rows.withColumn("pnl", sign * (F.col("market_value") - F.col("cost")))
@@ -228,30 +267,34 @@ def backtest(bars: DataFrame, *, fast: int = 20, k_atr: float = 2.0, target: flo
     A bar decides on itself and those before only; a gap through the stop fills at the open, a
     bar that touches both fills the stop. Each series folds in a grouped map.
     """
-    rows = ind.add_atr(ind.add_ema(bars, fast))
+    rows = rec.fold(bars, rec.ema(f"ema{fast}", "close", fast), rec.atr("atr", 14))
     signal = (F.col("close") > F.col(f"ema{fast}")) & (F.lag("close").over(in_order()) <= F.lag(f"ema{fast}").over(in_order()))
-    rows = rows.select("symbol", "ts", "open", "high", "low", F.coalesce(signal, F.lit(False)).alias("signal"), (F.col("close") - k_atr * F.col("atr")).alias("stop"), (F.col("close") + target * k_atr * F.col("atr")).alias("take"))
+    rows = rows.select(*keys(), "ts", "open", "high", "low", F.coalesce(signal, F.lit(False)).alias("signal"), (F.col("close") - k_atr * F.col("atr")).alias("stop"), (F.col("close") + target * k_atr * F.col("atr")).alias("take"))
+
+    of = keys()
+    names = [*of, "entry_ts", "exit_ts", "entry", "exit", "return", "r"]
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("ts")
-        return pd.DataFrame([(own["symbol"].iloc[0], *t) for t in _trades(own, entry_fee, exit_fee, slip)], columns=["symbol", "entry_ts", "exit_ts", "entry", "exit", "return", "r"])
+        return pd.DataFrame([(*key, *t) for t in _trades(own, entry_fee, exit_fee, slip)], columns=names)
 
-    return rows.groupBy("symbol").applyInPandas(run, "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry double, exit double, return double, r double")
+    told = StructType([*[bars.schema[k] for k in of], *[StructField(c, bars.schema["ts"].dataType) for c in names[len(of) : len(of) + 2]], *[StructField(c, DoubleType()) for c in names[len(of) + 2 :]]])
+    return rows.groupBy(*of).applyInPandas(run, told)
 
 
 def backtest_metrics(trades: DataFrame) -> DataFrame:
     """Per series: trades, win rate, profit factor, expectancy in R, total return, yearly return, largest drawdown and
     the yearly return over it, Sharpe and Sortino ratios per trade, and the longest losing streak."""
-    by_time = Window.partitionBy("symbol").orderBy("entry_ts")
+    by_time = of_series().orderBy("entry_ts")
     order, won = so_far(by_time), F.col("return") > 0
     rows = trades.withColumn("_equity", F.exp(F.sum(F.ln(1 + F.col("return"))).over(order)))
     rows = rows.withColumns({"_down": F.col("_equity") / F.greatest(F.lit(1.0), F.max("_equity").over(order)) - 1, "_island": F.sum(won.cast("int")).over(order)})
-    rows = rows.withColumn("_streak", F.sum((~won).cast("int")).over(so_far(Window.partitionBy("symbol", "_island").orderBy("entry_ts"))))
+    rows = rows.withColumn("_streak", F.sum((~won).cast("int")).over(so_far(of_series("_island").orderBy("entry_ts"))))
     gain, loss = F.sum(F.when(won, F.col("return"))), -F.sum(F.when(F.col("return") < 0, F.col("return")))
     years = (F.unix_micros(F.max("exit_ts").cast("timestamp")) - F.unix_micros(F.min("entry_ts").cast("timestamp"))) / (365.25 * 86_400e6)
     growth = F.exp(F.sum(F.ln(1 + F.col("return"))))
     below = F.sqrt(F.avg(F.pow(F.least(F.col("return"), F.lit(0.0)), 2)))
-    told = rows.groupBy("symbol").agg(
+    told = rows.groupBy(*keys()).agg(
         F.count("*").alias("trades"),
         (100 * F.avg(won.cast("double"))).alias("win_rate"),
         F.try_divide(gain, loss).alias("profit_factor"),

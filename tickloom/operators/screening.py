@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.tick import round_to_tick
 from tickloom.operators import indicators as ind
-from tickloom.operators.series import in_order, ratio, rolling
+from tickloom.operators import recurrence as rec
+from tickloom.operators.series import in_order, keys, of_series, ratio, rolling
 from tickloom.operators.structure import add_swings
 
 # The exchange's sessions in minutes of the day, Monday to Friday.
@@ -30,7 +31,7 @@ def quotes(bars: DataFrame) -> DataFrame:
     rows = bars.withColumn("_prev", F.lag("close").over(in_order()))
     last = ind.tail(rows, 1).withColumn("change", F.col("close") - F.col("_prev"))
     percent = F.when(F.col("_prev") == 0, 0.0).otherwise(100 * ratio(F.col("change"), F.col("_prev")))
-    return last.select("symbol", "ts", F.col("close").alias("last_price"), "change", percent.alias("change_pct"), "volume")
+    return last.select(*keys(), "ts", F.col("close").alias("last_price"), "change", percent.alias("change_pct"), "volume")
 
 
 def statement_rows(wide: DataFrame, *, label: str, periods: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def statement_rows(wide: DataFrame, *, label: str, periods: Sequence[str], label
 
 def year_growth(quarters: DataFrame, amount: str = "revenue") -> DataFrame:
     """Growth over the same quarter a year before, in percent, and its percentile rank within the sector and quarter."""
-    rows = quarters.withColumn("growth", 100 * (ratio(F.col(amount), F.lag(amount, 4).over(Window.partitionBy("symbol").orderBy("period"))) - 1))
+    rows = quarters.withColumn("growth", 100 * (ratio(F.col(amount), F.lag(amount, 4).over(of_series().orderBy("period"))) - 1))
     peers = Window.partitionBy("sector", "period").orderBy(F.asc_nulls_first("growth"))
     return rows.withColumn("sector_rank", F.percent_rank().over(peers))
 
@@ -60,10 +61,10 @@ def presets() -> dict[str, Column]:
 def screen(bars: DataFrame) -> DataFrame:
     """(symbol, ts, preset) of every bar that satisfies a preset."""
     w = in_order()
-    rows = ind.add_adx(ind.add_rsi(ind.add_ema(bars, 20, 50, 200)))
+    rows = rec.fold(bars, *[rec.ema(f"ema{n}", "close", n) for n in (20, 50, 200)], rec.rsi("rsi", 14), rec.adx(14))
     rows = rows.withColumns({"prior_high": F.max("high").over(w.rowsBetween(-20, -1)), "relvol": ind.relative_volume(), "volume_falling": F.coalesce(F.col("volume") < F.lag("volume").over(w), F.lit(False))})
     rows = rows.withColumn("_found", F.filter(F.array(*[F.when(ok, F.lit(name)) for name, ok in presets().items()]), lambda x: x.isNotNull()))
-    return rows.select("symbol", "ts", F.explode("_found").alias("preset"))
+    return rows.select(*keys(), "ts", F.explode("_found").alias("preset"))
 
 
 def score_presets(scores: DataFrame) -> DataFrame:
@@ -99,20 +100,20 @@ def entry_zone(bars: DataFrame, n: int = 14) -> DataFrame:
     last = last.withColumn("zone_low", to(F.col("close") - F.col("_atr"), "down"))
     last = last.withColumn("zone_high", to(F.col("zone_low") + 0.4 * F.col("_atr"), "up"))
     last = last.withColumn("reference", (F.col("zone_low") + F.col("zone_high")) / 2)
-    return last.withColumn("trigger", to(F.greatest("zone_high", "high") + 1, "up")).select("symbol", "zone_low", "zone_high", "reference", "trigger")
+    return last.withColumn("trigger", to(F.greatest("zone_high", "high") + 1, "up")).select(*keys(), "zone_low", "zone_high", "reference", "trigger")
 
 
 def double_extremes(bars: DataFrame, n: int = 5, tolerance: float = 0.01) -> DataFrame:
     """(symbol, ts, pattern, breakout_level, measured_target): two swings of one kind within `tolerance` of each other with one of the other kind between."""
     rows = add_swings(bars, n)
-    highs = rows.filter("swing_high").select("symbol", "ts", F.col("high").alias("price"), F.lit("high").alias("kind"))
-    lows = rows.filter("swing_low").select("symbol", "ts", F.col("low").alias("price"), F.lit("low").alias("kind"))
-    w = Window.partitionBy("symbol").orderBy("ts", "kind")
+    highs = rows.filter("swing_high").select(*keys(), "ts", F.col("high").alias("price"), F.lit("high").alias("kind"))
+    lows = rows.filter("swing_low").select(*keys(), "ts", F.col("low").alias("price"), F.lit("low").alias("kind"))
+    w = of_series().orderBy("ts", "kind")
     seq = highs.unionByName(lows).withColumns({f"{c}{k}": F.lag(c, k).over(w) for k in (1, 2) for c in ("price", "kind")})
     same = (F.col("kind") == F.col("kind2")) & (F.col("kind") != F.col("kind1")) & (F.abs(ratio(F.col("price"), F.col("price2")) - 1) <= tolerance)
     found = seq.filter(same)
     name = F.when(F.col("kind") == "high", "double_top").otherwise("double_bottom")
-    return found.select("symbol", "ts", name.alias("pattern"), F.col("price1").alias("breakout_level"), (2 * F.col("price1") - (F.col("price") + F.col("price2")) / 2).alias("measured_target"))
+    return found.select(*keys(), "ts", name.alias("pattern"), F.col("price1").alias("breakout_level"), (2 * F.col("price1") - (F.col("price") + F.col("price2")) / 2).alias("measured_target"))
 
 
 def holdout(bars: DataFrame, share: float = 0.2) -> DataFrame:

@@ -1,18 +1,38 @@
-"""Windows over a bar series and linear recurrences in closed form."""
+"""The key of a bar series, and windows over it."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-KEYS = ("symbol",)
+_keys: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("symbol",))
 
 
-def in_order(keys: Sequence[str] = KEYS, ts: str = "ts") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(ts)
+def keys() -> tuple[str, ...]:
+    """The columns that tell series apart; every operator works on all series at once."""
+    return _keys.get()
+
+
+@contextmanager
+def keyed_by(*columns: str) -> Iterator[None]:
+    """Plans made inside take these columns as the key: keyed_by("instrument_id", "timeframe")."""
+    before = _keys.set(columns)
+    try:
+        yield
+    finally:
+        _keys.reset(before)
+
+
+def of_series(*more: Column | str) -> WindowSpec:
+    return Window.partitionBy(*keys(), *more)
+
+
+def in_order(ts: str = "ts") -> WindowSpec:
+    return of_series().orderBy(ts)
 
 
 def so_far(w: WindowSpec) -> WindowSpec:
@@ -30,43 +50,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def numbered(bars: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
+def numbered(bars: DataFrame, ts: str = "ts") -> DataFrame:
     """bars with `n`, their place in the series from 1."""
-    return bars.withColumn("n", F.row_number().over(in_order(keys, ts)))
-
-
-def _decayed(df: DataFrame, name: str, term: Column, decay: float, keys: Sequence[str]) -> DataFrame:
-    """df (with n) plus `name`: y = decay * y_before + term, null before the first term.
-
-    The closed form decay^t * sum(term_i * decay^-i) leaves the range of a double in long series,
-    so the origin is moved every `block` rows. A block is so long that what two blocks back
-    adds is below 1e-100 of a term: the block's own sum and the decayed end of the one before
-    are the whole value, for series of any length.
-    """
-    block = 1 << int(math.log2(600 / -math.log(decay)))
-    at = (F.col("n") - 1) % block
-    inside = Window.partitionBy(*keys, "_block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
-    rows = df.withColumns({"_term": term, "_block": F.floor((F.col("n") - 1) / block)})
-    rows = rows.withColumn("_own", F.pow(F.lit(decay), at) * F.sum(F.col("_term") * F.pow(F.lit(decay), -at)).over(inside))
-    rows = rows.withColumn("_end", F.max_by("_own", "n").over(before))
-    value = F.coalesce(F.col("_own"), F.lit(0.0)) + F.coalesce(F.col("_end") * F.pow(F.lit(decay), at + 1), F.lit(0.0))
-    started = F.col("_own").isNotNull() | F.col("_end").isNotNull()
-    return rows.select(*[c for c in df.columns if c not in (name, "_x", "_c", "_m")], F.when(started, value).alias(name))
-
-
-def ema(df: DataFrame, name: str, x: Column, span: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Exponential mean, alpha 2 / (span + 1), started by the first value (leading nulls stay null)."""
-    alpha = 2 / (span + 1)
-    w = so_far(Window.partitionBy(*keys).orderBy("n"))
-    rows = df.withColumns({"_x": x, "_c": F.count(x).over(w)})
-    term = F.when(F.col("_c") == 1, F.col("_x")).when(F.col("_c") > 1, F.col("_x") * alpha)
-    return _decayed(rows, name, term, 1 - alpha, keys)
-
-
-def wilder(df: DataFrame, name: str, x: Column, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Wilder's smoothing: the mean of the first n values starts it, then (before * (n - 1) + x) / n; null if the series is shorter."""
-    w = so_far(Window.partitionBy(*keys).orderBy("n"))
-    rows = df.withColumns({"_x": x, "_c": F.count(x).over(w), "_m": F.avg(x).over(w)})
-    term = F.when(F.col("_c") == n, F.col("_m")).when(F.col("_c") > n, F.col("_x") / n)
-    return _decayed(rows, name, term, (n - 1) / n, keys)
+    return bars.withColumn("n", F.row_number().over(in_order(ts)))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.indicators import add_atr, add_ema, fractal, tail, value_area
-from tickloom.operators.series import in_order, numbered
+from tickloom.operators import recurrence as rec
+from tickloom.operators.indicators import add_atr, fractal, tail, value_area
+from tickloom.operators.series import in_order, keys, numbered, of_series
 from tickloom.sources.bars import resample
 
 # Ratios and weights of the levels.
@@ -56,11 +57,11 @@ def add_swings(bars: DataFrame, n: int = 5) -> DataFrame:
 def fibonacci_levels(bars: DataFrame, n: int = 5) -> DataFrame:
     """Per series the levels between its last swing low and last swing high, where the high is above the low."""
     rows = add_swings(bars, n)
-    last = rows.groupBy("symbol").agg(
+    last = rows.groupBy(*keys()).agg(
         F.max_by("low", F.when(F.col("swing_low"), F.col("ts"))).alias("swing_low"), F.max_by("high", F.when(F.col("swing_high"), F.col("ts"))).alias("swing_high")
     )
     last = last.filter(F.col("swing_high") > F.col("swing_low"))
-    return last.select("symbol", "swing_low", "swing_high", *[c.alias(k) for k, c in (retracements(F.col("swing_low"), F.col("swing_high")) | extensions(F.col("swing_low"), F.col("swing_high"))).items()])
+    return last.select(*keys(), "swing_low", "swing_high", *[c.alias(k) for k, c in (retracements(F.col("swing_low"), F.col("swing_high")) | extensions(F.col("swing_low"), F.col("swing_high"))).items()])
 
 
 # --- levels ---
@@ -70,15 +71,15 @@ def swing_clusters(bars: DataFrame, timeframe: str = "1w", last: int = 250) -> D
     """Swings of the last bars, chained into clusters where neighbours in price lie within half an ATR: one row per cluster, with its strength."""
     recent = tail(bars, last)
     rows = add_swings(add_atr(recent, 14, "atr"))
-    whole = Window.partitionBy("symbol")
+    whole = of_series()
     rows = rows.withColumns({"now": F.max("ts").over(whole), "tolerance": F.coalesce(0.5 * F.max_by("atr", "ts").over(whole), F.lit(0.0))})
-    common = ["symbol", "ts", "volume", "now", "tolerance"]
+    common = [*keys(), "ts", "volume", "now", "tolerance"]
     highs = rows.filter("swing_high").select(*common, F.col("high").alias("price"), (F.col("high") - F.greatest(F.col("open"), F.col("close"))).alias("wick"), F.lit(1).alias("side"))
     lows = rows.filter("swing_low").select(*common, F.col("low").alias("price"), (F.least(F.col("open"), F.col("close")) - F.col("low")).alias("wick"), F.lit(0).alias("side"))
-    by_price = Window.partitionBy("symbol").orderBy("price", "ts", "side")
+    by_price = of_series().orderBy("price", "ts", "side")
     found = highs.unionByName(lows).withColumn("gap", F.col("price") - F.lag("price").over(by_price))
     found = found.withColumn("cluster", F.sum((F.coalesce(F.col("gap"), F.lit(0.0)) > F.col("tolerance")).cast("int")).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = found.groupBy("symbol", "cluster").agg(
+    groups = found.groupBy(*keys(), "cluster").agg(
         F.avg("price").alias("price"),
         F.count("*").alias("touches"),
         F.sum("volume").alias("volume"),
@@ -103,48 +104,48 @@ def round_step(price: Column) -> Column:
 
 
 def supplementary_levels(bars: DataFrame) -> DataFrame:
-    """(symbol, source, price, strength): point of control, pivots of the bar and week before, round numbers, long means, 52-week extremes."""
-    rows = add_ema(bars, 50, 200)
-    latest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    rows = rows.withColumns({"back": F.row_number().over(latest), "bars": F.count("*").over(Window.partitionBy("symbol"))})
-
-    def levels(df: DataFrame, made: list[tuple[str, Column, float, Column]]) -> DataFrame:
-        listed = F.array(*[F.when(ok, F.struct(F.lit(s).alias("source"), p.alias("price"), F.lit(float(v)).alias("strength"))) for s, p, v, ok in made])
-        return df.select("symbol", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select("symbol", "x.*")
-
-    yes = F.lit(True)
-    last = rows.filter("back = 1")
-    step = round_step(F.col("close"))
-    nearest = F.rint(F.col("close") / step) * step
-    parts = [
-        levels(last, [("ema50", F.col("ema50"), 55, F.col("bars") >= 50), ("ema200", F.col("ema200"), 60, F.col("bars") >= 200)]),
-        levels(last, [("round_number", nearest + k * step, 50, yes) for k in range(-2, 3)]),
-    ]
-    before = pivots(F.col("high"), F.col("low"), F.col("close"))
-    parts.append(levels(rows.filter("back = 2"), [(f"pivot_daily_{k}", before[k], 65, yes) for k in ("pp", "r1", "s1")]))
-    weeks = resample(bars, "week").withColumn("back", F.row_number().over(latest))
-    parts.append(levels(weeks.filter("back = 2"), [(f"pivot_weekly_{k}", before[k], 70, yes) for k in ("pp", "r1", "s1")]))
-    year = tail(bars, 252).groupBy("symbol").agg(F.max("high").alias("high"), F.min("low").alias("low"))
-    parts.append(levels(year, [("high_52w", F.col("high"), 80, yes), ("low_52w", F.col("low"), 80, yes)]))
-    enough = bars.groupBy("symbol").agg(F.count("*").alias("bars")).filter("bars >= 10").select("symbol")
-    parts.append(levels(value_area(bars).join(enough, "symbol", "left_semi"), [("poc", F.col("poc"), 75, yes)]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(symbol, source, price, strength, first_seen, last_tested): point of control, pivots of the bar and week before, round numbers, long means, 52-week extremes.
+
+    Each series is gathered into one row by one aggregation, its weeks and its volume profile
+    by one each; the levels are then an array of that row. Both times are those of the last bar.
+    """
+    back = F.col("back")
+    rows = rec.fold(bars, rec.ema("ema50", "close", 50), rec.ema("ema200", "close", 200), rec.from_end())
+    one = rows.groupBy(*keys()).agg(
+        F.count("*").alias("bars"),
+        F.max("ts").alias("now"),
+        F.max(F.when(back == 1, F.struct("close", "ema50", "ema200"))).alias("last"),
+        F.max(F.when(back == 2, F.struct("high", "low", "close"))).alias("before"),
+        F.max(F.when(back <= 252, F.col("high"))).alias("high"),
+        F.min(F.when(back <= 252, F.col("low"))).alias("low"),
+    )
+    nth = F.row_number().over(of_series().orderBy(F.desc("ts")))
+    weeks = resample(bars, "week", by=keys()).withColumn("back", nth).filter("back = 2").select(*keys(), F.struct("high", "low", "close").alias("week"))
+    one = one.join(weeks, [*keys()], "left").join(value_area(bars), [*keys()], "left")
+    close = F.col("last.close")
+    step = round_step(close)
+    nearest = F.rint(close / step) * step
+    pivot = lambda of: pivots(F.col(f"{of}.high"), F.col(f"{of}.low"), F.col(f"{of}.close"))
+    made = [("ema50", F.col("last.ema50"), 55, F.col("bars") >= 50), ("ema200", F.col("last.ema200"), 60, F.col("bars") >= 200)]
+    made += [("round_number", nearest + k * step, 50, F.lit(True)) for k in range(-2, 3)]
+    made += [(f"pivot_daily_{k}", pivot("before")[k], 65, F.col("before").isNotNull()) for k in ("pp", "r1", "s1")]
+    made += [(f"pivot_weekly_{k}", pivot("week")[k], 70, F.col("week").isNotNull()) for k in ("pp", "r1", "s1")]
+    made += [("high_52w", F.col("high"), 80, F.lit(True)), ("low_52w", F.col("low"), 80, F.lit(True)), ("poc", F.col("poc"), 75, F.col("bars") >= 10)]
+    listed = F.array(*[F.when(ok & p.isNotNull(), F.struct(F.lit(s).alias("source"), p.alias("price"), F.lit(float(v)).alias("strength"))) for s, p, v, ok in made])
+    return one.select(*keys(), "now", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select(*keys(), "x.*", F.col("now").alias("first_seen"), F.col("now").alias("last_tested"))
 
 
 def price_levels(bars: DataFrame, timeframe: str = "1w", each: int = 8, least: float = 40.0) -> DataFrame:
     """The strongest `each` supports and resistances of each series, with whether the side was changed within 20 bars."""
-    swings = swing_clusters(bars, timeframe).select("symbol", F.lit("swing").alias("source"), "price", "strength", "touches")
+    swings = swing_clusters(bars, timeframe).select(*keys(), F.lit("swing").alias("source"), "price", "strength", "touches", "first_seen", "last_tested")
     every = swings.unionByName(supplementary_levels(bars).withColumn("touches", F.lit(0).cast("bigint")))
-    recent = tail(bars, 21).groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("seen"))
-    rows = every.filter(F.col("strength") >= least).join(recent, "symbol")
+    recent = tail(bars, 21).groupBy(*keys()).agg(F.max_by("close", "ts").alias("close"), F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("seen"))
+    rows = every.filter(F.col("strength") >= least).join(recent, [*keys()])
     above = F.col("close") > F.col("price")
     earlier = F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0)))
     rows = rows.withColumns({"level_type": F.when(F.col("price") < F.col("close"), "support").otherwise("resistance"), "role_flipped": F.exists(earlier, lambda x: (x["close"] > F.col("price")) != above)})
-    order = Window.partitionBy("symbol", "level_type").orderBy(F.desc("strength"), "price", "source")
-    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).select("symbol", "level_type", "price", "strength", "source", "touches", "role_flipped")
+    order = of_series("level_type").orderBy(F.desc("strength"), "price", "source")
+    return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).select(*keys(), "level_type", "price", "strength", "source", "touches", "role_flipped", "first_seen", "last_tested")
 
 
 # --- candlestick patterns ---
@@ -193,7 +194,7 @@ def candle_shapes(bars: DataFrame) -> DataFrame:
     """(symbol, ts, pattern): shapes alone, without their context."""
     made = F.array(*[F.when(c, F.lit(name)) for name, (_, c, _) in shapes().items() if name not in ("hanging_man", "shooting_star")])
     rows = bars.withColumn("_made", F.filter(made, lambda x: x.isNotNull()))
-    return rows.select("symbol", "ts", F.explode("_made").alias("pattern"))
+    return rows.select(*keys(), "ts", F.explode("_made").alias("pattern"))
 
 
 def candle_patterns(bars: DataFrame, levels: DataFrame | None = None, near: float = 0.01) -> DataFrame:
@@ -210,8 +211,8 @@ def candle_patterns(bars: DataFrame, levels: DataFrame | None = None, near: floa
     down, up = moves(F.col("_d") < 0), moves(F.col("_d") > 0)
     if levels is not None:
         side = lambda kind: F.collect_list(F.when(F.col("level_type") == kind, F.col("price")))
-        known = levels.groupBy("symbol").agg(side("support").alias("_supports"), side("resistance").alias("_resistances"))
-        rows = rows.join(known, "symbol", "left")
+        known = levels.groupBy(*keys()).agg(side("support").alias("_supports"), side("resistance").alias("_resistances"))
+        rows = rows.join(known, [*keys()], "left")
         close_to = lambda c, x: F.coalesce(F.exists(c, lambda p: F.try_divide(F.abs(p - x), x) <= near), F.lit(False))
         down, up = down | close_to("_supports", F.col("low")), up | close_to("_resistances", F.col("high"))
     rows = rows.withColumns({"_bullish": down, "_bearish": up})
@@ -224,4 +225,4 @@ def candle_patterns(bars: DataFrame, levels: DataFrame | None = None, near: floa
         direction = F.lit("neutral") if name == "doji" else F.when(F.col("close") > F.col("open"), "bullish").otherwise("bearish") if name == "marubozu" else F.lit(needs)
         listed.append(F.when(ok, F.struct(F.lit(name).alias("pattern"), direction.alias("direction"), F.lit(RELIABILITY[name]).alias("reliability"))))
     rows = rows.withColumn("_made", F.filter(F.array(*listed), lambda x: x.isNotNull()))
-    return rows.select("symbol", "ts", F.explode("_made").alias("x")).select("symbol", "ts", "x.*")
+    return rows.select(*keys(), "ts", F.explode("_made").alias("x")).select(*keys(), "ts", "x.*")

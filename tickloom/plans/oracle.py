@@ -13,6 +13,13 @@ NATION = f"""bars AS MATERIALIZED (SELECT n_name AS symbol, r_name AS sector, da
   JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3)"""
 EVENT = """bars AS MATERIALIZED (SELECT event_type AS symbol, date_trunc('hour', ts)::timestamp AS ts, arg_min(value, ts) AS open, max(value) AS high,
   min(value) AS low, arg_max(value, ts) AS close, count(*) AS volume, sum(value) AS value, count(*) AS frequency FROM events GROUP BY 1, 2)"""
+#: The same bars with all prices missing now and then.
+GAPPY = BRAND.replace("bars AS", "raw AS", 1) + """, bars AS MATERIALIZED (SELECT symbol, ts, CASE WHEN NOT gone THEN open END AS open, CASE WHEN NOT gone THEN high END AS high,
+  CASE WHEN NOT gone THEN low END AS low, CASE WHEN NOT gone THEN close END AS close, volume FROM (SELECT *, k % 97 IN (8, 40) OR symbol LIKE '%2' AND k <= 2 OR symbol LIKE '%3' AND k > 60 AND k < 64 AS gone
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM raw)))"""
+#: Two timeframes of each brand, the timeframe in the name of the series.
+TWO = BRAND.replace("bars AS", "raw AS", 1) + """, bars AS MATERIALIZED (SELECT symbol || '/1w' AS symbol, ts, open, high, low, close, volume FROM raw UNION ALL
+  SELECT symbol || '/1mo', date_trunc('month', ts)::timestamp AS t, arg_min(open, ts), max(high), min(low), arg_max(close, ts), cast(sum(volume) AS bigint) FROM raw GROUP BY 1, 2)"""
 B = "b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars)"
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
 TP = "((high + low + close) / 3)"
@@ -38,15 +45,17 @@ def lag(x: str, k: int = 1) -> str:
 
 
 def ema(name: str, source: str, x: str, span: int) -> str:
+    """w is what is left of the weight of y; it decays over nulls."""
     a = 2 / (span + 1)
-    return f"""{name} AS (SELECT symbol, n, {x} AS y FROM {source} WHERE n = 1 UNION ALL
-      SELECT s.symbol, s.n, {1 - a!r} * e.y + {a!r} * s.{x} FROM {name} e JOIN {source} s ON s.symbol = e.symbol AND s.n = e.n + 1)"""
+    return f"""{name} AS (SELECT symbol, n, {x} AS y, 1::double AS w FROM {source} WHERE n = 1 UNION ALL
+      SELECT s.symbol, s.n, CASE WHEN s.{x} IS NULL THEN e.y WHEN e.y IS NULL THEN s.{x} ELSE (e.w * {1 - a!r} * e.y + {a!r} * s.{x}) / (e.w * {1 - a!r} + {a!r}) END,
+        CASE WHEN s.{x} IS NULL THEN e.w * {1 - a!r} ELSE 1 END FROM {name} e JOIN {source} s ON s.symbol = e.symbol AND s.n = e.n + 1)"""
 
 
 def wilder(name: str, source: str, x: str, n: int) -> str:
-    return f"""{name}_s AS MATERIALIZED (SELECT symbol, n, {x} AS x, count({x}) OVER v AS c, avg({x}) OVER v AS m FROM {source}
-        WINDOW v AS (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING)),
-      {name} AS (SELECT symbol, n, m AS y FROM {name}_s WHERE c = {n} AND x IS NOT NULL UNION ALL
+    return f"""{name}_s AS MATERIALIZED (SELECT symbol, n, {x} AS x, min(n) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY symbol) AS p,
+        avg({x}) OVER (PARTITION BY symbol ORDER BY n ROWS {n - 1} PRECEDING) AS m FROM {source}),
+      {name} AS (SELECT symbol, n, m AS y FROM {name}_s WHERE n = p + {n - 1} UNION ALL
       SELECT s.symbol, s.n, (e.y * {n - 1} + s.x) / {n} FROM {name} e JOIN {name}_s s ON s.symbol = e.symbol AND s.n = e.n + 1)"""
 
 
@@ -67,9 +76,10 @@ ADX = [
 SUPERTREND = [
     TR, wilder("wa", "tr", "t", 10),
     f"st AS MATERIALIZED (SELECT b.symbol, b.ts, b.n, close, {lag('close')} AS pc, (high + low) / 2 + 3 * wa.y AS bu, (high + low) / 2 - 3 * wa.y AS bl FROM b LEFT JOIN wa USING (symbol, n))",
-    """sr AS (SELECT symbol, n, bu AS u, bl AS l, 'up' AS way FROM st WHERE n = 11 UNION ALL
-      SELECT s.symbol, s.n, CASE WHEN s.bu < e.u OR s.pc > e.u THEN s.bu ELSE e.u END, CASE WHEN s.bl > e.l OR s.pc < e.l THEN s.bl ELSE e.l END,
-        CASE WHEN s.close > e.u THEN 'up' WHEN s.close < e.l THEN 'down' ELSE e.way END FROM sr e JOIN st s ON s.symbol = e.symbol AND s.n = e.n + 1)""",
+    """sr AS (SELECT symbol, n, bu AS u, bl AS l, CASE WHEN close > bl THEN 'up' ELSE 'down' END AS way FROM st WHERE n = 11 UNION ALL
+      SELECT symbol, n, u, l, CASE WHEN way = 'up' THEN (CASE WHEN close < l THEN 'down' ELSE 'up' END) ELSE (CASE WHEN close > u THEN 'up' ELSE 'down' END) END
+      FROM (SELECT s.symbol, s.n, s.close, e.way, CASE WHEN s.bu < e.u OR s.pc > e.u THEN s.bu ELSE e.u END AS u, CASE WHEN s.bl > e.l OR s.pc < e.l THEN s.bl ELSE e.l END AS l
+        FROM sr e JOIN st s ON s.symbol = e.symbol AND s.n = e.n + 1))""",
 ]
 _PSAR = """ps AS MATERIALIZED (SELECT symbol, ts, n, high, low, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lead(high) OVER w AS nh FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
   pr AS (SELECT symbol, n, nh >= high AS up, CASE WHEN nh >= high THEN high ELSE low END AS ep, CASE WHEN nh >= high THEN low ELSE high END AS sar, 0.02::double AS af FROM ps WHERE n = 1 AND nh IS NOT NULL UNION ALL
@@ -87,11 +97,11 @@ def fractal(x: str, n: int, high: bool) -> str:
     return f"(count({x}) {over(f'{n} PRECEDING', f'{n} FOLLOWING')} = {2 * n + 1} AND {x} {cmp} {pick}({fn}({x}) {over(f'{n} PRECEDING', '1 PRECEDING')}, {fn}({x}) {over('1 FOLLOWING', f'{n} FOLLOWING')}))"
 
 
-def _stochastic(x: str, high: str, low: str, source: str) -> list[str]:
+def _stochastic(x: str, high: str, low: str, source: str, name: str = "s") -> list[str]:
     return [
-        f"s1 AS MATERIALIZED (SELECT *, 100 * ({x} - ({roll('min', low, 14)})) / nullif(({roll('max', high, 14)}) - ({roll('min', low, 14)}), 0) AS raw FROM {source})",
-        f"s2 AS MATERIALIZED (SELECT *, {roll('avg', 'raw', 3)} AS k FROM s1)",
-        f"s3 AS MATERIALIZED (SELECT *, {roll('avg', 'k', 3)} AS dd FROM s2)",
+        f"{name}1 AS MATERIALIZED (SELECT *, 100 * ({x} - ({roll('min', low, 14)})) / nullif(({roll('max', high, 14)}) - ({roll('min', low, 14)}), 0) AS raw FROM {source})",
+        f"{name}2 AS MATERIALIZED (SELECT *, {roll('avg', 'raw', 3)} AS k FROM {name}1)",
+        f"{name}3 AS MATERIALIZED (SELECT *, {roll('avg', 'k', 3)} AS dd FROM {name}2)",
     ]
 
 

@@ -12,7 +12,9 @@ from tickloom.operators import indicators as ind
 from tickloom.operators import relational as rel
 from tickloom.operators import screening as scr
 from tickloom.operators import structure as st
-from tickloom.operators.series import in_order
+from tickloom.operators import recurrence as rec
+from tickloom.operators import snapshot as snap
+from tickloom.operators.series import in_order, keyed_by, of_series
 from tickloom.plans import oracle as sql
 from tickloom.plans.oracle import B, EVENT, NATION, TP, lag, q, r, roll
 from tickloom.sources import bars as src
@@ -58,10 +60,11 @@ on_bars("bars_brand_week", q(f"SELECT {KEYS}, {PRICES}, volume, {r('value')}, fr
 on_bars("bars_event_hour", q(f"SELECT {KEYS}, {PRICES}, volume, {r('value')}, frequency FROM bars", bars=EVENT), lambda b: b, *BAR_COLUMNS, source=src.event_hour)
 on_bars("bars_nation_week", q(f"SELECT {KEYS}, sector, {PRICES}, volume, {r('value')}, frequency FROM bars", bars=NATION), lambda b: b, *BAR_COLUMNS, "sector", source=src.nation_week)
 _RESAMPLED = "arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, cast(sum(volume) AS bigint) AS volume"
-for unit, source, base in (("month", src.brand_week, sql.BRAND), ("week", src.event_hour, EVENT), ("day", src.event_hour, EVENT)):
+for unit, source, base in (("month", src.brand_week, sql.BRAND), ("week", src.event_hour, EVENT), ("day", src.event_hour, EVENT), ("4 hours", src.event_hour, EVENT)):
+    _start = f"time_bucket(INTERVAL '{unit}', ts)" if unit[0].isdigit() else f"date_trunc('{unit}', ts)"
     on_bars(
-        f"resample_{unit}",
-        q(f"SELECT symbol, t AS ts, {PRICES}, volume FROM (SELECT symbol, date_trunc('{unit}', ts)::timestamp AS t, {_RESAMPLED} FROM bars GROUP BY 1, 2)", bars=base),
+        f"resample_{unit}".replace(" hours", "h"),
+        q(f"SELECT symbol, t AS ts, {PRICES}, volume FROM (SELECT symbol, {_start}::timestamp AS t, {_RESAMPLED} FROM bars GROUP BY 1, 2)", bars=base),
         lambda b, unit=unit: src.resample(b, unit), "symbol", "ts", "open", "high", "low", "close", "volume", source=source,
     )
 
@@ -105,7 +108,7 @@ on_bars(
 column("true_range", q(f"SELECT {KEYS}, {r('t', 'true_range')} FROM tr", sql.TR), ind.true_range)
 on_bars("adx", q(f"SELECT symbol, ts, {r('wx.y', 'adx')}, {r('plus_di')}, {r('minus_di')} FROM b LEFT JOIN di USING (symbol, n) LEFT JOIN wx USING (symbol, n)", *sql.ADX), ind.add_adx, "symbol", "ts", "adx", "plus_di", "minus_di")
 on_bars("psar", q(f"SELECT b.symbol, ts, {r('sar', 'psar')} FROM b LEFT JOIN pr USING (symbol, n)", sql._PSAR), ind.add_psar, "symbol", "ts", "psar")
-_ST_LINE = r("CASE WHEN way = 'up' THEN l ELSE u END", "supertrend")
+_ST_LINE = r("CASE WHEN sr.way = 'up' THEN sr.l ELSE sr.u END", "supertrend")
 on_bars("supertrend", q(f"SELECT b.symbol, ts, {_ST_LINE}, coalesce(way, 'up') AS direction FROM b LEFT JOIN sr USING (symbol, n)", *sql.SUPERTREND), ind.add_supertrend, "symbol", "ts", "supertrend", "direction")
 _MID = lambda n: f"(({roll('max', 'high', n)}) + ({roll('min', 'low', n)})) / 2"
 on_bars(
@@ -171,7 +174,7 @@ on_bars(
 
 
 def _anchored(b: DataFrame) -> DataFrame:
-    rows = ind.numbered(b).withColumn("_at", F.max(F.when(F.col("n") == 50, F.col("ts"))).over(ind.Window.partitionBy("symbol")))
+    rows = ind.numbered(b).withColumn("_at", F.max(F.when(F.col("n") == 50, F.col("ts"))).over(of_series()))
     return rows.withColumn("anchored_vwap", ind.anchored_vwap(F.col("_at")))
 
 
@@ -212,21 +215,33 @@ def dirty(b: DataFrame) -> DataFrame:
 
 
 _CLEAN = "cl AS MATERIALIZED (SELECT *, open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL AS gap FROM dirty WHERE NOT coalesce(volume = 0, false))"
-_RUNS = ["il AS MATERIALIZED (SELECT *, sum(CASE WHEN gap THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM cl)", f"ru AS MATERIALIZED (SELECT *, CASE WHEN gap THEN count(CASE WHEN gap THEN 1 END) OVER (PARTITION BY symbol, island) ELSE 0 END AS run, abs(close / {lag('close')} - 1) > 0.35 AS jump FROM il)"]
+_RUNS = ["il AS MATERIALIZED (SELECT *, sum(CASE WHEN gap THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM cl)", f"ru AS MATERIALIZED (SELECT *, CASE WHEN gap THEN count(CASE WHEN gap THEN 1 END) OVER (PARTITION BY symbol, island) ELSE 0 END AS run, min(CASE WHEN gap THEN ts END) OVER (PARTITION BY symbol, island) AS start, abs(close / {lag('close')} - 1) > 0.35 AS jump FROM il)"]
 on_bars(
     "validate_report",
     q(
-        """SELECT d.symbol, suspended, bars, flags, filled, longest_gap, CASE WHEN longest_gap > 2 THEN 'gap' WHEN bars < 200 THEN 'short' ELSE 'ok' END AS status
+        """SELECT d.symbol, suspended, bars, flags, filled, longest_gap, gap_start, CASE WHEN longest_gap > 2 THEN 'gap' WHEN bars < 200 THEN 'short' ELSE 'ok' END AS status
         FROM (SELECT symbol, count(CASE WHEN volume = 0 THEN 1 END) AS suspended FROM dirty GROUP BY 1) d
-        JOIN (SELECT symbol, count(*) AS bars, count(CASE WHEN jump THEN 1 END) AS flags, count(CASE WHEN gap THEN 1 END) AS filled, max(run) AS longest_gap FROM ru GROUP BY 1) USING (symbol)""",
+        JOIN (SELECT symbol, count(*) AS bars, count(CASE WHEN jump THEN 1 END) AS flags, count(CASE WHEN gap THEN 1 END) AS filled, max(run) AS longest_gap,
+          arg_min(start, row(-run, ts)) FILTER (WHERE gap) AS gap_start FROM ru GROUP BY 1) USING (symbol)""",
         _DIRTY_SQL, _CLEAN, *_RUNS,
     ),
-    lambda b: rel.validation_report(dirty(b), "swing"), "symbol", "suspended", "bars", "flags", "filled", "longest_gap", "status",
+    lambda b: rel.validation_report(dirty(b), "swing"), "symbol", "suspended", "bars", "flags", "filled", "longest_gap", "gap_start", "status",
 )
 on_bars("corporate_actions", q(f"SELECT * FROM (SELECT {KEYS}, {r(f'close / nullif({lag('close')}, 0) - 1', 'change')} FROM cl) WHERE abs(change) > 0.35", _DIRTY_SQL, _CLEAN), lambda b: rel.corporate_actions(dirty(b)), "symbol", "ts", "change")
 _FILL = "coalesce(close, lag(close) OVER w, lag(close, 2) OVER w)"
 on_bars("gap_fill", q(f"SELECT {KEYS}, {r(_FILL, 'close')}, gap AS filled FROM cl WINDOW w AS (PARTITION BY symbol ORDER BY ts)", _DIRTY_SQL, _CLEAN), lambda b: rel.fill_gaps(rel.drop_suspended(dirty(b))), "symbol", "ts", "close", "filled")
 
+on_bars(
+    "validated_bars",
+    q(
+        f"SELECT {KEYS}, {r(_FILL, 'close')}, filled FROM (SELECT *, gap AS filled FROM cl) WHERE_ WINDOW w AS (PARTITION BY symbol ORDER BY ts)".replace(
+            "WHERE_", "WHERE symbol IN (SELECT symbol FROM ru GROUP BY 1 HAVING max(run) <= 2 AND count(*) >= 100)"
+        ),
+        _DIRTY_SQL, _CLEAN, *_RUNS,
+    ),
+    lambda b: rel.validated(dirty(b), "day"), "symbol", "ts", "close", "filled",
+)
+
 
 @register(
     "tick_round",
@@ -259,7 +274,7 @@ _TOP = "SELECT {0} FROM (SELECT * FROM sm WHERE change_pct IS NOT NULL ORDER BY
 register("top_gainers", q(_TOP.format(_TOLD, "DESC"), _SUMMARY, bars=NATION))(lambda spark, d: told(rel.movers(_summary(spark, d)), "symbol", "sector", "last_price", "change_pct"))
 register("top_losers", q(_TOP.format(_TOLD, "ASC"), _SUMMARY, bars=NATION))(lambda spark, d: told(rel.movers(_summary(spark, d), gainers=False), "symbol", "sector", "last_price", "change_pct"))
 on_bars("ohlcv_range", q(f"SELECT {KEYS}, {PRICES}, volume FROM b WHERE ts BETWEEN '1995-01-02' AND '1996-12-30'"), lambda b: rel.between(b, "1995-01-02", "1996-12-30"), "symbol", "ts", "open", "high", "low", "close", "volume")
-on_bars("sufficiency", q("SELECT symbol, count(*) AS available_bars, count(*) >= 60 AS enough FROM b GROUP BY 1"), lambda b: b.groupBy("symbol").agg(F.count("*").alias("available_bars")).withColumn("enough", F.col("available_bars") >= 60), "symbol", "available_bars", "enough")
+on_bars("sufficiency", q("SELECT symbol, count(*) AS available_bars, count(*) >= 60 AS enough FROM b GROUP BY 1"), rel.sufficiency, "symbol", "available_bars", "enough")
 on_bars("high_low_252", q(f"SELECT symbol, {r('max(high)', 'high')}, {r('min(low)', 'low')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM b) WHERE k <= 252 GROUP BY 1"), lambda b: ind.tail(b, 252).groupBy("symbol").agg(F.max("high").alias("high"), F.min("low").alias("low")), "symbol", "high", "low")
 on_bars(
     "sparkline",
@@ -350,24 +365,9 @@ on_bars(
     lambda b: ind.tail(b, 1).groupBy("sector").agg(F.median("close").alias("median_close"), F.percentile("close", 0.25).alias("p25"), F.percentile("close", 0.75).alias("p75")), "sector", "median_close", "p25", "p75", source=src.nation_week,
 )
 
-SNAPSHOT = ("sma20", "sma50", "sma200", "ema8", "ema20", "ema21", "ema50", "ema200", "macd", "signal", "histogram", "rsi", "stoch_k", "stoch_d", "cci", "williams_r", "roc", "mfi", "atr", "bb_upper", "bb_lower", "bb_percent_b", "dc_upper", "dc_lower", "hist_vol", "relative_volume", "obv", "accum_dist", "vwap", "psar", "supertrend", "direction", "adx", "plus_di", "minus_di")
-
-
-def snapshot(bars: DataFrame) -> DataFrame:
-    """The last bar of each series with every indicator of SNAPSHOT."""
-    rows = bars.withColumns({f"sma{n}": ind.sma(n) for n in (20, 50, 200)})
-    rows = ind.add_ema(rows, 8, 20, 21, 50, 200)
-    for add in (ind.add_macd, ind.add_rsi, ind.add_stochastic, ind.add_cci, ind.add_mfi, ind.add_atr, ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility, ind.add_obv, ind.add_accumulation_distribution, ind.add_adx):
-        rows = add(rows)
-    rows = rows.withColumns({"williams_r": ind.williams_r(), "roc": ind.roc(), "relative_volume": ind.relative_volume(), "vwap": ind.vwap()})
-    last = ind.tail(rows, 1)
-    for extra in (ind.add_psar(bars), ind.add_supertrend(bars)):
-        last = last.join(extra.drop("high", "low"), ["symbol", "ts"], "left")
-    return last
-
-
 _WINDOWED = {
-    **{f"sma{n}": roll("avg", "close", n) for n in (20, 50, 200)},
+    **{f"sma{n}": roll("avg", "close", n) for n in snap.SMA}, "tenkan": _MID(9), "kijun": _MID(26), "wide": _MID(52), "chikou": "lead(close, 26) OVER (PARTITION BY symbol ORDER BY ts)",
+    "h": lag("high"), "l": lag("low"), "c": lag("close"), "p": f"({lag('high')} + {lag('low')} + {lag('close')}) / 3", "s": f"{lag('high')} - {lag('low')}",
     "sd": roll("stddev_pop", "close", 20), "dc_upper": roll("max", "high", 20), "dc_lower": roll("min", "low", 20), "vm": roll("avg", "volume", 20),
     "williams_r": f"-100 * (({_HH}) - close) / nullif(({_HH}) - ({_LL}), 0)", "roc": f"100 * (close - {lag('close', 12)}) / nullif({lag('close', 12)}, 0)",
     "lr": f"ln(close / {lag('close')})", "os": f"coalesce(sign(close - {lag('close')}), 0) * volume", "vwap": _VW("symbol, ts::date"),
@@ -375,8 +375,11 @@ _WINDOWED = {
 }
 _TOTAL = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 _SNAPSHOT_SQL = {
-    **{c: f"w2.{c}" for c in ("close", "sma20", "sma50", "sma200", "dc_upper", "dc_lower", "williams_r", "roc", "vwap", "hist_vol", "obv", "accum_dist")},
-    "ema8": "a8.y", "ema20": "a20.y", "ema21": "a21.y", "ema50": "a50.y", "ema200": "a200.y", "macd": "md.macd", "signal": "e3.y", "histogram": "md.macd - e3.y",
+    **{c: f"w2.{c}" for c in ("close", *(f"sma{n}" for n in snap.SMA), "tenkan", "kijun", "senkou_a", "senkou_b", "chikou", "dc_upper", "dc_lower", "williams_r", "roc", "vwap", "hist_vol", "obv", "accum_dist")},
+    **{f"ema{n}": f"a{n}.y" for n in snap.EMA}, **{k: f"w2.{k}" for k in _CLASSIC}, "dc_middle": "(w2.dc_upper + w2.dc_lower) / 2", "volume_ma": "w2.vm", "stoch_rsi_k": "t3.k", "stoch_rsi_d": "t3.dd",
+    "atr_percent": "100 * wr.y / nullif(w2.close, 0)", "bb_middle": "w2.sma20", "bb_bandwidth": "100 * 4 * w2.sd / nullif(w2.sma20, 0)", "kc_middle": "a20.y", "kc_upper": "a20.y + 2 * wa.y", "kc_lower": "a20.y - 2 * wa.y",
+    **{c: f"poc.{c}" for c in ("poc", "vah", "val")}, **{k: f"fb.hi - {v}::double * (fb.hi - fb.lo)" for k, v in st.RETRACEMENTS.items()}, **{k: f"fb.lo + {v}::double * (fb.hi - fb.lo)" for k, v in st.EXTENSIONS.items()},
+    "macd": "md.macd", "signal": "e3.y", "histogram": "md.macd - e3.y",
     "rsi": "rsi.rsi", "stoch_k": "s3.k", "stoch_d": "s3.dd", "cci": "cc.cci", "mfi": "CASE WHEN m2.loss = 0 THEN 100 ELSE 100 - 100 / (1 + m2.gain / m2.loss) END", "atr": "wr.y",
     "bb_upper": "w2.sma20 + 2 * w2.sd", "bb_lower": "w2.sma20 - 2 * w2.sd", "bb_percent_b": "(w2.close - (w2.sma20 - 2 * w2.sd)) / nullif((w2.sma20 + 2 * w2.sd) - (w2.sma20 - 2 * w2.sd), 0)",
     "relative_volume": "w2.volume / nullif(w2.vm, 0)", "psar": "pr.sar", "supertrend": "CASE WHEN sr.way = 'up' THEN sr.l ELSE sr.u END", "adx": "wx.y", "plus_di": "di.plus_di", "minus_di": "di.minus_di",
@@ -388,15 +391,57 @@ _CC = [
 on_bars(
     "snapshot_latest",
     q(
-        f"""SELECT w2.symbol, w2.ts, {', '.join(r(e, k) for k, e in _SNAPSHOT_SQL.items())}, coalesce(sr.way, 'up') AS direction FROM w2
-        {' '.join(f'LEFT JOIN {t} ON {t}.symbol = w2.symbol AND {t}.n = w2.n' for t in ('a8', 'a20', 'a21', 'a50', 'a200', 'md', 'e3', 'rsi', 's3', 'cc', 'm2', 'wr', 'pr', 'sr', 'wx', 'di'))} WHERE w2.back = 1""",
+        f"""SELECT w2.symbol, w2.ts, {', '.join(r(e, k) for k, e in _SNAPSHOT_SQL.items())}, coalesce(sr.way, 'up') AS direction, cast(NULL AS varchar) AS divergence FROM w2
+        {' '.join(f'LEFT JOIN {t} ON {t}.symbol = w2.symbol AND {t}.n = w2.n' for t in (*(f'a{n}' for n in snap.EMA), 'md', 'e3', 'rsi', 's3', 't3', 'cc', 'm2', 'wr', 'wa', 'pr', 'sr', 'wx', 'di'))}
+        LEFT JOIN poc ON poc.symbol = w2.symbol LEFT JOIN fb ON fb.symbol = w2.symbol WHERE w2.back = 1""",
         f"w1 AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _WINDOWED.items())} FROM b)",
-        f"w2 AS MATERIALIZED (SELECT *, ({roll('stddev_pop', 'lr', 20)}) * sqrt(252) * 100 AS hist_vol, sum(os) {_TOTAL} AS obv, sum(ad) {_TOTAL} AS accum_dist FROM w1)",
-        *[sql.ema(f"a{n}", "b", "close", n) for n in (8, 20, 21, 50, 200)],
+        f"""w2 AS MATERIALIZED (SELECT *, ({roll('stddev_pop', 'lr', 20)}) * sqrt(252) * 100 AS hist_vol, sum(os) {_TOTAL} AS obv, sum(ad) {_TOTAL} AS accum_dist,
+          {lag('(tenkan + kijun) / 2', 26)} AS senkou_a, {lag('wide', 26)} AS senkou_b,
+          {', '.join(f'{e} AS {k}' for k, e in _CLASSIC.items())} FROM w1)""",
+        *[sql.ema(f"a{n}", "b", "close", n) for n in snap.EMA],
         sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26), "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", sql.ema("e3", "md", "macd", 9),
-        *sql.RSI, *sql._stochastic("close", "high", "low", "b"), *_CC, *_MF, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], sql._PSAR,
+        *sql.RSI, *sql._stochastic("close", "high", "low", "b"), *sql._stochastic("rsi", "rsi", "rsi", "rsi", "t"), *_CC, *_MF, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], sql._PSAR, *sql.PROFILE, _SW,
+        "fb AS MATERIALIZED (SELECT * FROM (SELECT symbol, arg_max(low, ts) FILTER (WHERE sl) AS lo, arg_max(high, ts) FILTER (WHERE sh) AS hi FROM sw GROUP BY 1) WHERE hi > lo)",
     ),
-    snapshot, "symbol", "ts", "close", *SNAPSHOT, branches=True,
+    lambda b: snap.snapshot(b).select("symbol", "ts", "close", *[f"{group}.*" for group in snap.FIELDS]), "symbol", "ts", "close", *[c for fields in snap.FIELDS.values() for c in fields], branches=True,
+)
+
+# --- recurrences over missing prices, and two timeframes in one table ---
+_GAPPY_STEPS = (rec.ema("ema8", "close", 8), rec.ema("ema21", "close", 21), rec.macd(12, 26, 9), rec.rsi("rsi", 14), rec.atr("atr", 14), rec.adx(14), rec.supertrend(10, 3.0))
+
+
+def gappy(b: DataFrame) -> DataFrame:
+    n, symbol = F.col("n"), F.col("symbol")
+    gone = (n % 97).isin(8, 40) | (symbol.endswith("2") & (n <= 2)) | (symbol.endswith("3") & (n > 60) & (n < 64))
+    return ind.numbered(b).withColumns({c: F.when(~gone, F.col(c)) for c in ("open", "high", "low", "close")})
+
+
+on_bars(
+    "recurrences_over_gaps",
+    q(
+        f"""SELECT b.symbol, b.ts, {r('g8.y', 'ema8')}, {r('g21.y', 'ema21')}, {r('md.macd', 'macd')}, {r('e3.y', 'signal')}, {r('md.macd - e3.y', 'histogram')}, {r('rsi.rsi', 'rsi')}, {r('wr.y', 'atr')},
+        {r('wx.y', 'adx')}, {r('plus_di')}, {r('minus_di')}, {_ST_LINE}, coalesce(way, 'up') AS direction FROM b
+        {' '.join(f'LEFT JOIN {t} ON {t}.symbol = b.symbol AND {t}.n = b.n' for t in ('g8', 'g21', 'md', 'e3', 'rsi', 'wr', 'wx', 'di', 'sr'))}""",
+        sql.ema("g8", "b", "close", 8), sql.ema("g21", "b", "close", 21), sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26),
+        "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", sql.ema("e3", "md", "macd", 9),
+        *sql.RSI, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], bars=sql.GAPPY,
+    ),
+    lambda b: rec.fold(gappy(b), *_GAPPY_STEPS), "symbol", "ts", "ema8", "ema21", "macd", "signal", "histogram", "rsi", "atr", "adx", "plus_di", "minus_di", "supertrend", "direction",
+)
+
+
+def _two_timeframes(b: DataFrame) -> DataFrame:
+    weeks, months = b.withColumn("timeframe", F.lit("1w")), src.resample(b, "month").withColumn("timeframe", F.lit("1mo"))
+    shared = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "volume"]
+    with keyed_by("symbol", "timeframe"):
+        rows = weeks.select(*shared).unionByName(months.select(*shared)).withColumn("sma20", ind.sma(20))
+        return rec.fold(rows, rec.ema("ema21", "close", 21), rec.rsi("rsi", 14)).withColumn("symbol", F.concat_ws("/", "symbol", "timeframe"))
+
+
+on_bars(
+    "two_timeframes",
+    q(f"SELECT b.symbol, b.ts, {r(roll('avg', 'rsi.close', 20, 'b.symbol', 'b.ts'), 'sma20')}, {r('g21.y', 'ema21')}, {r('rsi.rsi', 'rsi')} FROM b JOIN rsi USING (symbol, n) JOIN g21 USING (symbol, n)", *sql.RSI, sql.ema("g21", "b", "close", 21), bars=sql.TWO),
+    _two_timeframes, "symbol", "ts", "sma20", "ema21", "rsi", branches=True,
 )
 
 
@@ -418,11 +463,11 @@ def session_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "statement_rows",
-    f"SELECT 'y' || y AS period, {', '.join(r(f'sum(o_totalprice) FILTER (WHERE o_orderstatus = {chr(39)}{s}{chr(39)})', s) for s in 'FOP')} FROM (SELECT unnest(range(1993, 1998)) AS y) LEFT JOIN orders ON year(o_orderdate) = y GROUP BY 1",
+    f"SELECT 'y' || year(o_orderdate) AS period, {', '.join(r(f'sum(o_totalprice) FILTER (WHERE o_orderstatus = {chr(39)}{s}{chr(39)})', s) for s in 'FOP')} FROM orders GROUP BY 1",
 )
 def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = [f"y{y}" for y in range(1993, 1998)]
     orders = src.table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.concat(F.lit("y"), F.year("o_orderdate")).alias("y"))
+    years = [row["y"] for row in orders.select("y").distinct().orderBy("y").collect()]  # a row a year
     wide = orders.groupBy("o_orderstatus").pivot("y", years).agg(F.sum("o_totalprice"))
     return told(scr.statement_rows(wide, label="o_orderstatus", periods=years, labels=list("FOP")), "period", "F", "O", "P")
 
@@ -493,6 +538,6 @@ on_bars(
 
 
 def _gated(b: DataFrame) -> DataFrame:
-    last = ind.tail(b.withColumns({"traded": scr.mean_value(), "bars": F.count("*").over(ind.Window.partitionBy("symbol")), "suspended": F.coalesce(F.col("volume") == 0, F.lit(False))}), 1)
+    last = ind.tail(b.withColumns({"traded": scr.mean_value(), "bars": F.count("*").over(of_series()), "suspended": F.coalesce(F.col("volume") == 0, F.lit(False))}), 1)
     met = rel.trade_plan(b, "swing").join(last.select("symbol", "traded", "bars", "suspended"), "symbol")
     return met.withColumn("action", scr.gated(F.lit("buy"), rr=F.col("rr"), least_rr=2.0, traded=F.col("traded"), least_traded=500_000.0, bars=F.col("bars"), least_bars=200, suspended=F.col("suspended")))

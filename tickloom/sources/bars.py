@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BAR_SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, value double, frequency bigint"
 STORE_SCHEMA = (
@@ -81,9 +82,12 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample(bars: DataFrame, unit: str = "week", *, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Bars of a coarser calendar unit, labelled by its start (weeks by Monday); units without any complete bar are left out."""
+    """Bars of a coarser width, labelled by its start; widths without any complete bar are left out.
+
+    `unit` is a calendar unit (weeks begin on Monday) or a width like "4 hours" (from midnight).
+    """
     whole = bars.dropna(subset=["open", "high", "low", "close"])
-    start = F.date_trunc(unit, "ts").cast("timestamp_ntz")
+    start = (F.window("ts", unit)["start"] if unit[0].isdigit() else F.date_trunc(unit, "ts")).cast("timestamp_ntz")
     return whole.groupBy(*by, start.alias("start")).agg(
         F.min_by("open", "ts").alias("open"),
         F.max("high").alias("high"),
@@ -113,16 +117,42 @@ def from_provider_symbol(symbol: Column) -> Column:
     return F.regexp_replace(F.upper(symbol), r"\.JK$", "")
 
 
+def stored(bars: DataFrame) -> DataFrame:
+    """bars in the types of the store: prices are decimals at rest; columns that are missing are null."""
+    fields = StructType.fromDDL(STORE_SCHEMA).fields
+    return bars.select(*[(F.col(f.name) if f.name in bars.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields], F.date_format("ts", "yyyy-MM").alias("month"))
+
+
 def write_store(bars: DataFrame, path: str) -> None:
-    """Parquet by timeframe and month."""
-    bars.withColumn("month", F.date_format("ts", "yyyy-MM")).write.partitionBy("timeframe", "month").mode("overwrite").parquet(path)
+    """Parquet by timeframe and month. Of an existing store only the months that `bars` has are replaced."""
+    stored(bars).write.partitionBy("timeframe", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def ingest(loads: DataFrame, stored_bars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bars, report) of loads (instrument_id, timeframe, ts, prices, volume, error): one instrument's failure harms no other.
+
+    Instruments with an `error` give no bars; the report has one row per instrument: bars,
+    error, status (loaded, failed or empty). Bars of the load win over stored ones.
+    """
+    own = Window.partitionBy("instrument_id")
+    marked = loads.withColumn("_failed", F.max(F.col("error").isNotNull()).over(own))
+    report = marked.groupBy("instrument_id").agg(
+        F.count(F.when(~F.col("_failed") & F.col("ts").isNotNull(), 1)).alias("bars"), F.max("error").alias("error"), F.max("_failed").alias("_failed")
+    )
+    status = F.when(F.col("_failed"), "failed").when(F.col("bars") == 0, "empty").otherwise("loaded")
+    fine = stored(marked.filter(~F.col("_failed") & F.col("ts").isNotNull())).withColumn("load_seq", F.lit(0).cast("bigint"))
+    keys = ["instrument_id", "timeframe", "ts"]
+    before = fine.drop("load_seq").limit(0) if stored_bars is None else stored(stored_bars)
+    return upsert(before, fine, key=keys), report.select("instrument_id", "bars", "error", status.alias("status"))
 
 
-def read_store(spark: SparkSession, path: str, *, timeframe: str, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Bars of a timeframe with start <= ts <= stop, prices as doubles; the month predicate prunes folders."""
+def read_store(spark: SparkSession, path: str, *, timeframe: str, instruments: Sequence[int] | None = None, start: str | None = None, stop: str | None = None) -> DataFrame:
+    """Bars of a timeframe (and of some instruments) with start <= ts <= stop, prices as doubles; the month predicate prunes folders."""
     if timeframe not in TIMEFRAMES:
         raise ValueError(f"unknown timeframe {timeframe!r}")
     bars = spark.read.parquet(path).filter(F.col("timeframe") == timeframe)
+    if instruments is not None:
+        bars = bars.filter(F.col("instrument_id").isin(list(instruments)))
     if start is not None:
         bars = bars.filter((F.col("ts") >= start) & (F.col("month") >= start[:7]))
     if stop is not None:
@@ -131,9 +161,9 @@ def read_store(spark: SparkSession, path: str, *, timeframe: str, start: str | N
 
 
 def upsert(stored: DataFrame, loaded: DataFrame, *, key: Sequence[str], sequence: str = "load_seq") -> DataFrame:
-    """The union of both, of rows with one key that of the latest load sequence (`stored` counts as the earliest)."""
+    """The union of both, of rows with one key that of the latest load sequence (`stored` counts as the earliest; of one sequence the row that sorts last)."""
     both = stored.withColumn(sequence, F.lit(-1).cast("bigint")).unionByName(loaded.withColumn(sequence, F.col(sequence).cast("bigint")))
-    latest = Window.partitionBy(*key).orderBy(F.desc(sequence))
+    latest = Window.partitionBy(*key).orderBy(F.desc(sequence), *[F.desc(c) for c in both.columns if c not in (*key, sequence)])
     return both.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank", sequence)
 
 
