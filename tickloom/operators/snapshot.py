@@ -13,6 +13,8 @@ from tickloom.operators.structure import EXTENSIONS, RETRACEMENTS, fibonacci_lev
 SMA = (5, 10, 20, 50, 100, 200)
 EMA = (8, 13, 20, 21, 50, 200)
 PIVOTS = ("pp", "r1", "s1", "r2", "s2", "r3", "s3")
+#: Bars that the longest sliding window needs, and some more.
+LOOKBACK = 252
 FIELDS: dict[str, tuple[str, ...]] = {
     "trend": (
         *(f"sma{n}" for n in SMA), *(f"ema{n}" for n in EMA), "macd", "signal", "histogram", "adx", "plus_di", "minus_di", "psar", "supertrend", "direction",
@@ -28,18 +30,19 @@ FIELDS: dict[str, tuple[str, ...]] = {
 def snapshot_bars(bars: DataFrame) -> DataFrame:
     """Every series' last bar with all fields of FIELDS but the volume profile's and the Fibonacci levels', flat.
 
-    The windows over the bars and then the fold share one exchange on the key; what builds on
-    folded columns takes one more.
+    What runs through a whole series (sums so far, recurrences) is made first, in one exchange
+    on the key; sliding windows then see the last LOOKBACK bars only, in one more.
     """
-    rows = bars.withColumns({f"sma{n}": ind.sma(n) for n in SMA})
-    for add in (ind.add_ichimoku, ind.add_stochastic, ind.add_cci, ind.add_mfi, ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility, ind.add_obv, ind.add_accumulation_distribution):
-        rows = add(rows)
-    before: dict[str, Column] = {c: F.lag(c).over(in_order()) for c in ("high", "low", "close")}
-    rows = rows.withColumns({"williams_r": ind.williams_r(), "roc": ind.roc(), "volume_ma": ind.sma(20, "volume"), "relative_volume": ind.relative_volume(), "vwap": ind.vwap()})
-    rows = rows.withColumns(pivots(before["high"], before["low"], before["close"]))
+    rows = ind.add_accumulation_distribution(ind.add_obv(bars)).withColumn("vwap", ind.vwap())
     steps = [rec.ema(f"ema{n}", "close", n) for n in EMA]
     steps += [rec.macd(12, 26, 9), rec.adx(14), rec.psar(0.02, 0.02, 0.2), rec.supertrend(10, 3.0), rec.rsi("rsi", 14), rec.atr("atr", 14), rec.atr("kc_width", 10), rec.from_end()]
-    rows = ind.add_stoch_rsi(rec.fold(rows, *steps)).filter("back = 1")
+    rows = rec.fold(rows, *steps).filter(F.col("back") <= LOOKBACK)
+    rows = rows.withColumns({f"sma{n}": ind.sma(n) for n in SMA})
+    for add in (ind.add_ichimoku, ind.add_stochastic, ind.add_stoch_rsi, ind.add_cci, ind.add_mfi, ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility):
+        rows = add(rows)
+    before: dict[str, Column] = {c: F.lag(c).over(in_order()) for c in ("high", "low", "close")}
+    rows = rows.withColumns({"williams_r": ind.williams_r(), "roc": ind.roc(), "volume_ma": ind.sma(20, "volume"), "relative_volume": ind.relative_volume()})
+    rows = rows.withColumns(pivots(before["high"], before["low"], before["close"])).filter("back = 1")
     made = {
         "divergence": F.lit(None).cast("string"),  # a pivot needs bars after it
         "atr_percent": 100 * F.try_divide("atr", "close"),
