@@ -240,6 +240,37 @@ def as_of(left: DataFrame, right: DataFrame, *, by: Sequence[str], on: str, valu
     return met.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_last")[v].alias(v) for v in values])
 
 
+def signals(scored: DataFrame, *, text: str | None = None, actions: Sequence[str] = (), least: float | None = None, limit: int | None = None) -> DataFrame:
+    """Scored rows (symbol, ts, score, action) whose symbol holds the text (any case), whose action is listed (none: any) and whose score is at least so high; best first, ties by symbol and time."""
+    out = scored if not text else scored.filter(F.contains(F.lower("symbol"), F.lit(text.lower())))
+    out = out if not actions else out.filter(F.col("action").isin(list(actions)))
+    out = out if least is None else out.filter(F.col("score") >= least)
+    out = out.orderBy(F.desc("score"), *keys(), "ts")
+    return out if limit is None else out.limit(limit)
+
+
+def journal(closed: DataFrame) -> DataFrame:
+    """Per symbol, of closed positions (symbol, side, qty, avg_entry, stop, exit): trades, win_rate in percent, mean and sum of the profit, and the mean multiple of the risk taken (null where the stop is the entry)."""
+    sign = F.when(F.col("side") == "long", 1).otherwise(-1)
+    gain = sign * (F.col("exit") - F.col("avg_entry"))
+    rows = closed.withColumns({"_pnl": gain * F.col("qty"), "_r": ratio(gain, F.abs(F.col("avg_entry") - F.col("stop")))})
+    return rows.groupBy("symbol").agg(
+        F.count("*").alias("trades"), (100 * F.avg((F.col("_pnl") > 0).cast("double"))).alias("win_rate"), F.avg("_pnl").alias("mean_pnl"), F.sum("_pnl").alias("total_pnl"), F.avg("_r").alias("mean_r")
+    )
+
+
+#: Shares of a position sold at each target; after the first the stop moves to the entry.
+SCALE_OUT = (0.4, 0.3, 0.3)
+
+
+def scale_out(plan: DataFrame, shares: Sequence[float] = SCALE_OUT) -> DataFrame:
+    """A plan's lots by target: (symbol, step, target, lots, stop_after), whole lots, the last step taking what is left."""
+    first, second = F.floor(F.col("lots") * shares[0]), F.floor(F.col("lots") * shares[1])
+    steps = [(1, "tp1", first, F.col("entry")), (2, "tp2", second, F.col("entry")), (3, "tp3", F.col("lots") - first - second, F.lit(None).cast("double"))]
+    made = F.array(*[F.struct(F.lit(i).alias("step"), F.col(t).alias("target"), n.cast("bigint").alias("lots"), s.alias("stop_after")) for i, t, n, s in steps])
+    return plan.select(*keys(), F.explode(made).alias("x")).select(*keys(), "x.*")
+
+
 # --- backtest ---
 
 

@@ -221,3 +221,28 @@ PLAN = [
     f"p5 AS MATERIALIZED (SELECT *, {', '.join(f'{_DOWN(f'round(entry + {k}::double * risk, 4)')}::double AS tp{i}' for i, k in ((1, 1.5), (2, 2.5), (3, 4.0)))} FROM p4)",
 ]
 _X20 = f"SELECT *, {roll('avg', 'close', 20)} AS f, {roll('avg', 'close', 50)} AS s FROM b"
+BACKTEST = [
+    TR, wilder("wa", "tr", "t", 14), ema("x20", "b", "close", 20),
+    f"""xs AS MATERIALIZED (SELECT b.symbol, b.ts, b.n, open, high, low, close > x20.y AND lag(close) OVER (PARTITION BY b.symbol ORDER BY b.n) <= lag(x20.y) OVER (PARTITION BY b.symbol ORDER BY b.n) AS sig,
+      close - 2.0::double * wa.y AS st, close + 2.5::double * 2.0::double * wa.y AS tk FROM b JOIN x20 USING (symbol, n) LEFT JOIN wa ON wa.symbol = b.symbol AND wa.n = b.n)""",
+    "xl AS MATERIALIZED (SELECT *, lag(sig) OVER w AS ps, lag(st) OVER w AS pt, lag(tk) OVER w AS pk FROM xs WINDOW w AS (PARTITION BY symbol ORDER BY n))",
+    # held (since which bar), price, s and t: the position at the bar; got: the price at which the bar ends it
+    """bt AS (SELECT symbol, n, cast(NULL AS bigint) AS held, cast(NULL AS double) AS price, cast(NULL AS double) AS s, cast(NULL AS double) AS t, cast(NULL AS double) AS got FROM xl WHERE n = 1 UNION ALL
+      SELECT symbol, n, held, price, s, t, CASE WHEN held IS NULL THEN NULL WHEN low <= s THEN least(open, s) WHEN high >= t THEN greatest(open, t) END
+      FROM (SELECT x.symbol, x.n, x.open, x.high, x.low, CASE WHEN e.held IS NOT NULL AND e.got IS NULL THEN e.held WHEN x.ps AND x.open > x.pt THEN x.n END AS held,
+          CASE WHEN e.held IS NOT NULL AND e.got IS NULL THEN e.price WHEN x.ps AND x.open > x.pt THEN x.open * (1 + 0.001::double) END AS price,
+          CASE WHEN e.held IS NOT NULL AND e.got IS NULL THEN e.s WHEN x.ps AND x.open > x.pt THEN x.pt END AS s, CASE WHEN e.held IS NOT NULL AND e.got IS NULL THEN e.t WHEN x.ps AND x.open > x.pt THEN x.pk END AS t
+        FROM bt e JOIN xl x ON x.symbol = e.symbol AND x.n = e.n + 1))""",
+    """td AS MATERIALIZED (SELECT bt.symbol, i.ts AS entry_ts, o.ts AS exit_ts, price AS entry, got * (1 - 0.001::double) AS exit,
+      (got * (1 - 0.001::double) * (1 - 0.0025::double) - price * (1 + 0.0015::double)) / (price * (1 + 0.0015::double)) AS ret, (got * (1 - 0.001::double) - price) / nullif(price - s, 0) AS r
+      FROM bt JOIN xl i ON i.symbol = bt.symbol AND i.n = bt.held JOIN xl o ON o.symbol = bt.symbol AND o.n = bt.n WHERE got IS NOT NULL)""",
+]
+METRICS = [
+    "m1 AS MATERIALIZED (SELECT *, exp(sum(ln(1 + ret)) OVER o) AS equity, sum(CASE WHEN ret > 0 THEN 1 ELSE 0 END) OVER o AS island FROM td WINDOW o AS (PARTITION BY symbol ORDER BY entry_ts ROWS UNBOUNDED PRECEDING))",
+    """m2 AS MATERIALIZED (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY symbol ORDER BY entry_ts ROWS UNBOUNDED PRECEDING)) - 1 AS down,
+      sum(CASE WHEN ret > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol, island ORDER BY entry_ts ROWS UNBOUNDED PRECEDING) AS streak FROM m1)""",
+    """m3 AS MATERIALIZED (SELECT symbol, count(*) AS trades, 100 * avg(CASE WHEN ret > 0 THEN 1.0::double ELSE 0 END) AS win_rate, sum(ret) FILTER (WHERE ret > 0) / nullif(-sum(ret) FILTER (WHERE ret < 0), 0) AS profit_factor,
+      avg(r) AS expectancy_r, exp(sum(ln(1 + ret))) AS growth, (epoch(max(exit_ts)) - epoch(min(entry_ts))) / (365.25::double * 86400) AS years, min(down) AS max_drawdown,
+      avg(ret) / nullif(stddev_pop(ret), 0) AS sharpe, avg(ret) / nullif(sqrt(avg(power(least(ret, 0), 2))), 0) AS sortino, cast(max(streak) AS bigint) AS longest_losing_streak FROM m2 GROUP BY 1)""",
+    "m4 AS MATERIALIZED (SELECT *, growth - 1 AS total_return, CASE WHEN years > 0 THEN power(growth, 1 / years) - 1 END AS cagr FROM m3)",
+]

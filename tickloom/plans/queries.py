@@ -339,11 +339,14 @@ _POS = "(SELECT s_suppkey, n_name AS symbol, CASE WHEN s_suppkey % 4 = 0 THEN 's
     ),
 )
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _summary(spark, sf_dir).filter("last_price IS NOT NULL").select("symbol", F.col("last_price").alias("price"))
+    return told(rel.portfolio(_positions(spark, sf_dir), prices), "s_suppkey", "market_value", "pnl", "pnl_pct", "allocation_pct", "total_pnl_pct")
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = src.table(spark, sf_dir, "supplier").join(src.nations(spark, sf_dir), F.col("s_nationkey") == F.col("instrument_id"))
     k = F.col("s_suppkey")
-    positions = held.select("s_suppkey", "symbol", F.when(k % 4 == 0, "short").otherwise("long").alias("side"), (100 * (1 + k % 7)).alias("qty"), (1000.0 + k % 50).alias("avg_entry"))
-    prices = _summary(spark, sf_dir).filter("last_price IS NOT NULL").select("symbol", F.col("last_price").alias("price"))
-    return told(rel.portfolio(positions, prices), "s_suppkey", "market_value", "pnl", "pnl_pct", "allocation_pct", "total_pnl_pct")
+    return held.select("s_suppkey", "symbol", F.when(k % 4 == 0, "short").otherwise("long").alias("side"), (100 * (1 + k % 7)).alias("qty"), (1000.0 + k % 50).alias("avg_entry"))
 
 
 @register(
@@ -357,8 +360,41 @@ def as_of_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(rel.as_of(left, src.nation_week(spark, sf_dir), by=["symbol"], on="ts", values=["close"]), "o_orderkey", "symbol", "close")
 
 
-on_bars("backtest_trades", None, rel.backtest, "symbol", "entry_ts", "exit_ts", "entry", "exit", "return", "r")
-on_bars("backtest_metrics", None, lambda b: rel.backtest_metrics(rel.backtest(b)), "symbol", "trades", "win_rate", "profit_factor", "expectancy_r", "total_return", "cagr", "max_drawdown", "calmar", "sharpe", "sortino", "longest_losing_streak")
+on_bars("backtest_trades", q(f"SELECT symbol, entry_ts, exit_ts, {r('entry')}, {r('exit')}, {r('ret', 'return')}, {r('r', 'r')} FROM td", *sql.BACKTEST), rel.backtest, "symbol", "entry_ts", "exit_ts", "entry", "exit", "return", "r")
+_RATIOS = ("win_rate", "profit_factor", "expectancy_r", "total_return", "cagr", "max_drawdown", "sharpe", "sortino")
+on_bars(
+    "backtest_metrics",
+    q(f"SELECT symbol, trades, longest_losing_streak, {', '.join(r(c) for c in _RATIOS)}, {r('cagr / nullif(abs(max_drawdown), 0)', 'calmar')} FROM m4", *sql.BACKTEST, *sql.METRICS),
+    lambda b: rel.backtest_metrics(rel.backtest(b)), "symbol", "trades", *_RATIOS, "calmar", "longest_losing_streak",
+)
+on_bars(
+    "signal_listing",
+    q(f"SELECT symbol, ts, {r('score')}, action FROM (SELECT *, CASE WHEN score >= 80 THEN 'strong_buy' WHEN score >= 65 THEN 'buy' WHEN score >= 45 THEN 'hold' WHEN score >= 30 THEN 'reduce' ELSE 'sell' END AS action FROM (SELECT *, {_SCORE} AS score FROM rsi WHERE rsi IS NOT NULL)) WHERE action IN ('buy', 'hold') AND score >= 45 AND contains(lower(symbol), '#1') ORDER BY score DESC, symbol, ts LIMIT 20", *sql.RSI),
+    lambda b: rel.signals(_composite(b), text="#1", actions=("buy", "hold"), least=45.0, limit=20), "symbol", "ts", "score", "action",
+)
+on_bars(
+    "scale_out",
+    q(
+        f"SELECT symbol, x.step, {r('x.target', 'target')}, x.lots, {r('x.stop', 'stop_after')} FROM (SELECT symbol, unnest([{{step: 1, target: tp1, lots: a, stop: entry}}, {{step: 2, target: tp2, lots: c, stop: entry}}, {{step: 3, target: tp3, lots: lots - a - c, stop: NULL}}]) AS x FROM (SELECT *, cast(floor(lots * 0.4::double) AS bigint) AS a, cast(floor(lots * 0.3::double) AS bigint) AS c FROM (SELECT *, cast(greatest(0, floor(least(CASE WHEN risk > 0 THEN 1500000::double / (risk * 100) END, 30000000::double / (entry * 100)))) AS bigint) AS lots FROM p5)))",
+        *sql.PLAN,
+    ),
+    lambda b: rel.scale_out(rel.trade_plan(b, "swing")), "symbol", "step", "target", "lots", "stop_after",
+)
+
+
+@register(
+    "journal_stats",
+    q(
+        f"SELECT symbol, count(*) AS trades, {r('100 * avg(CASE WHEN pnl > 0 THEN 1.0::double ELSE 0 END)', 'win_rate')}, {r('avg(pnl)', 'mean_pnl')}, {r('sum(pnl)', 'total_pnl')}, {r('avg(g / nullif(abs(avg_entry - stop), 0))', 'mean_r')} FROM (SELECT *, g * qty AS pnl FROM (SELECT symbol, qty, avg_entry, CASE WHEN s_suppkey % 5 = 0 THEN avg_entry ELSE avg_entry * 0.95::double END AS stop, CASE WHEN side = 'long' THEN 1 ELSE -1 END * (last_price - avg_entry) AS g FROM {_POS} JOIN sm USING (symbol) WHERE last_price IS NOT NULL)) GROUP BY 1",
+        _SUMMARY, bars=NATION,
+    ),
+)
+def journal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _summary(spark, sf_dir).filter("last_price IS NOT NULL").select("symbol", F.col("last_price").alias("exit"))
+    stop = F.when(F.col("s_suppkey") % 5 == 0, F.col("avg_entry")).otherwise(F.col("avg_entry") * 0.95)
+    return told(rel.journal(_positions(spark, sf_dir).withColumn("stop", stop).join(prices, "symbol")), "symbol", "trades", "win_rate", "mean_pnl", "total_pnl", "mean_r")
+
+
 on_bars(
     "sector_percentiles",
     q(f"SELECT sector, {r('median(close)', 'median_close')}, {r('quantile_cont(close, 0.25)', 'p25')}, {r('quantile_cont(close, 0.75)', 'p75')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) WHERE k = 1 GROUP BY 1", bars=NATION),
