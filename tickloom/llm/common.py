@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 WORD_GAP = r"[^\x20\x09-\x0D]+"
+#: Shuffle files go when the job that wrote them has ended, not when the driver next collects garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
 
     A session of one process (master local) that names none gets a temporary folder; on a
-    cluster a folder that all executors share must be named.
+    cluster a folder that all executors share must be named. The shuffle files of the job are
+    deleted once the checkpoint is written: nothing reads them again.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -30,7 +33,13 @@ def materialize(df: DataFrame) -> DataFrame:
         if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        once = df.select("*")  # the setting is read when a frame is made
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return once.checkpoint(eager=True)
 
 
 def quoted(name: str) -> Column:
