@@ -152,15 +152,15 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 # a key whatever the order is; putting shingles that are frequent in a sample last keeps shared
 # passages and templates out of the keys. `sig` is a SimHash of SIG_BITS bits over the set; its
 # Hamming distance estimates the similarity (standard error about 0.02 at 1024 bits) and spares
-# exact comparisons. The sets themselves decide. A key that few texts hold is joined; the texts
-# of a key that many hold are compared block by block inside tasks, and only links come out.
+# exact comparisons; of under SMALL shingles, too few for such an estimate, it is the set itself.
+# The sets decide, and only those of likely pairs are ever made. A key that few texts hold is
+# joined; the signatures of a key that many hold are compared block by block inside tasks.
 
 SIG_BITS = 1024
 SMALL = 64
 #: Cells of the table of frequencies, and bytes of text (about) that it is counted on.
 CELLS, CELL_CHUNKS, SAMPLE_BYTES = 1 << 22, 64, 1 << 27
 _SIG_SALT = mix64(np.arange(1, SIG_BITS // 64 + 1, dtype=np.uint64))
-SIG_WORDS = SIG_BITS // 64
 
 
 def _wide(features: np.ndarray, salt: np.ndarray, at_once: int = 1 << 11) -> np.ndarray:
@@ -228,10 +228,9 @@ def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle:
                 n = len(features)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(n)
-                sigs.append(_wide(features, _SIG_SALT))
+                sigs.append(features if n < SMALL else _wide(features, _SIG_SALT))
                 keys.append(features[np.lexsort((features, often[_cells(features)]))[: n - math.ceil(similarity * n - 1e-9) + 1]])
-            ends = np.cumsum([0, *map(len, keys[1:])]).astype(np.int32), np.arange(0, len(sizes) * SIG_WORDS + 1, SIG_WORDS, dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(e), pa.array(np.concatenate(x).view(np.int64))) for e, x in zip(ends, (keys, sigs))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x[1:])]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (keys, sigs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "row", "digest", "n", "keys", "sig"])
 
     slim = df.select(quoted(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), quoted(text).cast("string").alias("text"))
@@ -322,81 +321,83 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 81
     return out
 
 
+def _differing(left: np.ndarray, right: np.ndarray, at_once: int = 64) -> np.ndarray:
+    """Hamming distance of each signature of `left` to each of `right` (rows of uint64)."""
+    out = np.empty((len(left), len(right)), np.int32)
+    for lo in range(0, len(left), at_once):
+        out[lo : lo + at_once] = np.bitwise_count(left[lo : lo + at_once, None, :] ^ right[None, :, :]).sum(axis=2)
+    return out
+
+
 #: Digests of one key above which they are compared in blocks, and digests in a block, about.
 MANY, BLOCK_ROWS = 64, 1024
-#: Largest set, and most earlier keys, that a row carries into a block.
-CARRIED_SET, EARLIER = 1024, 64
+#: Most earlier keys that a row carries into a block.
+EARLIER = 64
 
 
-def crowded_links(crowded: DataFrame, nodes: DataFrame, sets: DataFrame, *, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b, sure), a < b: links among the texts that hold one key of many, whatever their number.
+def crowded_pairs(crowded: DataFrame, nodes: DataFrame, *, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b), a < b: likely pairs among the texts that hold one key of many, whatever their number.
 
     The digests of a key are dealt to blocks by their hash and every two blocks meet in a task
-    of their own, so no task has a whole key and no pair leaves it unless it is a link. Pairs
-    that share one of their first EARLIER crowded keys below this one were met there. Sets of
-    up to CARRIED_SET shingles are in the block and decide (`sure`); of larger ones the
-    signatures are, and pairs that these allow are for similar_links() to decide.
+    of their own, so no task has a whole key and no pair leaves it unless sizes and signatures
+    allow it. Pairs that share one of their first EARLIER crowded keys below this one were met there.
     """
     first = crowded.groupBy("digest").agg(F.slice(F.array_sort(F.collect_list("key")), 1, EARLIER).alias("first"))
-    crowded = crowded.join(first, "digest").withColumn("earlier", F.filter("first", lambda k: k < F.col("key"))).drop("first")
-    small = sets.filter(F.size("shingles") <= CARRIED_SET)
-    large = nodes.filter(F.col("n") > CARRIED_SET).join(crowded.select("digest").distinct(), "digest", "left_semi").select("digest", "sig")
-    told = crowded.select("key", "digest", "n", "group", "there", "earlier").join(small, "digest", "left").join(large, "digest", "left")
+    told = crowded.join(first, "digest").withColumn("earlier", F.filter("first", lambda k: k < F.col("key")))
+    told = told.select("key", "digest", "n", "group", "there", "earlier").join(nodes.select("digest", "sig"), "digest")
     blocks = F.ceil(F.col("there") / block_rows).cast("int")
     told = told.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("digest"), blocks).cast("int")})
     told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    told = told.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    told = told.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("there", "blocks", "other")
     most = most_differing(similarity)
 
     def compare(table: pa.Table) -> pa.Table:
         lo = table["block"].to_numpy() == pc.min(table["block"]).as_py()
         two = not lo.all()
-        sides = [np.flatnonzero(lo), np.flatnonzero(~lo) if two else np.flatnonzero(lo)]
+        a, b = np.flatnonzero(lo), np.flatnonzero(~lo) if two else np.flatnonzero(lo)
         n = table["n"].to_numpy()
         group = np.array(table["group"].to_pylist(), object)
         digest = np.array(table["digest"].to_pylist(), object)
-        lists = lambda c: [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in table[c]]
-        earlier, shingles, sigs = lists("earlier"), lists("shingles"), lists("sig")
+        lists = lambda c: [x.values.to_numpy() for x in table[c]]
+        earlier, sigs = lists("earlier"), lists("sig")
         pick = lambda x, side: [x[i] for i in side]
-        a, b = sides
         na, nb = n[a][:, None], n[b][None, :]
-        open_ = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
-        open_ &= (group[a][:, None] != group[b][None, :]) & (_overlaps(pick(earlier, a), pick(earlier, b)) == 0)
+        near = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
+        near &= (group[a][:, None] != group[b][None, :]) & (_overlaps(pick(earlier, a), pick(earlier, b)) == 0)
         if not two:
-            open_ &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
-        held = np.array([len(x) > 0 for x in shingles])
-        rows_, columns_ = open_.any(axis=1), open_.any(axis=0)
-        sub = np.ix_(rows_, columns_)
-        both = np.zeros(open_.shape, np.float32)
-        both[sub] = _overlaps(pick(shingles, a[rows_]), pick(shingles, b[columns_]))
-        exact = held[a][:, None] & held[b][None, :]
-        found = [(i, j, True) for i, j in zip(*np.nonzero(open_ & exact & (both >= similarity * (na + nb - both) - 1e-6)))]
-        for i, j in zip(*np.nonzero(open_ & ~exact)):
-            x, y = sigs[a[i]], sigs[b[j]]
-            if not len(x) or not len(y) or int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= most:
-                found.append((i, j, False))
-        pairs = [(*sorted((digest[a[i]], digest[b[j]])), sure) for i, j, sure in found]
-        columns = list(zip(*pairs)) or [(), (), ()]
-        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary()), "sure": pa.array(columns[2], pa.bool_())})
-
-    return told.groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary, sure boolean").distinct()
-
-
-def similar_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, *, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity.
-
-    Sizes and signatures only spare the exact comparison where it must fail. Sets of under
-    SMALL shingles skip the signature: the bits of so few are not near enough to normal.
-    """
+            near &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+        (few_a, many_a), (few_b, many_b) = ((np.flatnonzero(n[x] < SMALL), np.flatnonzero(n[x] >= SMALL)) for x in (a, b))
+        both = _overlaps(pick(sigs, a[few_a]), pick(sigs, b[few_b]))
+        near[np.ix_(few_a, few_b)] &= both >= similarity * (na[few_a] + nb[:, few_b] - both) - 1e-6
+        if len(many_a) and len(many_b):
+            left, right = (np.stack(pick(sigs, x)).view(np.uint64) for x in (a[many_a], b[many_b]))
+            near[np.ix_(many_a, many_b)] &= _differing(left, right) <= most
+        pairs = [sorted((digest[a[i]], digest[b[j]])) for i, j in zip(*np.nonzero(near))]
+        return pa.table({c: pa.array([p[k] for p in pairs], pa.binary()) for k, c in enumerate("ab")})
+
+    return told.groupBy("key", "lo", "hi").applyInArrow(compare, "a binary, b binary")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures allow to have at least that Jaccard similarity."""
     side = lambda c: nodes.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    both = F.size(F.array_intersect("sig_a", "sig_b"))
     apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized & ((F.least("n_a", "n_b") < SMALL) | (apart <= most_differing(similarity))))
-    near = near.select("a", "b", "n_a", "n_b")
+    allowed = F.when(large < SMALL, both >= similarity * (small + large - both) - 1e-9).when(small < SMALL, True).otherwise(apart <= most_differing(similarity))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.filter((small >= similarity * large - 1e-9) & allowed).select("a", "b")
+
+
+def similar_links(pairs: DataFrame, df: DataFrame, rows: DataFrame, *, text: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity; sets are made of their texts only."""
+    near = materialize(pairs.distinct())
+    wanted = near.select(F.col("a").alias("digest")).union(near.select("b")).distinct()
+    sets = materialize(shingle_sets(df, rows, wanted, text=text, shingle=shingle))
     full = lambda c: sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"set_{c}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    met = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", both.alias("both"), (F.col("n_a") + F.col("n_b")).alias("sum"))
-    return met.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b")
+    both, total = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    met = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", both.alias("both"), total.alias("sum"))
+    return materialize(met.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("a", "b"))
 
 
 def near_duplicate_groups(
@@ -414,14 +415,12 @@ def near_duplicate_groups(
     shared = materialize(shared_keys(nodes.select("digest", "n", "keys")))
     # only texts that share a key have partners
     nodes = materialize(nodes.drop("keys").join(shared.select("digest").distinct(), "digest", "left_semi"))
-    sets = materialize(shingle_sets(df, rows, shared.select("digest").distinct(), text=text, shingle=shingle))
-    similar = lambda pairs: materialize(similar_links(pairs, nodes, sets, similarity=similarity))
-    led = similar(candidates(shared))
-    left = materialize(apart(shared, materialize(connected_components(led))))
-    few = similar(few_pairs(left.filter(F.col("there") <= many), similarity))
-    met = materialize(crowded_links(left.filter(F.col("there") > many), nodes, sets, similarity=similarity, block_rows=block_rows))
-    blocks = met.filter("sure").select("a", "b").union(similar(met.filter(~F.col("sure")).select("a", "b")))
-    found = connected_components(led.union(few).union(blocks))
+    similar = lambda pairs: similar_links(pairs, df, rows, text=text, shingle=shingle, similarity=similarity)
+    led = similar(likely(candidates(shared), nodes, similarity))
+    left = materialize(apart(shared, connected_components(led)))
+    few = likely(few_pairs(left.filter(F.col("there") <= many), similarity), nodes, similarity)
+    crowded = crowded_pairs(left.filter(F.col("there") > many), nodes, similarity=similarity, block_rows=block_rows)
+    found = connected_components(led.union(similar(few.union(crowded))))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
