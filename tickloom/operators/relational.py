@@ -140,7 +140,7 @@ def summary(instruments: DataFrame, bars: DataFrame) -> DataFrame:
 def movers(summed: DataFrame, n: int = 5, gainers: bool = True) -> DataFrame:
     """The n largest gains or losses; ties by symbol."""
     known = summed.filter("change_pct IS NOT NULL AND last_price IS NOT NULL")
-    return known.orderBy(F.desc("change_pct") if gainers else F.asc("change_pct"), [*keys()]).limit(n)
+    return known.orderBy(F.desc("change_pct") if gainers else F.asc("change_pct"), *keys()).limit(n)
 
 
 def sparkline(bars: DataFrame, n: int = 20) -> DataFrame:
