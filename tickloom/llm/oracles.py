@@ -45,4 +45,19 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, c
 FROM dw LEFT JOIN p USING (row) LEFT JOIN q USING (row)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": MIXING, "op4_decontamination": DECONTAMINATION}
+_PIECES = r"regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')"
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest({_PIECES}), '[^\x20\x09]+') AS w FROM documents),
+o AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM o GROUP BY 1, 2, 3),
+t AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+x AS (SELECT c.lang, array_to_string(c.w[i:i + k - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS k) WHERE k < m) c GROUP BY 1, 2),
+k AS (SELECT c.lang, c.phrase, c.m, c.a, c.w, unnest(range(1, c.m)) AS k FROM c LEFT JOIN x ON x.lang = c.lang AND x.phrase = c.phrase WHERE NOT coalesce(100::hugeint * longer >= 80::hugeint * a, false)),
+s AS (SELECT k.lang, k.phrase, k.k, a, lf.f AS l, rf.f AS r, ((2000000::hugeint * a) // (lf.f::hugeint + rf.f))::bigint AS score FROM k
+  JOIN f lf ON lf.lang = k.lang AND lf.phrase = array_to_string(k.w[1:k.k], ' ') AND lf.m = k.k JOIN f rf ON rf.lang = k.lang AND rf.phrase = array_to_string(k.w[k.k + 1:], ' ') AND rf.m = k.m - k.k),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b) JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_collocations": COLLOCATIONS, "op3_mixing": MIXING, "op4_decontamination": DECONTAMINATION}

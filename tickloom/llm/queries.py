@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import annsearch, langid, mixing, pii, quality, sharding, simhash, tagpaths, tokencount, winnowing
+from tickloom.llm import annsearch, collocations, langid, mixing, pii, quality, sharding, simhash, tagpaths, tokencount, winnowing
 from tickloom.llm.common import crc32_mod, read_table
 
 
@@ -69,6 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), longest=4, least=30, covered=80, top=2000)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -80,4 +84,5 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
+    "op13_collocations": op13_collocations,
 }
