@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import materialize, quoted
 from tickloom.llm.textbytes import mix64
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 #: A bit for each hash of a frequent phrase: 8 MB.
 FILTER_BITS = 26
 #: A word that stands at one position in so many, or more often, has its bits packed.
