@@ -60,4 +60,17 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b) JOIN t USING (lang) WHERE rank <= 2000
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_collocations": COLLOCATIONS, "op3_mixing": MIXING, "op4_decontamination": DECONTAMINATION}
+#: The same marks and escapes; lengths and texts come from the rows, not from a formatted string.
+_BROKEN = r"regexp_replace(replace({}, '\', '\\'), '([<\[])(<SYS>>|</SYS>>|INST\]|/INST\]|s>|/s>|ROLE\]|SAYS\]|/ROLE\]|NEXT\])', '\1\\\2', 'g')"
+CHATS = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) x(t))),
+o AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w IS DISTINCT FROM role AS opens, length({_BROKEN.format('text')}) AS chars FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars + CASE WHEN NOT opens THEN 6 WHEN role = 'system' THEN 15 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 7 ELSE 19 + length({_BROKEN.format('role')}) END)::bigint AS formatted_chars,
+  count(*) FILTER (WHERE opens) AS n_merged
+FROM o GROUP BY 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_chat_formatting": CHATS, "op13_collocations": COLLOCATIONS, "op3_mixing": MIXING, "op4_decontamination": DECONTAMINATION}

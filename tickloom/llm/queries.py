@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import annsearch, collocations, langid, mixing, pii, quality, sharding, simhash, tagpaths, tokencount, winnowing
+from tickloom.llm import annsearch, chat, collocations, langid, mixing, pii, quality, sharding, simhash, tagpaths, tokencount, vectorcodes, winnowing
 from tickloom.llm.common import crc32_mod, read_table
 
 
@@ -69,6 +69,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(read_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024).drop("label")
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select(*chat.CONVERSATION)
+    return chat.digest(chat.format_chats(turns.unionByName(chat.injection(spark))))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"), longest=4, least=30, covered=80, top=2000)
 
@@ -84,5 +93,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_chat_formatting": op12_chat_formatting,
     "op13_collocations": op13_collocations,
 }
