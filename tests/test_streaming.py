@@ -40,11 +40,3 @@ def test_alerts(spark, tmp_path):
     alerts = spark.createDataFrame([(1, "A", "price_above", 75.0), (2, "A", "price_below", 5.0)], "alert_id int, symbol string, kind string, level double")
     out = run(stream.stream_alerts(ticks(spark, tmp_path), alerts), "alerts_out", "append").collect()
     assert sorted((r.alert_id, r.price) for r in out) == [(1, 80.0), (2, 0.0)]
-
-
-def test_late_bars_win(spark, tmp_path):
-    make = lambda price: spark.createDataFrame([("A", "2026-01-05", price)], "symbol string, ts string, close double")
-    path = str(tmp_path / "store")
-    stream.merge_bars(make(1.0), 0, path)
-    stream.merge_bars(make(2.0), 1, path)
-    assert spark.read.parquet(f"{path}/v1").collect()[0].close == 2.0

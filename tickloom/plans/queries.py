@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.tick import round_to_tick, tick_size
@@ -17,40 +15,9 @@ from tickloom.operators import snapshot as snap
 from tickloom.operators.series import in_order, keyed_by, of_series
 from tickloom.plans import oracle as sql
 from tickloom.plans.oracle import B, EVENT, NATION, TP, lag, q, r, roll
+from tickloom.plans.registry import ORACLE_SQL, QUERIES, column, on_bars, register, told
 from tickloom.sources import bars as src
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def told(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns, doubles rounded to six places."""
-    kinds = dict(df.dtypes)
-    return df.select(*[F.round(F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
-
-
-def register(name: str, twin: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if twin is not None:
-            ORACLE_SQL[name] = twin
-        return fn
-
-    return add
-
-
-def on_bars(name: str, twin: str | None, make: Callable[[DataFrame], DataFrame], *columns: str, source: Query = src.brand_week, branches: bool = False) -> None:
-    """A query over the bars of one source. Where the plan branches over them, the bars (far smaller than the ticks) are cached, so the ticks are read once."""
-    given = (lambda spark, sf_dir: source(spark, sf_dir).cache()) if branches else source
-    register(name, twin)(lambda spark, sf_dir: told(make(given(spark, sf_dir)), *columns))
-
-
-def column(name: str, twin: str, make: Callable[[], Column], *, source: Query = src.brand_week) -> None:
-    """A query that adds one column to the bars."""
-    on_bars(name, twin, lambda b: b.withColumn(name, make()), "symbol", "ts", name, source=source)
-
-
 KEYS = "symbol, ts"
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume", "value", "frequency")
 PRICES = ", ".join(r(c) for c in ("open", "high", "low", "close"))
@@ -577,3 +544,5 @@ def _gated(b: DataFrame) -> DataFrame:
     last = ind.tail(b.withColumns({"traded": scr.mean_value(), "bars": F.count("*").over(of_series()), "suspended": F.coalesce(F.col("volume") == 0, F.lit(False))}), 1)
     met = rel.trade_plan(b, "swing").join(last.select("symbol", "traded", "bars", "suspended"), "symbol")
     return met.withColumn("action", scr.gated(F.lit("buy"), rr=F.col("rr"), least_rr=2.0, traded=F.col("traded"), least_traded=500_000.0, bars=F.col("bars"), least_bars=200, suspended=F.col("suspended")))
+
+from tickloom.plans import streams  # noqa: E402, F401  registers its queries

@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickloom.sources.bars import upsert
+from tickloom.operators.series import keys
+from tickloom.sources.store import merge_batch
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", *, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """Ticks (symbol, ts, price, volume) to bars over tumbling (or, with slide, sliding) windows; ticks later than `late` are dropped."""
+    """Ticks (key, ts, price, volume) to bars over tumbling (or, with slide, sliding) windows; ticks later than `late` are dropped."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    bars = ticks.withWatermark("ts", late).groupBy(window.alias("w"), "symbol").agg(
+    bars = ticks.withWatermark("ts", late).groupBy(window.alias("w"), *keys()).agg(
         F.min_by("price", "ts").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "ts").alias("close"),
         F.sum("volume").alias("volume"),
     )
-    return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+    return bars.select(*keys(), F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
 def stream_session_vwap(ticks: DataFrame, gap: str = "30 minutes", *, late: str = "10 minutes") -> DataFrame:
     """Volume-weighted mean price of each session, a session ending after `gap` without ticks."""
-    sums = ticks.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "symbol").agg(F.sum(F.col("price") * F.col("volume")).alias("pv"), F.sum("volume").alias("v"))
-    return sums.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), F.try_divide("pv", "v").alias("vwap"))
+    sums = ticks.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), *keys()).agg(F.sum(F.col("price") * F.col("volume")).alias("pv"), F.sum("volume").alias("v"))
+    return sums.select(*keys(), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), F.try_divide("pv", "v").alias("vwap"))
 
 
 def stream_ema(bars: DataFrame, span: int = 21) -> DataFrame:
@@ -56,16 +57,14 @@ def stream_alerts(quotes: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def unique_ticks(ticks: DataFrame, *, key: str = "tick_id", late: str = "10 minutes") -> DataFrame:
-    """Ticks without those that repeat a key within the watermark."""
+    """Ticks without those that repeat a key within the watermark, and without late ones."""
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def merge_bars(batch: DataFrame, number: int, path: str) -> None:
-    """foreachBatch sink: bars of the batch win over stored bars of the same (symbol, ts). Each batch writes a new folder, so a repeated batch does no harm."""
-    spark = batch.sparkSession
-    load = batch.withColumn("load_seq", F.lit(number))
-    if number == 0:
-        merged = batch
-    else:
-        merged = upsert(spark.read.parquet(f"{path}/v{number - 1}"), load, key=["symbol", "ts"])
-    merged.write.mode("overwrite").parquet(f"{path}/v{number}")
+def merge_bars(path: str, *, writer: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that merges bars into the store at `path` (see sources/store.py)."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        merge_batch(batch, number, path, writer=writer)
+
+    return sink
