@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import packed, quoted, schema_with, unpacked
+from tickloom.llm.common import materialize, packed, quoted, schema_with, unpacked
 from tickloom.llm.textbytes import SPACED, Words, byte_table, slices
 
 BUCKETS = 1 << 14
+#: Text whose features are in memory at once.
+PART_BYTES = 2 << 20
 STATS = 20
 CLASSES = {
     "upper": np.isin(np.arange(256), np.arange(65, 91)),
@@ -93,6 +95,16 @@ def _rows(df: DataFrame, text: str, metadata: Sequence[str], extra: Sequence[Col
     return df.select(quoted(text).cast("string").alias("t"), meta.alias("meta"), *extra)
 
 
+def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of text (column 0), so that features take memory by the part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class _Sparse:
     """Rows of features: indices and values one after the other, and where each row starts."""
 
@@ -166,10 +178,14 @@ def train(
     metadata: Sequence[str] = (),
     where: Column | None = None,
     most_rows: int = 12_000,
+    most_features: int = 1 << 24,
     **options,
 ) -> FactorisationMachine:
     """Fit on at most `most_rows` labelled rows, drawn by a hash of the key; only their features reach the driver.
 
+    Of these rows, in the order of key and text, as many are learned from as have `most_features` features in all
+    (8 bytes each on the driver).
+
     `where` may use the column k (the key). Null labels and keys don't count; of several labels
     of a key the mean counts. If documents repeat a key, all of them are learned from as far as
     `most_rows` goes, in the order of key and text. Without labelled rows every score is 0.5.
@@ -181,7 +197,7 @@ def train(
     rows = slim.join(F.broadcast(drawn), F.col("own") == F.col("k")).select("t", "meta", F.col("k").cast("string").alias("k"), "y", F.xxhash64("t").alias("h"))  # at most most_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole)):
             told = list(features(batch.column(0)))
             stats = [[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -190,8 +206,10 @@ def train(
             )
 
     told = rows.mapInArrow(run, "ids array<int>, vals array<float>, stats array<double>, k string, y double, h long")
-    table = told.orderBy("k", "h").limit(most_rows).toArrow()
-    table = table.combine_chunks()
+    told = materialize(told.select("*", F.size("ids").alias("n")))
+    sizes = told.select("k", "h", "n").orderBy("k", "h", "n").limit(most_rows).toArrow()["n"].to_numpy()
+    fitting = int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), most_features, "right"))
+    table = told.orderBy("k", "h", "n").limit(max(1, fitting)).drop("n").toArrow().combine_chunks()
     # views of the flat columns, no copies
     ids, values, stats = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "vals", "stats"))
     ends = np.cumsum(pc.list_value_length(table["ids"]).to_numpy())
@@ -211,7 +229,7 @@ def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", met
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = FactorisationMachine(**shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _few(whole)):
             told = list(features(batch.column(0), own.buckets))
             if told:
                 stats = np.array([[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))])
