@@ -256,8 +256,8 @@ ROW = "row struct<x:long,y:long>"
 
 
 def row_hash(df: DataFrame) -> Column:
-    """128 bits over all columns of a row."""
-    own = [quoted(c).cast("string") if t == "string" else F.to_json(F.struct(quoted(c).alias("c"))) for c, t in df.dtypes]
+    """128 bits over all columns of a row, nulls told from values."""
+    own = [F.when(quoted(c).isNull(), "null").otherwise(F.to_json(F.struct(quoted(c).alias("c")))) for c in df.columns]
     return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit("row"), *own).alias("y"))
 
 
