@@ -146,5 +146,6 @@ def mixed_rows(
     few = cuts.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
     rows = df.select(packed(df.columns).alias("row"), quoted(source).alias("source"), _place(df, key, text, weight, seed).alias("place"))
     met = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("of")))
-    copies = F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("long"), F.lit(0))
+    # where whole epochs fill the target, a text without words fits in once more, though it adds nothing
+    copies = F.least(F.col("whole") + F.coalesce((F.col("place") <= F.col("cut")).cast("long"), F.lit(0)), F.ceil(F.lit(most)))
     return met.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*unpacked(df.columns))
