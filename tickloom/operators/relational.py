@@ -229,17 +229,6 @@ def portfolio(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.withColumns({"pnl_pct": percent("pnl", "cost"), "allocation_pct": percent("market_value", "total_value"), "total_pnl_pct": percent("total_pnl", "total_cost")})
 
 
-def as_of(left: DataFrame, right: DataFrame, *, by: Sequence[str], on: str, values: Sequence[str]) -> DataFrame:
-    """left with the values of the latest right row at or before its time: one sort of the union, no range join. Of equal times the right row counts."""
-    tagged = lambda df, cols, side: df.select(*by, on, *cols, F.lit(side).alias("_side"))
-    fields = [F.col(v).alias(v) for v in values]
-    l = left.select(*by, on, F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*fields)).schema[0].dataType).alias("_right"), F.lit(1).alias("_side"))
-    r = right.select(*by, on, F.lit(None).cast(l.schema["_left"].dataType).alias("_left"), F.struct(*fields).alias("_right"), F.lit(0).alias("_side"))
-    w = so_far(Window.partitionBy(*by).orderBy(on, "_side"))
-    met = l.unionByName(r).withColumn("_last", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1")
-    return met.select(*[F.col("_left")[c].alias(c) for c in left.columns], *[F.col("_last")[v].alias(v) for v in values])
-
-
 def signals(scored: DataFrame, *, text: str | None = None, actions: Sequence[str] = (), least: float | None = None, limit: int | None = None) -> DataFrame:
     """Scored rows (symbol, ts, score, action) whose symbol holds the text (any case), whose action is listed (none: any) and whose score is at least so high; best first, ties by symbol and time."""
     out = scored if not text else scored.filter(F.contains(F.lower("symbol"), F.lit(text.lower())))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.tick import round_to_tick, tick_size
 from tickloom.operators import indicators as ind
+from tickloom.operators import ranges as rng
 from tickloom.operators import relational as rel
 from tickloom.operators import screening as scr
 from tickloom.operators import structure as st
@@ -67,6 +68,8 @@ def upsert_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- trend ---
 column("sma", q(f"SELECT {KEYS}, {r(roll('avg', 'close', 20), 'sma')} FROM b"), lambda: ind.sma(20))
 on_bars("ema", q(f"SELECT b.symbol, ts, {r('e1.y', 'ema8')}, {r('e2.y', 'ema21')} FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n)", sql.ema("e1", "b", "close", 8), sql.ema("e2", "b", "close", 21)), lambda b: ind.add_ema(b, 8, 21), "symbol", "ts", "ema8", "ema21")
+_EMAS = q(f"SELECT b.symbol, ts, {r('e1.y', 'ema8')}, {r('e2.y', 'ema21')} FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n)", sql.ema("e1", "b", "close", 8), sql.ema("e2", "b", "close", 21), bars=sql.GAPPY)
+on_bars("ema_by_ranges", _EMAS, lambda b: rng.add_ema(gappy(b), 8, 21), "symbol", "ts", "ema8", "ema21")
 on_bars(
     "macd",
     q(f"SELECT md.symbol, ts, {r('md.macd', 'macd')}, {r('e3.y', 'signal')}, {r('md.macd - e3.y', 'histogram')} FROM md JOIN e3 USING (symbol, n)", sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26), "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", sql.ema("e3", "md", "macd", 9)),
@@ -324,7 +327,7 @@ def as_of_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = src.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     orders = src.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
     left = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(src.nations(spark, sf_dir), F.col("c_nationkey") == F.col("instrument_id")).select("o_orderkey", "symbol", "ts")
-    return told(rel.as_of(left, src.nation_week(spark, sf_dir), by=["symbol"], on="ts", values=["close"]), "o_orderkey", "symbol", "close")
+    return told(rng.as_of(left, src.nation_week(spark, sf_dir), by=["symbol"], on="ts", values=["close"]), "o_orderkey", "symbol", "close")
 
 
 on_bars("backtest_trades", q(f"SELECT symbol, entry_ts, exit_ts, {r('entry')}, {r('exit')}, {r('ret', 'return')}, {r('r', 'r')} FROM td", *sql.BACKTEST), rel.backtest, "symbol", "entry_ts", "exit_ts", "entry", "exit", "return", "r")
