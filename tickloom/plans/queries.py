@@ -548,4 +548,4 @@ def _gated(b: DataFrame) -> DataFrame:
     met = rel.trade_plan(b, "swing").join(last.select("symbol", "traded", "bars", "suspended"), "symbol")
     return met.withColumn("action", scr.gated(F.lit("buy"), rr=F.col("rr"), least_rr=2.0, traded=F.col("traded"), least_traded=500_000.0, bars=F.col("bars"), least_bars=200, suspended=F.col("suspended")))
 
-from tickloom.plans import streams  # noqa: E402, F401  registers its queries
+from tickloom.plans import strategy, streams  # noqa: E402, F401  register their queries
