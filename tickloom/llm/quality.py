@@ -207,9 +207,14 @@ def train(
 
     told = rows.mapInArrow(run, "ids array<int>, vals array<float>, stats array<double>, k string, y double, h long")
     told = materialize(told.select("*", F.size("ids").alias("n")))
-    sizes = told.select("k", "h", "n").orderBy("k", "h", "n").limit(most_rows).toArrow()["n"].to_numpy()
-    fitting = int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), most_features, "right"))
-    table = told.orderBy("k", "h", "n").limit(max(1, fitting)).drop("n").toArrow().combine_chunks()
+    order = ["k", "h", "n"]
+    rows_there, features_there = told.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if rows_there > most_rows or features_there > most_features:
+        sizes = told.select(*order).orderBy(*order).limit(most_rows).toArrow()["n"].to_numpy()
+        fitting = int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), most_features, "right"))
+        told = told.orderBy(*order).limit(max(1, fitting))
+    # sorted here: a sort by Spark would hold the rows as objects on the driver
+    table = told.toArrow().combine_chunks().sort_by([(c, "ascending") for c in order])
     # views of the flat columns, no copies
     ids, values, stats = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "vals", "stats"))
     ends = np.cumsum(pc.list_value_length(table["ids"]).to_numpy())
