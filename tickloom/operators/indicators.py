@@ -152,7 +152,7 @@ def add_donchian(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def add_historical_volatility(bars: DataFrame, n: int = 20, year: int = 252) -> DataFrame:
-    rows = bars.withColumn("_r", F.ln(F.col("close") / F.lag("close").over(in_order())))
+    rows = bars.withColumn("_r", F.ln(ratio(F.col("close"), F.lag("close").over(in_order()))))
     return rows.withColumn("hist_vol", rolling(F.stddev_pop, F.col("_r"), n, in_order()) * F.lit(year**0.5 * 100)).drop("_r")
 
 

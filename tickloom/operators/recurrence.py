@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, NumericType, StringType, StructField, StructType
 
 from tickloom.operators.series import keys
 
@@ -36,16 +36,16 @@ class Step:
 
 
 def fold(bars: DataFrame, *steps: Step) -> DataFrame:
-    """bars with the columns of all steps; a later step may use what an earlier one made."""
+    """bars with the columns of all steps; a later step may use what an earlier one made. Steps see every numeric column as doubles, decimals too."""
     made = [n for s in steps for n in s.made]
     text = {n for s in steps for n in s.text}
     kept = [c for c in bars.columns if c not in made]
-    numeric = [c for c, t in bars.dtypes if c in kept and t in ("double", "float", "bigint", "int")]
+    numeric = [f.name for f in bars.schema.fields if f.name in kept and isinstance(f.dataType, NumericType)]
     schema = StructType([*[bars.schema[c] for c in kept], *[StructField(n, StringType() if n in text else DoubleType()) for n in made]])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("ts")
-        known = {c: table[c].to_numpy().astype(np.float64) for c in numeric}
+        known = {c: table[c].cast(pa.float64(), safe=False).to_numpy().astype(np.float64) for c in numeric}
         for step in steps:
             known |= dict(zip(step.made, step.run(known)))
         columns = [pa.array(known[n], pa.string() if n in text else pa.float64(), from_pandas=True) for n in made]

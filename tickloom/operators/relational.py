@@ -230,8 +230,11 @@ def portfolio(positions: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def signals(scored: DataFrame, *, text: str | None = None, actions: Sequence[str] = (), least: float | None = None, limit: int | None = None) -> DataFrame:
-    """Scored rows (symbol, ts, score, action) whose symbol holds the text (any case), whose action is listed (none: any) and whose score is at least so high; best first, ties by symbol and time."""
-    out = scored if not text else scored.filter(F.contains(F.lower("symbol"), F.lit(text.lower())))
+    """Scored rows (key, ts, score, action) whose symbol or, if there is one, name holds the text (any case), whose action is listed (none: any) and whose score is at least so high; best first, ties by series and time."""
+    out = scored
+    if text:
+        holds = [F.contains(F.lower(c), F.lit(text.lower())) for c in ("symbol", "name") if c in scored.columns]
+        out = scored.filter(holds[0] | F.coalesce(holds[1], F.lit(False)) if len(holds) > 1 else holds[0])
     out = out if not actions else out.filter(F.col("action").isin(list(actions)))
     out = out if least is None else out.filter(F.col("score") >= least)
     out = out.orderBy(F.desc("score"), *keys(), "ts")
@@ -239,11 +242,11 @@ def signals(scored: DataFrame, *, text: str | None = None, actions: Sequence[str
 
 
 def journal(closed: DataFrame) -> DataFrame:
-    """Per symbol, of closed positions (symbol, side, qty, avg_entry, stop, exit): trades, win_rate in percent, mean and sum of the profit, and the mean multiple of the risk taken (null where the stop is the entry)."""
+    """Per series, of closed positions (key, side, qty, avg_entry, stop, exit): trades, win_rate in percent, mean and sum of the profit, and the mean multiple of the risk taken (null where the stop is the entry)."""
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
     gain = sign * (F.col("exit") - F.col("avg_entry"))
     rows = closed.withColumns({"_pnl": gain * F.col("qty"), "_r": ratio(gain, F.abs(F.col("avg_entry") - F.col("stop")))})
-    return rows.groupBy("symbol").agg(
+    return rows.groupBy(*keys()).agg(
         F.count("*").alias("trades"), (100 * F.avg((F.col("_pnl") > 0).cast("double"))).alias("win_rate"), F.avg("_pnl").alias("mean_pnl"), F.sum("_pnl").alias("total_pnl"), F.avg("_r").alias("mean_r")
     )
 

@@ -26,6 +26,7 @@ _STEPS = {
     "rsi": rec.rsi("rsi", 14), "adx": rec.adx(14), "_atr": rec.atr("_atr", 14), "_narrow": rec.atr("_narrow", 10), "macd": rec.macd(12, 26, 9), "supertrend": rec.supertrend(10, 3.0),
 }
 _NEEDS = {"plus_di": ("adx",), "minus_di": ("adx",), "signal": ("macd",), "macd_up_bars": ("macd",), "macd_down_bars": ("macd",), "atr_percent": ("_atr",), "squeeze": ("ema20", "_narrow")}
+#: Fields that the bars bring; a condition on one that they lack fails when the plan is made.
 _BARS = ("open", "high", "low", "close", "volume", "value", "frequency")
 _LEVELS = ("support_pct", "resistance_pct", "support_strength")
 

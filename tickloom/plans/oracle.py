@@ -17,6 +17,10 @@ EVENT = """bars AS MATERIALIZED (SELECT event_type AS symbol, date_trunc('hour',
 GAPPY = BRAND.replace("bars AS", "raw AS", 1) + """, bars AS MATERIALIZED (SELECT symbol, ts, CASE WHEN NOT gone THEN open END AS open, CASE WHEN NOT gone THEN high END AS high,
   CASE WHEN NOT gone THEN low END AS low, CASE WHEN NOT gone THEN close END AS close, volume FROM (SELECT *, k % 97 IN (8, 40) OR symbol LIKE '%2' AND k <= 2 OR symbol LIKE '%3' AND k > 60 AND k < 64 AS gone
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM raw)))"""
+#: The same bars with prices of 0, missing ones and volumes of 0.
+ROUGH = BRAND.replace("bars AS", "raw AS", 1) + """, bars AS MATERIALIZED (SELECT symbol, ts, CASE WHEN k % 61 <> 9 THEN open END AS open, CASE WHEN k % 61 <> 9 THEN high END AS high,
+  CASE WHEN k % 61 <> 9 THEN (CASE WHEN k % 53 IN (7, 8) THEN 0 ELSE low END) END AS low, CASE WHEN k % 61 <> 9 THEN (CASE WHEN k % 53 IN (7, 8) THEN 0 ELSE close END) END AS close,
+  CASE WHEN k % 37 = 5 OR k % 200 BETWEEN 60 AND 85 THEN 0 ELSE volume END AS volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM raw))"""
 #: Two timeframes of each brand, the timeframe in the name of the series.
 TWO = BRAND.replace("bars AS", "raw AS", 1) + """, bars AS MATERIALIZED (SELECT symbol || '/1w' AS symbol, ts, open, high, low, close, volume FROM raw UNION ALL
   SELECT symbol || '/1mo', date_trunc('month', ts)::timestamp AS t, arg_min(open, ts), max(high), min(low), arg_max(close, ts), cast(sum(volume) AS bigint) FROM raw GROUP BY 1, 2)"""

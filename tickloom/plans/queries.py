@@ -436,6 +436,45 @@ on_bars(
 )
 
 
+# --- every indicator over bars with prices of 0, missing bars and volumes of 0 ---
+def rough(b: DataFrame) -> DataFrame:
+    n = F.col("n")
+    rows = ind.numbered(b).withColumns({c: F.when((n % 53).isin(7, 8), 0.0).otherwise(F.col(c)) for c in ("close", "low")})
+    rows = rows.withColumns({c: F.when(n % 61 != 9, F.col(c)) for c in ("open", "high", "low", "close")})
+    return rows.withColumn("volume", F.when((n % 37 == 5) | (n % 200).between(60, 85), F.lit(0)).otherwise(F.col("volume")))
+
+
+_LR = f"close / nullif({lag('close')}, 0)"
+_ROUGH_MADE = {
+    **{k: _WINDOWED[k] for k in ("sma20", "sd", "dc_upper", "dc_lower", "vm", "williams_r", "roc", "os", "ad", "vwap", "tenkan", "kijun")}, "lr": f"CASE WHEN {_LR} > 0 THEN ln({_LR}) END",
+}
+_ROUGH = {
+    "sma20": "w1.sma20", "bb_bandwidth": "100 * 4 * w1.sd / nullif(w1.sma20, 0)", "bb_percent_b": "(w1.close - (w1.sma20 - 2 * w1.sd)) / nullif(4 * w1.sd, 0)", "dc_upper": "w1.dc_upper", "dc_lower": "w1.dc_lower", "williams_r": "w1.williams_r", "roc": "w1.roc",
+    "relative_volume": "w1.volume / nullif(w1.vm, 0)", "hist_vol": f"({roll('stddev_pop', 'w1.lr', 20, 'w1.symbol', 'w1.ts')}) * sqrt(252) * 100", "obv": f"sum(w1.os) OVER (PARTITION BY w1.symbol ORDER BY w1.ts ROWS UNBOUNDED PRECEDING)", "accum_dist": "sum(w1.ad) OVER (PARTITION BY w1.symbol ORDER BY w1.ts ROWS UNBOUNDED PRECEDING)",
+    "vwap": "w1.vwap", "tenkan": "w1.tenkan", "kijun": "w1.kijun", "ema21": "g21.y", "macd": "md.macd", "rsi": "rsi.rsi", "atr_percent": "100 * wr.y / nullif(w1.close, 0)", "adx": "wx.y", "stoch_k": "s3.k", "mfi": "CASE WHEN m2.loss = 0 THEN 100 ELSE 100 - 100 / (1 + m2.gain / m2.loss) END", "cci": "cc.cci",
+}
+
+
+def _rough_indicators(b: DataFrame) -> DataFrame:
+    rows = rec.fold(rough(b), rec.ema("ema21", "close", 21), rec.macd(12, 26, 9), rec.rsi("rsi", 14), rec.atr("atr", 14), rec.adx(14))
+    rows = rows.withColumns({"sma20": ind.sma(20), "williams_r": ind.williams_r(), "roc": ind.roc(), "relative_volume": ind.relative_volume(), "vwap": ind.vwap(), "atr_percent": 100 * F.try_divide("atr", "close")})
+    for add in (ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility, ind.add_obv, ind.add_accumulation_distribution, ind.add_ichimoku, ind.add_stochastic, ind.add_mfi, ind.add_cci):
+        rows = add(rows)
+    return rows
+
+
+on_bars(
+    "indicators_over_zeros",
+    q(
+        f"""SELECT w1.symbol, w1.ts, {', '.join(r(e, k) for k, e in _ROUGH.items())} FROM w1 {' '.join(f'LEFT JOIN {t} ON {t}.symbol = w1.symbol AND {t}.n = w1.n' for t in ('g21', 'md', 'rsi', 'wr', 'wx', 's3', 'm2', 'cc'))}""",
+        f"w1 AS MATERIALIZED (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _ROUGH_MADE.items())} FROM b)", sql.ema("g21", "b", "close", 21), sql.ema("e1", "b", "close", 12), sql.ema("e2", "b", "close", 26),
+        "md AS MATERIALIZED (SELECT b.*, e1.y - e2.y AS macd FROM b JOIN e1 USING (symbol, n) JOIN e2 USING (symbol, n))", *sql.RSI, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *sql._stochastic("close", "high", "low", "b"), *_MF, *_CC, bars=sql.ROUGH,
+    ),
+    _rough_indicators, "symbol", "ts", *_ROUGH,
+)
+on_bars("snapshot_over_zeros", q("SELECT symbol, max(ts) AS ts FROM b GROUP BY 1", bars=sql.ROUGH), lambda b: snap.snapshot(rough(b).drop("n")).select("symbol", "ts"), "symbol", "ts", branches=True)
+
+
 def _two_timeframes(b: DataFrame) -> DataFrame:
     weeks, months = b.withColumn("timeframe", F.lit("1w")), src.resample(b, "month").withColumn("timeframe", F.lit("1mo"))
     shared = ["symbol", "timeframe", "ts", "open", "high", "low", "close", "volume"]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tickloom.operators.series import keys
+
 BAR_SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, value double, frequency bigint"
 STORE_SCHEMA = (
     "instrument_id bigint, timeframe string, ts timestamp, open decimal(18,4), high decimal(18,4), low decimal(18,4), "
@@ -20,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def to_bars(ticks: DataFrame, unit: str, *, price: Column, order: Column, volume: Column, value: Column, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Aggregate ticks (by, ts) into bars of a calendar unit; one partial and one final aggregation, no window."""
+def to_bars(ticks: DataFrame, unit: str, *, price: Column, order: Column, volume: Column, value: Column, by: Sequence[str] | None = None) -> DataFrame:
+    """Aggregate ticks (by, ts), by the series' key unless told otherwise, into bars of a calendar unit; one partial and one final aggregation, no window."""
+    by = keys() if by is None else by
     start = F.date_trunc(unit, "ts").cast("timestamp_ntz")
     return ticks.groupBy(*by, start.alias("ts")).agg(
         F.min_by(price, order).alias("open"),
@@ -43,7 +46,7 @@ def _line_bars(ticks: DataFrame, by: Sequence[str]) -> DataFrame:
     return to_bars(
         ticks,
         "week",
-        price=F.col("l_extendedprice") / F.col("l_quantity"),
+        price=F.try_divide("l_extendedprice", "l_quantity"),
         order=F.struct("ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
         volume=F.col("l_quantity"),
         value=F.col("l_extendedprice"),
@@ -81,11 +84,12 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def resample(bars: DataFrame, unit: str = "week", *, by: Sequence[str] = ("symbol",)) -> DataFrame:
+def resample(bars: DataFrame, unit: str = "week", *, by: Sequence[str] | None = None) -> DataFrame:
     """Bars of a coarser width, labelled by its start; widths without any complete bar are left out.
 
     `unit` is a calendar unit (weeks begin on Monday) or a width like "4 hours" (from midnight).
     """
+    by = keys() if by is None else by
     whole = bars.dropna(subset=["open", "high", "low", "close"])
     start = (F.window("ts", unit)["start"] if unit[0].isdigit() else F.date_trunc(unit, "ts")).cast("timestamp_ntz")
     return whole.groupBy(*by, start.alias("start")).agg(
