@@ -35,9 +35,15 @@ def values(df, column):
 
 
 def test_means(spark):
-    bars = series(spark, [float(x) for x in range(1, 11)])
-    assert values(bars.withColumn("m", ind.sma(3)), "m") == [None, None, *[float(x) for x in range(2, 10)]]
-    assert values(ind.add_ema(series(spark, [1.0, 2, 3, 4, 5]), 3), "ema3") == pytest.approx([1, 1.5, 2.25, 3.125, 4.0625])
+    """Against a loop over a series with steps up and down."""
+    close = [7.0, 7.5, 6.25, 9.0, 9.0, 3.5, 12.0, 11.0, 4.75]
+    bars = series(spark, close)
+    assert values(bars.withColumn("m", ind.sma(4)), "m") == [None if i < 3 else pytest.approx(math.fsum(close[i - 3 : i + 1]) / 4) for i in range(len(close))]
+    mean, want = close[0], []
+    for x in close:
+        mean = mean + 2 / 6 * (x - mean)
+        want.append(mean)
+    assert values(ind.add_ema(bars, 5), "ema5") == pytest.approx(want)
 
 
 def test_long_series_do_not_overflow(spark):
@@ -71,18 +77,36 @@ def test_rsi(spark):
 
 
 def test_volume(spark):
-    bars = series(spark, [10.0, 11, 10, 12, 12, 11], volume=[100, 200, 150, 300, 120, 80])
-    assert values(ind.add_obv(bars), "obv") == [0, 200, 50, 350, 350, 270]
-    bars = series(spark, [9.0, 11, 10], [10.0, 12, 11], [8.0, 9, 9], volume=[100, 200, 150])
-    assert values(ind.add_accumulation_distribution(bars), "accum_dist") == pytest.approx([0, 200 / 3, 200 / 3])
+    """Running sums against a loop over a walk with unchanged closes and bars without range."""
+    rng = np.random.default_rng(21)
+    close = list(40 + np.cumsum(rng.integers(-2, 3, 60)).astype(float))
+    high, low = [c + (i % 4) for i, c in enumerate(close)], [c - (i % 3) for i, c in enumerate(close)]
+    volume = [int(v) for v in rng.integers(1, 500, 60)]
+    bars = series(spark, close, high, low, volume=volume)
+    flow = spread = 0.0
+    flows, spreads = [], []
+    for i, (c, h, l, v) in enumerate(zip(close, high, low, volume)):
+        flow += 0 if i == 0 or c == close[i - 1] else v if c > close[i - 1] else -v
+        spread += 0 if h == l else v * (2 * c - h - l) / (h - l)
+        flows.append(flow)
+        spreads.append(spread)
+    assert values(ind.add_obv(bars), "obv") == flows
+    assert values(ind.add_accumulation_distribution(bars), "accum_dist") == pytest.approx(spreads)
 
 
 def test_pivots(spark):
+    """Each level of an own bar lies where its method says, as a multiple of the bar's range from the pivot or the close."""
+    high, low, close = 64.0, 48.0, 59.0
     one = spark.range(1)
-    told = lambda m: one.select(*[c.alias(k) for k, c in st.pivots(F.lit(110.0), F.lit(90.0), F.lit(100.0), m).items()]).first().asDict()
-    assert told("classic") == dict(pp=100, r1=110, s1=90, r2=120, s2=80, r3=130, s3=70)
-    assert told("fibonacci") == pytest.approx(dict(pp=100, r1=107.64, s1=92.36, r2=112.36, s2=87.64, r3=120, s3=80))
-    assert told("camarilla") == pytest.approx(dict(pp=100, r1=101.8333, s1=98.1667, r2=103.6667, s2=96.3333, r3=105.5, s3=94.5, r4=111, s4=89), abs=1e-4)
+    told = lambda m: one.select(*[c.alias(k) for k, c in st.pivots(F.lit(high), F.lit(low), F.lit(close), m).items()]).first().asDict()
+    middle, span = 57.0, 16.0
+    classic = told("classic")
+    assert classic["pp"] == middle and [classic["r1"] - middle, middle - classic["s1"]] == [middle - low, high - middle]
+    assert [classic["r2"] - classic["s2"], classic["r3"] - classic["r1"], classic["s1"] - classic["s3"]] == [2 * span, span, span]
+    for i, share in ((1, 0.382), (2, 0.618), (3, 1.0)):
+        assert [told("fibonacci")[f"{side}{i}"] for side in "rs"] == pytest.approx([middle + share * span, middle - share * span])
+    for i, part in ((1, 12), (2, 6), (3, 4), (4, 2)):
+        assert [told("camarilla")[f"{side}{i}"] for side in "rs"] == pytest.approx([close + 1.1 * span / part, close - 1.1 * span / part])
     with pytest.raises(ValueError):
         st.pivots(F.lit(1.0), F.lit(1.0), F.lit(1.0), "other")
 
@@ -115,12 +139,13 @@ def test_ticks(spark):
     assert spark.range(1).select(round_to_tick(F.lit(0), "down"), round_to_tick(F.lit(-3), "up")).first() == (None, None)
 
 
-@pytest.mark.parametrize("trend,expected", [("down", "hammer"), ("up", "hanging_man"), ("flat", None)])
-def test_hammer(spark, trend, expected):
-    step = {"down": -2, "up": 2, "flat": 0}[trend]
-    close = [100 - 7 * step + step * i for i in range(6)]
-    bars = series(spark, [float(c) for c in close] + [101.0], [c + 0.5 for c in close] + [101.2], [c - 0.5 for c in close] + [95.0], [c + 0.2 for c in close] + [100.0])
-    found = {r.pattern for r in st.candle_patterns(bars).filter(F.col("ts") == dt.datetime(2026, 1, 11)).collect()}
+@pytest.mark.parametrize(("step", "expected"), [(-3.0, "hammer"), (3.0, "hanging_man"), (0.0, None)])
+def test_hammer(spark, step, expected):
+    """A small body with a long wick below it, after seven bars that fall, rise or stay."""
+    close = [400 + step * i for i in range(7)]
+    last = close[-1] + step
+    bars = series(spark, [*close, last + 2], [*(c + 1 for c in close), last + 2.5], [*(c - 1 for c in close), last - 14], [*(c - step / 4 for c in close), last])
+    found = {r.pattern for r in st.candle_patterns(bars).filter(F.col("ts") == dt.datetime(2026, 1, 12)).collect()}
     assert (expected in found) if expected else not found & {"hammer", "hanging_man"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import engine
+from tickloom.operators import chart, engine
 from tickloom.operators import fundamentals as fun
 from tickloom.operators import indicators as ind
 from tickloom.operators import leveled
@@ -215,3 +215,33 @@ _TOLD = (*_RATIOS, *(f"{p}_score" for p in fun.WEIGHTS), "value_per", "value_pbv
 )
 def fundamental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(fun.assess(statements(spark, sf_dir)), "symbol", "sector", "period", *fun.FLAGS, "f_score", *_TOLD, "methods", "fundamental_score", "margin_of_safety")
+
+# --- chart patterns ---
+_SEQUENCE = [
+    f"sq AS MATERIALIZED (SELECT *, {sql.fractal('high', 5, True)} AS sh, {sql.fractal('low', 5, False)} AS sl, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS confirmed FROM b)",
+    "sv AS MATERIALIZED (SELECT symbol, ts, n, confirmed, 'high' AS kind, high AS price FROM sq WHERE sh UNION ALL SELECT symbol, ts, n, confirmed, 'low', low FROM sq WHERE sl)",
+    f"""hs AS MATERIALIZED (SELECT *, p3 + slope * (n - n3) AS edge, p2 - (p3 + slope * (n2 - n3)) AS height FROM (SELECT *, (p1 - p3) / (n1 - n3) AS slope FROM (SELECT *, {', '.join(f'lag({c}, {k}) OVER w AS {a}{k}' for k in (1, 2, 3, 4) for c, a in (('kind', 'k'), ('price', 'p'), ('n', 'n')))}
+      FROM sv WINDOW w AS (PARTITION BY symbol ORDER BY n, kind)) WHERE kind = k2 AND kind = k4 AND k1 = k3 AND kind <> k1 AND abs(price / nullif(p4, 0) - 1) <= {0.05}))""",
+    """tl AS MATERIALIZED (SELECT *, regr_slope(CASE WHEN kind = 'high' THEN price END, CASE WHEN kind = 'high' THEN n::double END) OVER f AS hs, regr_intercept(CASE WHEN kind = 'high' THEN price END, CASE WHEN kind = 'high' THEN n::double END) OVER f AS hb,
+      regr_slope(CASE WHEN kind = 'low' THEN price END, CASE WHEN kind = 'low' THEN n::double END) OVER f AS ls, regr_intercept(CASE WHEN kind = 'low' THEN price END, CASE WHEN kind = 'low' THEN n::double END) OVER f AS lb,
+      avg(CASE WHEN kind = 'high' THEN price END) OVER f AS hm, avg(CASE WHEN kind = 'low' THEN price END) OVER f AS lm, count(CASE WHEN kind = 'high' THEN 1 END) OVER f AS h, count(CASE WHEN kind = 'low' THEN 1 END) OVER f AS l, min(n) OVER f AS n0
+      FROM sv WINDOW f AS (PARTITION BY symbol ORDER BY n, kind ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""",
+    "tw AS MATERIALIZED (SELECT *, hs / nullif(hm, 0) AS hw, ls / nullif(lm, 0) AS lw, (hb + hs * n0) - (lb + ls * n0) AS width, hb + hs * n AS top, lb + ls * n AS bottom FROM tl WHERE h = 3 AND l = 3)",
+    """tn AS MATERIALIZED (SELECT *, CASE WHEN abs(hw) <= 0.0005 AND lw > 0.0005 THEN 'ascending_triangle' WHEN hw < -0.0005 AND abs(lw) <= 0.0005 THEN 'descending_triangle' WHEN hw < -0.0005 AND lw > 0.0005 THEN 'symmetrical_triangle'
+      WHEN hw > 0.0005 AND lw > 0.0005 THEN 'rising_wedge' WHEN hw < -0.0005 AND lw < -0.0005 THEN 'falling_wedge' END AS pattern FROM tw WHERE top - bottom > 0 AND top - bottom < width)""",
+]
+
+
+@register(
+    "chart_patterns",
+    q(
+        """SELECT symbol, ts, confirmed, CASE kind WHEN 'high' THEN 'head_and_shoulders' ELSE 'inverse_head_and_shoulders' END AS pattern, CASE kind WHEN 'high' THEN 'bearish' ELSE 'bullish' END AS direction, round(edge, 2) AS breakout_level, round(edge - height, 2) AS measured_target
+        FROM hs WHERE kind = 'high' AND p2 > greatest(price, p4) AND height > 0 OR kind = 'low' AND p2 < least(price, p4) AND height < 0 UNION ALL
+        SELECT symbol, ts, confirmed, pattern, CASE WHEN pattern IN ('ascending_triangle', 'falling_wedge') THEN 'bullish' WHEN pattern = 'symmetrical_triangle' THEN 'neutral' ELSE 'bearish' END,
+          round(CASE WHEN pattern IN ('descending_triangle', 'rising_wedge') THEN bottom ELSE top END, 2), round(CASE WHEN pattern IN ('descending_triangle', 'rising_wedge') THEN bottom - width ELSE top + width END, 2) FROM tn WHERE pattern IS NOT NULL""",
+        *_SEQUENCE,
+    ),
+)
+def chart_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chart.chart_patterns(src.brand_week(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 2) for c in ("breakout_level", "measured_target")})
