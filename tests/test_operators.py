@@ -330,3 +330,30 @@ def test_score_presets(spark):
 
     rows = spark.createDataFrame([(70.0, 70.0, 75.0, 40.0, None, -1.0, 10.0), (10.0, 40.0, 10.0, 60.0, 61.0, 1.0, 65.0)], "trend double, momentum double, volume double, structure double, fundamental double, change_pct double, support_strength double")
     assert [r.presets for r in scr.score_presets(rows).collect()] == [["pullback", "volume"], ["reversal", "value", "dividend"]]
+
+
+def test_snapshot_over_holes(spark):
+    """Every field is what its operator gives on the last bar, also over prices of 0, missing bars and volumes of 0 among the last."""
+    from tickloom.operators import snapshot as snap
+
+    n = F.col("n")
+    rows = ind.numbered(walk(spark, 330).unionByName(walk(spark, 90, 5, "Y")).unionByName(walk(spark, 6, 6, "Z")))
+    rows = rows.withColumns({c: F.when((n % 53) == 7, 0.0).otherwise(F.col(c)) for c in ("close", "low")}).withColumns({c: F.when(n % 61 != 9, F.col(c)) for c in ("open", "high", "low", "close")})
+    rows = rows.withColumn("volume", F.when(n % 17 == 5, 0).otherwise(F.col("volume"))).drop("n").cache()
+    for cut in (329, 325, 312, 300):
+        bars = rows.filter(F.col("ts") <= F.lit(dt.datetime(2026, 1, 4) + dt.timedelta(days=cut)))
+        told = bars.withColumns({**{f"sma{k}": ind.sma(k) for k in snap.SMA}, "williams_r": ind.williams_r(), "roc": ind.roc(), "volume_ma": ind.sma(20, "volume"), "relative_volume": ind.relative_volume(), "vwap": ind.vwap()})
+        for add in (ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility, ind.add_obv, ind.add_accumulation_distribution, ind.add_ichimoku, ind.add_stochastic, ind.add_stoch_rsi, ind.add_mfi, ind.add_cci, st.daily_pivots):
+            told = add(told)
+        want = {r.symbol: r.asDict() for r in ind.tail(told, 1).collect()}
+        for r in ind.value_area(bars).collect():
+            want[r.symbol] |= dict(poc=r.poc, vah=r.vah, val=r.val) if r.symbol != "Z" else {}
+        for r in st.fibonacci_levels(bars).collect():
+            want[r.symbol] |= r.asDict()
+        for r in snap.snapshot(bars).select("symbol", *[f"{g}.*" for g in snap.FIELDS]).collect():
+            for c, x in r.asDict().items():
+                y = want[r.symbol].get(c)
+                if c in want[r.symbol]:
+                    assert (x is None) == (y is None) and (x is None or isinstance(x, str) or x == pytest.approx(y, rel=1e-9, abs=1e-9)), (cut, r.symbol, c, x, y)
+                elif c in (*snap.RETRACEMENTS, *snap.EXTENSIONS, "poc", "vah", "val"):
+                    assert x is None, (cut, r.symbol, c, x)

@@ -200,7 +200,7 @@ def tail(bars: DataFrame, n: int) -> DataFrame:
 
 def volume_buckets(bars: DataFrame, buckets: int = 50, last: int | None = 250) -> DataFrame:
     """(symbol, bucket, price_low, price_high, volume): volume by typical price in equal buckets between the lowest low and the highest high."""
-    rows = (bars if last is None else tail(bars, last)).select(*keys(), typical_price().alias("tp"), "high", "low", "volume")
+    rows = (bars if last is None else tail(bars, last)).select(*keys(), typical_price().alias("tp"), "high", "low", "volume").filter("tp IS NOT NULL")
     span = rows.groupBy(*keys()).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
     # a series' span is one row per symbol
     met = rows.select(*keys(), "tp", "volume").join(span, [*keys()])

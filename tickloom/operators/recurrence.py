@@ -35,8 +35,8 @@ class Step:
     text: tuple[str, ...] = ()
 
 
-def fold(bars: DataFrame, *steps: Step) -> DataFrame:
-    """bars with the columns of all steps; a later step may use what an earlier one made. Steps see every numeric column as doubles, decimals too."""
+def fold(bars: DataFrame, *steps: Step, last: int | None = None) -> DataFrame:
+    """bars, or the last so many of each series, with the columns of all steps; a later step may use what an earlier one made. Steps see every numeric column as doubles, decimals too."""
     made = [n for s in steps for n in s.made]
     text = {n for s in steps for n in s.text}
     kept = [c for c in bars.columns if c not in made]
@@ -49,7 +49,8 @@ def fold(bars: DataFrame, *steps: Step) -> DataFrame:
         for step in steps:
             known |= dict(zip(step.made, step.run(known)))
         columns = [pa.array(known[n], pa.string() if n in text else pa.float64(), from_pandas=True) for n in made]
-        return pa.table([*table.columns, *columns], [*kept, *made])
+        whole = pa.table([*table.columns, *columns], [*kept, *made])
+        return whole if last is None else whole.slice(max(0, len(whole) - last))
 
     return bars.select(*kept).groupBy(*keys()).applyInArrow(run, schema)
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.functions.tick import round_to_tick
 from tickloom.operators import indicators as ind
@@ -266,43 +264,44 @@ def scale_out(plan: DataFrame, shares: Sequence[float] = SCALE_OUT) -> DataFrame
 # --- backtest ---
 
 
-def _trades(own: pd.DataFrame, entry_fee: float, exit_fee: float, slip: float) -> list[tuple]:
-    out, bought = [], None
-    o, h, l, stop, take, signal, ts = (own[c].to_numpy() for c in ("open", "high", "low", "stop", "take", "signal", "ts"))
-    for i in range(1, len(own)):
-        if bought is None:
-            if signal[i - 1] and not np.isnan(stop[i - 1]) and o[i] > stop[i - 1]:
-                bought = (i, o[i] * (1 + slip), stop[i - 1], take[i - 1])
-            else:
-                continue
-        at, price, s, t = bought
-        exit_at = min(o[i], s) if l[i] <= s else (max(o[i], t) if h[i] >= t else None) if i > at or h[i] >= t else None
-        if exit_at is not None:
-            got = exit_at * (1 - slip)
-            out.append((ts[at], ts[i], price, got, (got * (1 - exit_fee) - price * (1 + entry_fee)) / (price * (1 + entry_fee)), (got - price) / (price - s)))
-            bought = None
-    return out
+def _trades(fast: str, k_atr: float, target: float, entry_fee: float, exit_fee: float, slip: float) -> rec.Step:
+    """The trades of a series, each on the bar that ends it: `entered` (microseconds), `bought`, `sold`, `return`, `r`."""
+
+    def run(a: rec.Arrays) -> tuple[np.ndarray, ...]:
+        close, mean = a["close"], a[fast]
+        out = np.full((5, len(close)), np.nan)
+        signal = np.zeros(len(close), bool)
+        signal[1:] = (close[1:] > mean[1:]) & (close[:-1] <= mean[:-1])
+        stops, takes = close - k_atr * a["atr"], close + target * k_atr * a["atr"]
+        o, h, l, stop, take, us = (x.tolist() for x in (a["open"], a["high"], a["low"], stops, takes, a["us"]))
+        bought = None
+        for i in range(1, len(o)):
+            if bought is None:
+                if signal[i - 1] and o[i] > stop[i - 1]:
+                    bought = (i, o[i] * (1 + slip), stop[i - 1], take[i - 1])
+                else:
+                    continue
+            at, price, s, t = bought
+            exit_at = min(o[i], s) if l[i] <= s else (max(o[i], t) if h[i] >= t else None) if i > at or h[i] >= t else None
+            if exit_at is not None:
+                got, paid = exit_at * (1 - slip), price * (1 + entry_fee)
+                out[:, i] = us[at], price, got, (got * (1 - exit_fee) - paid) / paid, (got - price) / (price - s)
+                bought = None
+        return tuple(out)
+
+    return rec.Step(("entered", "bought", "sold", "return", "r"), run)
 
 
 def backtest(bars: DataFrame, *, fast: int = 20, k_atr: float = 2.0, target: float = 2.5, entry_fee: float = 0.0015, exit_fee: float = 0.0025, slip: float = 0.001) -> DataFrame:
-    """(symbol, entry_ts, exit_ts, entry, exit, return, r): long when the close crosses its EMA upwards, from the next open on, to stop or target.
+    """(key, entry_ts, exit_ts, entry, exit, return, r): long when the close crosses its EMA upwards, from the next open on, to stop or target.
 
     A bar decides on itself and those before only; a gap through the stop fills at the open, a
-    bar that touches both fills the stop. Each series folds in a grouped map.
+    bar that touches both fills the stop. All of it is one fold.
     """
-    rows = rec.fold(bars, rec.ema(f"ema{fast}", "close", fast), rec.atr("atr", 14))
-    signal = (F.col("close") > F.col(f"ema{fast}")) & (F.lag("close").over(in_order()) <= F.lag(f"ema{fast}").over(in_order()))
-    rows = rows.select(*keys(), "ts", "open", "high", "low", F.coalesce(signal, F.lit(False)).alias("signal"), (F.col("close") - k_atr * F.col("atr")).alias("stop"), (F.col("close") + target * k_atr * F.col("atr")).alias("take"))
-
-    of = keys()
-    names = [*of, "entry_ts", "exit_ts", "entry", "exit", "return", "r"]
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("ts")
-        return pd.DataFrame([(*key, *t) for t in _trades(own, entry_fee, exit_fee, slip)], columns=names)
-
-    told = StructType([*[bars.schema[k] for k in of], *[StructField(c, bars.schema["ts"].dataType) for c in names[len(of) : len(of) + 2]], *[StructField(c, DoubleType()) for c in names[len(of) + 2 :]]])
-    return rows.groupBy(*of).applyInPandas(run, told)
+    rows = bars.select(*keys(), "ts", *OHLC, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    told = rec.fold(rows, rec.ema("fast", "close", fast), rec.atr("atr", 14), _trades("fast", k_atr, target, entry_fee, exit_fee, slip)).filter("entered IS NOT NULL")
+    entered = F.timestamp_micros(F.col("entered").cast("bigint")).cast(bars.schema["ts"].dataType)
+    return told.select(*keys(), entered.alias("entry_ts"), F.col("ts").alias("exit_ts"), F.col("bought").alias("entry"), F.col("sold").alias("exit"), "return", "r")
 
 
 def backtest_metrics(trades: DataFrame) -> DataFrame:

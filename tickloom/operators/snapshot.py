@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import indicators as ind
+from tickloom.operators import latest
 from tickloom.operators import recurrence as rec
-from tickloom.operators.series import in_order, keys
-from tickloom.operators.structure import EXTENSIONS, RETRACEMENTS, fibonacci_levels, pivots
+from tickloom.operators.latest import PIVOTS, SMA
+from tickloom.operators.series import keys
+from tickloom.operators.structure import EXTENSIONS, RETRACEMENTS
 
-SMA = (5, 10, 20, 50, 100, 200)
 EMA = (8, 13, 20, 21, 50, 200)
-PIVOTS = ("pp", "r1", "s1", "r2", "s2", "r3", "s3")
-#: Bars that the longest sliding window needs, and some more.
-LOOKBACK = 252
 FIELDS: dict[str, tuple[str, ...]] = {
     "trend": (
         *(f"sma{n}" for n in SMA), *(f"ema{n}" for n in EMA), "macd", "signal", "histogram", "adx", "plus_di", "minus_di", "psar", "supertrend", "direction",
@@ -27,22 +24,17 @@ FIELDS: dict[str, tuple[str, ...]] = {
 }
 
 
-def snapshot_bars(bars: DataFrame) -> DataFrame:
-    """Every series' last bar with all fields of FIELDS but the volume profile's and the Fibonacci levels', flat.
+def snapshot(bars: DataFrame) -> DataFrame:
+    """(key, ts, close, trend, momentum, volatility, volume, structure): one row per series, all of it in one fold.
 
-    What runs through a whole series (sums so far, recurrences) is made first, in one exchange
-    on the key; sliding windows then see the last LOOKBACK bars only, in one more.
+    Fields are null where the series is too short or a ratio has a zero below; the volume
+    profile is that of the last 250 bars, if there are ten; Fibonacci levels are there if the
+    last swing high is above the last swing low.
     """
-    rows = ind.add_accumulation_distribution(ind.add_obv(bars)).withColumn("vwap", ind.vwap())
+    rows = bars.select(*keys(), "ts", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume")], F.unix_date(F.to_date("ts")).alias("_day"))
     steps = [rec.ema(f"ema{n}", "close", n) for n in EMA]
-    steps += [rec.macd(12, 26, 9), rec.adx(14), rec.psar(0.02, 0.02, 0.2), rec.supertrend(10, 3.0), rec.rsi("rsi", 14), rec.atr("atr", 14), rec.atr("kc_width", 10), rec.from_end()]
-    rows = rec.fold(rows, *steps).filter(F.col("back") <= LOOKBACK)
-    rows = rows.withColumns({f"sma{n}": ind.sma(n) for n in SMA})
-    for add in (ind.add_ichimoku, ind.add_stochastic, ind.add_stoch_rsi, ind.add_cci, ind.add_mfi, ind.add_bollinger, ind.add_donchian, ind.add_historical_volatility):
-        rows = add(rows)
-    before: dict[str, Column] = {c: F.lag(c).over(in_order()) for c in ("high", "low", "close")}
-    rows = rows.withColumns({"williams_r": ind.williams_r(), "roc": ind.roc(), "volume_ma": ind.sma(20, "volume"), "relative_volume": ind.relative_volume()})
-    rows = rows.withColumns(pivots(before["high"], before["low"], before["close"])).filter("back = 1")
+    steps += [rec.macd(12, 26, 9), rec.adx(14), rec.psar(0.02, 0.02, 0.2), rec.supertrend(10, 3.0), rec.rsi("rsi", 14), rec.atr("atr", 14), rec.atr("kc_width", 10)]
+    last = rec.fold(rows, *steps, latest.sliding(), latest.running(), latest.profile(), latest.fibonacci(), last=1)
     made = {
         "divergence": F.lit(None).cast("string"),  # a pivot needs bars after it
         "atr_percent": 100 * F.try_divide("atr", "close"),
@@ -50,23 +42,7 @@ def snapshot_bars(bars: DataFrame) -> DataFrame:
         "kc_upper": F.col("ema20") + 2 * F.col("kc_width"),
         "kc_lower": F.col("ema20") - 2 * F.col("kc_width"),
     }
-    return rows.withColumns(made).drop("kc_width", "back")
-
-
-def snapshot(bars: DataFrame) -> DataFrame:
-    """(symbol, ts, close, trend, momentum, volatility, volume, structure): one row per series.
-
-    Fields are null where the series is too short or a ratio has a zero below; the volume
-    profile is that of the last 250 bars, if there are ten; Fibonacci levels are there if the
-    last swing high is above the last swing low.
-    """
-    last = snapshot_bars(bars)
-    profile = ind.value_area(bars)
-    swings = fibonacci_levels(bars).select(*keys(), *RETRACEMENTS, *EXTENSIONS)
-    enough = bars.groupBy(*keys()).agg((F.count("*") >= 10).alias("_enough"))
-    last = last.join(profile, [*keys()], "left").join(enough, [*keys()]).join(swings, [*keys()], "left")
-    last = last.withColumns({c: F.when(F.col("_enough"), F.col(c)) for c in ("poc", "vah", "val")})
-    return last.select(*keys(), "ts", "close", *[F.struct(*fields).alias(name) for name, fields in FIELDS.items()])
+    return last.withColumns(made).select(*keys(), "ts", "close", *[F.struct(*fields).alias(name) for name, fields in FIELDS.items()])
 
 
 def as_json(snapshots: DataFrame) -> DataFrame:

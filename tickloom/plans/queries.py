@@ -409,7 +409,7 @@ on_bars(
         *sql.RSI, *sql._stochastic("close", "high", "low", "b"), *sql._stochastic("rsi", "rsi", "rsi", "rsi", "t"), *_CC, *_MF, *sql.ADX, sql.wilder("wr", "tr", "t", 14), *[c for c in sql.SUPERTREND if c != sql.TR], sql._PSAR, *sql.PROFILE, _SW,
         "fb AS MATERIALIZED (SELECT * FROM (SELECT symbol, arg_max(low, ts) FILTER (WHERE sl) AS lo, arg_max(high, ts) FILTER (WHERE sh) AS hi FROM sw GROUP BY 1) WHERE hi > lo)",
     ),
-    lambda b: snap.snapshot(b).select("symbol", "ts", "close", *[f"{group}.*" for group in snap.FIELDS]), "symbol", "ts", "close", *[c for fields in snap.FIELDS.values() for c in fields], branches=True,
+    lambda b: snap.snapshot(b).select("symbol", "ts", "close", *[f"{group}.*" for group in snap.FIELDS]), "symbol", "ts", "close", *[c for fields in snap.FIELDS.values() for c in fields],
 )
 
 # --- recurrences over missing prices, and two timeframes in one table ---
@@ -472,7 +472,7 @@ on_bars(
     ),
     _rough_indicators, "symbol", "ts", *_ROUGH,
 )
-on_bars("snapshot_over_zeros", q("SELECT symbol, max(ts) AS ts FROM b GROUP BY 1", bars=sql.ROUGH), lambda b: snap.snapshot(rough(b).drop("n")).select("symbol", "ts"), "symbol", "ts", branches=True)
+on_bars("snapshot_over_zeros", q("SELECT symbol, max(ts) AS ts FROM b GROUP BY 1", bars=sql.ROUGH), lambda b: snap.snapshot(rough(b).drop("n")).select("symbol", "ts"), "symbol", "ts")
 
 
 def _two_timeframes(b: DataFrame) -> DataFrame:
