@@ -4,14 +4,16 @@ Every text node hangs at the end of a path of block elements. For each path of a
 text outside links and the punctuation are summed over its nodes; their ratios (per node of
 the path) are smoothed over the neighbouring nodes in page order, the more the fewer steps
 lie between two paths, and fused by their product. Paths whose fused ratio passes a threshold
-are content. A heading has the ratio of the block that it introduces.
+are content.
 
 Tags without text of their own (scripts, forms' fields, nav, footer and the like) are no
 candidates. What else a page says about itself are weights on the ratios: names that tell of
 furniture and a place outside the article weigh the less the higher the page's best ratio
 is, that is the more the ratios can tell;
 names of reader comments always count, as comments have the ratios of an article.
-Short blocks in lists, tables and quotations that stand among content belong to it.
+What the ratios choose brings its own along: blocks that are no link lists and stand beside
+content, be it in a section, a header of the article or plain containers of their own, and the
+headings of what is kept. Inline elements that a name calls an advert lose their text.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK_LEAVES = HEADINGS | frozenset("p li blockquote pre td th dt dd figcaption caption".split())
 NESTED = frozenset("ul ol dl table thead tbody tfoot tr blockquote figure li td".split())
+#: Elements that part a text without being something else, as are containers without a name.
+PARTS = NESTED | frozenset("section header hgroup".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
@@ -54,6 +58,8 @@ FURNITURE_WORDS = re.compile(
     r"share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|search\w*|pagination|pager|skip|copyright|legal|navigation|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Names of inline elements whose text is an advert.
+ADVERT_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor(?:ed)?)(?:$|[\s_-])", re.I)
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment\w*|disqus\w*|replies|reply|respond|discussion)(?:$|[\s_-])", re.I)
 #: Weight of a path for each element around it that a name calls furniture or comments, and of one outside the article.
 LIGHT = 0.02
@@ -84,6 +90,7 @@ def _blocks(html: str) -> list[Block]:
     held: list[str] = []
     number = linked = 0
     link_from: int | None = None  # how many pieces were held when a link began
+    advert: list[int | str] = []  # the tag of an inline advert, and how many of that tag are open
 
     def flush() -> None:
         nonlocal linked, link_from
@@ -101,15 +108,28 @@ def _blocks(html: str) -> list[Block]:
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
-            held.append(html[at:])
+            held += [] if advert else [html[at:]]
             break
-        if m.start() > at:
+        if m.start() > at and not advert:
             held.append(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
+        if advert:
+            if tag == advert[0]:
+                advert[1] += -1 if m[1] else 1
+                if advert[1] == 0:
+                    advert.clear()
+                continue
+            if tag in INLINE or tag in VOID:
+                continue
+            advert.clear()  # never closed within its block
+        elif tag in INLINE and not m[1] and m[3] and ADVERT_WORDS.search(" ".join(filter(None, (g for x in _NAMES.findall(m[3]) for g in x)))):
+            advert += [tag, 1]
+            held.append(" ")
+            continue
         if tag == "a":
             if link_from is not None:
                 linked += sum(map(len, held[link_from:]))
@@ -234,18 +254,50 @@ def main_text(html: str, share: float = 0.15) -> str:
     for b, t in zip(nodes, tags):
         if b.path in content:
             holders.add(b.numbers[-2] if len(b.numbers) > 1 and t[-1] in BLOCK_LEAVES else b.numbers[-1] if b.numbers else 0)
-    out = []
-    for i, (b, t) in enumerate(zip(nodes, tags)):
-        near, k = False, len(b.numbers) - 2
-        # items of lists, tables and quotations that stand among content, if they are more than links
-        while t and t[-1] in BLOCK_LEAVES - HEADINGS and 2 * b.linked <= len(b.text) and k >= 0 and not near:
-            near = b.numbers[k] in holders
-            if t[k] not in NESTED:
-                break
-            k -= 1
-        if nodes[of[i]].path in content or near and named[i] + voices[i] == plain:
-            out.append(b.text)
-    return "\n".join(out)
+    # and the elements whose sections do
+    sectioned = {b.numbers[k - 1] for b, t in zip(nodes, tags) if b.path in content for k in range(1, len(t)) if t[k] == "section"}
+
+    def beside(i: int) -> bool:
+        """Whether a block stands among content and is no link list."""
+        b, t = nodes[i], tags[i]
+        if 2 * b.linked > len(b.text) or named[i] + voices[i] != plain:
+            return False
+        for k in range(len(t) - 2, -1, -1):
+            if b.numbers[k] in holders:
+                return t[k] not in ("html", "body") or t[-1] in BLOCK_LEAVES and all(x in NESTED for x in t[k + 1 : -1])
+            if b.numbers[k] in sectioned and t[k + 1] == "section":
+                return True
+            if t[k] not in PARTS and b.path[k] != "div":
+                return False
+        return False
+
+    headed = [bool(t) and t[-1] in HEADINGS for t in tags]
+    kept = [not h and (b.path in content or beside(i)) for i, (b, h) in enumerate(zip(nodes, headed))]
+    introduced = _introduced(nodes, tags, headed, kept)
+    return "\n".join(b.text for i, b in enumerate(nodes) if kept[i] or headed[i] and (introduced[i] or of[i] == i and b.path in content))
+
+
+def _introduced(nodes: list[Block], tags: list[list[str]], headed: list[bool], kept: list[bool]) -> list[bool]:
+    """Whether each block is a heading with a kept block after it, in the element around it (the article's, for one in its header) and before the next heading of its rank or a higher one."""
+    end: dict[int, int] = {}  # the last block within each element
+    for i, b in enumerate(nodes):
+        for number in b.numbers:
+            end[number] = i
+    out = [False] * len(nodes)
+    ranks = [len(nodes)] * 7  # the next heading of each rank
+    following = len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        if headed[i]:
+            k = len(tags[i]) - 2
+            while k > 0 and (tags[i][k] in ("header", "hgroup") or tags[i][k] == "div" and nodes[i].numbers[k] not in (nodes[i - 1].numbers if i else ()) and end[nodes[i].numbers[k]] == i):
+                k -= 1
+            last = end[nodes[i].numbers[k]] if k >= 0 else len(nodes) - 1
+            rank = int(tags[i][-1][1])
+            out[i] = following <= last and following < min(ranks[1 : rank + 1])
+            ranks[rank] = i
+        elif kept[i]:
+            following = i
+    return out
 
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", share: float = 0.15) -> DataFrame:
