@@ -152,12 +152,12 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 # a key whatever the order is; putting shingles that are frequent in a sample last keeps shared
 # passages and templates out of the keys. `sig` is a SimHash of SIG_BITS bits over the set; its
 # Hamming distance estimates the similarity (standard error about 0.02 at 1024 bits) and spares
-# exact comparisons; of under SMALL shingles, too few for such an estimate, it is the set itself.
+# exact comparisons; of under SMALL shingles it is the set itself, which is exact.
 # The sets decide, and only those of likely pairs are ever made. A key that few texts hold is
 # joined; the signatures of a key that many hold are compared block by block inside tasks.
 
 SIG_BITS = 1024
-SMALL = 64
+SMALL = 256
 #: Cells of the table of frequencies, and bytes of text (about) that it is counted on.
 CELLS, CELL_CHUNKS, SAMPLE_BYTES = 1 << 22, 64, 1 << 27
 _SIG_SALT = mix64(np.arange(1, SIG_BITS // 64 + 1, dtype=np.uint64))
