@@ -18,7 +18,7 @@ from tickloom.functions.tick import BANDS, LARGEST_TICK
 from tickloom.operators import recurrence as rec
 from tickloom.operators.recurrence import Arrays, Step, fold
 from tickloom.operators.relational import FACTORS, MODES, SCALE_OUT
-from tickloom.operators.series import keys
+from tickloom.operators.series import at_micros, keys, micros
 
 # Bars back for the swing low, slippage, and the chandelier of each mode.
 LOOKBACK = {"scalping": 10, "day": 20, "swing": 40, "investing": 60}
@@ -151,11 +151,9 @@ def signal_backtest(bars: DataFrame, mode: str = "swing", *, least: float = BUY,
     the entry only the stop counts. Slippage is the mode's, on each fill. A position that is open
     at the end is no trade. held_out: entered in the last `split` of the series' bars.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = bars.select(*keys(), "ts", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), us.alias("us"))
+    rows = bars.select(*keys(), "ts", "open", "high", "low", "close", F.col("volume").cast("double").alias("volume"), micros().alias("us"))
     told = fold(rows, *signal_steps(mode), trades(mode, least, shares, entry_fee, exit_fee), _late(split))
-    kind = bars.schema["ts"].dataType
-    entered = F.timestamp_micros(F.col("entered").cast("bigint")).cast(kind)
+    entered = at_micros("entered", bars.schema["ts"].dataType)
     kept = told.filter(F.col("entered").isNotNull())
     return kept.select(*keys(), entered.alias("entry_ts"), F.col("ts").alias("exit_ts"), F.col("bought").alias("entry"), F.col("sold").alias("exit"), "return", "r", F.col("targets").cast("int").alias("targets"), (F.col("entered") >= F.col("split_us")).alias("held_out"))
 

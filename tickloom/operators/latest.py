@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 from tickloom.operators.recurrence import Arrays, Step
-from tickloom.operators.structure import EXTENSIONS, RETRACEMENTS
 
+# Ratios of the levels between swings and beyond them.
+RETRACEMENTS = {"r236": 0.236, "r382": 0.382, "r500": 0.5, "r618": 0.618, "r786": 0.786}
+EXTENSIONS = {"e1272": 1.272, "e1618": 1.618, "e2000": 2.0}
 #: Sliding windows look at the last bars only.
 LOOKBACK = 252
 SMA = (5, 10, 20, 50, 100, 200)
@@ -127,7 +129,7 @@ def profile(buckets: int = 50, last: int = 250, share: float = 0.7, least: int =
     return Step(("poc", "vah", "val"), run)
 
 
-def _only(x: np.ndarray, n: int, highest: bool) -> np.ndarray:
+def only_extreme(x: np.ndarray, n: int, highest: bool) -> np.ndarray:
     """Where the value is the only extreme of itself and n rows on each side, all there."""
     out = np.zeros(len(x), bool)
     if len(x) > 2 * n:
@@ -142,7 +144,7 @@ def fibonacci(n: int = 5) -> Step:
     names = (*RETRACEMENTS, *EXTENSIONS)
 
     def run(a: Arrays) -> tuple[np.ndarray, ...]:
-        tops, bottoms = np.flatnonzero(_only(a["high"], n, True)), np.flatnonzero(_only(a["low"], n, False))
+        tops, bottoms = np.flatnonzero(only_extreme(a["high"], n, True)), np.flatnonzero(only_extreme(a["low"], n, False))
         high, low = a["high"][tops[-1]] if len(tops) else np.nan, a["low"][bottoms[-1]] if len(bottoms) else np.nan
         there = high > low
         levels = [high - r * (high - low) for r in RETRACEMENTS.values()] + [low + r * (high - low) for r in EXTENSIONS.values()]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tickloom.operators.recurrence import exponential
-from tickloom.operators.series import keys, so_far
+from tickloom.operators.series import keys, micros, so_far
 
 RANGES = 256
 
@@ -25,7 +25,7 @@ def _number(df: DataFrame, on: str) -> Column:
     """A column that orders rows as a long: microseconds of a time."""
     kind = dict(df.dtypes)[on]
     if kind == "timestamp_ntz":
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{on}`)")
+        return micros(on)
     return F.unix_micros(on) if kind == "timestamp" else F.unix_date(on).cast("long") if kind == "date" else F.col(on).cast("long")
 
 

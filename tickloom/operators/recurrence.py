@@ -83,7 +83,7 @@ def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.full(len(a), np.nan), where=b != 0)
 
 
-def _range(a: Arrays) -> np.ndarray:
+def true_range(a: Arrays) -> np.ndarray:
     close = _before(a["close"])
     return np.fmax(a["high"] - a["low"], np.fmax(np.abs(a["high"] - close), np.abs(a["low"] - close)))
 
@@ -102,14 +102,14 @@ def macd(fast: int, slow: int, signal: int) -> Step:
 
 
 def atr(name: str, n: int) -> Step:
-    return Step((name,), lambda a: (smoothed(_range(a), n),))
+    return Step((name,), lambda a: (smoothed(true_range(a), n),))
 
 
 def adx(n: int) -> Step:
     def run(a: Arrays) -> tuple[np.ndarray, ...]:
         up, down = a["high"] - _before(a["high"]), _before(a["low"]) - a["low"]
         plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-        width = smoothed(_range(a), n)
+        width = smoothed(true_range(a), n)
         plus, minus = 100 * _over(smoothed(plus, n), width), 100 * _over(smoothed(minus, n), width)
         return smoothed(100 * _over(np.abs(plus - minus), plus + minus), n), plus, minus
 
@@ -158,7 +158,7 @@ def supertrend(period: int, times: float) -> Step:
     def run(a: Arrays) -> tuple[np.ndarray, ...]:
         n = len(a["close"])
         line, way = np.full(n, np.nan), np.full(n, "up", object)
-        middle, width = (a["high"] + a["low"]) / 2, times * smoothed(_range(a), period)
+        middle, width = (a["high"] + a["low"]) / 2, times * smoothed(true_range(a), period)
         tops, bottoms, close = (middle + width).tolist(), (middle - width).tolist(), a["close"].tolist()
         top = bottom = rising = None
         for i in range(period, n):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.tick import round_to_tick
 from tickloom.operators import indicators as ind
 from tickloom.operators import recurrence as rec
-from tickloom.operators.series import in_order, keys, of_series, ratio, so_far
+from tickloom.operators.series import at_micros, in_order, keys, micros, of_series, ratio, so_far
 
 OHLC = ("open", "high", "low", "close")
 
@@ -298,9 +298,9 @@ def backtest(bars: DataFrame, *, fast: int = 20, k_atr: float = 2.0, target: flo
     A bar decides on itself and those before only; a gap through the stop fills at the open, a
     bar that touches both fills the stop. All of it is one fold.
     """
-    rows = bars.select(*keys(), "ts", *OHLC, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = bars.select(*keys(), "ts", *OHLC, micros().alias("us"))
     told = rec.fold(rows, rec.ema("fast", "close", fast), rec.atr("atr", 14), _trades("fast", k_atr, target, entry_fee, exit_fee, slip)).filter("entered IS NOT NULL")
-    entered = F.timestamp_micros(F.col("entered").cast("bigint")).cast(bars.schema["ts"].dataType)
+    entered = at_micros("entered", bars.schema["ts"].dataType)
     return told.select(*keys(), entered.alias("entry_ts"), F.col("ts").alias("exit_ts"), F.col("bought").alias("entry"), F.col("sold").alias("exit"), "return", "r")
 
 

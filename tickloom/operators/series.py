@@ -8,6 +8,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 _keys: ContextVar[tuple[str, ...]] = ContextVar("keys", default=("symbol",))
 
@@ -53,3 +54,16 @@ def ratio(a: Column, b: Column) -> Column:
 def numbered(bars: DataFrame, ts: str = "ts") -> DataFrame:
     """bars with `n`, their place in the series from 1."""
     return bars.withColumn("n", F.row_number().over(in_order(ts)))
+
+
+_ZERO = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def micros(ts: str = "ts") -> Column:
+    """A time as microseconds on the clock it shows, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, {_ZERO}, CAST(`{ts}` AS timestamp_ntz))")
+
+
+def at_micros(name: str, kind: DataType) -> Column:
+    """The inverse of micros() for a column, as a time of that type."""
+    return F.expr(f"timestampadd(MICROSECOND, CAST(`{name}` AS bigint), {_ZERO})").cast(kind)

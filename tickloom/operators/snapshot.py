@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import latest
 from tickloom.operators import recurrence as rec
-from tickloom.operators.latest import PIVOTS, SMA
+from tickloom.operators.latest import EXTENSIONS, PIVOTS, RETRACEMENTS, SMA
 from tickloom.operators.series import keys
-from tickloom.operators.structure import EXTENSIONS, RETRACEMENTS
 
 EMA = (8, 13, 20, 21, 50, 200)
 FIELDS: dict[str, tuple[str, ...]] = {

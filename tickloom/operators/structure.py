@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import recurrence as rec
-from tickloom.operators.indicators import add_atr, fractal, tail, value_area
+from tickloom.operators.indicators import fractal
+from tickloom.operators.latest import EXTENSIONS, RETRACEMENTS
+from tickloom.operators.levels import every_level
 from tickloom.operators.series import in_order, keys, numbered, of_series
-from tickloom.sources.bars import resample
-
-# Ratios and weights of the levels.
-RETRACEMENTS = {"r236": 0.236, "r382": 0.382, "r500": 0.5, "r618": 0.618, "r786": 0.786}
-EXTENSIONS = {"e1272": 1.272, "e1618": 1.618, "e2000": 2.0}
-TIMEFRAME_WEIGHTS = {"1m": 20, "5m": 30, "15m": 40, "1h": 55, "4h": 70, "1d": 85, "1w": 100}
-OTHER_TIMEFRAME = 50
-
 
 def pivots(high: Column, low: Column, close: Column, method: str = "classic") -> dict[str, Column]:
     """The pivot and its resistances and supports from one bar."""
@@ -69,81 +62,18 @@ def fibonacci_levels(bars: DataFrame, n: int = 5) -> DataFrame:
 
 def swing_clusters(bars: DataFrame, timeframe: str = "1w", last: int = 250) -> DataFrame:
     """Swings of the last bars, chained into clusters where neighbours in price lie within half an ATR: one row per cluster, with its strength."""
-    recent = tail(bars, last)
-    rows = add_swings(add_atr(recent, 14, "atr"))
-    whole = of_series()
-    rows = rows.withColumns({"now": F.max("ts").over(whole), "tolerance": F.coalesce(0.5 * F.max_by("atr", "ts").over(whole), F.lit(0.0))})
-    common = [*keys(), "ts", "volume", "now", "tolerance"]
-    highs = rows.filter("swing_high").select(*common, F.col("high").alias("price"), (F.col("high") - F.greatest(F.col("open"), F.col("close"))).alias("wick"), F.lit(1).alias("side"))
-    lows = rows.filter("swing_low").select(*common, F.col("low").alias("price"), (F.least(F.col("open"), F.col("close")) - F.col("low")).alias("wick"), F.lit(0).alias("side"))
-    by_price = of_series().orderBy("price", "ts", "side")
-    found = highs.unionByName(lows).withColumn("gap", F.col("price") - F.lag("price").over(by_price))
-    found = found.withColumn("cluster", F.sum((F.coalesce(F.col("gap"), F.lit(0.0)) > F.col("tolerance")).cast("int")).over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
-    groups = found.groupBy(*keys(), "cluster").agg(
-        F.avg("price").alias("price"),
-        F.count("*").alias("touches"),
-        F.sum("volume").alias("volume"),
-        F.avg("wick").alias("wick"),
-        F.min("ts").alias("first_seen"),
-        F.max("ts").alias("last_tested"),
-        F.max("now").alias("now"),
-    )
-
-    def scaled(c: str) -> Column:
-        lo, hi = F.min(c).over(whole), F.max(c).over(whole)
-        return F.when(lo == hi, 50.0).otherwise(F.try_divide(100.0 * (F.col(c) - lo), hi - lo))
-
-    days = F.greatest(F.lit(0.0), (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("last_tested").cast("timestamp"))) / 86_400e6)
-    weight = TIMEFRAME_WEIGHTS.get(timeframe, OTHER_TIMEFRAME)
-    strength = 0.30 * scaled("touches") + 0.25 * scaled("volume") + 0.20 * 100 * F.exp(-days / 60) + 0.15 * scaled("wick") + 0.10 * weight
-    return groups.withColumn("strength", strength)
-
-
-def round_step(price: Column) -> Column:
-    return F.when(price < 1000, 50.0).when(price < 10_000, 100.0).otherwise(500.0)
+    return every_level(bars, timeframe, last).filter("source = 'swing'").drop("source", "close", "role_flipped")
 
 
 def supplementary_levels(bars: DataFrame) -> DataFrame:
-    """(symbol, source, price, strength, first_seen, last_tested): point of control, pivots of the bar and week before, round numbers, long means, 52-week extremes.
-
-    Each series is gathered into one row by one aggregation, its weeks and its volume profile
-    by one each; the levels are then an array of that row. Both times are those of the last bar.
-    """
-    back = F.col("back")
-    rows = rec.fold(bars, rec.ema("ema50", "close", 50), rec.ema("ema200", "close", 200), rec.from_end())
-    one = rows.groupBy(*keys()).agg(
-        F.count("*").alias("bars"),
-        F.max("ts").alias("now"),
-        F.max(F.when(back == 1, F.struct("close", "ema50", "ema200"))).alias("last"),
-        F.max(F.when(back == 2, F.struct("high", "low", "close"))).alias("before"),
-        F.max(F.when(back <= 252, F.col("high"))).alias("high"),
-        F.min(F.when(back <= 252, F.col("low"))).alias("low"),
-    )
-    nth = F.row_number().over(of_series().orderBy(F.desc("ts")))
-    weeks = resample(bars, "week", by=keys()).withColumn("back", nth).filter("back = 2").select(*keys(), F.struct("high", "low", "close").alias("week"))
-    one = one.join(weeks, [*keys()], "left").join(value_area(bars), [*keys()], "left")
-    close = F.col("last.close")
-    step = round_step(close)
-    nearest = F.rint(close / step) * step
-    pivot = lambda of: pivots(F.col(f"{of}.high"), F.col(f"{of}.low"), F.col(f"{of}.close"))
-    made = [("ema50", F.col("last.ema50"), 55, F.col("bars") >= 50), ("ema200", F.col("last.ema200"), 60, F.col("bars") >= 200)]
-    made += [("round_number", nearest + k * step, 50, F.lit(True)) for k in range(-2, 3)]
-    made += [(f"pivot_daily_{k}", pivot("before")[k], 65, F.col("before").isNotNull()) for k in ("pp", "r1", "s1")]
-    made += [(f"pivot_weekly_{k}", pivot("week")[k], 70, F.col("week").isNotNull()) for k in ("pp", "r1", "s1")]
-    made += [("high_52w", F.col("high"), 80, F.lit(True)), ("low_52w", F.col("low"), 80, F.lit(True)), ("poc", F.col("poc"), 75, F.col("bars") >= 10)]
-    listed = F.array(*[F.when(ok & p.isNotNull(), F.struct(F.lit(s).alias("source"), p.alias("price"), F.lit(float(v)).alias("strength"))) for s, p, v, ok in made])
-    return one.select(*keys(), "now", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("x")).select(*keys(), "x.*", F.col("now").alias("first_seen"), F.col("now").alias("last_tested"))
+    """(key, source, price, strength, first_seen, last_tested): point of control, pivots of the bar and week before, round numbers, long means, 52-week extremes. Both times are those of the last bar."""
+    return every_level(bars).filter("source <> 'swing'").select(*keys(), "source", "price", "strength", "first_seen", "last_tested")
 
 
 def price_levels(bars: DataFrame, timeframe: str = "1w", each: int = 8, least: float = 40.0) -> DataFrame:
     """The strongest `each` supports and resistances of each series, with whether the side was changed within 20 bars."""
-    swings = swing_clusters(bars, timeframe).select(*keys(), F.lit("swing").alias("source"), "price", "strength", "touches", "first_seen", "last_tested")
-    every = swings.unionByName(supplementary_levels(bars).withColumn("touches", F.lit(0).cast("bigint")))
-    recent = tail(bars, 21).groupBy(*keys()).agg(F.max_by("close", "ts").alias("close"), F.sort_array(F.collect_list(F.struct("ts", "close"))).alias("seen"))
-    rows = every.filter(F.col("strength") >= least).join(recent, [*keys()])
-    above = F.col("close") > F.col("price")
-    earlier = F.slice("seen", 1, F.greatest(F.size("seen") - 1, F.lit(0)))
-    rows = rows.withColumns({"level_type": F.when(F.col("price") < F.col("close"), "support").otherwise("resistance"), "role_flipped": F.exists(earlier, lambda x: (x["close"] > F.col("price")) != above)})
+    rows = every_level(bars, timeframe).filter(F.col("strength") >= least)
+    rows = rows.withColumn("level_type", F.when(F.col("price") < F.col("close"), "support").otherwise("resistance"))
     order = of_series("level_type").orderBy(F.desc("strength"), "price", "source")
     return rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= each).select(*keys(), "level_type", "price", "strength", "source", "touches", "role_flipped", "first_seen", "last_tested")
 

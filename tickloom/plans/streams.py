@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.series import micros
 from tickloom.plans import oracle as sql
 from tickloom.plans.oracle import EVENT, q, r
 from tickloom.plans.registry import register, told
@@ -26,9 +27,8 @@ _HOUR = 3_600_000_000
 
 def _chunk(rows: DataFrame, ahead: int = 0) -> Column:
     """Which third of the table's time a row (or what comes `ahead` microseconds after it) lies in, from 0."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    lo, hi = rows.agg(F.min(us), F.max(us)).first()
-    return F.expr(f"(3 * (unix_micros(CAST(ts AS timestamp)) + {ahead} - {lo or 0})) DIV {(hi or 0) - (lo or 0) + 1}")
+    lo, hi = rows.agg(F.min(micros()), F.max(micros())).first()
+    return F.floor(3 * (micros() + F.lit(ahead) - F.lit(lo or 0)) / F.lit((hi or 0) - (lo or 0) + 1))
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +113,13 @@ def stream_recurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _alerts(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """Four alerts for each nation, on the event types in turn."""
     types = [row[0] for row in events.select("symbol").distinct().orderBy("symbol").collect()]
-    first = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
+    first = events.agg(F.min(micros())).first()[0] or 0
     k, kinds = F.col("n_nationkey"), F.array(*[F.lit(x) for x in al.KINDS])
     rows = src.table(spark, sf_dir, "nation").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
     low, until = (k * 7 % 60 + 5).cast("double"), first + (k % 10 * 3).cast("bigint") * 24 * _HOUR + _HOUR
     return rows.select(
         (k * 4 + F.col("i")).cast("bigint").alias("alert_id"), F.array(*[F.lit(x) for x in types])[k % F.lit(max(1, len(types)))].alias("symbol"), kinds[F.col("i")].alias("kind"), low.alias("low"), (low + 3).alias("high"),
-        (k % 2 == 0).alias("long"), F.when(k % 3 == 0, "buy").when(k % 3 == 1, "sell").alias("wanted"), F.when(k % 10 != 9, F.timestamp_micros(until)).alias("expires"),
+        (k % 2 == 0).alias("long"), F.when(k % 3 == 0, "buy").when(k % 3 == 1, "sell").alias("wanted"), F.when(k % 10 != 9, until).alias("until"),
     )
 
 
@@ -146,8 +146,8 @@ def stream_alerts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(stream: DataFrame) -> DataFrame:
         signal = F.col("event_id") % 50 == 0
         told_ = stream.select("symbol", "ts", F.when(~signal, F.col("value")).alias("price"), F.when(signal, F.when(F.col("value") > 20, "buy").otherwise("sell")).alias("action"))
-        known = stream.sparkSession.createDataFrame(table, "alert_id bigint, symbol string, kind string, low double, high double, long boolean, wanted string, expires timestamp")
-        return al.stream_alerts_once(told_, known, late=LATE)
+        known = stream.sparkSession.createDataFrame(table, "alert_id bigint, symbol string, kind string, low double, high double, long boolean, wanted string, until bigint")
+        return al.stream_alerts_once(told_, known.withColumn("expires", F.timestamp_micros("until")), late=LATE)
 
     return told(replay(ticks, make, arrival=_chunk(ticks)), "alert_id", "kind", "symbol", "ts", "price", "status")
 
