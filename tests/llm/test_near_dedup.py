@@ -118,3 +118,31 @@ def test_crowded_fingerprints(spark):
     df = spark.createDataFrame([(int(x),) for x in a], "fp long")
     for crowd in (1, 10, 1000):
         assert {tuple(r) for r in simhash.links(df, crowd=crowd).collect()} == want
+
+
+def test_ring_joins_close_copies(spark, monkeypatch):
+    """Without any shared key, the fingerprints' ring alone joins copies within its bits, of few and of many shingles; the sets still decide."""
+    rng = np.random.default_rng(10)
+    texts = []
+    for k in range(20):
+        base = words(rng, 150 if k % 2 else 1500)
+        texts += [base, [*base, *words(rng, 1)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.sketches(df).collect()}
+    close = [(fp[2 * k] ^ fp[2 * k + 1]).bit_count() <= 3 for k in range(20)]
+    assert sum(close) >= 15
+    keys = simhash.shared_keys
+    monkeypatch.setattr(simhash, "shared_keys", lambda nodes: keys(nodes).filter("false"))
+    got = roots(spark, texts)
+    assert [got[2 * k] == got[2 * k + 1] for k in range(20)] == close
+    assert len(set(got.values())) == 40 - sum(close)
+    # texts whose fingerprints agree but whose sets do not are no copies
+    monkeypatch.setattr(simhash, "_wide", lambda features, salt: np.zeros(len(salt), np.uint64))
+    assert len(set(roots(spark, [words(rng, 50) for _ in range(4)]).values())) == 4
+
+
+def test_what_the_ring_has_joined_meets_no_more(spark):
+    """A pair within one component is no candidate of the keys."""
+    shared = spark.createDataFrame([(7, b"a", b"a"), (7, b"b", b"a"), (7, b"c", b"a")], "key long, digest binary, lead binary")
+    found = spark.createDataFrame([(b"a", b"a"), (b"b", b"a")], "node binary, component binary")
+    assert [(bytes(r.a), bytes(r.b)) for r in simhash.candidates(shared, found).collect()] == [(b"a", b"c")]

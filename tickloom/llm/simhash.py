@@ -147,7 +147,10 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 
 # --- near duplicates by shingle similarity -------------------------------------------------
 #
-# Candidates come from a prefix filter: shingles have one global order, and of a set of n the
+# First the method itself: `fp` is a SimHash of 64 bits over the set of shingles, chains of its
+# ring link fingerprints at most RING_BITS bits apart, and the sets decide the texts of a ring's
+# component. Those bits reach down to a similarity of about 0.95, so what the ring leaves apart
+# goes through a complete filter: shingles have one global order, and of a set of n the
 # first n - ceil(similarity * n) + 1 are its `keys`. Two sets of at least that similarity share
 # a key whatever the order is; putting shingles that are frequent in a sample last keeps shared
 # passages and templates out of the keys. `sig` is a SimHash of SIG_BITS bits over the set; its
@@ -157,6 +160,7 @@ def group_fingerprints(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 # joined; the signatures of a key that many hold are compared block by block inside tasks.
 
 SIG_BITS = 1024
+RING_BITS = 3
 SMALL = 256
 #: Cells of the table of frequencies, and bytes of text (about) that it is counted on.
 CELLS, CELL_CHUNKS, SAMPLE_BYTES = 1 << 22, 64, 1 << 27
@@ -217,24 +221,25 @@ def frequencies(df: DataFrame, *, text: str = "text", shingle: int = 5) -> np.nd
 
 
 def sketches(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows' key columns with `digest` (of the word sequence), `n` (distinct shingles), `keys` and `sig`."""
+    """The rows' key columns with `digest` (of the word sequence), `n` (distinct shingles), `keys`, `sig` and `fp`."""
     shared = df.sparkSession.sparkContext.broadcast(frequencies(df, text=text, shingle=shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
-            digests, sizes, keys, sigs = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            digests, sizes, prints, keys, sigs = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for own, features in _shingled(batch.column(2), shingle):
                 n = len(features)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(n)
                 sigs.append(features if n < SMALL else _wide(features, _SIG_SALT))
+                prints.append(_wide(features, _SIG_SALT[:1]) if n < SMALL else sigs[-1][:1])
                 keys.append(features[np.lexsort((features, often[_cells(features)]))[: n - math.ceil(similarity * n - 1e-9) + 1]])
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x[1:])]).astype(np.int32)), pa.array(np.concatenate(x).view(np.int64))) for x in (keys, sigs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "row", "digest", "n", "keys", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *lists, pa.array(np.concatenate(prints).view(np.int64))], ["doc_id", "row", "digest", "n", "keys", "sig", "fp"])
 
     slim = df.select(quoted(key).cast("long").alias("doc_id"), row_hash(df).alias("row"), quoted(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id long, {ROW}, digest binary, n int, keys array<long>, sig array<long>")
+    return slim.mapInArrow(run, f"doc_id long, {ROW}, digest binary, n int, keys array<long>, sig array<long>, fp long")
 
 
 def shingle_sets(df: DataFrame, rows: DataFrame, wanted: DataFrame, *, text: str = "text", shingle: int = 5) -> DataFrame:
@@ -267,6 +272,17 @@ def most_differing(similarity: float, bits: int = SIG_BITS, errors: float = 6.0)
     return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
+def ring_pairs(prints: DataFrame, max_bits: int = RING_BITS) -> DataFrame:
+    """(a, b), a < b: each digest (digest, fp) with the smallest one that links of fingerprints at most `max_bits` apart reach.
+
+    A pair for each digest, however many links a group of near copies has.
+    """
+    found = connected_components(links(prints, max_bits))
+    rooted = prints.join(found, prints.fp == found.node, "left").select("digest", F.coalesce("component", "fp").alias("root"))
+    leads = rooted.groupBy("root").agg(F.min("digest").alias("lead"))
+    return rooted.join(leads, "root").filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b"))
+
+
 def shared_keys(nodes: DataFrame) -> DataFrame:
     """(key, digest, n, there, lead) of the keys that several digests hold: how many do, and the smallest of them."""
     held = nodes.select("digest", "n", F.explode("keys").alias("key"))
@@ -275,9 +291,12 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return shared.join(shared.groupBy("key").agg(F.min("digest").alias("lead")), "key")
 
 
-def candidates(shared: DataFrame) -> DataFrame:
-    """(a, b), a < b: each digest with the lead of each of its keys, to join groups of copies before the rest is met."""
-    return shared.filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
+def candidates(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b), a < b: each digest with the lead of each of its keys, unless in one component already, to join groups of copies before the rest is met."""
+    pairs = shared.filter("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
+    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"at_{c}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return met.filter(F.coalesce("at_a", "a") != F.coalesce("at_b", "b")).select("a", "b")
 
 
 def apart(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -405,18 +424,21 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(doc_id, row, root): rows of one root are near duplicates; `row` is a hash of the whole row.
 
-    `many` and `block_rows` tell how pairs are compared, not which.
+    `many` and `block_rows` tell how pairs are compared, not which. The ring of the fingerprints
+    joins close copies; only texts that it leaves apart are met by their keys.
 
     Word sequences that agree but for case and white space are one node before any search;
     texts without words (null, empty) form one group.
     """
     rows = materialize(sketches(df, key=key, text=text, shingle=shingle, similarity=similarity))
+    similar = lambda pairs: similar_links(pairs, df, rows, text=text, shingle=shingle, similarity=similarity)
+    ringed = similar(ring_pairs(rows.select("digest", "fp").distinct()))
+    close = connected_components(ringed)
     nodes = rows.groupBy("digest").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     shared = materialize(shared_keys(nodes.select("digest", "n", "keys")))
     # only texts that share a key have partners
     nodes = materialize(nodes.drop("keys").join(shared.select("digest").distinct(), "digest", "left_semi"))
-    similar = lambda pairs: similar_links(pairs, df, rows, text=text, shingle=shingle, similarity=similarity)
-    led = similar(likely(candidates(shared), nodes, similarity))
+    led = ringed.union(similar(likely(candidates(shared, close), nodes, similarity)))
     left = materialize(apart(shared, connected_components(led)))
     few = likely(few_pairs(left.filter(F.col("there") <= many), similarity), nodes, similarity)
     crowded = crowded_pairs(left.filter(F.col("there") > many), nodes, similarity=similarity, block_rows=block_rows)
