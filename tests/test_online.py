@@ -3,6 +3,8 @@
 import math
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,83 @@ def test_alerts_fire_once(spark):
     ]
 
 
+def _random_alerts(rng, n, until):
+    return [dict(alert_id=k, kind=alerts.KINDS[k % 4], low=float(rng.randint(1, 9)), high=float(rng.randint(7, 12)), long=rng.random() < 0.5, wanted=rng.choice([None, "buy", "none"]), until=rng.choice([None, *until])) for k in range(n)]
+
+
+def _first(alert, rows, before=None):
+    """(at, price) of the first of the rows (at, price, action), in order, that fires; and the last price."""
+    for at, price, action in rows:
+        if alert["until"] is None or at <= alert["until"]:
+            if alerts._fires(alert["kind"], price, before, action, alert["low"], alert["high"], alert["long"], alert["wanted"]):
+                return (at, price), before
+            before = before if price is None else price
+    return None, before
+
+
+@pytest.mark.parametrize("size", [3, 400])
+def test_runs_give_alerts_what_they_need(monkeypatch, size):
+    """An alert gets three rows of a run at most, however many it has, and fires by them as by all rows."""
+    monkeypatch.setattr(alerts, "RUN", size)
+    rng = random.Random(size)
+    table = _random_alerts(rng, 200, [40, 900, 5000])
+    rows = [(at, None if rng.random() < 0.1 else float(rng.choice([10, 11, 12] if rng.random() < 0.98 else range(13))), rng.choice([None, None, None, "buy", "sell"])) for at in range(1, 2001)]
+    given = pd.DataFrame(rng.sample(rows, len(rows)), columns=["at", "price", "action"]).assign(event_order=0)
+    runs = pd.concat(alerts._Runs().handleInputRows(("A", 0), iter([given[:700], given[700:]]), None), ignore_index=True)
+    assert len(runs) == -(-2000 // size) and max(map(len, runs["at"])) <= size
+    batch = pa.RecordBatch.from_pylist([{"symbol": "A", "nth": int(r.nth), "at": list(map(int, r.at)), "price": [None if math.isnan(p) else p for p in r.price], "action": list(r.action), "alerts": table} for r in runs.itertuples()], pa.schema([("symbol", pa.string()), ("nth", pa.int64()), ("at", pa.list_(pa.int64())), ("price", pa.list_(pa.float64())), ("action", pa.list_(pa.string())), ("alerts", pa.list_(pa.struct([("alert_id", pa.int64()), ("kind", pa.string()), ("low", pa.float64()), ("high", pa.float64()), ("long", pa.bool_()), ("wanted", pa.string()), ("until", pa.int64())])))]))
+    met = [r for b in alerts._met(iter([batch])) for r in b.to_pylist()]
+    fired = 0
+    for alert in table:
+        own = sorted((r for r in met if r["alert_id"] == alert["alert_id"]), key=lambda r: (r["at"], r["nth"]))
+        assert 0 < len(own) <= 3 * len(runs)
+        before, hit = None, None
+        for r in own:
+            if hit is None and alerts._fires(r["kind"], r["price"], before if r["prior"] is None else r["prior"], r["action"], alert["low"], alert["high"], r["long"], r["wanted"]):
+                hit = r["at"], r["price"]
+            before = before if r["price"] is None else r["price"]
+        assert hit == _first(alert, rows)[0], alert
+        fired += hit is not None
+    assert 50 < fired < 200
+
+
+def test_alerts_over_spans_and_late_rows(spark):
+    """Three arrivals, the later ones with rows within the delay and too late: what fires and expires is what row by row fires and expires."""
+    rng = random.Random(3)
+    hour, start = 3_600_000_000, 1_767_225_600_000_000
+    delay, until = 2 * hour, [start + h * hour for h in (1, 7, 15, 40)]
+    table = [{**a, "symbol": rng.choice("ABC")} for a in _random_alerts(rng, 120, until)]
+    rows, mark, state, want = [], None, {}, set()
+    for at in rng.sample(range(start, start + 24 * hour), 900):
+        n = min(2, (at - start) // (8 * hour) + (rng.choice([1, 2]) if rng.random() < 0.2 else 0))
+        rows.append((rng.choice("AB"), at, *((None, rng.choice(["buy", "sell"])) if rng.random() < 0.1 else (float(rng.choice([10, 11, 12] if rng.random() < 0.97 else range(13))), None)), n))
+    late = 0
+    for n in range(3):
+        own = sorted((r for r in rows if r[4] == n and (mark is None or r[1] > mark)), key=lambda r: r[1])
+        late += sum(r[4] == n for r in rows) - len(own)
+        for alert in table:
+            mine = [r[1:4] for r in own if r[0] == alert["symbol"] and (alert["until"] is None or r[1] <= alert["until"])]
+            before, fired = state.get(alert["alert_id"], (None, False))
+            if mine:
+                hit, before = (None, before) if fired else _first(alert, mine, before)
+                if hit:
+                    want.add((alert["alert_id"], "fired", *hit))
+                state[alert["alert_id"]] = before, fired or hit is not None
+        mark = max(r[1] for r in rows if r[4] <= n) // 1000 * 1000 - delay
+        for alert in table:
+            if alert["until"] is not None and alert["until"] <= mark and alert["alert_id"] in state and not state.pop(alert["alert_id"])[1]:
+                want.add((alert["alert_id"], "expired", alert["until"], None))
+    assert late > 20 and {w[1] for w in want} == {"fired", "expired"}
+    df = spark.createDataFrame(rows, "symbol string, at long, price double, action string, n int").withColumn("ts", F.timestamp_micros("at").cast("timestamp_ntz"))
+
+    def make(s):
+        known = s.sparkSession.createDataFrame([tuple(a[c] for c in ("alert_id", "symbol", "kind", "low", "high", "long", "wanted", "until")) for a in table], ALERTS.replace("expires timestamp", "until long"))
+        return alerts.stream_alerts_once(s.select("symbol", "ts", "price", "action"), known.withColumn("expires", F.timestamp_micros("until")), late="2 hours", span=hour // 2)
+
+    got = replay(df, make, arrival=F.col("n")).select("alert_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "price").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
 def _files(path):
     return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("part-*") if "_applied" not in str(p)}
 
