@@ -213,13 +213,23 @@ def train(
         sizes = told.select(*order).orderBy(*order).limit(most_rows).toArrow()["n"].to_numpy()
         fitting = int(np.searchsorted(np.cumsum(sizes, dtype=np.int64), most_features, "right"))
         told = told.orderBy(*order).limit(max(1, fitting))
+    model = fit(*_gathered(told, order, STATS + len(metadata)), **options)
+    pa.default_memory_pool().release_unused()  # else the driver keeps the room of the training rows
+    return model
+
+
+def _gathered(told: DataFrame, order: Sequence[str], width: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """What fit() takes, in that order of rows. Words are views of what Arrow has read: the rows are on the driver once."""
+    table = told.toArrow()
     # sorted here: a sort by Spark would hold the rows as objects on the driver
-    table = told.toArrow().combine_chunks().sort_by([(c, "ascending") for c in order])
-    # views of the flat columns, no copies
-    ids, values, stats = (pc.list_flatten(table[c]).to_numpy() for c in ("ids", "vals", "stats"))
-    ends = np.cumsum(pc.list_value_length(table["ids"]).to_numpy())
-    words = [(ids[a:b], values[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
-    return fit(words, stats.reshape(-1, STATS + len(metadata)), table["y"].to_numpy(), **options)
+    place = pc.sort_indices(table.select(order), sort_keys=[(c, "ascending") for c in order]).to_numpy()
+    words, stats = [], [np.zeros((0, width))]
+    for batch in table.to_batches():
+        ids, values, own = (batch[c].flatten().to_numpy() for c in ("ids", "vals", "stats"))
+        ends = np.cumsum(pc.list_value_length(batch["ids"]).to_numpy())
+        words += [(ids[a:b], values[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        stats.append(own.reshape(-1, width))
+    return [words[i] for i in place], np.concatenate(stats)[place], table["y"].to_numpy()[place]
 
 
 def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", metadata: Sequence[str] = (), into: str = "score") -> DataFrame:

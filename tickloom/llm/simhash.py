@@ -438,11 +438,12 @@ def near_duplicate_groups(
     shared = materialize(shared_keys(nodes.select("digest", "n", "keys")))
     # only texts that share a key have partners
     nodes = materialize(nodes.drop("keys").join(shared.select("digest").distinct(), "digest", "left_semi"))
-    led = ringed.union(similar(likely(candidates(shared, close), nodes, similarity)))
-    left = materialize(apart(shared, connected_components(led)))
+    led = connected_components(ringed.union(similar(likely(candidates(shared, close), nodes, similarity))))
+    left = materialize(apart(shared, led))
     few = likely(few_pairs(left.filter(F.col("there") <= many), similarity), nodes, similarity)
     crowded = crowded_pairs(left.filter(F.col("there") > many), nodes, similarity=similarity, block_rows=block_rows)
-    found = connected_components(led.union(similar(few.union(crowded))))
+    # the components so far are stars, which take fewer rounds to join than their links
+    found = connected_components(led.select(F.col("component").alias("a"), F.col("node").alias("b")).union(similar(few.union(crowded))))
     return rows.join(found, rows.digest == found.node, "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
