@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 WORD_GAP = r"[^\x20\x09-\x0D]+"
 #: Shuffle files go when the job that wrote them has ended, not when the driver next collects garbage.
@@ -65,6 +66,17 @@ def unpacked(columns: Sequence[str], row: str = "row") -> list[Column]:
     return [F.col(row)[f"c{i}"].alias(c) for i, c in enumerate(columns)]
 
 
+def text_within(df: DataFrame, columns: Sequence[str], text: str, row: str = "row") -> tuple[Callable[[pa.RecordBatch], pa.Array], list[Column]]:
+    """How an Arrow batch of packed() rows tells the texts, and the columns to select beside the row for that.
+
+    Where the row holds the text as a string there are none, so that texts go to Python once.
+    """
+    if text in columns and df.schema[text].dataType == StringType():
+        place = list(columns).index(text)
+        return lambda batch: batch.column(row).field(place), []
+    return lambda batch: batch.column("text_"), [quoted(text).cast("string").alias("text_")]
+
+
 def schema_with(df: DataFrame, kept: str, fields: str) -> StructType:
     """A schema of df's column `kept` followed by the fields of a DDL string."""
     return StructType([df.schema[kept], *StructType.fromDDL(fields).fields])

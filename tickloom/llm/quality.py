@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, packed, quoted, schema_with, unpacked
+from tickloom.llm.common import materialize, packed, quoted, schema_with, text_within, unpacked
 from tickloom.llm.textbytes import SPACED, Words, byte_table, slices
 
 BUCKETS = 1 << 14
@@ -90,14 +90,13 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndar
             yield ids.astype(np.int32), (values / norm if norm else values).astype(np.float32), _statistics(data[offsets[r] : offsets[r + 1]], own, lengths[a:b])
 
 
-def _rows(df: DataFrame, text: str, metadata: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    meta = F.array(*[F.log1p(F.greatest(F.coalesce(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in metadata]).cast("array<double>")
-    return df.select(quoted(text).cast("string").alias("t"), meta.alias("meta"), *extra)
+def _meta(metadata: Sequence[str]) -> Column:
+    return F.array(*[F.log1p(F.greatest(F.coalesce(quoted(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in metadata]).cast("array<double>")
 
 
-def _few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about so many bytes of text (column 0), so that features take memory by the part."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _few(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of its texts, so that features take memory by the part."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(batch):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
@@ -193,11 +192,11 @@ def train(
     marked = labels.select(quoted(key).alias("k"), quoted(label).cast("double").alias("y")).filter("k IS NOT NULL AND y IS NOT NULL")
     marked = marked.filter(F.lit(True) if where is None else where).groupBy("k").agg(F.avg("y").alias("y"))
     drawn = marked.orderBy(F.xxhash64(F.lit("quality"), "k"), "k").limit(most_rows)
-    slim = _rows(docs, text, metadata, [quoted(key).alias("own")])
+    slim = docs.select(quoted(text).cast("string").alias("t"), _meta(metadata).alias("meta"), quoted(key).alias("own"))
     rows = slim.join(F.broadcast(drawn), F.col("own") == F.col("k")).select("t", "meta", F.col("k").cast("string").alias("k"), "y", F.xxhash64("t").alias("h"))  # at most most_rows keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _few(whole)):
+        for batch in (part for whole in batches for part in _few(whole, whole.column(0))):
             told = list(features(batch.column(0)))
             stats = [[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
@@ -241,16 +240,17 @@ def score(df: DataFrame, model: FactorisationMachine, *, text: str = "text", met
     """
     keep = [c for c in df.columns if c != into]
     shared = df.sparkSession.sparkContext.broadcast(vars(model))
+    texts, extra = text_within(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = FactorisationMachine(**shared.value)
-        for batch in (part for whole in batches for part in _few(whole)):
-            told = list(features(batch.column(0), own.buckets))
+        for batch in (part for whole in batches for part in _few(whole, texts(whole))):
+            told = list(features(texts(batch), own.buckets))
             if told:
                 stats = np.array([[*s, *m.as_py()] for (_, _, s), m in zip(told, batch.column(1))])
                 z, _ = _margin(own, _assemble([(i, v) for i, v, _ in told], stats, own))
-                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(_sigmoid(z).astype(np.float64))], ["row", "told"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(z).astype(np.float64))], ["row", "told"])
 
-    slim = _rows(df, text, metadata, [packed(keep).alias("row")])
+    slim = df.select(packed(keep).alias("row"), _meta(metadata).alias("meta"), *extra)
     out = slim.mapInArrow(run, schema_with(slim, "row", "told double"))
     return out.select(*unpacked(keep), F.col("told").alias(into))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import materialize, packed, quoted, schema_with, unpacked
+from tickloom.llm.common import materialize, packed, quoted, schema_with, text_within, unpacked
 from tickloom.llm.textbytes import ALNUM, Words, slices
 
 WINDOW, K = 10, 5
@@ -179,7 +179,8 @@ def contamination(
     rows_there, bytes_there = index.agg(F.count("*"), F.coalesce(F.sum(64 + F.octet_length("words") + F.octet_length("item")), F.lit(0))).first()
     passes = max(1, -(-rows_there // index_rows), -(-bytes_there // index_bytes))
     given, first = (packed(docs.columns), "row") if keep_row else (quoted(key), "doc_id")
-    rows = docs.select(given.alias(first), quoted(text).cast("string").alias("text"), F.lit(None).cast(SPANS_TYPE).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    texts, extra = text_within(docs, docs.columns if keep_row else [], text)
+    rows = docs.select(given.alias(first), F.lit(None).cast(SPANS_TYPE).alias("spans"), F.lit(None).cast("array<string>").alias("items"), *extra)
     for p in range(passes):
         block = index if passes == 1 else index.filter(F.pmod(F.xxhash64("window_hash", "words", "item"), F.lit(passes)) == p)
         shared = spark.sparkContext.broadcast(_tables(block.toArrow()))
@@ -188,7 +189,7 @@ def contamination(
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 counts, spans, items = [], [], []
-                for lo, hi, data, offsets in slices(batch.column(1)):
+                for lo, hi, data, offsets in slices(texts(batch)):
                     words = Words(data, offsets, ALNUM)
                     found: dict[int, tuple[list, set]] = {}
                     for n, starts, places, (_, told, *_) in _occurrences(words, shared.value, window, k):
@@ -202,16 +203,16 @@ def contamination(
                     counts += np.diff(words.first).tolist()
                     for r in range(hi - lo):
                         own, which = found.get(r, ((), ()))
-                        before, named = batch.column(2)[lo + r].as_py() or [], batch.column(3)[lo + r].as_py() or []
+                        before, named = batch.column(1)[lo + r].as_py() or [], batch.column(2)[lo + r].as_py() or []
                         spans.append(_merged([*own, *((x["start"], x["stop"]) for x in before)]))
                         items.append(sorted({*which, *named}))
                 told = [pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
                 if last:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *told], [first, "n_words", "spans", "items"])
                 else:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told], batch.schema.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *told, *batch.columns[3:]], batch.schema.names)
 
-        rows = rows.mapInArrow(run, schema_with(rows, first, f"n_words long, {HIT_COLUMNS}" if last else f"text string, {HIT_COLUMNS}"))
+        rows = rows.mapInArrow(run, schema_with(rows, first, f"n_words long, {HIT_COLUMNS}" if last else ", ".join([HIT_COLUMNS, *["text_ string"] * len(extra)])))
         if not last:
             rows = materialize(rows)
     return rows
